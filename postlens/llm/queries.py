@@ -19,6 +19,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", F.col("m.lines.again").alias("n_dup_lines"), "m.n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_quality_rules,)}
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii as op
+
+    found = op.found(tables(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("kinds").cast("long").alias("n_found"), F.array_join(F.array_sort("kinds"), ",").alias("kinds"), "text")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_quality_rules, op8_pii)}
 
 SQL: dict[str, str] = {}
