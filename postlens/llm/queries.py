@@ -20,6 +20,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.digests(tables(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import license_scan as op
+
+    return op.scan(tables(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality_rules as op
 
@@ -34,6 +40,6 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("kinds").cast("long").alias("n_found"), F.array_join(F.array_sort("kinds"), ",").alias("kinds"), "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_byte_bpe, op6_quality_rules, op8_pii)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_byte_bpe, op5_license_scan, op6_quality_rules, op8_pii)}
 
 SQL: dict[str, str] = {}
