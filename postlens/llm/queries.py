@@ -12,6 +12,14 @@ from .storage import tables
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import code_search as op
+
+    rows = tables(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), op.sign_code(F.col("embedding")).alias("code"))
+    found = op.top_k(rows, rows.where(F.col("id") % 20 == 0), k=10)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), F.col("id").alias("neighbour_id"), F.col("distance").cast("long").alias("distance"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -20,6 +28,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.digests(tables(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import url_filter as op
+
+    return op.judged(tables(spark, sf_dir, "pages"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import license_scan as op
 
@@ -40,6 +54,40 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("kinds").cast("long").alias("n_found"), F.array_join(F.array_sort("kinds"), ",").alias("kinds"), "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_byte_bpe, op5_license_scan, op6_quality_rules, op8_pii)}
-
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_code_search, op3_byte_bpe, op4_url_filter, op5_license_scan, op6_quality_rules, op8_pii)}
+
+SQL: dict[str, str] = {
+    "op2_code_search": """
+        WITH codes AS (
+            SELECT vec_id, list_sum([CASE WHEN embedding[i + 1] > 0 AND NOT isnan(embedding[i + 1]) THEN (1::HUGEINT << i::INT) ELSE 0::HUGEINT END FOR i IN range(64)])::HUGEINT AS code FROM embeddings
+        ), pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS neighbour_id, bit_count(xor(q.code, c.code))::BIGINT AS distance
+            FROM codes q JOIN codes c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+        )
+        SELECT query_id, rank, neighbour_id, distance FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM pairs
+        ) WHERE rank <= 10
+    """,
+    "op4_url_filter": """
+        WITH parsed AS (
+            SELECT page_id,
+                coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path
+            FROM pages
+        ), ruled AS (
+            SELECT *, CASE
+                WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
+                WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
+                WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/'
+                WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
+                WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule
+            FROM parsed
+        )
+        SELECT page_id, host, path, rule, CASE
+            WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
+            WHEN rule IS NOT NULL THEN 'block'
+            WHEN regexp_matches(host, '(^|\\.)(casino-win|free-bets|ads-track|cheap-pills|spam-farm|adult-x|click-bait|fake-news|win-prize|pirate-films)\\.example\\.(com|net|org)$') THEN 'block'
+            ELSE 'allow' END AS verdict
+        FROM ruled
+    """,
+}
