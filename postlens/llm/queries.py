@@ -47,6 +47,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", F.col("m.lines.again").alias("n_dup_lines"), "m.n_repeat_words", "base_failed", "kept")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity as op
+
+    docs = tables(spark, sf_dir, "documents")
+    found = op.scored(docs, op.fit(docs, tables(spark, sf_dir, "labels")))
+    return found.select("doc_id", op.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_passages", "best_start", "best_end")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii as op
 
@@ -54,7 +62,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("kinds").cast("long").alias("n_found"), F.array_join(F.array_sort("kinds"), ",").alias("kinds"), "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_code_search, op3_byte_bpe, op4_url_filter, op5_license_scan, op6_quality_rules, op8_pii)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_code_search, op3_byte_bpe, op4_url_filter, op5_license_scan, op6_quality_rules, op7_toxicity, op8_pii)}
 
 SQL: dict[str, str] = {
     "op2_code_search": """
