@@ -62,7 +62,13 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("kinds").cast("long").alias("n_found"), F.array_join(F.array_sort("kinds"), ",").alias("kinds"), "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_code_search, op3_byte_bpe, op4_url_filter, op5_license_scan, op6_quality_rules, op7_toxicity, op8_pii)}
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing as op
+
+    return op.selected(tables(spark, sf_dir, "documents")).select("doc_id", *op.LEAF, "tokens", "copies")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_code_search, op3_byte_bpe, op4_url_filter, op5_license_scan, op6_quality_rules, op7_toxicity, op8_pii, op9_mixing)}
 
 SQL: dict[str, str] = {
     "op2_code_search": """
