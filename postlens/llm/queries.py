@@ -68,7 +68,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.selected(tables(spark, sf_dir, "documents")).select("doc_id", *op.LEAF, "tokens", "copies")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_code_search, op3_byte_bpe, op4_url_filter, op5_license_scan, op6_quality_rules, op7_toxicity, op8_pii, op9_mixing)}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_join as op
+
+    return op.joined(tables(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_code_search, op3_byte_bpe, op4_url_filter, op5_license_scan, op6_quality_rules, op7_toxicity, op8_pii, op9_mixing, op10_ngram_join)}
 
 SQL: dict[str, str] = {
     "op2_code_search": """
