@@ -12,6 +12,12 @@ from .storage import tables
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_dedup as op
+
+    return op.digests(tables(spark, sf_dir, "documents"))
+
+
 def op2_code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import code_search as op
 
@@ -74,7 +80,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.joined(tables(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_code_search, op3_byte_bpe, op4_url_filter, op5_license_scan, op6_quality_rules, op7_toxicity, op8_pii, op9_mixing, op10_ngram_join)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_code_search, op3_byte_bpe, op4_url_filter, op5_license_scan, op6_quality_rules, op7_toxicity, op8_pii, op9_mixing, op10_ngram_join)}
 
 SQL: dict[str, str] = {
     "op2_code_search": """
