@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import written
+
 #: Bound on labelled rows of the fit, and on tokens kept: a token must be significant, see Z.
 SAMPLE = 200_000
 #: Standard deviations that a token's log-odds must lie above 0, and pseudo-counts of the prior in all.
@@ -95,7 +97,8 @@ def sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame
     """raw, toxic of the labelled rows to learn from: not held out, at most ``limit``."""
     marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).select("doc_id", "toxic")
     few = marked.select(F.xxhash64(F.lit(5), "doc_id").alias("h"), "doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy("h", "doc_id").limit(limit)
-    return docs.select("doc_id", "text").join(few, "doc_id").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"), "toxic")
+    # ids and labels of the sample are broadcast, as the sample's bound is theirs; texts aren't shuffled
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"), "toxic")
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +113,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    rows = sample(docs, labels)
+    rows = written(sample(docs, labels), "sample")
     totals = rows.groupBy().agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") != 1).alias("o")).first()
     t, o = totals["t"], totals["o"]
     if not t or not o:
