@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import shingles
 from .components import labels
@@ -312,3 +313,30 @@ def joined(docs: DataFrame) -> DataFrame:
     ids = written(named.join(least, "part").select(F.col("class").alias("c"), "component"), "components")
     out = table.join(ids, F.col("class") == F.col("c"), "left")
     return out.select("doc_id", "n_shingles", "class", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near duplicates, all columns as they were: of each component the document of smallest id stays, once.
+
+    Rows without shingles all stay; a row without an id stays unless it is linked with one that has an id.
+    """
+    texts = docs.select("doc_id", "text")
+    place = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    told = joined(texts).where((F.col("n_shingles") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # what goes is named by id and class; the class is found again from the text, so rows of equal id and other text aren't meant
+    gone = written(told.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("__d"), F.col("class").alias("__c")).distinct(), "gone")
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), place.alias("__d"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("__raw"))
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raws = batch.column(2).to_pylist()
+            for low, high in shingles.batches_of(raws):
+                values, bounds = shingles.shingle_sets(raws[low:high])
+                part = batch.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _ids(*_signed(values, bounds)), pa.array(np.diff(bounds), pa.int64())], ["__row", "__d", "__c", "__n"])
+
+    kind = T.StructType([rows.schema["__row"], T.StructField("__d", T.LongType()), T.StructField("__c", T.BinaryType()), T.StructField("__n", T.LongType())])
+    left = rows.mapInArrow(classed, kind).join(gone, ["__d", "__c"], "left_anti")
+    salt = F.when(F.col("__n") == 0, F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("long"))
+    single = left.withColumn("__salt", salt).dropDuplicates(["__d", "__c", "__salt"])
+    return single.select(*[F.col("__row")[c].alias(c) for c in docs.columns])

@@ -99,7 +99,7 @@ def measures(docs: DataFrame, keep: list[Column]) -> DataFrame:
     no_white = F.replace(_spaced(t), F.lit(" "), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "")
     counted = staged.select(
-        *[c for c in docs.sparkSession.createDataFrame([], staged.schema).columns if c not in ("__t", "__w")],
+        *[c for c in staged.columns if c not in ("__t", "__w")],
         F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.length(no_white).cast("long").alias("word_chars"),
@@ -193,3 +193,12 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: floa
     """doc_id, stratum, m, base_failed, kept for every document. Texts are measured once; only counts are written."""
     measured = written(measures(docs, [F.col("doc_id"), F.col(stratum).alias("stratum")]), "measures")
     return judged(measured, cutoffs(measured, labels, alpha, delta))
+
+
+def passed(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
+    """The rows of ``docs`` that are kept, all columns as they were. Rows travel with their counts in one written table, so texts are neither measured twice nor shuffled."""
+    keep = [F.struct(*docs.columns).alias("__row"), F.col("doc_id"), F.col(stratum).alias("stratum")]
+    measured = written(measures(docs, keep), "measured")
+    small = measured.select("doc_id", "stratum", "m")
+    told = judged(measured, written(cutoffs(small, labels, alpha, delta).coalesce(1), "cutoffs"))
+    return told.where("kept").select(*[F.col("__row")[c].alias(c) for c in docs.columns])
