@@ -48,7 +48,7 @@ def _kept_powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 #: Bytes that are hashed at once: some ten arrays of 8 bytes a byte are held meanwhile.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 20
 
 
 def batches_of(texts: list[bytes]):

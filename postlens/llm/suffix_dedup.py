@@ -39,7 +39,9 @@ SPAN = LENGTH - ANCHOR + 1
 BEFORE = SPAN - 1
 KEY = BEFORE + LENGTH
 #: Anchors for a fragment's task, anchors that a block gathers, suffixes in a sorted run, suffixes for a range's task, documents in the sample.
-FRAGMENT, BLOCK, RUN, RANGE, SAMPLED = 2_000_000, 1_000_000, 200_000, 150_000, 2_000
+FRAGMENT, BLOCK, RUN, RANGE, SAMPLED = 2_000_000, 1_000_000, 80_000, 150_000, 2_000
+#: Suffixes whose bytes are gathered at once.
+SLICE = 4_096
 
 
 def _raw(docs: DataFrame) -> DataFrame:
@@ -134,12 +136,15 @@ def _repeated(table: pa.Table) -> pa.Table:
 def contexts(joined: np.ndarray, begin: np.ndarray, size: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys (rows of KEY bytes, padded with 0), bytes before and bytes from the anchor on, of anchors at ``place`` in texts that begin at ``begin`` of ``joined``."""
     left, right = np.minimum(BEFORE, place), np.minimum(LENGTH, size - place)
-    j = np.arange(KEY)
-    inside = j[None, :] < right[:, None]
-    back = j[None, :] - right[:, None]
-    at = np.where(inside, j[None, :], -1 - back) + (begin + place)[:, None]
-    keys = joined[np.clip(at, 0, max(len(joined) - 1, 0))]
-    keys[j[None, :] >= (left + right)[:, None]] = 0
+    keys = np.zeros((len(place), KEY), np.uint8)
+    j = np.arange(KEY, dtype=np.int32)[None, :]
+    for low in range(0, len(place), SLICE):
+        part = slice(low, low + SLICE)
+        r = right[part].astype(np.int32)[:, None]
+        at = np.where(j < r, j, r - 1 - j) + (begin[part] + place[part])[:, None]
+        found = joined[np.clip(at, 0, max(len(joined) - 1, 0))]
+        found[j >= (left + right)[part][:, None]] = 0
+        keys[part] = found
     return keys, left, right
 
 
@@ -150,8 +155,8 @@ def front_coded(keys: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.n
         differ = keys[1:] != keys[:-1]
         prefix[1:] = np.where(differ.any(1), differ.argmax(1), KEY)
         prefix[1:] = np.minimum(prefix[1:], np.minimum(lengths[1:], lengths[:-1]))
-    j = np.arange(KEY)[None, :]
-    return prefix.astype(np.uint8), keys[(j >= prefix[:, None]) & (j < lengths[:, None])]
+    j = np.arange(KEY, dtype=np.int16)[None, :]
+    return prefix.astype(np.uint8), keys[(j >= prefix[:, None].astype(np.int16)) & (j < lengths[:, None].astype(np.int16))]
 
 
 def _runs(splits: list[bytes]):
@@ -358,7 +363,7 @@ def _spans(table: pa.Table) -> pa.Table:
     edges = np.flatnonzero(np.concatenate(([True], group[open_][1:] != group[open_][:-1], [True]))) if len(open_) else np.zeros(1, np.int64)
     low = 0
     while low < len(open_):
-        high = int(edges[min(np.searchsorted(edges, low + 20_000), len(edges) - 1)])
+        high = int(edges[min(np.searchsorted(edges, low + 8_000), len(edges) - 1)])
         some = open_[low:high]
         some = some[np.lexsort((place[some], h[some], doc[some]))]
         keys = np.frombuffer(b"".join([flat[i].ljust(KEY, b"\0") for i in order[some].tolist()]), np.uint8).reshape(-1, KEY)
