@@ -9,9 +9,9 @@ Texts become sets of 64-bit hashes of their five-word shingles; texts of equal s
    n - ceil(t * n) + 1 shingles of each; unshared ones come first of all, so what remains of that prefix is short. Classes that meet in a prefix are candidates.
 3. The global order is cut into vertical fragments. A candidate pair's overlap is counted in each fragment by itself and summed per pair; the sum decides.
 
-Only components are asked for, so not all pairs of a group are made: first each prefix group is a star around one class; then, with the components
-of those links, only pairs that lie in different components are compared. No link between different components is missed; what is left out would join
-classes that are joined already. A class's copies are never paired with each other.
+Only components are asked for, so not all pairs of a group are made: first each prefix group is a star around its smallest class. Then, with the components
+of those links, members of one star that lie in different components are held against each other by parity sketches, and the pairs which these can't rule out are
+counted. No link between different components is missed; what is left out would join classes that are joined already. A class's copies are never paired with each other.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing; a text of fewer than five words is one shingle; equal rows are of one
 class; a null id takes part, though it is nobody's component id; extra columns are ignored; an empty table gives an empty result. Sizes of tasks follow counts taken from the data.
@@ -24,16 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import shingles
 from .components import labels
+from .quality_rules import let
 from .storage import forget, written
 
 #: Similarity in hundredths, shingles for each fragment's task, shingles that a block gathers, ranges in each of the count classes of the order.
 PERCENT, FRAGMENT, BLOCK, RANGES, CLASSES = 75, 4_000_000, 2_000_000, 2, 4
+#: Words of 64 bits in a sketch; members of a star that one task compares with each other.
+SKETCH, MEMBERS = 16, 4_096
 _LOW = np.uint64((1 << 40) - 1)
 _SECOND = np.uint64(0x5851F42D4C957F2D)
 
@@ -214,17 +217,22 @@ def _survivors(table: pa.Table) -> pa.Table:
     at = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, np.int64)
     own, ends = owner[at], np.append(at, len(owner)).astype(np.int32)
     lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, kind))
-    return pa.table({"class": _ids(c1[own], c2[own]), "n": pa.array(n[own], pa.int64()), "shingles": lists(tokens.astype(np.int64), pa.int64()), "lots": lists(lot, pa.int32())})
+    sketches = np.zeros((len(own), SKETCH), np.uint64)
+    hashed = shingles.mix(tokens)
+    row = np.repeat(np.arange(len(own)), np.diff(ends))
+    np.bitwise_xor.at(sketches, (row, (hashed >> np.uint64(6)).astype(np.int64) % SKETCH), np.uint64(1) << (hashed & np.uint64(63)))
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * SKETCH, pa.int32()), pa.array(sketches.reshape(-1).view(np.int64)))
+    return pa.table({"class": _ids(c1[own], c2[own]), "n": pa.array(n[own], pa.int64()), "m": pa.array(np.diff(ends), pa.int64()), "sketch": flat, "shingles": lists(tokens.astype(np.int64), pa.int64()), "lots": lists(lot, pa.int32())})
 
 
 def survivors(docs: DataFrame, total: int) -> DataFrame:
-    """class, n, shingles, lots: what can have a partner."""
+    """class, n, m (shared shingles), sketch (parity of the shared shingles' hashes in 1024 bits), shingles, lots: what can have a partner."""
     count = max(16, -(-total // FRAGMENT))
     spark = docs.sparkSession
     parts = max(count, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = _raw(docs).mapInArrow(_fragments(count), "fragment int, block binary").repartition(parts, "fragment")
     shared = blocks.groupBy("fragment").applyInArrow(_shared(count), "bucket int, block binary")
-    return written(shared.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_survivors, "class binary, n long, shingles array<long>, lots array<int>"), "survivors")
+    return written(shared.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_survivors, "class binary, n long, m long, sketch array<long>, shingles array<long>, lots array<int>"), "survivors")
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,28 +253,68 @@ def _close(a: str, b: str):
 
 
 def _stars(postings: DataFrame) -> DataFrame:
-    """Each prefix group as a star around its smallest class."""
-    hubs = postings.groupBy("shingle").agg(F.min(F.struct("class", "n")).alias("hub"), F.count(F.lit(1)).alias("of")).where("of > 1").select(F.col("shingle").alias("s"), F.col("hub.class").alias("a"), F.col("hub.n").alias("an"))
-    met = postings.join(hubs, F.col("shingle") == F.col("s")).where((F.col("class") > F.col("a")) & _close("n", "an"))
-    return met.select("a", "an", F.col("class").alias("b"), F.col("n").alias("bn")).distinct()
-
-
-def _across(postings: DataFrame) -> DataFrame:
-    """Pairs of a prefix group that lie in different components. Groups of one component are dropped first."""
-    mixed = postings.groupBy("shingle").agg((F.min("part") != F.max("part")).alias("mixed")).where("mixed").select(F.col("shingle").alias("s"))
-    left = postings.join(mixed, F.col("shingle") == F.col("s"), "left_semi")
-    a = left.select(F.col("shingle").alias("s"), F.col("class").alias("a"), F.col("n").alias("an"), F.col("part").alias("ap"))
-    met = a.join(left, (F.col("s") == F.col("shingle")) & (F.col("class") > F.col("a")) & (F.col("part") != F.col("ap")) & _close("n", "an"))
-    return met.select("a", "an", F.col("class").alias("b"), F.col("n").alias("bn")).distinct()
-
-
-def _linked(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose overlap, counted fragment by fragment and summed, is enough."""
-    one = pairs.join(segments.select(F.col("class").alias("a"), "v", F.col("part").alias("x")), "a")
-    other = segments.select(F.col("class").alias("b"), F.col("v").alias("w"), F.col("part").alias("y"))
-    partial = one.join(other, (one["b"] == other["b"]) & (F.col("v") == F.col("w"))).select("a", one["b"], "an", "bn", F.size(F.array_intersect("x", "y")).alias("common"))
-    summed = partial.groupBy("a", "b", "an", "bn").agg(F.sum("common").alias("common"))
-    return summed.where(100 * F.col("common") >= PERCENT * (F.col("an") + F.col("bn") - F.col("common"))).select("a", "b")
+    """(a, b): each prefix group as a star around its smallest class, whatever the sizes: who isn't like the middle may be like another member."""
+    hubs = postings.groupBy("shingle").agg(F.min("class").alias("a"), F.count(F.lit(1)).alias("of")).where("of > 1").select(F.col("shingle").alias("s"), "a")
+    met = postings.join(hubs, F.col("shingle") == F.col("s")).where(F.col("class") > F.col("a"))
+    return met.select("a", F.col("class").alias("b")).distinct()
+
+
+def _may_link(an: Column, am: Column, a: Column, bn: Column, bm: Column, b: Column) -> Column:
+    """False only if the sketches prove too small an overlap: two parities differ in no more bits than the sets differ in shingles."""
+    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    most = F.floor((am + bm - apart) / 2)
+    return 100 * most >= PERCENT * (an + bn - most)
+
+
+def _across(table: pa.Table) -> pa.Table:
+    """Of two blocks of a star's members: the pairs in different components that the sketches don't rule out."""
+    table = table.combine_chunks()
+    ids, parts = table.column("class").to_pylist(), table.column("part").to_pylist()
+    n, m, block = (table.column(c).to_numpy() for c in ("n", "m", "block"))
+    low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+    sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)
+    _, part = np.unique(np.frombuffer(b"".join(parts), ">u8").reshape(-1, 2), axis=0, return_inverse=True)
+    part = part.reshape(-1)
+    largest = np.bincount(part).argmax()
+    left: list[bytes] = []
+    right: list[bytes] = []
+    # those of the largest component needn't be told from each other, so each other one is held against all
+    for i in np.flatnonzero(part != largest).tolist():
+        other = (part != part[i]) & ((part == largest) | (np.arange(len(part)) > i))
+        if low != high:
+            other &= block != block[i]
+        j = np.flatnonzero(other & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
+        apart = np.bitwise_count(sketch[j] ^ sketch[i]).sum(1, dtype=np.int64)
+        most = (m[j] + m[i] - apart) // 2
+        for k in j[100 * most >= PERCENT * (n[j] + n[i] - most)].tolist():
+            left.append(min(ids[i], ids[k]))
+            right.append(max(ids[i], ids[k]))
+    return pa.table({"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())})
+
+
+def _open_pairs(stars: DataFrame, named: DataFrame) -> DataFrame:
+    """Pairs of members of one star that lie in different components. Any two classes that meet in a prefix are members of that group's star.
+
+    Stars of one component are dropped first. A star of more than MEMBERS is cut into blocks, and each pair of blocks is a task of its own.
+    """
+    members = stars.select(F.col("a").alias("hub"), F.col("b").alias("class")).unionByName(stars.select(F.col("a").alias("hub"), F.col("a").alias("class")).distinct())
+    rows = members.join(named, "class")
+    sizes = rows.groupBy("hub").agg(F.count(F.lit(1)).alias("size"), (F.min("part") != F.max("part")).alias("mixed")).where("mixed").select("hub", F.ceil(F.col("size") / MEMBERS).cast("int").alias("blocks"))
+    cut = rows.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = cut.withColumn("o", other).withColumns({"low": F.least("block", "o"), "high": F.greatest("block", "o")})
+    return dealt.select("hub", "low", "high", "block", "class", "n", "m", "sketch", "part").groupBy("hub", "low", "high").applyInArrow(_across, "a binary, b binary").distinct()
+
+
+def _linked(pairs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose overlap is enough. Sketches rule out most others; then the overlap is counted in each vertical fragment by itself and summed."""
+    side = lambda name: kept.select(F.col("class").alias(name), F.col("n").alias(f"{name}n"), F.col("m").alias(f"{name}m"), F.col("sketch").alias(f"{name}s"))
+    likely = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(_close("an", "bn") & _may_link(*(F.col(f"{x}{y}") for x in "ab" for y in "nms")))
+    parts = lambda name: kept.select(F.col("class").alias(name), F.col("fragments").alias(f"{name}f"))
+    met = written(likely.select("a", "b", "an", "bn"), "likely").join(parts("a"), "a").join(parts("b"), "b")
+    partial = F.zip_with("af", "bf", lambda x, y: F.size(F.array_intersect(x, y)))
+    counted = met.select("a", "b", "an", "bn", F.aggregate(partial, F.lit(0), lambda t, x: t + x).alias("common"))
+    return counted.where(100 * F.col("common") >= PERCENT * (F.col("an") + F.col("bn") - F.col("common"))).select("a", "b")
 
 
 def release(df: DataFrame) -> None:
@@ -281,21 +329,19 @@ def class_components(docs: DataFrame, total: int) -> DataFrame:
     release(docs)
     top = float(max(16, -(-total // FRAGMENT))) * float(1 << 40)
     fragment = lambda lot, s: lot * RANGES + F.floor(s.cast("double") / F.lit(top / RANGES)).cast("int")
-    coded = kept.select("class", F.zip_with("lots", "shingles", lambda lot, s: F.struct(fragment(lot, s).alias("v"), s.alias("s"))).alias("z"))
-    cut = coded.select("class", F.explode(F.sequence(F.lit(0), F.lit(CLASSES * RANGES - 1))).alias("v"), "z").select("class", "v", F.transform(F.filter("z", lambda x: x["v"] == F.col("v")), lambda x: x["s"]).alias("part"))
-    segments = written(cut.where(F.size("part") > 0), "segments")
-    blank = kept.select("class", "n", "shingles", F.col("class").alias("part"))
+    coded = F.zip_with("lots", "shingles", lambda lot, x: F.struct(fragment(lot, x).alias("v"), x.alias("s")))
+    cut = let(coded, lambda z: F.transform(F.sequence(F.lit(0), F.lit(CLASSES * RANGES - 1)), lambda v: F.transform(F.filter(z, lambda x: x["v"] == v), lambda x: x["s"])))
+    table = written(kept.select("class", "n", "m", "sketch", cut.alias("fragments")), "fragments")
     kind = "shingle long, class binary, n long, part binary"
-    tried = written(_stars(blank.select("class", "n", "shingles", "part").mapInArrow(_postings, kind)), "pairs")
-    links = written(_linked(tried, segments), "links")
+    stars = written(_stars(kept.select("class", "n", "shingles", F.col("class").alias("part")).mapInArrow(_postings, kind)), "stars")
+    release(docs)
+    links = written(_linked(stars, table), "links")
     parts = labels(links)
-    named = kept.join(parts, kept["class"] == parts["id"], "left").select("class", "n", "shingles", F.coalesce("label", "class").alias("part"))
-    postings = written(named.mapInArrow(_postings, kind), "postings")
-    fresh = _across(postings).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    more = written(links.unionByName(_linked(written(fresh, "pairs"), segments)), "links")
-    found = labels(more)
-    for table in (kept, segments, postings):
-        forget(table)
+    named = written(table.join(parts, table["class"] == parts["id"], "left").select("class", "n", "m", "sketch", F.coalesce("label", "class").alias("part")), "named")
+    fresh = written(_open_pairs(stars, named).join(stars.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    found = labels(written(links.unionByName(_linked(fresh, table)), "links"))
+    for done in (kept, table, stars, named):
+        forget(done)
     return found.select(F.col("id").alias("class"), F.col("label").alias("part"))
 
 
