@@ -1,28 +1,32 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code of 64 bits has four segments of 16. Equal codes are kept once, with only as many of their smallest ids as
-any answer can hold. In round r each open query looks up, in each segment's index, the keys at distance exactly r from its own;
-after it, every code within 4 * (r + 1) - 1 has been met. A query is closed when its kth verified distance is within that
-radius, so ties at the kth place are settled too; the others go on to round r + 1, at most to 16, where all codes are covered.
-A code met through several segments is verified once: only in the segment where it is nearest (the first of these).
-
-Lookups are equi-joins on (segment, key); their number follows the queries and the radius, not the square of the table.
-Results are ordered by distance, then id; a query's own id isn't among its answers. Defined cases: rows with a null id or vector, and null or
-NaN components (bit 0) are allowed: a null vector has code 0; a null id is no row of the index and no query; repeated ids count once for each distinct code; an empty
+A code of 64 bits has four segments of 16, each with a table from its values to codes. In round r a query looks up, in each table, the values at
+distance exactly r from its own; after it, every code within 4 * (r + 1) - 1 has been met. A query is closed when its kth verified distance is within that
+radius, so ties at the kth place are settled too; the others go on to round r + 1. A code met through several segments is verified once: in the segment where
+it is nearest (the first of these). Where a round would look up more values than there are codes, all codes are verified instead, which covers every radius.
+
+Equal codes are kept once, with only as many of their smallest ids as any answer can hold. Codes are cut into shards by hash and queries into
+blocks; each (shard, block) is a task with its own tables, and the shards' answers of a query are merged. Sizes of shards and blocks are fixed, so tasks don't grow.
+Results are ordered by distance, then id; a query's own id isn't among its answers. Defined cases: a null vector has code 0, null or
+NaN components have bit 0; a null id is no row of the index and no query; repeated ids count once for each distinct code; an empty
 table gives an empty result; a table of fewer rows than k gives all there are.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .storage import written
 
+#: Codes of a shard, queries of a block, lookups at once.
+SHARD, BLOCK, LOOKUPS = 32_768, 2_048, 1 << 20
 SEGMENTS, WIDTH = 4, 16
 
 
@@ -32,48 +36,84 @@ def sign_code(vector: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
 
 
-def _segment(code: Column, i: int) -> Column:
-    return F.shiftrightunsigned(code, WIDTH * i).bitwiseAND(F.lit((1 << WIDTH) - 1).cast("long")).cast("int")
+@lru_cache(maxsize=WIDTH + 1)
+def _masks(radius: int) -> np.ndarray:
+    """All 16-bit masks with ``radius`` bits: 12 870 at most."""
+    return np.array([sum(1 << b for b in c) for c in combinations(range(WIDTH), radius)], np.int64)
 
 
-def _masks(spark, radius: int) -> DataFrame:
-    """All 16-bit masks with ``radius`` bits: 12 870 at most."""
-    return spark.createDataFrame([(reduce(lambda m, b: m | 1 << b, c, 0),) for c in combinations(range(WIDTH), radius)], "mask int")
+def nearest(codes: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, code number, distance): for each query at least all codes up to its kth distance, each once."""
+    cut = lambda x: np.stack([(x >> np.uint64(WIDTH * s) & np.uint64((1 << WIDTH) - 1)).astype(np.int64) for s in range(SEGMENTS)])
+    parts, own = cut(codes), cut(queries)
+    orders = [np.argsort(p, kind="stable") for p in parts]
+    starts = [np.searchsorted(p[o], np.arange((1 << WIDTH) + 1)) for p, o in zip(parts, orders, strict=True)]
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    open_ = np.arange(len(queries))
+    within = np.zeros((len(queries), 64 + 1), np.int64)  # codes of each query by distance
+    for radius in range(WIDTH + 1):
+        if not len(open_):
+            break
+        masks = _masks(radius)
+        everything = SEGMENTS * len(masks) > len(codes)
+        step = max(1, LOOKUPS // max(len(codes) if everything else len(masks), 1))
+        for low in range(0, len(open_), step):
+            some = open_[low : low + step]
+            for s in range(1 if everything else SEGMENTS):
+                if everything:
+                    q, c = np.repeat(some, len(codes)), np.tile(np.arange(len(codes)), len(some))
+                else:
+                    keys = (own[s][some][:, None] ^ masks[None, :]).reshape(-1)
+                    first, many = starts[s][keys], starts[s][keys + 1] - starts[s][keys]
+                    q = np.repeat(np.repeat(some, len(masks)), many)
+                    c = orders[s][np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())]
+                apart = [np.bitwise_count(parts[t][c] ^ own[t][q]) for t in range(SEGMENTS)]
+                # met before, or to be met: nearer in another segment, or as near in an earlier one
+                new = np.ones(len(q), bool)
+                for t in range(SEGMENTS):
+                    new &= apart[t] >= radius if everything or t >= s else apart[t] > radius
+                q, c, d = q[new], c[new], sum(a[new].astype(np.int64) for a in apart)
+                found.append((q, c, d))
+                np.add.at(within, (q, d), 1)
+        if everything:
+            break
+        open_ = open_[within[open_, : SEGMENTS * (radius + 1)].sum(1) < k]
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
+
+
+def _searched(k: int):
+    def run(index: pa.Table, queries: pa.Table) -> pa.Table:
+        codes, asked = (t.column(n).to_numpy().view(np.uint64) for t, n in ((index, "code"), (queries, "q")))
+        least = index.column("least").to_numpy()
+        q, c, d = nearest(codes, asked, k)
+        order = np.lexsort((least[c], d, q))
+        q, c, d = q[order], c[order], d[order]
+        start = np.searchsorted(q, q, side="left")
+        keep = np.arange(len(q)) - start < k
+        return pa.table({"q": pa.array(asked[q[keep]].view(np.int64)), "code": pa.array(codes[c[keep]].view(np.int64)), "distance": pa.array(d[keep])})
+
+    return run
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, id, distance. ``rows`` and ``queries`` have id and code."""
-    spark = rows.sparkSession
     rows = rows.where("id IS NOT NULL AND code IS NOT NULL").select("id", "code").distinct()
     queries = queries.where("id IS NOT NULL AND code IS NOT NULL").select(F.col("id").alias("query_id"), F.col("code").alias("q")).distinct()
     # of equal codes the k + 1 smallest ids can be in an answer (one more, as a query leaves itself out)
     few = rows.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("id"))).where(F.col("n") <= k + 1)
-    codes = written(few.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "codes")
-    index = codes.select("code", F.posexplode(F.array(*[_segment(F.col("code"), i) for i in range(SEGMENTS)])).alias("segment", "key"))
-    open_ = written(queries.select("q").distinct(), "open")
-    closed: list[DataFrame] = []
-    best: DataFrame | None = None
-    for radius in range(WIDTH + 1):
-        probes = open_.select("q", F.posexplode(F.array(*[_segment(F.col("q"), i) for i in range(SEGMENTS)])).alias("segment", "own"))
-        probes = probes.join(F.broadcast(_masks(spark, radius))).select("q", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("key"))
-        met = index.join(probes, ["segment", "key"])
-        apart = [F.bit_count(_segment(F.col("code"), i).bitwiseXOR(_segment(F.col("q"), i))) for i in range(SEGMENTS)]
-        first = reduce(lambda ok, i: ok & F.when(F.col("segment") > i, apart[i] > radius).otherwise(apart[i] >= radius), range(SEGMENTS), F.lit(True))
-        found = met.where(first).select("q", "code", F.bit_count(F.col("code").bitwiseXOR(F.col("q"))).alias("distance"))
-        place = Window.partitionBy("q").orderBy("distance", "id")
-        # no answer holds more than k + 1 codes, so codes are cut to that before their ids are fetched
-        near = found.withColumn("c", F.row_number().over(Window.partitionBy("q").orderBy("distance", "code")))
-        within = found.join(near.where(F.col("c") == k + 1).select("q", F.col("distance").alias("most")), "q", "left").where(F.col("most").isNull() | (F.col("distance") <= F.col("most"))).drop("most")
-        fresh = within.join(codes, "code").select("q", "distance", F.explode("ids").alias("id"))
-        state = fresh if best is None else best.unionByName(fresh)
-        best = written(state.withColumn("n", F.row_number().over(place)).where(F.col("n") <= k + 1).drop("n"), "best")
-        done = best.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("kth")).where((F.col("n") == k + 1) & (F.col("kth") <= SEGMENTS * (radius + 1) - 1)).select("q")
-        closed.append(best.join(done, "q", "left_semi") if radius < WIDTH else best)
-        open_ = written(open_.join(done, "q", "left_anti"), "open")
-        best = best.join(open_, "q", "left_semi")
-        if open_.isEmpty():
-            break
-    answers = reduce(DataFrame.unionByName, closed)
-    pairs = queries.join(answers, "q").where(F.col("id") != F.col("query_id"))
+    codes = written(few.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.min("id").alias("least")), "codes")
+    asked = written(queries.select("q").distinct(), "asked")
+    shards, blocks = max(1, -(-codes.count() // SHARD)), max(1, -(-asked.count() // BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    index = codes.select("code", "least", F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"))
+    dealt = asked.select("q", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("block"), every(shards).alias("shard"))
+    near = index.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInArrow(_searched(k + 1), "q long, code long, distance long")
+    best = near.join(codes.select("code", "least"), "code").withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("distance", "least"))).where(F.col("n") <= k + 1)
+    each = best.select("q", "code", "distance").join(codes.select("code", "ids"), "code").select("q", "distance", F.explode("ids").alias("id"))
+    # k + 1 ids a code of the query before they meet the queries of that code
+    short = each.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))).where(F.col("n") <= k + 1).drop("n")
+    pairs = queries.join(short, "q").where(F.col("id") != F.col("query_id"))
     ranked = pairs.groupBy("query_id", "id").agg(F.min("distance").alias("distance")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
