@@ -17,9 +17,17 @@ def words(text: Column) -> Column:
 
 
 def grams(text: Column, longest: int = 3) -> Column:
-    w = words(text)
-    sizes = [F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i, n=n: F.array_join(F.slice(w, i + 1, n), " ")) for n in range(1, longest + 1)]
-    return F.array_distinct(F.filter(F.concat(*sizes), lambda x: x != ""))
+    """Distinct runs of 1 to ``longest`` words. The words are bound once; written out in the inner function they would be split again for each place."""
+
+    def runs(w: Column, n: int) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.concat_ws(" ", *[F.get(w, i + k - 1) for k in range(n)]))
+        return F.when(F.size(w) >= n, made).otherwise(F.array().cast("array<string>"))
+
+    def of(w: Column) -> Column:
+        sizes = [runs(w, n) for n in range(1, longest + 1)]
+        return F.array_distinct(F.concat(*sizes))
+
+    return F.get(F.transform(F.array(words(text)), of), F.lit(0))
 
 
 def token_matches(docs: DataFrame, key: list[str], text: str, terms: DataFrame, longest: int = 3) -> DataFrame:
