@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def unicode_pattern(pattern: str, ignore_case: bool = True) -> str:
@@ -76,17 +77,17 @@ def html_text(c: Column) -> Column:
     for name, char in ENTITIES:
         c = F.replace(c, F.lit(name), F.lit(char))
     c = F.regexp_replace(F.regexp_replace(c, r"[ \t\r]+", " "), r" ?\n ?", "\n")
-    return F.trim(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+    return F.btrim(F.regexp_replace(c, r"\n{3,}", "\n\n"), F.lit(" \n"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescaped(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """All named and numbered entities; there is no built-in for them."""
     for s in texts:
         yield s.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Composed Unicode form; there is no built-in for it. Plain ASCII passes at once."""
     for s in texts:

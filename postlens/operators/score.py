@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import unicode_pattern
 
@@ -46,7 +47,7 @@ def rank_of(level: Column) -> Column:
     return F.coalesce(F.try_element_at(table, level), F.lit(1))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def required_years(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Years of experience that a text asks for: the first mention up to 20 whose surroundings ask and don't boast. Positions with context are beyond the built-in patterns."""
     import re

@@ -42,7 +42,7 @@ ORACLE: dict[str, str] = {
         c AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)<li[^>]*>', '- ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM b),
         d AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&amp;', '&') AS t FROM c),
         e AS (SELECT page_id, regexp_replace(regexp_replace(t, '[ \t\r]+', ' ', 'g'), ' ?\n ?', chr(10), 'g') AS t FROM d)
-        SELECT page_id, trim(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), ' ') AS text FROM e""",
+        SELECT page_id, trim(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text FROM e""",
     "url_slug": r"""
         SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host,
             replace(trim(regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+/([^?#]*)', 1), '[/._-]', ' ', 'g')), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')), ' ', '+') AS slug FROM pages""",
