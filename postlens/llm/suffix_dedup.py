@@ -183,7 +183,7 @@ def _runs(splits: list[bytes]):
         for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             prefix, rest = front_coded(keys[low:high], (left + right)[low:high])
             own, number = np.unique(owner[low:high], return_inverse=True)
-            rows.append((int(part[low]), _packed(np.array(docs, np.int64)[own], np.array(hs, np.int64)[own], number.astype(np.uint32), place[low:high].astype(np.uint32), left[low:high].astype(np.uint8), right[low:high].astype(np.uint8), prefix, rest)))
+            rows.append((int(part[low]), _squeezed(_packed(np.array(docs, np.int64)[own], np.array(hs, np.int64)[own], number.astype(np.uint32), place[low:high].astype(np.uint32), left[low:high].astype(np.uint8), right[low:high].astype(np.uint8), prefix, rest))))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,6 +204,15 @@ def _runs(splits: list[bytes]):
     return run
 
 
+def _squeezed(block: bytes) -> bytes:
+    """Length and compressed bytes: suffixes of text take about half, which the exchange of runs is mostly made of."""
+    return len(block).to_bytes(8, "little") + pa.compress(block, codec="zstd", asbytes=True)
+
+
+def _opened(block: bytes) -> bytes:
+    return pa.decompress(block[8:], decompressed_size=int.from_bytes(block[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _expanded(prefix: list[int], lengths: list[int], rest: bytes) -> list[bytes]:
     out, at, last = [], 0, b""
     for p, n in zip(prefix, lengths, strict=True):
@@ -333,7 +342,7 @@ def covered(keys: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.nda
 def _spans(table: pa.Table) -> pa.Table:
     """doc, h, starts, ends of what repeats, of one range of suffixes."""
     kinds = (np.int64, np.int64, np.uint32, np.uint32, np.uint8, np.uint8, np.uint8, np.uint8)
-    blocks = [_unpacked(x, *kinds) for x in table.column("block").to_pylist()]
+    blocks = [_unpacked(_opened(x), *kinds) for x in table.column("block").to_pylist()]
     runs, docs, hs, places, lefts, rights = [], [], [], [], [], []
     for d, h, number, place, left, right, prefix, rest in blocks:
         runs.append((_expanded(prefix.tolist(), (left.astype(np.int64) + right).tolist(), rest.tobytes()), prefix.tolist()))
