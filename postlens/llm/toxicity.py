@@ -121,7 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     counts = rows.mapInArrow(_counted, "token binary, toxic long, other long").groupBy("token").agg(F.sum("toxic").alias("x"), F.sum("other").alias("y"))
     share = (F.col("x") + F.col("y")) / F.lit(float(t + o))
     prior = PRIOR * share
-    odds = lambda a, n: F.ln((a + prior) / (F.lit(n + PRIOR) - a - prior))
+    # a token that stands in every text leaves nothing to compare with; half a text keeps its odds finite
+    odds = lambda a, n: F.ln((a + prior) / F.greatest(F.lit(n + PRIOR) - a - prior, F.lit(0.5)))
     ratio = odds(F.col("x"), t) - odds(F.col("y"), o)
     deviation = F.sqrt(1 / (F.col("x") + prior) + 1 / (F.col("y") + prior))
     # a token must be in 3 toxic texts at least; what is left is small next to the sample
