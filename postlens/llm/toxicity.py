@@ -1,7 +1,8 @@
 """Toxicity by maximum-scoring segments.
 
 Token weights are log-odds ratios between toxic and other labelled texts, each with a Dirichlet prior in proportion to
-the tokens' counts over both, divided by their standard deviation to tell chance from habit: only tokens whose ratio is significant
+the tokens' counts over both. A likelihood-ratio test of the texts with a token against those without it tells chance from habit (without the prior,
+so that a token never seen in other texts needs no more toxic ones the larger the sample is): only tokens that it finds significant
 keep a positive weight, every other token costs a little. A linear scan over a text's weights finds all maximal
 scoring segments (the disjoint ones that no extension or merger improves). How high the best segment of a text without toxicity goes is an
 extreme value: it is calibrated by a Gumbel law, fitted to the best segments of the other labelled texts with their length in
@@ -28,7 +29,7 @@ from .storage import written
 
 #: Bound on labelled rows of the fit, and on tokens kept: a token must be significant, see Z.
 SAMPLE = 200_000
-#: Standard deviations that a token's log-odds must lie above 0, and pseudo-counts of the prior in all.
+#: Signed root of the likelihood ratio that a token must pass (standard deviations), and pseudo-counts of the prior in all.
 Z, PRIOR = 4.0, 500.0
 #: Cost of a token without a weight: as many neutral words outweigh a toxic one as stand between separate remarks.
 DRIFT = 0.05
@@ -124,9 +125,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     # a token that stands in every text leaves nothing to compare with; half a text keeps its odds finite
     odds = lambda a, n: F.ln((a + prior) / F.greatest(F.lit(n + PRIOR) - a - prior, F.lit(0.5)))
     ratio = odds(F.col("x"), t) - odds(F.col("y"), o)
-    deviation = F.sqrt(1 / (F.col("x") + prior) + 1 / (F.col("y") + prior))
+    # G of the four cells, each count against what the margins alone lead one to expect; a cell of 0 adds nothing
+    cells = [(F.col(c) if has else F.lit(n) - F.col(c), (share if has else 1 - share) * n) for c, n in (("x", t), ("y", o)) for has in (True, False)]
+    g = 2 * sum((F.when(seen > 0, seen * F.ln(seen / expected)).otherwise(0.0) for seen, expected in cells), F.lit(0.0))
     # a token must be in 3 toxic texts at least; what is left is small next to the sample
-    kept = counts.where("x >= 3").withColumn("w", ratio).where((ratio > 0) & (ratio / deviation > Z)).select("token", "w").toArrow()
+    kept = counts.where("x >= 3").withColumn("w", ratio).where((F.col("x") / t > F.col("y") / o) & (ratio > 0) & (g > Z * Z)).select("token", "w").toArrow()
     weights = {k: float(v) for k, v in zip(kept.column("token").to_pylist(), kept.column("w").to_pylist(), strict=True)}
     first = Model(weights=weights)
 

@@ -184,6 +184,19 @@ def test_toxicity(spark):
     assert toxicity.fit(docs, labels.where("toxic = 0")) == toxicity.Model()
 
 
+def test_toxicity_of_rare_words(spark):
+    """Words of 6 toxic texts and no other among 300 are evidence, words of as many texts of both kinds aren't."""
+    rows = [(i, prose(100 + i, 40) + (f" insult{i // 10 % 5}" if i % 10 == 0 else "") + (f" usual{i // 50}" if i % 7 == 0 else "")) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 10 == 0).cast("int").alias("toxic"))
+    weights = toxicity.fit(docs, labels).weights
+    learnt = {i for i, _ in rows if i % 10 == 0}
+    held = {r.doc_id for r in docs.where(toxicity.held_out()).collect()}
+    counts = {f"insult{k}".encode(): sum(i // 10 % 5 == k for i in learnt - held) for k in range(5)}
+    strong = {w for w, n in counts.items() if n >= 4}
+    assert strong and strong <= set(weights) and not any(w.startswith(b"usual") for w in weights)
+
+
 def test_pii(spark):
     rows = ["+1 (743) 555-3824 and 4111 1111 1111 1111!", "4111111111111111 or 4111111111111112", "a@b.example.com 10.0.0.256 10.0.0.25 2024-02-30 2024-02-29", None, "", "GB82 WEST 1234 5698 7654 32", "078-05-1120 666-05-1120", "a@b.example.com"]
     got = by_id(pii.found(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")))
