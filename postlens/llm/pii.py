@@ -13,6 +13,10 @@ equal values get equal pseudonyms in every document and different ones stay diff
 * date: a real day as yyyy-mm-dd, dd.mm.yyyy or dd/mm/yyyy, permuted within its 400-year cycle.
 * email and secret have no numeric domain: a keyed digest in the same alphabet takes their place.
 
+Cards and IBANs are looked for in whole runs of tokens, so what stands beside one (an expiry date, a code, a currency) doesn't hide it:
+where a run isn't valid as a whole, its parts between separators are tried, IBANs of their country's length first, then the longest, then the
+leftmost; parts that overlap one taken before give way.
+
 Text that only looks like one of these (a number with a wrong check digit, an octet over 255) stays.
 Defined cases: null text stays null with no findings; empty text stays empty; equal rows give
 equal rows; all other columns pass through :func:`pseudonymised` untouched.
@@ -36,11 +40,22 @@ IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 PHONE = r"\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?(?:[ .\-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}([.\-])[0-9]{3}\2[0-9]{4}"
 CARD = r"[0-9](?:[ \-]?[0-9]){12,18}"
+#: No more of the run where another kind begins.
+_OTHER = r"(?!(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![A-Za-z0-9]|[.\-][0-9]))"
+_END = r"(?![A-Za-z0-9]|\.[0-9])"
+#: Runs of whole tokens in which a card or an IBAN may stand; possessive, as Java would else recurse for each token.
+CARD_RUN = rf"(?=[0-9](?:[ \-]?[0-9]){{12}})[0-9]++{_END}(?:(?: {_OTHER}|-)[0-9]++{_END})*+"
+IBAN_RUN = rf"(?=[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2}})[A-Z0-9]++{_END}(?!-[0-9])(?: [A-Z0-9]++{_END}(?!-[0-9]))*+"
 SECRET = r"[0-9a-f]{32,64}|[0-9A-F]{32,64}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,48}"
-PATTERN = rf"(?<![A-Za-z0-9._%+\-])(?:{EMAIL})(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?<![0-9][.\-])(?:{IBAN}|{DATE}|{IP}|{SSN}|{PHONE}|{CARD}|{SECRET})(?![A-Za-z0-9])(?![.\-][0-9])"
+PATTERN = rf"(?<![A-Za-z0-9._%+\-])(?:{EMAIL})(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?<![0-9][.\-])(?:{IBAN_RUN}|{DATE}|{IP}|{SSN}|{PHONE}|{CARD_RUN}|{SECRET})(?![A-Za-z0-9])(?![.\-][0-9])"
 #: A text without these characters holds none of the kinds.
 GATE = r"[0-9@]"
 
+#: Length by country of the IBAN registry.
+_IBAN_SIZES = {size: names.split() for size, names in {15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items()}
+#: Tokens and characters of the longest part of a run: 19 single digits, 34 characters with 8 spaces, a secret of 64.
+_PART, _PART_CHARS = 19, 64
+
 _CYCLE_DAYS, _CYCLE_A, _CYCLE_B = 146097, 189, 773  # days in 400 years, and two factors of that
 
 
@@ -230,13 +245,51 @@ def pseudonym(s: Column, kind: Column, key: str = KEY) -> Column:
     return out
 
 
+def _sized(s: Column) -> Column:
+    """Whether an IBAN has the length of its country."""
+    x = F.replace(s, F.lit(" "), F.lit(""))
+    out = F.lit(False)
+    for size, names in _IBAN_SIZES.items():
+        out = out | ((F.length(x) == size) & F.left(x, F.lit(2)).isin(names))
+    return out
+
+
+def _parts_of_run(h: Column, key: str) -> Column:
+    """array of struct(k, r): a run in pieces, with pseudonyms in place of its valid parts."""
+
+    def body(tokens: Column) -> Column:
+        n = F.size(tokens)
+        text = lambda i, m: F.regexp_replace(F.array_join(F.slice(tokens, i, m), ""), r"[ \-]$", "")
+        part = lambda i, m: F.struct(text(i, m).alias("s"), i.alias("i"), m.alias("m"))
+        all_ = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.filter(F.transform(F.sequence(F.lit(1), F.least(F.lit(_PART), n - i + 1)), lambda m: part(i, m)), lambda p: F.length(p["s"]).between(13, _PART_CHARS) & p["s"].rlike(rf"^(?:{IBAN}|{CARD}|{SECRET})$"))))
+        valid = F.filter(F.transform(all_, lambda p: let(kind_of(p["s"]), lambda k: F.struct(F.when((k == "iban") & _sized(p["s"]), 0).otherwise(1).alias("o"), (-F.length(p["s"])).alias("l"), p["i"].alias("i"), p["m"].alias("m"), p["s"].alias("s"), k.alias("k")))), lambda p: p["k"].isNotNull())
+        none = F.filter(valid, lambda _: F.lit(False))
+        kept = F.aggregate(F.array_sort(valid), none, lambda acc, v: F.when(F.exists(acc, lambda a: (v["i"] < a["i"] + a["m"]) & (a["i"] < v["i"] + v["m"])), acc).otherwise(F.concat(acc, F.array(v))))
+
+        def rebuilt(k: Column) -> Column:
+            tail = lambda i: F.regexp_extract(F.element_at(tokens, i), r"[ \-]?$", 0)
+            holder = lambda i: F.get(F.filter(k, lambda a: (a["i"] <= i) & (i < a["i"] + a["m"])), 0)
+            piece = lambda i, a: F.when(a.isNull(), F.struct(F.lit(None).cast("string").alias("k"), F.element_at(tokens, i).alias("r"))).when(a["i"] == i, F.struct(a["k"].alias("k"), F.concat(F.coalesce(pseudonym(a["s"], a["k"], key), a["s"]), tail((i + a["m"] - 1).cast("int"))).alias("r"))).otherwise(F.struct(F.lit(None).cast("string").alias("k"), F.lit("").alias("r")))
+            return F.transform(F.sequence(F.lit(1), n), lambda i: let(holder(i), lambda a: piece(i, a)))
+
+        return let(kept, rebuilt)
+
+    return let(F.regexp_extract_all(h, F.lit(r"[A-Z0-9]+[ \-]?"), F.lit(0)), body)
+
+
 def treated(text: Column, key: str = KEY) -> Column:
     """struct(text, kinds): the text with pseudonyms, and the kind of each replaced place in order."""
 
+    def hit(h: Column, k: Column) -> Column:
+        """array of struct(k, r): a candidate as one piece, or in pieces where it is a run that isn't valid as a whole."""
+        run = h.rlike(r"^[A-Z0-9]+[ \-][A-Z0-9 \-]+$") & (k.isNull() | ((k == "iban") & ~_sized(h)))
+        whole = F.array(F.struct(k.alias("k"), F.coalesce(pseudonym(h, k, key), h).alias("r")))
+        return F.when(run, _parts_of_run(h, key)).otherwise(whole)
+
     def body(t: Column) -> Column:
-        hits = F.transform(F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)), lambda h: let(F.struct(h.alias("h"), kind_of(h).alias("k")), lambda x: F.struct(x["k"].alias("k"), F.coalesce(pseudonym(x["h"], x["k"], key), x["h"]).alias("r"))))
+        hits = F.transform(F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)), lambda h: let(kind_of(h), lambda k: hit(h, k)))
         parts = F.split(t, PATTERN, -1)
-        joined = let(hits, lambda h: F.struct(F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(h, i)["r"], F.lit("")))), "").alias("text"), F.filter(F.transform(h, lambda x: x["k"]), lambda k: k.isNotNull()).alias("kinds")))
+        joined = let(hits, lambda h: F.struct(F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.array_join(F.transform(F.get(h, i), lambda x: x["r"]), ""), F.lit("")))), "").alias("text"), F.filter(F.transform(F.flatten(h), lambda x: x["k"]), lambda k: k.isNotNull()).alias("kinds")))
         return joined
 
     plain = F.struct(text.alias("text"), F.array().cast("array<string>").alias("kinds"))

@@ -208,6 +208,18 @@ def test_pii(spark):
     assert got[7].text == got[2].text.split()[0]
 
 
+def test_pii_beside_other_tokens(spark):
+    """What stands before or after a card or an IBAN neither hides it nor changes."""
+    card, iban = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    rows = [f"{card}", f"{iban}", f"{card} 12/27", f"{card} 123", f"2 {card}", f"1234 {card} 5678", f"{card}-12345", f"{card} 12 {card} 35", f"{iban} EUR", f"{iban} PLEASE PAY NOW", f"pay {iban} {card} 99 now", f"12345 078-05-1120 and {card} 2024-02-29", "9999 9999 9999 9999 1 2", "7 " * 5000]
+    got = by_id(pii.found(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")))
+    c, i = got[0].text, got[1].text
+    assert c != card and i != iban and got[0].kinds == ["card"] and got[1].kinds == ["iban"]
+    for n in (2, 3, 4, 5, 6, 7, 8, 9, 10):
+        assert got[n].text == rows[n].replace(card, c).replace(iban, i)
+    assert got[7].kinds == ["card", "card"] and got[10].kinds == ["iban", "card"] and got[11].kinds == ["ssn", "card", "date"]
+
+
 def test_feistel_is_a_permutation(spark):
     pairs = spark.range(13 * 7).select(pii.feistel(F.floor(F.col("id") / 7), F.col("id") % 7, F.lit(13), F.lit(7), F.lit("t"), "k").alias("p")).collect()
     assert len({(r.p.a, r.p.b) for r in pairs}) == 13 * 7 and all(r.p.a < 13 and r.p.b < 7 for r in pairs)
