@@ -450,8 +450,8 @@ def spans(docs: DataFrame) -> DataFrame:
     many = again.agg(F.sum(F.size("places"))).first()[0] or 0
     ranges = max(24, -(-many // RANGE))
     splits = _splits(rows, ranges, size["n"])
-    lists = again.groupBy("doc", "h").agg(F.flatten(F.collect_list("places")).alias("places"))
-    # rows of equal id and text are one document, so one of them stands for all
+    lists = again.groupBy("doc", "h").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    # rows of equal id and text are one document, so one of them stands for all, and each place that they posted counts once
     joined = rows.join(lists, ["doc", "h"]).dropDuplicates(["doc", "h"]).select("doc", "h", "raw", "places")
     once = joined.mapInArrow(_runs(splits), "part int, block binary")
     out = written(once.repartition(max(ranges, parts), "part").groupBy("part").applyInArrow(_spans, "doc long, h long, starts array<long>, ends array<long>"), "spans")

@@ -60,6 +60,13 @@ def test_suffix_dedup(docs, none, texts):
     assert suffix_dedup.digests(docs).count() == len(texts) + 2 and suffix_dedup.digests(none).count() == 0
 
 
+def test_suffix_dedup_of_rows_posted_twice(spark):
+    """Rows of equal id and text (null ids too) are one document: text that stands nowhere else stays in them."""
+    own, other = prose(31, 60), prose(32, 60)
+    got = suffix_dedup.digests(spark.createDataFrame([(1, own), (1, own), (None, other), (None, other)], "doc_id long, text string")).collect()
+    assert len(got) == 4 and all(r.n_removed == 0 for r in got)
+
+
 def test_loser_tree_is_a_merge():
     r = random.Random(5)
     runs = []
