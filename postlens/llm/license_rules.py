@@ -168,7 +168,8 @@ proprietary | 50 | may not be copied | may not be copied, (?:modified|reproduced
 proprietary | 50 | confidential | (?:proprietary and confidential|confidential and proprietary)
 proprietary | 45 | end user licen | end user licen[sc]e agreement
 non-commercial | 35 | commercial | for non-?commercial use only
-academic-only | 35 | research | for (?:academic|research) (?:use|purposes) only
+academic-only | 35 | for academic | for academic (?:use|purposes) only
+academic-only | 35 | for research | for research (?:use|purposes) only
 """
 
 

@@ -22,7 +22,7 @@ from .license_rules import rules
 
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: Every rule's keyword or pattern needs one of these.
-GATES = (b"licen", b"copyright", b"permi", b"domain", b"warrant", b"rights reserved", b"redistribution", b"commons", b"cc by", b"cc0", b"cc-by", b"gpl", b"apache", b"bsd", b"mozilla", b"spdx", b"origin of", b"unencumbered", b"boost.org", b"sil.org", b"what the f", b"advertising", b"endorse", b"confidential", b"commercial", b"mit no", b"as is", b"any later", b"restriction", b"beer", b"limitations", b"copied", b"research", b"freebsd", b"historical", b"free software")
+GATES = (b"licen", b"copyright", b"permi", b"domain", b"warrant", b"rights reserved", b"redistribution", b"commons", b"cc by", b"cc0", b"cc-by", b"gpl", b"apache", b"bsd", b"mozilla", b"spdx", b"origin of", b"unencumbered", b"boost.org", b"sil.org", b"what the f", b"advertising", b"endorse", b"confidential", b"commercial", b"mit no", b"as is", b"any later", b"restriction", b"beer", b"limitations", b"copied", b"research", b"academic", b"freebsd", b"historical", b"free software")
 #: Bytes that stand in no word become spaces; capitals are lower-cased.
 _WORDS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"

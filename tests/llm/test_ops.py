@@ -144,6 +144,11 @@ def test_license_scan(spark):
     assert 300 <= len(license_scan.rules())
 
 
+def test_license_of_academic_use():
+    for text in (b"for academic use only", b"for academic purposes only", b"for research use only", b"for research purposes only"):
+        assert license_scan.scanned(text)[5] == "academic-only"
+
+
 def test_quality_counts(docs, none, texts):
     got = by_id(quality_rules.measures(docs, [F.col("doc_id")]))
     for i, t in enumerate(texts):
