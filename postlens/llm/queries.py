@@ -116,4 +116,25 @@ SQL: dict[str, str] = {
             ELSE 'allow' END AS verdict
         FROM ruled
     """,
+    "op10_ngram_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS g FROM words
+        ), each AS (
+            SELECT doc_id, len(g) AS n, unnest(g) AS x FROM sets
+        ), met AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS an, any_value(b.n) AS bn, count(*) AS common
+            FROM each a JOIN each b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+        ), linked AS (
+            SELECT a, b FROM met WHERE 100 * common >= 75 * (an + bn - common)
+        ), either_way AS (
+            SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked
+        ), reach AS (
+            SELECT doc_id, doc_id AS r FROM documents
+            UNION SELECT reach.doc_id, either_way.b FROM reach JOIN either_way ON reach.r = either_way.a
+        )
+        SELECT sets.doc_id, len(g)::BIGINT AS n_shingles, min(r) AS component_id FROM sets JOIN reach ON sets.doc_id = reach.doc_id GROUP BY sets.doc_id, len(g)
+    """,
 }

@@ -6,7 +6,11 @@ odd factors, mixed again. All of it runs in numpy over the joined bytes of a bat
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SIZE = 5
 _rng = np.random.default_rng(20240229)
@@ -47,20 +51,33 @@ def _kept_powers(base: np.uint64, n: int) -> np.ndarray:
     return found[:n]
 
 
-#: Bytes that are hashed at once: some ten arrays of 8 bytes a byte are held meanwhile.
-AT_ONCE = 1 << 20
+#: Bytes that are taken from a batch, and hashed, at once: some ten arrays of 8 bytes a byte are held meanwhile.
+AT_ONCE = 1 << 18
 
 
-def batches_of(texts: list[bytes]):
-    """(first, past last) of runs of texts with about AT_ONCE bytes; a longer text is a run of its own."""
+def slices(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first, past last, texts) of runs of a binary column with about AT_ONCE bytes; a longer text is a run of its own."""
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
     start, size = 0, 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > AT_ONCE:
-            yield start, i
+    for i, more in enumerate(sizes.tolist()):
+        if size and size + more > AT_ONCE:
+            yield start, i, column.slice(start, i - start).to_pylist()
             start, size = i, 0
-        size += len(text) + 1
-    if start < len(texts):
-        yield start, len(texts)
+        size += more + 1
+    if start < len(sizes):
+        yield start, len(sizes), column.slice(start).to_pylist()
+
+
+def _windows(white: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of about AT_ONCE bytes that end at white space, so that no word is cut; a longer word makes its stretch longer."""
+    at = 0
+    while at < len(white):
+        stop = at + AT_ONCE
+        while stop < len(white) and not white[stop]:
+            there = np.flatnonzero(white[stop : stop + AT_ONCE])
+            stop += int(there[0]) if len(there) else AT_ONCE
+        yield at, min(stop, len(white))
+        at = stop
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,16 +85,17 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     joined = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
     ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
     white = _WHITE[joined]
-    starts = np.flatnonzero(~white[1:] & white[:-1]) + 1
-    if len(white) and not white[0]:
-        starts = np.concatenate(([0], starts))
-    stops = np.flatnonzero(white[1:] & ~white[:-1]) + 1
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(joined) + 1, np.uint64)
-        np.cumsum(_BYTE[_LOWER[joined]] * _kept_powers(_ROOT, len(joined)), out=sums[1:])
-        raw = (sums[stops] - sums[starts]) * _kept_powers(_INVERSE, len(joined) + 1)[starts]
-        hashes = mix(raw + (stops - starts).astype(np.uint64))
-    return hashes, np.concatenate(([0], np.searchsorted(starts, ends)))
+    places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for low, high in _windows(white):
+        part, blank = joined[low:high], np.concatenate(([True], white[low:high], [True]))
+        starts, stops = np.flatnonzero(~blank[1:] & blank[:-1]), np.flatnonzero(blank[1:] & ~blank[:-1])
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(_BYTE[_LOWER[part]] * _kept_powers(_ROOT, len(part)), out=sums[1:])
+            raw = (sums[stops] - sums[starts]) * _kept_powers(_INVERSE, len(part) + 1)[starts]
+            hashes.append(mix(raw + (stops - starts).astype(np.uint64)))
+        places.append(starts + low)
+    return np.concatenate(hashes), np.concatenate(([0], np.searchsorted(np.concatenate(places), ends)))
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -5,9 +5,10 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier i
 equal places, and about one position in 35 is one. The steps are:
 
 1. Anchors whose bytes occur once in the corpus are dropped by hash counts (packed blocks, fragment by fragment). What remains are
-   anchors in repeated text.
+   anchors in repeated text. Where a block holds a hash twice or more it is known to repeat, so only one occurrence goes to the fragment.
 2. Each task sorts the suffixes at its anchors, cut where no window reaches further (``LENGTH`` bytes on, then the bytes before the anchor, backwards), and front-codes
-   the runs: a suffix is the length of its common prefix with the one before it and the rest. Runs are exchanged by ranges of
+   the runs: a suffix is the length of its common prefix with the one before it and the rest. Of equal contexts in a run only the earliest is exchanged; the others
+   are repeated as a whole already, so a passage in any share of the corpus is as many rows as there are runs. Runs are exchanged by ranges of
    suffixes, split at anchors taken from a bounded sample of documents (it moves work between tasks, not results).
 3. A range's runs are merged by a loser tree. Each entry carries the length of its common prefix with the last suffix put out; where two
    lengths differ the longer one wins at once, and else comparison goes on behind the known prefix, which is never read again.
@@ -30,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .ngram_join import _cut, _eight, _five, _LOW, _packed, _unpacked, release
+from .ngram_join import _eight, _five, _LOW, _packed, _unpacked
 from .shingles import _BYTE, _INVERSE, _ROOT, _kept_powers, mix, powers
-from .storage import written
+from .storage import in_arrow, written
 
 LENGTH, ANCHOR = 100, 32
 SPAN = LENGTH - ANCHOR + 1
@@ -86,24 +87,46 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner, at - starts[owner], hashes[at]
 
 
+def _by_slot(slot: np.ndarray, owner: np.ndarray, docs: np.ndarray, hs: np.ndarray, *more: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """For each slot a block: id and hash of each document once, how many items it has, and the columns of the items. Items come sorted by owner."""
+    order = np.argsort(slot, kind="stable")
+    slot, owner, more = slot[order], owner[order], [m[order] for m in more]
+    edges = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1], [True]))) if len(slot) else np.zeros(0, np.int64)
+    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        own = owner[low:high]
+        at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        yield int(slot[low]), _packed(docs[own[at]], hs[own[at]], np.diff(np.append(at, high - low)).astype(np.uint32), *[_five(m[low:high]) if m.dtype == np.uint64 else m[low:high] for m in more])
+
+
+def _here(docs: np.ndarray, count: int) -> np.ndarray:
+    """Negative slots, by document, of what is settled where it was found."""
+    return -1 - (mix(docs.view(np.uint64)) % np.uint64(count)).astype(np.int32)
+
+
 def _posted(count: int):
-    """(fragment, block): hashes and places of the anchors of a task's documents."""
+    """(fragment, block): hashes and places of the anchors of a task's documents. A hash that a block holds twice or more is posted once; the places of the others go by document."""
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         sizes = [len(x[0]) for x in held]
         docs, hs = (np.concatenate([x[i] for x in held]) for i in (0, 1))
         shift = np.repeat(np.cumsum(sizes) - sizes, [len(x[2]) for x in held])
-        owner, place, values = np.concatenate([x[2] for x in held]) + shift, np.concatenate([x[3] for x in held]), np.concatenate([x[4] for x in held])
-        rows = [(f, _packed(d, h, k, _five(t), p)) for f, (d, h, k, t, p) in _cut((values % np.uint64(count)).astype(np.int32), owner, values // np.uint64(count) & _LOW, [docs, hs], [place.astype(np.uint32)])]
+        owner, place, values = np.concatenate([x[2] for x in held]) + shift, np.concatenate([x[3] for x in held]).astype(np.uint32), np.concatenate([x[4] for x in held])
+        order = np.argsort(values)
+        ordered = values[order]
+        same = np.concatenate(([False], ordered[1:] == ordered[:-1], [False]))
+        again, known = np.zeros(len(values), bool), np.zeros(len(values), bool)
+        again[order], known[order] = same[:-1], same[:-1] | same[1:]
+        sent = ~again
+        rows = list(_by_slot((values[sent] % np.uint64(count)).astype(np.int32), owner[sent], docs, hs, values[sent] // np.uint64(count) & _LOW, place[sent]))
+        rows += _by_slot(_here(docs[owner[known]], count), owner[known], docs, hs, place[known])
         yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["fragment", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             docs, hs = (batch.column(i).to_numpy() for i in (0, 1))
-            texts = batch.column(2).to_pylist()
-            for low, high in shingles.batches_of(texts):
-                owner, place, values = anchors(texts[low:high])
+            for low, high, texts in shingles.slices(batch.column(2)):
+                owner, place, values = anchors(texts)
                 held.append((docs[low:high], hs[low:high], owner, place, values))
                 size += len(values)
                 if size >= BLOCK:
@@ -116,16 +139,18 @@ def _posted(count: int):
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    """doc, h, places of one fragment's anchors whose hash occurs more than once."""
-    parts = [_unpacked(x, np.int64, np.int64, np.uint32, np.uint8, np.uint32) for x in table.column("block").to_pylist()]
-    docs, hs, k, place = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2, 4))
-    tokens = _eight(np.concatenate([p[3] for p in parts]))
+    """doc, h, places of one fragment's anchors whose hash occurs more than once; what was known before the exchange passes as it is."""
+    here = table.column("fragment")[0].as_py() < 0
+    parts = [_unpacked(x.as_py(), np.int64, np.int64, np.uint32, *([] if here else [np.uint8]), np.uint32) for x in table.column("block")]
+    docs, hs, k, place = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2, -1))
+    use = np.ones(len(place), bool)
+    if not here:
+        tokens = _eight(np.concatenate([p[3] for p in parts]))
+        order = np.argsort(tokens)
+        ordered = tokens[order]
+        same = ordered[1:] == ordered[:-1]
+        use[order] = np.concatenate(([False], same)) | np.concatenate((same, [False]))
     del parts
-    order = np.argsort(tokens)
-    ordered = tokens[order]
-    same = ordered[1:] == ordered[:-1]
-    use = np.zeros(len(tokens), bool)
-    use[order] = np.concatenate(([False], same)) | np.concatenate((same, [False]))
     owner = np.repeat(np.arange(len(docs)), k)[use]
     at = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, np.int64)
     own = owner[at]
@@ -159,6 +184,13 @@ def front_coded(keys: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.n
     return prefix.astype(np.uint8), keys[(j >= prefix[:, None].astype(np.int16)) & (j < lengths[:, None].astype(np.int16))]
 
 
+def _settled(again: np.ndarray, owner: np.ndarray, docs: np.ndarray, hs: np.ndarray, start: np.ndarray, end: np.ndarray, count: int) -> Iterator[tuple[int, bytes]]:
+    """Blocks, by document, of the stretches that an earlier context of the run repeats."""
+    at = np.flatnonzero(again)
+    at = at[np.lexsort((start[at], owner[at]))]
+    yield from _by_slot(_here(docs[owner[at]], count), owner[at], docs, hs, start[at].astype(np.uint32), end[at].astype(np.uint32))
+
+
 def _runs(splits: list[bytes]):
     """(range, block): sorted front-coded runs of a task's suffixes, cut by range."""
 
@@ -174,16 +206,22 @@ def _runs(splits: list[bytes]):
         owner = np.repeat(np.arange(len(texts)), many)
         place = np.concatenate(places).astype(np.int64)
         keys, left, right = contexts(np.frombuffer(b"".join(texts), np.uint8), (np.cumsum(sizes) - sizes)[owner], sizes[owner], place)
-        order = np.argsort(keys.view(f"S{KEY}").reshape(-1), kind="stable")
+        docs, hs = np.array(docs, np.int64), np.array(hs, np.int64)
+        # by place first, so that of equal contexts the earliest comes first in the stable sort
+        turn = np.lexsort((place, hs[owner], docs[owner]))
+        order = turn[np.argsort(keys[turn].view(f"S{KEY}").reshape(-1), kind="stable")]
         keys, left, right, owner, place = keys[order], left[order], right[order], owner[order], place[order]
+        # padding hides the lengths, so only neighbours of one length are equal; others in between cost an exchange, not a result
+        again = np.concatenate(([False], (keys[1:] == keys[:-1]).all(1) & (left[1:] == left[:-1]) & (right[1:] == right[:-1])))
+        rows = list(_settled(again, owner, docs, hs, place - left, place + right, max(16, len(splits) + 1)))
+        keys, left, right, owner, place = (x[~again] for x in (keys, left, right, owner, place))
         heads = np.ascontiguousarray(keys[:, :ANCHOR]).view(f"S{ANCHOR}").reshape(-1)
         part = np.searchsorted(np.array(splits, f"S{ANCHOR}"), heads, side="right") if splits else np.zeros(len(heads), np.int64)
         edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
-        rows = []
         for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             prefix, rest = front_coded(keys[low:high], (left + right)[low:high])
             own, number = np.unique(owner[low:high], return_inverse=True)
-            rows.append((int(part[low]), _squeezed(_packed(np.array(docs, np.int64)[own], np.array(hs, np.int64)[own], number.astype(np.uint32), place[low:high].astype(np.uint32), left[low:high].astype(np.uint8), right[low:high].astype(np.uint8), prefix, rest))))
+            rows.append((int(part[low]), _squeezed(_packed(docs[own], hs[own], number.astype(np.uint32), place[low:high].astype(np.uint32), left[low:high].astype(np.uint8), right[low:high].astype(np.uint8), prefix, rest))))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,7 +378,11 @@ def covered(keys: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.nda
 
 
 def _spans(table: pa.Table) -> pa.Table:
-    """doc, h, starts, ends of what repeats, of one range of suffixes."""
+    """doc, h, starts, ends of what repeats, of one range of suffixes; what was settled before the exchange passes as it is."""
+    if table.column("part")[0].as_py() < 0:
+        parts = [_unpacked(x.as_py(), np.int64, np.int64, np.uint32, np.uint32, np.uint32) for x in table.column("block")]
+        doc, h, k, start, end = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        return _stretches(np.repeat(doc, k), np.repeat(h, k), start.astype(np.int64), end.astype(np.int64))
     kinds = (np.int64, np.int64, np.uint32, np.uint32, np.uint8, np.uint8, np.uint8, np.uint8)
     blocks = [_unpacked(_opened(x), *kinds) for x in table.column("block").to_pylist()]
     runs, docs, hs, places, lefts, rights = [], [], [], [], [], []
@@ -382,7 +424,11 @@ def _spans(table: pa.Table) -> pa.Table:
         end[hit] = place[hit] - BEFORE + b[a >= 0] + LENGTH
         use[hit] = True
         low = high
-    doc, h, start, end = doc[use], h[use], start[use], end[use]
+    return _stretches(doc[use], h[use], start[use], end[use])
+
+
+def _stretches(doc: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
+    """doc, h, starts, ends: the stretches of each document in order."""
     by = np.lexsort((start, h, doc))
     doc, h, start, end = doc[by], h[by], start[by], end[by]
     at = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])))) if len(doc) else np.zeros(0, np.int64)
@@ -444,26 +490,23 @@ def spans(docs: DataFrame) -> DataFrame:
     guess = (size["b"] or 0) // 34
     count = max(16, -(-guess // FRAGMENT))
     parts = max(count, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = rows.mapInArrow(_posted(count), "fragment int, block binary").repartition(parts, "fragment")
+    blocks = in_arrow(rows, _posted(count), "fragment int, block binary").repartition(parts, "fragment")
     again = written(blocks.groupBy("fragment").applyInArrow(_repeated, "doc long, h long, places array<int>"), "anchors")
-    release(docs)
     many = again.agg(F.sum(F.size("places"))).first()[0] or 0
     ranges = max(24, -(-many // RANGE))
     splits = _splits(rows, ranges, size["n"])
     lists = again.groupBy("doc", "h").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
     # rows of equal id and text are one document, so one of them stands for all, and each place that they posted counts once
     joined = rows.join(lists, ["doc", "h"]).dropDuplicates(["doc", "h"]).select("doc", "h", "raw", "places")
-    once = joined.mapInArrow(_runs(splits), "part int, block binary")
-    out = written(once.repartition(max(ranges, parts), "part").groupBy("part").applyInArrow(_spans, "doc long, h long, starts array<long>, ends array<long>"), "spans")
-    release(docs)
-    return out
+    once = in_arrow(joined, _runs(splits), "part int, block binary")
+    return written(once.repartition(max(ranges, parts), "part").groupBy("part").applyInArrow(_spans, "doc long, h long, starts array<long>, ends array<long>"), "spans")
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     found = spans(docs).groupBy("doc", "h").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
     rows = _raw(docs).join(found, ["doc", "h"], "left").select("doc_id", "raw", "starts", "ends")
-    return rows.mapInArrow(_digested, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return in_arrow(rows, _digested, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -475,4 +518,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             kept = [_kept(raw, united(a or [], b or [])) for raw, a, b in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary())], ["doc_id", "kept"])
 
-    return _raw(docs).join(found, ["doc", "h"], "left").select("doc_id", "raw", "starts", "ends").mapInArrow(run, "doc_id long, kept binary")
+    return in_arrow(_raw(docs).join(found, ["doc", "h"], "left").select("doc_id", "raw", "starts", "ends"), run, "doc_id long, kept binary")
