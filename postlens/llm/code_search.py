@@ -1,100 +1,105 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code of 64 bits has four segments of 16, each with a table from its values to codes. In round r a query looks up, in each table, the values at
-distance exactly r from its own; after it, every code within 4 * (r + 1) - 1 has been met. A query is closed when its kth verified distance is within that
-radius, so ties at the kth place are settled too; the others go on to round r + 1. A code met through several segments is verified once: in the segment where
-it is nearest (the first of these). Where a round would look up more values than there are codes, all codes are verified instead, which covers every radius.
-
-Equal codes are kept once, with only as many of their smallest ids as any answer can hold. Codes are cut into shards by hash and queries into
-blocks; each (shard, block) is a task with its own tables, and the shards' answers of a query are merged. Sizes of shards and blocks are fixed, so tasks don't grow.
-Results are ordered by distance, then id; a query's own id isn't among its answers. Defined cases: a null vector has code 0, null or
-NaN components have bit 0; a null id is no row of the index and no query; repeated ids count once for each distinct code; an empty
-table gives an empty result; a table of fewer rows than k gives all there are.
+A code of 64 bits has four segments of 16, and the index holds each code under the value of each of its segments. In a round a query looks up, in each segment, the values at
+the round's distances from its own (0 to 2 in the first, then one more each time); after distance r, every code within 4 * (r + 1) - 1 has been met. A query is closed when its kth verified distance is within that
+radius, so ties at the kth place are settled too; only the others go on to the next round, each with the best it has found in all the index so far. A code met through
+several segments is verified once: in the segment where it is nearest (the first of these). Values are listed by their masks, or, in rounds with more masks than the index has
+values, by the distances of the values that occur (four times 65 536 at most, so that table may be broadcast). No round compares codes that share no looked-up value.
+
+Equal codes are kept once, with only as many of their smallest ids as any answer can hold. A frequent value is a frequent join key between two written tables, which
+adaptive execution splits. Results are ordered by distance, then id; a query's own id isn't among its answers. Defined cases: a null vector has code 0, null or
+NaN components have bit 0, a vector of more than 64 components is refused with an error; a null id is no row of the index and no query; repeated ids count once for each distinct
+code; an empty table gives an empty result; a table of fewer rows than k gives all there are; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
 from itertools import combinations
+from math import comb
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .storage import written
+from .storage import forget, written
 
-#: Codes of a shard, queries of a block, lookups at once.
-SHARD, BLOCK, LOOKUPS = 32_768, 2_048, 1 << 20
 SEGMENTS, WIDTH = 4, 16
+#: Least and largest distance of a segment's values in each round: the first three distances have few masks and go together.
+ROUNDS = ((0, 2), *((r, r) for r in range(3, WIDTH + 1)))
 
 
 def sign_code(vector: Column) -> Column:
-    """Bit i is set where component i is positive; components from the 64th on don't count."""
-    bits = F.transform(F.slice(F.coalesce(vector, F.array().cast("array<float>")), 1, 64), lambda x, i: F.when((x > 0) & ~F.isnan(x), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
-
-
-@lru_cache(maxsize=WIDTH + 1)
-def _masks(radius: int) -> np.ndarray:
-    """All 16-bit masks with ``radius`` bits: 12 870 at most."""
-    return np.array([sum(1 << b for b in c) for c in combinations(range(WIDTH), radius)], np.int64)
-
-
-def nearest(codes: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query number, code number, distance): for each query at least all codes up to its kth distance, each once."""
-    cut = lambda x: np.stack([(x >> np.uint64(WIDTH * s) & np.uint64((1 << WIDTH) - 1)).astype(np.int64) for s in range(SEGMENTS)])
-    parts, own = cut(codes), cut(queries)
-    orders = [np.argsort(p, kind="stable") for p in parts]
-    starts = [np.searchsorted(p[o], np.arange((1 << WIDTH) + 1)) for p, o in zip(parts, orders, strict=True)]
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    open_ = np.arange(len(queries))
-    within = np.zeros((len(queries), 64 + 1), np.int64)  # codes of each query by distance
-    for radius in range(WIDTH + 1):
-        if not len(open_):
+    """Bit i is set where component i is positive; a vector of more than 64 components doesn't fit a code and is refused."""
+    bits = F.transform(F.coalesce(vector, F.array().cast("array<float>")), lambda x, i: F.when((x > 0) & ~F.isnan(x), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    code = F.aggregate(bits, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
+    return F.when(F.size(vector) > SEGMENTS * WIDTH, F.raise_error(F.lit("a code has 64 bits, this vector has more components")).cast("long")).otherwise(code)
+
+
+def _segment(code: Column, s: Column | int) -> Column:
+    """Value of segment s."""
+    by = F.lit(s) * WIDTH if isinstance(s, int) else s * WIDTH
+    return F.call_function("shiftrightunsigned", code, by.cast("int")).bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int")
+
+
+def _masks(low: int, high: int) -> Column:
+    """All 16-bit masks with ``low`` to ``high`` bits, as one constant."""
+    values = [sum(1 << b for b in c) for r in range(low, high + 1) for c in combinations(range(WIDTH), r)]
+    return F.from_json(F.lit(str(values)), "array<int>")
+
+
+def _segments(rows: DataFrame, code: str) -> DataFrame:
+    each = rows.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))))
+    return each.withColumn("v", _segment(F.col(code), F.col("s")))
+
+
+def _probes(open_: DataFrame, values: DataFrame, n_values: int, low: int, high: int) -> DataFrame:
+    """q, s, v: what each open query looks up in a round."""
+    own = _segments(open_.select("q"), "q")
+    if SEGMENTS * sum(comb(WIDTH, r) for r in range(low, high + 1)) <= n_values:
+        return own.select("q", "s", "v", F.explode(_masks(low, high)).alias("mask")).select("q", "s", F.col("v").bitwiseXOR(F.col("mask")).alias("v"))
+    there = values.select(F.col("s").alias("at"), F.col("v").alias("value"))
+    return own.join(F.broadcast(there), (F.col("s") == F.col("at")) & (F.bit_count(F.col("v").bitwiseXOR(F.col("value"))).between(low, high))).select("q", "s", F.col("value").alias("v"))
+
+
+def _met(probes: DataFrame, index: DataFrame) -> DataFrame:
+    """q, code, least, distance of the codes that a round meets for the first time, each once."""
+    pairs = probes.join(index, ["s", "v"])
+    apart = F.col("q").bitwiseXOR(F.col("code"))
+    here, first = F.bit_count(_segment(apart, F.col("s"))), F.lit(True)
+    for t in range(SEGMENTS):
+        # nearer in another segment, or as near in an earlier one: met there
+        d = F.bit_count(_segment(apart, t))
+        first = first & F.when(F.col("s") > t, d > here).otherwise(d >= here)
+    return pairs.where(first).select("q", "code", "least", F.bit_count(apart).alias("distance"))
+
+
+def nearest(codes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """q, code, least, distance: the k codes nearest to each of ``asked`` (q), by distance and least id. ``codes`` has code and least."""
+    index = written(_segments(codes.select("code", "least"), "code"), "index")
+    values = written(index.select("s", "v").distinct(), "values")
+    n_values = values.count()
+    order = Window.partitionBy("q").orderBy("distance", "least", "code")
+    open_, found, closed = asked, None, []
+    for low, high in ROUNDS:
+        met = _met(_probes(open_, values, n_values, low, high), index)
+        if found is not None:
+            met = met.unionByName(found.join(open_, "q", "left_semi"))
+        # the best of a round with a partial limit before the shuffle
+        best = written(met.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k), "best")
+        done = best.where(F.col("distance") <= SEGMENTS * (high + 1) - 1).groupBy("q").agg(F.count(F.lit(1)).alias("within")).where(F.col("within") >= k).select("q") if high < WIDTH else open_
+        closed.append(best.drop("n").join(done, "q", "left_semi"))
+        if high == WIDTH:
             break
-        masks = _masks(radius)
-        everything = SEGMENTS * len(masks) > len(codes)
-        step = max(1, LOOKUPS // max(len(codes) if everything else len(masks), 1))
-        for low in range(0, len(open_), step):
-            some = open_[low : low + step]
-            for s in range(1 if everything else SEGMENTS):
-                if everything:
-                    q, c = np.repeat(some, len(codes)), np.tile(np.arange(len(codes)), len(some))
-                else:
-                    keys = (own[s][some][:, None] ^ masks[None, :]).reshape(-1)
-                    first, many = starts[s][keys], starts[s][keys + 1] - starts[s][keys]
-                    q = np.repeat(np.repeat(some, len(masks)), many)
-                    c = orders[s][np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())]
-                apart = [np.bitwise_count(parts[t][c] ^ own[t][q]) for t in range(SEGMENTS)]
-                # met before, or to be met: nearer in another segment, or as near in an earlier one
-                new = np.ones(len(q), bool)
-                for t in range(SEGMENTS):
-                    new &= apart[t] >= radius if everything or t >= s else apart[t] > radius
-                q, c, d = q[new], c[new], sum(a[new].astype(np.int64) for a in apart)
-                found.append((q, c, d))
-                np.add.at(within, (q, d), 1)
-        if everything:
+        open_ = written(open_.join(done, "q", "left_anti"), "open")
+        if open_.isEmpty():
             break
-        open_ = open_[within[open_, : SEGMENTS * (radius + 1)].sum(1) < k]
-    if not found:
-        return (np.zeros(0, np.int64),) * 3
-    return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
-
-
-def _searched(k: int):
-    def run(index: pa.Table, queries: pa.Table) -> pa.Table:
-        codes, asked = (t.column(n).to_numpy().view(np.uint64) for t, n in ((index, "code"), (queries, "q")))
-        least = index.column("least").to_numpy()
-        q, c, d = nearest(codes, asked, k)
-        order = np.lexsort((least[c], d, q))
-        q, c, d = q[order], c[order], d[order]
-        start = np.searchsorted(q, q, side="left")
-        keep = np.arange(len(q)) - start < k
-        return pa.table({"q": pa.array(asked[q[keep]].view(np.int64)), "code": pa.array(codes[c[keep]].view(np.int64)), "distance": pa.array(d[keep])})
-
-    return run
+        found = best.drop("n")
+    out = closed[0]
+    for more in closed[1:]:
+        out = out.unionByName(more)
+    out = written(out, "nearest")
+    forget(index)
+    return out
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -104,13 +109,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     # of equal codes the k + 1 smallest ids can be in an answer (one more, as a query leaves itself out)
     few = rows.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("id"))).where(F.col("n") <= k + 1)
     codes = written(few.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.min("id").alias("least")), "codes")
-    asked = written(queries.select("q").distinct(), "asked")
-    shards, blocks = max(1, -(-codes.count() // SHARD)), max(1, -(-asked.count() // BLOCK))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    index = codes.select("code", "least", F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"))
-    dealt = asked.select("q", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("block"), every(shards).alias("shard"))
-    near = index.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInArrow(_searched(k + 1), "q long, code long, distance long")
-    best = near.join(codes.select("code", "least"), "code").withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("distance", "least"))).where(F.col("n") <= k + 1)
+    best = nearest(codes, written(queries.select("q").distinct(), "asked"), k + 1)
     each = best.select("q", "code", "distance").join(codes.select("code", "ids"), "code").select("q", "distance", F.explode("ids").alias("id"))
     # k + 1 ids a code of the query before they meet the queries of that code
     short = each.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))).where(F.col("n") <= k + 1).drop("n")

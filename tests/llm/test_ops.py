@@ -80,15 +80,30 @@ def test_loser_tree_is_a_merge():
     assert all(out[i][: common[i]] == out[i - 1][: common[i]] for i in range(1, len(out)))
 
 
-def test_code_search():
+def test_code_search(spark):
+    """All rounds: codes that differ in few bits, codes that differ in nearly all, more and fewer queries than values."""
     rng = np.random.default_rng(3)
-    codes = np.unique(rng.integers(0, 1 << 63, 700, dtype=np.uint64) & np.uint64(0x0F0FFF000FF0F0FF))
+    near = rng.integers(0, 1 << 62, 700, dtype=np.uint64) & np.uint64(0x0F0FFF000FF0F0FF)
+    codes = np.unique(np.concatenate([near, ~near[:9], np.array([0, (1 << 64) - 1], np.uint64)]))
+    table = spark.createDataFrame([(int(i), int(c)) for i, c in enumerate(codes.view(np.int64))], "least long, code long")
     queries = codes[::20]
-    q, c, d = code_search.nearest(codes, queries, 5)
-    assert len({*zip(q.tolist(), c.tolist())}) == len(q)
-    for i, x in enumerate(queries):
-        true = np.sort(np.bitwise_count(codes ^ x))
-        assert np.sort(d[q == i])[:5].tolist() == true[:5].tolist()
+    got = {}
+    for r in code_search.nearest(table, spark.createDataFrame([(int(q),) for q in queries.view(np.int64)], "q long"), 5).collect():
+        got.setdefault(r.q, []).append((r.distance, r.least))
+    for q in queries:
+        true = sorted((int(d), i) for i, d in enumerate(np.bitwise_count(codes ^ q)))[:5]
+        assert sorted(got[int(q.view(np.int64))]) == true
+
+
+def test_code_search_edges(spark, none):
+    empty = spark.createDataFrame([], "id long, code long")
+    rows = spark.createDataFrame([(1, 5, "x"), (2, 7, "y"), (None, 5, "z")], "id long, code long, q string")
+    assert code_search.top_k(empty, empty).count() == 0 and code_search.top_k(rows, empty).count() == 0
+    assert [(r.query_id, r.id, r.distance) for r in code_search.top_k(rows, rows.where("id = 1"), 3).collect()] == [(1, 2, 1)]
+    codes = spark.createDataFrame([(None,), ([],), ([1.0, None, float("nan"), 2.0],), ([-1.0] * 63 + [1.0],)], "v array<float>").select(code_search.sign_code(F.col("v")).alias("c"))
+    assert [r.c for r in codes.collect()] == [0, 0, 9, -(1 << 63)]
+    with pytest.raises(Exception, match="64 bits"):
+        spark.createDataFrame([([1.0] * 65,)], "v array<float>").select(code_search.sign_code(F.col("v"))).collect()
 
 
 def test_code_search_ties_and_repeats(spark):
