@@ -335,9 +335,11 @@ def _within_stars(stars: DataFrame, named: DataFrame, everything: bool) -> DataF
     Unless ``everything`` is asked for, stars of one component are dropped, and pairs within a component. A star is cut into blocks of about MEMBERS, and each pair of blocks is a group of its own.
     """
     members = stars.select(F.col("a").alias("hub"), F.col("b").alias("class")).unionByName(stars.select(F.col("a").alias("hub"), F.col("a").alias("class")).distinct())
-    rows = members.join(named, "class")
+    rows = written(members.join(named, "class"), "members")
+    # both sides of the join by hub are tables, so a hub with many rows can be split there
     sizes = rows.groupBy("hub").agg(F.count(F.lit(1)).alias("size"), (F.min("part") != F.max("part")).alias("mixed")).where(F.lit(everything) | F.col("mixed"))
-    cut = rows.join(sizes.select("hub", F.ceil(F.col("size") / MEMBERS).cast("int").alias("blocks")), "hub").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    blocks = written(sizes.select("hub", F.ceil(F.col("size") / MEMBERS).cast("int").alias("blocks")), "sizes")
+    cut = rows.join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = cut.withColumn("o", other).withColumns({"low": F.least("block", "o"), "high": F.greatest("block", "o")})
     # dealt anew by the pair of blocks: else all blocks of a hub would stay in the task that its rows met in
