@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import in_arrow
+
 CHUNK, OVERLAP = 1 << 15, 1 << 10
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -80,18 +82,17 @@ def boundaries(text: str, low: int, high: int) -> list[int]:
 
 def stitched(chunks: list[tuple[str, list[int], list[int]]]) -> Iterator[str]:
     """Pieces of one text from its chunks in order: own characters, boundaries in the own first and in the next chunk's first OVERLAP (from its start)."""
-    held = ""
+    held: list[str] = []
     tail: list[int] = []
     for own, head, next_tail in chunks:
         common = sorted(set(tail) & set(head))
         if common:
-            held += own[: common[0]]
-            yield held
-            held = own[common[0] :]
+            yield "".join([*held, own[: common[0]]])
+            held = [own[common[0] :]]
         else:
-            held += own
+            held.append(own)
         tail = next_tail
-    yield held
+    yield "".join(held)
 
 
 def _lists(batch: pa.RecordBatch, *names: str) -> list[list]:
@@ -150,18 +151,20 @@ def pieces(docs: DataFrame) -> DataFrame:
     long = docs.where(F.length("text") > CHUNK).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("key"))
     cut = long.select("key", "doc_id", "text", F.posexplode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / CHUNK).cast("int"))).alias("no", "_"))
     chunks = cut.select("key", "doc_id", "no", F.substring("text", F.col("no") * CHUNK + 1, F.lit(CHUNK + OVERLAP)).alias("text"))
-    seen = chunks.mapInArrow(_pretokenised, "key long, doc_id long, no int, text string, head array<int>, tail array<int>")
+    seen = in_arrow(chunks, _pretokenised, "key long, doc_id long, no int, text string, head array<int>, tail array<int>")
     return seen.groupBy("key").applyInArrow(_pieces, "key long, doc_id long, no int, text string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of ``docs`` (doc_id, text)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    short = texts.where(F.length("text") <= CHUNK).mapInArrow(_digests(path), DIGESTS)
-    encoded = pieces(texts).repartition("key", "no").mapInArrow(_encoded_pieces(path), "key long, doc_id long, no int, n long, spelled binary, bytes binary")
+    short = in_arrow(texts.where(F.length("text") <= CHUNK), _digests(path), DIGESTS)
+    encoded = in_arrow(pieces(texts).repartition("key", "no"), _encoded_pieces(path), "key long, doc_id long, no int, n long, spelled binary, bytes binary")
     whole = encoded.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("no", "spelled", "bytes"))).alias("p"))
-    joined = lambda field, between: F.aggregate("p", F.lit(None).cast("binary"), lambda acc, x: F.when(acc.isNull(), x[field]).otherwise(F.concat(acc, F.lit(between).cast("binary"), x[field])))
-    long = whole.select("doc_id", "n_tokens", F.sha2(joined("spelled", " "), 256).alias("ids_sha256"), F.sha2(joined("bytes", ""), 256).alias("decoded_sha256"))
+    # one join of all pieces each, as appending piece by piece would copy what is there each time; bytes go as hex, which may be cut anywhere
+    spelled = F.array_join(F.transform("p", lambda x: x["spelled"].cast("string")), " ")
+    raw = F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["bytes"])), ""))
+    long = whole.select("doc_id", "n_tokens", F.sha2(spelled.cast("binary"), 256).alias("ids_sha256"), F.sha2(raw, 256).alias("decoded_sha256"))
     return short.unionByName(long)
 
 
@@ -174,7 +177,7 @@ def ids(docs: DataFrame, path: str) -> DataFrame:
             found = [codec(path).encode(t).astype(np.int32) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return texts.mapInArrow(run, "doc_id long, ids array<int>")
+    return in_arrow(texts, run, "doc_id long, ids array<int>")
 
 
 def decoded(encoded: DataFrame, path: str) -> DataFrame:
@@ -185,4 +188,4 @@ def decoded(encoded: DataFrame, path: str) -> DataFrame:
             found = [codec(path).decode(np.asarray(x or [], np.uint32)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "bytes"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
+    return in_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, bytes binary")
