@@ -1,7 +1,8 @@
 """Hand-written signatures of licences, most specific first within a family.
 
-Each line: label | priority | keyword that must occur | pattern over lower-cased text with single spaces.
-Further rules (SPDX tags, addresses) follow from the names table by one rule each.
+Each line: label | priority | keyword that must occur | pattern over lower-cased text with single spaces. Where the pattern allows for
+texts without the keyword, its keywords are worked out from it.
+Further rules (tags, grants, names) follow from the table of names.
 """
 
 from __future__ import annotations
@@ -170,6 +171,181 @@ proprietary | 45 | end user licen | end user licen[sc]e agreement
 non-commercial | 35 | commercial | for non-?commercial use only
 academic-only | 35 | for academic | for academic (?:use|purposes) only
 academic-only | 35 | for research | for research (?:use|purposes) only
+mit | 70 | copyright notice and this permission notice | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+mit | 55 | the software is provided | the software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability
+mit | 50 | authors or copyright holders | in no event shall the authors or copyright holders be liable for any claim, damages or other liability
+mit | 40 | permission notice | mit[- ]style permission notice
+mit | 45 | mit/x11 | \bmit/x11\b
+mit | 45 | dual licensed | dual licensed under (?:the )?mit
+mit-0 | 80 | without restriction | to deal in the software without restriction(?:(?!shall be included).){0,400}sell copies of the software, and to permit persons to whom the software is furnished to do so\. the software is provided
+x11 | 80 | x consortium | except as contained in this notice, the name of the x consortium shall not be used in advertising
+isc | 60 | the author disclaims | the software is provided "as is" and the author disclaims all warranties
+0bsd | 85 | permission to use | permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee is hereby granted\. the software is provided
+hpnd | 65 | supporting documentation | that both that copyright notice and this permission notice appear in supporting documentation
+hpnd | 60 | without specific, written | not be used in advertising or publicity pertaining to distribution of the software without specific, written prior permission
+bsd-2-clause | 62 | source code must retain | redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer
+bsd-2-clause | 62 | binary form must reproduce | redistributions in binary form must reproduce the above copyright notice, this list of conditions
+bsd-3-clause | 70 | without specific prior written | to endorse or promote products derived from this software without specific prior written permission
+bsd-4-clause | 80 | this product includes software | this product includes software developed by the university of california
+bsd-3-clause-clear | 85 | patent rights | no express or implied licenses to any party's patent rights are granted by this license
+bsd-1-clause | 40 | bsd | \bbsd[- ]1[- ]clause\b
+bsd | 25 | bsd licen | bsd licen[sc]e
+bsd | 25 | bsd-style | bsd-style licen[sc]e
+bsd-3-clause | 45 | revised bsd | \brevised bsd\b
+bsd-protection | 80 | bsd protection | bsd protection license
+apache-2.0 | 85 | licensed under the apache | licensed under the apache license, version 2\.0 \(the "license"\)
+apache-2.0 | 72 | compliance with the license | you may not use this file except in compliance with the license
+apache-2.0 | 74 | unless required by applicable law | unless required by applicable law or agreed to in writing, software distributed under the license is distributed
+apache-2.0 | 66 | apache-2 | \bapache[- ]2\b
+apache-1.1 | 85 | apache software foundation | this product includes software developed by the apache software foundation
+apache-1.0 | 85 | apache group | this product includes software developed by the apache group
+gpl | 52 | terms of the gnu | redistribute it and/or modify it under the terms of the gnu general public licen[sc]e
+gpl | 40 | gnu gpl | \bgnu gpl\b
+gpl | 48 | without even the implied warranty | without even the implied warranty of merchantability or fitness for a particular purpose\. see the gnu general public license
+gpl | 46 | copy of the gnu general public | you should have received a copy of the gnu general public license
+gpl-2.0 | 82 | version 2 only | gnu general public license,? version 2 only
+gpl-3.0 | 82 | version 3 only | gnu general public license,? version 3 only
+gpl-2.0 | 80 | june 1991 | gnu general public license version 2, june 1991
+gpl-3.0 | 80 | 29 june 2007 | gnu general public license version 3, 29 june 2007
+gpl-1.0 | 80 | february 1989 | gnu general public license version 1, february 1989
+gpl-2.0 | 60 | gplv2 | \bgplv2\b
+gpl-3.0 | 60 | gplv3 | \bgplv3\b
+gpl-2.0-or-later | 75 | gplv2+ | \bgplv2\+
+gpl-3.0-or-later | 75 | gplv3+ | \bgplv3\+
+gpl-3.0 | 65 | convey | you may convey verbatim copies of the program's source code as you receive it
+gpl-2.0-with-classpath-exception | 90 | classpath | gnu general public license.{0,60}with (?:the )?(?:"classpath"|classpath) exception
+gpl-2.0-with-classpath-exception | 88 | linking this library | linking this library statically or dynamically with other modules is making a combined work
+gpl-3.0-with-gcc-exception | 88 | gcc runtime library | gcc runtime library exception
+gpl-with-font-exception | 88 | font exception | gnu general public license.{0,60}font exception
+gpl-with-linking-exception | 86 | openssl | permission to link the code of portions of this program with the openssl library
+lgpl | 54 | library general public | (?:gnu )?library general public licen[sc]e
+lgpl | 45 | gnu lgpl | \bgnu lgpl\b
+lgpl-2.0 | 80 | june 1991 | gnu library general public license version 2, june 1991
+lgpl-2.1 | 80 | february 1999 | gnu lesser general public license version 2\.1, february 1999
+lgpl-3.0 | 80 | 29 june 2007 | gnu lesser general public license version 3, 29 june 2007
+lgpl-2.1 | 65 | lgplv2.1 | \blgplv2\.1\b
+lgpl-3.0 | 65 | lgplv3 | \blgplv3\b
+lgpl-2.1-or-later | 88 | any later version | lesser general public license.{0,120}either version 2\.1 of the license, or \(at your option\) any later version
+lgpl-3.0-or-later | 88 | any later version | lesser general public license.{0,120}either version 3 of the license, or \(at your option\) any later version
+agpl | 50 | gnu agpl | \bgnu agpl\b
+agpl-3.0 | 80 | november 2007 | gnu affero general public license version 3, 19 november 2007
+agpl-3.0 | 65 | agplv3 | \bagplv3\b
+agpl-3.0-or-later | 88 | any later version | affero general public license.{0,120}either version 3 of the license, or \(at your option\) any later version
+agpl-3.0 | 75 | remote network interaction | remote network interaction; use with the gnu general public license
+gfdl | 45 | free documentation | (?:gnu )?free documentation licen[sc]e
+gfdl | 65 | invariant sections | with no invariant sections, no front-cover texts,? and no back-cover texts
+mpl | 30 | mozilla public | mozilla public licen[sc]e
+mpl-1.1 | 80 | subject to the mozilla | the contents of this file are subject to the mozilla public license version 1\.1
+mpl-1.0 | 80 | subject to the mozilla | the contents of this file are subject to the mozilla public license version 1\.0
+mpl-2.0 | 70 | incompatible with secondary | this source code form is "incompatible with secondary licenses"
+mpl-2.0 | 60 | mplv2 | \bmplv2(?:\.0)?\b
+mpl-1.1 | 60 | tri-license | mpl 1\.1/gpl 2\.0/lgpl 2\.1
+npl-1.1 | 80 | netscape public | netscape public licen[sc]e,? version 1\.1
+epl-1.0 | 80 | eclipse public license v1.0 | terms of the eclipse public license v1\.0 which accompanies this distribution
+epl-2.0 | 80 | eclipse public license | terms of the eclipse public license(?: v\.? ?| )2\.0 which (?:is available|accompanies)
+epl-2.0 | 70 | eclipse.org/legal | eclipse\.org/legal/epl-2\.0
+epl-1.0 | 70 | eclipse.org/legal | eclipse\.org/legal/epl-v10
+edl-1.0 | 75 | eclipse distribution | eclipse distribution licen[sc]e
+cpl-1.0 | 75 | common public license | this program and the accompanying materials are made available under the terms of the common public license
+cddl | 30 | common development and distribution | common development and distribution licen[sc]e
+cddl-1.0 | 75 | usr/src/opensolaris | you can obtain a copy of the license at usr/src/opensolaris\.license
+cddl-1.1 | 75 | glassfish | glassfish\.dev\.java\.net/public/cddl
+eupl | 30 | european union public | european union public licen[sc]e
+eupl-1.2 | 80 | eupl | licensed under the eupl,? (?:version|v\.?) ?1\.2
+eupl-1.1 | 80 | eupl | licensed under the eupl,? (?:version|v\.?) ?1\.1
+cecill | 40 | cecill | governed by the cecill licen[sc]e under french law
+cecill-2.1 | 70 | cecill.info | cecill\.info/licences/licence_cecill_v2\.1
+artistic | 30 | artistic licen | artistic licen[sc]e
+artistic-2.0 | 75 | perlfoundation | perlfoundation\.org/artistic_license_2_0
+artistic-1.0-perl | 80 | same terms as perl | under the same terms as perl itself
+zlib | 75 | altered source versions | altered source versions must be plainly marked as such
+zlib | 70 | without any express or implied | this software is provided 'as-is', without any express or implied warranty
+libpng | 75 | png reference library | the png reference library is supplied "as is"
+bsl-1.0 | 80 | boost software | distributed under the boost software license, version 1\.0
+bsl-1.0 | 78 | permission is hereby granted | permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation
+busl-1.1 | 80 | change date | change license.{0,80}change date
+busl-1.1 | 75 | additional use grant | additional use grant
+sspl-1.0 | 80 | service source code | offering the program as a service.{0,400}service source code
+elastic-2.0 | 80 | hosted or managed service | you may not provide the software to third parties as a hosted or managed service
+commons-clause | 85 | commons clause | commons clause(?: license)?(?: condition)?
+polyform-noncommercial-1.0.0 | 80 | polyform | polyform noncommercial licen[sc]e
+polyform-small-business-1.0.0 | 80 | polyform | polyform small business licen[sc]e
+polyform-shield-1.0.0 | 80 | polyform | polyform shield licen[sc]e
+ofl-1.1 | 80 | sil open font | this font software is licensed under the sil open font license, version 1\.1
+ofl-1.1 | 72 | reserved font name | with reserved font names?
+ubuntu-font-1.0 | 80 | ubuntu font | ubuntu font licen[sc]e
+bitstream-vera | 80 | bitstream vera | bitstream vera is a trademark of bitstream
+cc0-1.0 | 80 | no rights reserved | cc0.{0,40}no rights reserved
+cc0-1.0 | 78 | waived all copyright | has waived all copyright and related or neighboring rights
+cc0-1.0 | 75 | public domain dedication | cc0 1\.0 universal \(cc0 1\.0\) public domain dedication
+cc-pdm-1.0 | 75 | public domain mark | (?:creative commons )?public domain mark 1\.0
+cc-by | 32 | creative commons attribution | creative commons attribution(?! ?-?(?:non|share|no))(?: international)? licen[sc]e
+cc-by-sa | 37 | sharealike | creative commons attribution[- ]share-?alike(?: international)? licen[sc]e
+cc-by-nc | 37 | noncommercial | creative commons attribution[- ]non-?commercial(?! ?-?(?:share|no))(?: international)? licen[sc]e
+cc-by-nd | 37 | noderiv | creative commons attribution[- ]no-?deriv\w*(?: international)? licen[sc]e
+cc-by-2.0 | 70 | creativecommons.org | creativecommons\.org/licenses/by/2\.0
+cc-by-3.0 | 70 | creativecommons.org | creativecommons\.org/licenses/by/3\.0
+cc-by-sa-2.0 | 70 | creativecommons.org | creativecommons\.org/licenses/by-sa/2\.0
+cc-by-nc-3.0 | 70 | creativecommons.org | creativecommons\.org/licenses/by-nc/3\.0
+cc-by-nd-3.0 | 70 | creativecommons.org | creativecommons\.org/licenses/by-nd/3\.0
+cc-by-nc-sa-3.0 | 70 | creativecommons.org | creativecommons\.org/licenses/by-nc-sa/3\.0
+cc-by-nc-nd-3.0 | 70 | creativecommons.org | creativecommons\.org/licenses/by-nc-nd/3\.0
+odbl-1.0 | 75 | opendatacommons.org | opendatacommons\.org/licenses/odbl
+odc-by-1.0 | 75 | opendatacommons.org | opendatacommons\.org/licenses/by
+pddl-1.0 | 75 | opendatacommons.org | opendatacommons\.org/licenses/pddl
+cdla-permissive-2.0 | 80 | community data license | community data license agreement[ -–]+permissive,?(?: version)? 2\.0
+cdla-sharing-1.0 | 80 | community data license | community data license agreement[ -–]+sharing,?(?: version)? 1\.0
+ogl-uk-3.0 | 80 | open government licen | open government licen[sc]e v?3\.0
+ogl-uk-2.0 | 80 | open government licen | open government licen[sc]e v?2\.0
+etalab-2.0 | 75 | etalab | licence ouverte.{0,20}etalab
+unlicense | 75 | anyone is free to copy | anyone is free to copy, modify, publish, use, compile, sell, or distribute this software
+unlicense | 78 | successors | we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors
+public-domain | 45 | public domain | this (?:file|software|work|code|program) is (?:in|hereby placed in|released into) the public domain
+public-domain | 45 | no copyright | no copyright is claimed
+public-domain | 50 | united states government | work of the united states government
+sqlite-blessing | 80 | may you do good | may you do good and not evil
+beerware | 80 | buy me a beer | if we meet some ?day, and you think this stuff is worth it, you can buy me a beer
+json | 80 | good, not evil | the software shall be used for good, not evil
+wtfpl | 75 | wtfpl.net | wtfpl\.net
+psf-2.0 | 75 | psf license agreement | psf licen[sc]e agreement for python
+python-2.0 | 70 | cnri | cnri (?:open source )?licen[sc]e agreement
+ruby | 70 | ruby's licen | under (?:the )?ruby's licen[sc]e
+php-3.01 | 80 | php version | this product includes php software, freely available from
+zpl-2.1 | 75 | zope foundation | zope foundation and contributors
+ncsa | 75 | university of illinois | developed by:.{0,120}university of illinois
+openssl | 80 | openssl project | this product includes software developed by the openssl project
+ssleay | 80 | eric young | this product includes cryptographic software written by eric young
+curl | 75 | curl licen | \bcurl licen[sc]e\b
+tcl | 75 | regents of the university | copyrighted by the regents of the university of california, sun microsystems
+ftl | 75 | freetype project | portions of this software are copyright .{0,40}the freetype project
+ijg | 75 | independent jpeg group | based in part on the work of the independent jpeg group
+w3c | 75 | w3c | w3c(?:®|\(r\))? software notice and licen[sc]e
+unicode-3.0 | 75 | unicode licen | unicode licen[sc]e v3
+icu | 75 | icu licen | icu licen[sc]e
+ms-limited-public | 75 | limited public | microsoft limited public licen[sc]e
+ms-shared-source | 70 | shared source | microsoft shared source
+oracle-bcl | 75 | binary code license | (?:oracle|sun(?: microsystems, inc\.)?) binary code licen[sc]e
+nvidia-eula | 70 | nvidia | nvidia (?:software|cuda toolkit) (?:end user )?licen[sc]e
+openrail | 75 | openrail | \b(?:creativeml |bigscience )?openrail(?:\+\+)?(?:-m)?\b
+llama-community | 75 | llama | llama \d(?:\.\d)? community licen[sc]e
+gemma-terms | 75 | gemma | gemma terms of use
+hippocratic-2.1 | 75 | hippocratic | hippocratic licen[sc]e(?:,? version)? ?2\.1
+anti-996 | 75 | anti 996 | anti[- ]996 licen[sc]e
+parity-7.0 | 75 | parity public | parity public licen[sc]e
+prosperity-3.0 | 75 | prosperity public | prosperity public licen[sc]e
+cal-1.0 | 75 | cryptographic autonomy | cryptographic autonomy licen[sc]e
+blessed-oscl | 60 | open source software supplied | open source software supplied under a free licen[sc]e
+proprietary | 55 | unpublished | unpublished (?:proprietary|confidential) (?:source code|work|information)
+proprietary | 50 | internal use only | for internal use only
+proprietary | 50 | trade secret | contains trade secrets
+proprietary | 50 | without prior written | without (?:the )?(?:express )?prior written (?:permission|consent) (?:of|from) the (?:copyright (?:owner|holder)|publisher|author)
+proprietary | 45 | no part of this | no part of this (?:publication|book|work|document) may be reproduced
+proprietary | 45 | unauthorized | unauthorized (?:copying|reproduction|distribution|use)[^.]{0,80} is (?:strictly )?prohibited
+non-commercial | 40 | commercial use | (?:not for|no) commercial use
+non-commercial | 40 | commercial purposes | may not (?:be )?used? (?:this \w+ )?for commercial purposes
+evaluation-only | 45 | evaluation | for evaluation (?:use|purposes) only
+academic-only | 40 | educational | for educational (?:use|purposes) only
+academic-only | 38 | non-profit | for non-profit research(?: use)? only
 """
 
 
@@ -177,25 +353,60 @@ def _rows(table: str) -> list[list[str]]:
     return [[x.strip() for x in line.split(" | ", 3)] for line in table.strip().splitlines()]
 
 
-def rules() -> list[tuple[str, int, str, str]]:
-    """(label, priority, keyword, pattern) in order; a later rule of equal priority and length gives way."""
-    found: list[tuple[str, int, str, str]] = []
+def rules() -> list[tuple[str, int, frozenset[str], str]]:
+    """(label, priority, keywords, pattern) in order; a later rule of equal priority and length gives way. A text without any of the keywords can't match the pattern."""
+    found: list[tuple[str, int, frozenset[str], str]] = []
     for label, spdx, name in (x[:3] for x in _rows(NAMES)):
         tag = spdx.replace(".", r"\.")
-        found.append((label, 100, "spdx-license-identifier", rf"spdx-license-identifier: {tag}(?:-only|-or-later)?(?![\w.+-])"))
-        found.append((label, 90, "licensed under", rf"licensed under (?:the )?(?:terms of the )?(?:{name})(?![\w])"))
-        found.append((label, 65, _keyword(name), rf"(?<![\w])(?:{name})(?![\w])"))
-    return found + [(a, int(b), c, d) for a, b, c, d in _rows(TEXTS)]
+        found.append((label, 100, frozenset(["spdx-license-identifier"]), rf"spdx-license-identifier: {tag}(?:-only|-or-later)?(?![\w.+-])"))
+        found.append((label, 90, frozenset(["licensed under"]), rf"licensed under (?:the )?(?:terms of the )?(?:{name})(?![\w])"))
+        found.append((label, 65, required(name), rf"(?<![\w])(?:{name})(?![\w])"))
+    return found + [(a, int(b), frozenset([c]) if c in d else required(d), d) for a, b, c, d in _rows(TEXTS)]
 
 
-def _keyword(name: str) -> str:
-    """The longest plain part that every match of the name holds; '' where there is none."""
-    import re
+def required(pattern: str) -> frozenset[str]:
+    """Plain texts of which every match of the pattern holds one; the set whose shortest text is longest."""
+    from re import _constants as op
+    from re import _parser as parser
 
-    flat = re.sub(r"\[[^\]]*\]|\\.", "\0", name)
-    while (cut := re.sub(r"\([^()]*\)[?*]?", "\0", flat)) != flat:
-        flat = cut
-    flat = re.sub(r".[?*]", "\0", flat)
-    if "|" in flat:
-        return ""
-    return max(re.split("[\0+]+", flat), key=len).strip()
+    def alternatives(items) -> frozenset[str] | None:
+        """All texts that a part without repeats stands for, if they are few."""
+        out = frozenset([""])
+        for kind, arg in items:
+            if kind is op.LITERAL:
+                ends = frozenset([chr(arg)])
+            elif kind is op.IN and all(k is op.LITERAL for k, _ in arg):
+                ends = frozenset(chr(x) for _, x in arg)
+            elif kind is op.SUBPATTERN:
+                ends = alternatives(arg[3])
+            elif kind is op.BRANCH:
+                parts = [alternatives(x) for x in arg[1]]
+                ends = None if None in parts else frozenset().union(*parts)
+            else:
+                ends = None
+            if ends is None or len(out) * len(ends) > 8:
+                return None
+            out = frozenset(a + b for a in out for b in ends)
+        return out
+
+    def best(items) -> frozenset[str]:
+        found, run = [], []
+        for kind, arg in [*items, (None, None)]:
+            if kind in (op.AT, op.ASSERT, op.ASSERT_NOT):
+                continue
+            if kind is not None and alternatives([*run, (kind, arg)]) is not None:
+                run.append((kind, arg))
+                continue
+            if run:
+                found.append(alternatives(run))
+            run = [(kind, arg)] if kind is not None and alternatives([(kind, arg)]) is not None else []
+            if kind is op.SUBPATTERN:
+                found.append(best(arg[3]))
+            elif kind is op.BRANCH:
+                parts = [best(x) for x in arg[1]]
+                found.append(frozenset().union(*parts) if all(parts) else frozenset())
+            elif kind in (op.MAX_REPEAT, op.MIN_REPEAT) and arg[0]:
+                found.append(best(arg[2]))
+        return max((f for f in found if f), key=lambda f: min(map(len, f)), default=frozenset())
+
+    return frozenset(x.lower() for x in best(parser.parse(pattern)))

@@ -1,16 +1,18 @@
 """License scans by ordered signature rules.
 
-A text that holds none of a few gate words is done at once. Else an automaton over all keywords says which of the
-rules can match at all, and only their patterns run. Detections are taken by priority, then length, then rule order; one that lies within
-the interval of a detection taken before gives way to it. What stays names the labels.
+An automaton over the keywords of all rules is the gate: it says which of the
+rules can match a text at all, and only their patterns run. Detections are taken by priority, then length, then rule order; one that lies within
+the interval of a detection taken before gives way to it (detections that only overlap both stay). What stays names the labels.
 
 Defined cases: null text counts as empty; no words, no places and no labels for it; the score is then 0. Equal rows give
-equal rows. Long texts are scanned whole.
+equal rows, null ids too. Of detections of equal priority and length the rule that comes first is taken. Long texts are scanned whole; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,10 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .license_rules import rules
+from .storage import in_arrow
 
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Every rule's keyword or pattern needs one of these.
-GATES = (b"licen", b"copyright", b"permi", b"domain", b"warrant", b"rights reserved", b"redistribution", b"commons", b"cc by", b"cc0", b"cc-by", b"gpl", b"apache", b"bsd", b"mozilla", b"spdx", b"origin of", b"unencumbered", b"boost.org", b"sil.org", b"what the f", b"advertising", b"endorse", b"confidential", b"commercial", b"mit no", b"as is", b"any later", b"restriction", b"beer", b"limitations", b"copied", b"research", b"academic", b"freebsd", b"historical", b"free software")
 #: Bytes that stand in no word become spaces; capitals are lower-cased.
 _WORDS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
@@ -32,29 +33,35 @@ SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 def _compiled():
     import ahocorasick
 
-    made = [(label, priority, keyword, re.compile(pattern)) for label, priority, keyword, pattern in rules()]
-    automaton = ahocorasick.Automaton()
+    made = [(label, priority, re.compile(pattern)) for label, priority, _, pattern in rules()]
     by: dict[str, list[int]] = {}
-    for i, (_, _, keyword, _) in enumerate(made):
-        by.setdefault(keyword, []).append(i)
-    always = by.pop("", [])
+    for i, (_, _, keywords, _) in enumerate(rules()):
+        for keyword in keywords:
+            by.setdefault(keyword, []).append(i)
+    automaton = ahocorasick.Automaton()
     for keyword, numbers in by.items():
         automaton.add_word(keyword, numbers)
     automaton.make_automaton()
-    return made, automaton, always
+    return made, automaton
 
 
 def detections(text: str) -> list[tuple[int, int, str, int]]:
     """(start, end, label, priority) of what stays, over the lower-cased text with white space as single spaces."""
-    made, automaton, always = _compiled()
-    numbers = set(always)
+    made, automaton = _compiled()
+    numbers: set[int] = set()
     for _, found in automaton.iter(text):
         numbers.update(found)
-    hits = [(-made[n][1], m.start() - m.end(), n, m.start(), m.end()) for n in numbers for m in made[n][3].finditer(text)]
+    hits = [(-made[n][1], m.start() - m.end(), n, m.start(), m.end()) for n in numbers for m in made[n][2].finditer(text)]
     kept: list[tuple[int, int, str, int]] = []
+    starts: list[int] = []  # of the outermost kept intervals, none within another: their ends rise with their starts
+    ends: list[int] = []
     for priority, _, n, start, end in sorted(hits):
-        if not any(a <= start and end <= b for a, b, _, _ in kept):
-            kept.append((start, end, made[n][0], -priority))
+        i = bisect_right(starts, start)
+        if i and ends[i - 1] >= end:
+            continue
+        kept.append((start, end, made[n][0], -priority))
+        low, high = bisect_left(starts, start), bisect_right(ends, end)
+        starts[low:high], ends[low:high] = [start], [end]
     return sorted(kept)
 
 
@@ -80,8 +87,6 @@ def base_places(words: list[bytes]) -> list[tuple[int, str]]:
 def scanned(raw: bytes) -> tuple:
     words = raw.translate(_WORDS).split()
     low = b" ".join(raw.lower().split())
-    if not any(gate in low for gate in GATES):
-        return len(words), 0, None, None, "", "", 0.0
     places = base_places(words) if b"license" in low else []  # every phrase has that word
     kept = detections(low.decode())
     base = sorted({label for _, label in places})
@@ -98,9 +103,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]], ["doc_id", *names])
 
 
+def _raw(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """The scan of every row of ``docs`` (doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw")).mapInArrow(_scan, SCHEMA)
+    return in_arrow(_raw(docs), _scan, SCHEMA)
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -111,4 +120,4 @@ def spans(docs: DataFrame) -> DataFrame:
             rows = [(i, *d) for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for d in detections(b" ".join(raw.lower().split()).decode())]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32()))], ["doc_id", "start", "end", "label", "priority"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw")).mapInArrow(run, "doc_id long, start long, end long, label string, priority int")
+    return in_arrow(_raw(docs), run, "doc_id long, start long, end long, label string, priority int")
