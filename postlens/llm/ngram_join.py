@@ -422,7 +422,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     told = joined(docs.select("doc_id", "text")).where((F.col("n_shingles") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
     # what goes is named by id and class; the class is found again from the text, so rows of equal id and other text aren't meant
-    gone = written(told.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("__d"), F.col("class").alias("__c")).distinct(), "gone")
+    gone = written(told.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("__d"), F.col("class").alias("__c")), "gone")
     rows = docs.select(F.struct(*docs.columns).alias("__row"), place.alias("__d"))
     at = docs.columns.index("text")
 
