@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hierarchical budgeting.
 
-Leaves are (domain, language, source). The budget in tokens goes down the tree by weight; a child takes at most what its leaves can
+Leaves are (domain, language, source). The unit of budgets is the word, as a token: texts are encoded later. The budget in tokens goes down the tree by weight; a child takes at most what its leaves can
 give in ``max_epochs`` passes, and what it can't take goes to its siblings, again by weight, before anything goes back to the parent, whose
 own siblings then share it. Each leaf's budget is spent on whole epochs and then on the token-prefix of one more: documents in the order of a
 hash of (seed, epoch, id), as many as fit, so that a prefix of a smaller budget lies within that of a larger one.
@@ -10,7 +10,7 @@ leaves and slots) give the slot where the prefix ends, and only that slot's docu
 prefix while the tokens up to and including it are within the budget.
 
 Defined cases: null language or source is a leaf of its own; null text or an empty one has 0 tokens and goes along where its hash lies within the prefix;
-rows of equal id and text have equal hashes and are told apart by nothing, so they go together; weights that are missing count ``other``; an empty table gives an
+rows of equal id and text have equal hashes and are told apart by nothing, so they go together; weights that are missing count ``other``, a weight of 0 takes nothing; documents whose points tie lie in the prefix together or not at all; an empty table gives an
 empty result; extra columns are kept by :func:`mixed` and ignored otherwise.
 """
 
@@ -75,23 +75,51 @@ def shares(children: list[tuple[float, float]], budget: float) -> list[float]:
     return given
 
 
-def budgets(leaves: list[tuple[str | None, str | None, str | None, int]], budget: int, weights: Weights, max_epochs: int) -> dict[tuple, int]:
-    """Token budget for each leaf (domain, lang, source), whole tokens rounded down. Shortages stay below the lowest node that can take them."""
-    tables = (weights.domain, weights.lang, weights.source)
-
-    def go(rows: list[tuple[tuple, int]], depth: int, amount: float) -> dict[tuple, int]:
-        if depth == 3:
-            return {rows[0][0]: int(amount + 1e-6)}
-        groups: dict[str | None, list[tuple[tuple, int]]] = {}
-        for key, n in sorted(rows, key=lambda r: str(r[0])):
-            groups.setdefault(key[depth], []).append((key, n))
-        children = [(tables[depth].get(name, weights.other), float(max_epochs * sum(n for _, n in g))) for name, g in groups.items()]
-        out: dict[tuple, int] = {}
-        for g, share in zip(groups.values(), shares(children, amount), strict=True):
-            out |= go(g, depth + 1, share)
-        return out
-
-    return go([((d, la, s), n) for d, la, s, n in leaves], 0, float(budget)) if leaves else {}
+def split_by_language(groups: list[tuple[str | None, str | None, float]], budget: float, weights: Weights) -> dict[tuple, float]:
+    """Budget for each (domain, lang) from (domain, lang, capacity): by domain, then by language within it; a language's shortage goes to its siblings before the domain's."""
+    domains: dict[str | None, list[tuple[str | None, float]]] = {}
+    for domain, lang, capacity in sorted(groups, key=str):
+        domains.setdefault(domain, []).append((lang, capacity))
+    tops = shares([(weights.domain.get(d, weights.other), sum(c for _, c in langs)) for d, langs in domains.items()], budget)
+    out: dict[tuple, float] = {}
+    for (domain, langs), top in zip(domains.items(), tops, strict=True):
+        given = shares([(weights.lang.get(la, weights.other), c) for la, c in langs], top)
+        out |= {(domain, la): amount for (la, _), amount in zip(langs, given, strict=True)}
+    return out
+
+
+def source_budgets(leaves: DataFrame, budget: float, weights: Weights, max_epochs: int) -> DataFrame:
+    """``leaves`` (domain, lang, source, tokens) with budget, whole tokens rounded down.
+
+    There may be as many sources as hosts, so those of a (domain, lang) aren't collected: what such a group holds per unit of weight is raised, round by round, as in :func:`shares`,
+    from two sums over its sources: the capacities of those that the level fills and the weights of the others. The driver sees groups only.
+    """
+    spark = leaves.sparkSession
+    named = F.create_map(*[F.lit(x) for kv in weights.source.items() for x in kv]) if weights.source else F.create_map().cast("map<string,double>")
+    weight = F.when(F.col("source").isNull(), F.lit(weights.other)).otherwise(F.coalesce(F.try_element_at(named, F.col("source")), F.lit(weights.other)))
+    rows = written(leaves.withColumn("__w", weight).withColumn("__c", F.when(F.col("__w") > 0, F.col("tokens") * float(max_epochs)).otherwise(0.0)), "leaves")
+    groups = rows.groupBy("domain", "lang").agg(F.sum("__c").alias("c"), F.sum(F.when(F.col("__c") > 0, F.col("__w")).otherwise(0.0)).alias("w")).collect()
+    given = split_by_language([(r["domain"], r["lang"], r["c"]) for r in groups], budget, weights)
+    levels = {(r["domain"], r["lang"]): given[r["domain"], r["lang"]] / r["w"] if r["w"] else 0.0 for r in groups}
+    open_ = set(levels)
+
+    def levelled(some: set) -> DataFrame:
+        table = spark.createDataFrame([(d, la, levels[d, la]) for d, la in some], "__d string, __l string, level double")
+        return rows.join(F.broadcast(table) if len(some) <= MAX_LEAVES else table, F.col("domain").eqNullSafe(F.col("__d")) & F.col("lang").eqNullSafe(F.col("__l")))
+
+    full = F.col("__c") <= F.col("level") * F.col("__w") + 1e-12
+    while open_:
+        sums = levelled(open_).groupBy("domain", "lang").agg(F.sum(F.when(full, F.col("__c")).otherwise(0.0)).alias("filled"), F.sum(F.when(full, 0.0).otherwise(F.col("__w"))).alias("left")).collect()
+        raised = set()
+        for r in sums:
+            key = (r["domain"], r["lang"])
+            level = (given[key] - r["filled"]) / r["left"] if r["left"] else float("inf")
+            if level > levels[key] * (1 + 1e-12):
+                levels[key] = level
+                raised.add(key)
+        open_ = {k for k in raised if levels[k] != float("inf")}
+    amount = F.floor(F.least(F.col("__c"), F.when(F.col("__w") > 0, F.col("level") * F.col("__w")).otherwise(0.0)) + 1e-6).cast("long")
+    return levelled(set(levels)).withColumn("budget", amount).select(*leaves.columns, "budget")
 
 
 def _point(seed: int, epoch: Column, doc_id: Column, size: Column) -> Column:
@@ -100,16 +128,12 @@ def _point(seed: int, epoch: Column, doc_id: Column, size: Column) -> Column:
 
 
 def planned(counts: DataFrame, budget_share: float, weights: Weights, max_epochs: int) -> DataFrame:
-    """Leaves with rows, tokens, epochs (whole) and rest (tokens of one more). The tree is as large as there are sources and languages, not documents."""
-    rows = counts.groupBy(*LEAF).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()
-    total = sum(r["tokens"] for r in rows)
-    given = budgets([(r["domain"], r["lang"], r["source"], r["tokens"]) for r in rows], int(total * budget_share), weights, max_epochs)
-    plan = []
-    for r in rows:
-        b, t = given[(r["domain"], r["lang"], r["source"])], r["tokens"]
-        epochs = min(max_epochs, b // t) if t else 0
-        plan.append((r["domain"], r["lang"], r["source"], int(epochs), int(b - epochs * t), int(b), max(1, -(-r["n"] // SLOT_ROWS))))
-    return counts.sparkSession.createDataFrame(plan, "domain string, lang string, source string, epochs long, rest long, budget long, slots long")
+    """Leaves with epochs (whole), rest (tokens of one more), budget and slots."""
+    leaves = counts.groupBy(*LEAF).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("tokens")).first()[0] or 0
+    given = source_budgets(leaves, int(total * budget_share), weights, max_epochs)
+    epochs = F.when(F.col("tokens") > 0, F.least(F.lit(max_epochs), F.floor(F.col("budget") / F.col("tokens")))).otherwise(0).cast("long")
+    return given.withColumn("epochs", epochs).select(*LEAF, "epochs", (F.col("budget") - F.col("epochs") * F.col("tokens")).alias("rest"), "budget", F.greatest(F.lit(1), F.ceil(F.col("n") / SLOT_ROWS)).cast("long").alias("slots"))
 
 
 #: A table of leaves is broadcast only up to so many rows (a few MB); beyond it the join picks its own way.
@@ -140,18 +164,18 @@ def _text_key() -> Column:
 def decisions(docs: DataFrame, budget_share: float, weights: Weights, domains: Mapping[str, str], max_epochs: int, seed: int) -> tuple[DataFrame, int]:
     """For each leaf: epochs, slots, rest, edge (the slot where the prefix ends; null where it takes all) and cutoff (last point taken in it); and the number of leaves."""
     counts = written(docs.select("doc_id", domain_of(F.col("source"), domains).alias("domain"), "lang", "source", tokens_of(F.col("text")).alias("tokens"), _text_key().alias("__key")), "tokens")
-    plan = written(planned(counts, budget_share, weights, max_epochs).coalesce(1), "plan")
+    plan = written(planned(counts, budget_share, weights, max_epochs), "plan")
     n = plan.count()
     placed = _slotted(_leaf_join(counts, plan.select(*LEAF, "epochs", "rest", "slots"), n), seed)
     sums = placed.groupBy(*LEAF, "rest", "__slot").agg(F.sum("tokens").alias("t"))
     before = F.coalesce(F.sum("t").over(Window.partitionBy(*LEAF).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edges = sums.withColumn("before", before).where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("t") > F.col("rest")))
-    edges = written(edges.groupBy(*LEAF).agg(F.min("__slot").alias("edge"), F.min_by("before", "__slot").alias("before")).coalesce(1), "edges")
+    edges = written(edges.groupBy(*LEAF).agg(F.min("__slot").alias("edge"), F.min_by("before", "__slot").alias("before")), "edges")
     order = Window.partitionBy(*LEAF).orderBy("__point").rangeBetween(Window.unboundedPreceding, 0)
     last = _leaf_join(placed, edges, n).where(F.col("__slot") == F.col("edge")).withColumn("run", F.sum("tokens").over(order))
     cutoffs = last.where(F.col("before") + F.col("run") <= F.col("rest")).groupBy(*LEAF).agg(F.max("__point").alias("cutoff"))
-    made = _leaf_join(_leaf_join(plan, edges.drop("before"), n, "left"), written(cutoffs.coalesce(1), "cutoffs"), n, "left")
-    return written(made.select(*LEAF, "epochs", "rest", "slots", "edge", "cutoff").coalesce(1), "mix"), n
+    made = _leaf_join(_leaf_join(plan, edges.drop("before"), n, "left"), written(cutoffs, "cutoffs"), n, "left")
+    return written(made.select(*LEAF, "epochs", "rest", "slots", "edge", "cutoff"), "mix"), n
 
 
 def with_copies(docs: DataFrame, decided: DataFrame, n: int, domains: Mapping[str, str], seed: int) -> DataFrame:

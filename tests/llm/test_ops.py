@@ -274,11 +274,47 @@ def test_feistel_is_a_permutation(spark):
     assert len({(r.p.a, r.p.b) for r in pairs}) == 13 * 7 and all(r.p.a < 13 and r.p.b < 7 for r in pairs)
 
 
-def test_budgets_stay_with_siblings_first():
-    leaves = [("web", "en", "a", 10), ("web", "en", "b", 1000), ("web", "de", "c", 1000), ("books", "en", "d", 1000)]
-    got = mixing.budgets(leaves, 400, mixing.Weights(domain={"web": 1.0, "books": 1.0}), 1)
+def test_budgets_stay_with_siblings_first(spark):
+    leaves = spark.createDataFrame([("web", "en", "a", 10), ("web", "en", "b", 1000), ("web", "de", "c", 1000), ("books", "en", "d", 1000)], "domain string, lang string, source string, tokens long")
+    got = {r.source: r.budget for r in mixing.source_budgets(leaves, 400, mixing.Weights(domain={"web": 1.0, "books": 1.0}), 1).collect()}
     # the web's half is split by language; a's shortage goes to b, its sibling, and not to c or d
-    assert got == {("web", "en", "a"): 10, ("web", "en", "b"): 90, ("web", "de", "c"): 100, ("books", "en", "d"): 200}
+    assert got == {"a": 10, "b": 90, "c": 100, "d": 200}
+
+
+def test_source_budgets_are_shares(spark):
+    """The rounds over sums give each source what the list of siblings gives."""
+    r = random.Random(9)
+    rows = [("web", "en", f"s{i}", r.choice((0, 1, 5, 50, 900, 20_000))) for i in range(60)] + [("web", None, None, 70), ("web", "en", None, 33)]
+    weights = mixing.Weights(source={f"s{i}": r.choice((0.0, 0.5, 3.0, 10.0)) for i in range(0, 60, 3)})
+    for budget in (0, 1, 500, 30_000, 10**9):
+        got = {(x.lang, x.source): x.budget for x in mixing.source_budgets(spark.createDataFrame(rows, "domain string, lang string, source string, tokens long"), budget, weights, 2).collect()}
+        of = lambda name: weights.source.get(name, 1.0) if name else 1.0
+        groups = {la: [x for x in rows if x[1] == la] for la in ("en", None)}
+        top = mixing.split_by_language([("web", la, float(2 * sum(x[3] for x in g if of(x[2]) > 0))) for la, g in groups.items()], budget, weights)
+        for la, g in groups.items():
+            want = mixing.shares([(of(x[2]), 2.0 * x[3]) for x in g], top["web", la])
+            assert all(abs(got[la, x[2]] - w) <= 1 for x, w in zip(g, want))
+
+
+def test_mixing_prefix_is_brute_force(spark, monkeypatch):
+    """Each leaf takes whole epochs and then documents in the order of their points while they fit, whatever the slots."""
+    monkeypatch.setattr(mixing, "SLOT_ROWS", 7)
+    r = random.Random(10)
+    rows = [(i, " ".join(["w"] * r.choice((0, 1, 2, 9, 40))) if i % 17 else None, r.choice(("en", "de", None)), r.choice(("src0", "src1", None))) for i in range(400)] + [(5, "w w", "en", "src0")] * 2 + [(None, "w", "en", "src0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.selected(docs, budget_share=0.7, max_epochs=2)
+    counts = docs.select("doc_id", mixing.domain_of(F.col("source")).alias("domain"), "lang", "source", mixing.tokens_of(F.col("text")).alias("tokens"), mixing._text_key().alias("key"))
+    plan = {(p.domain, p.lang, p.source): p for p in mixing.planned(counts, 0.7, mixing.WEIGHTS, 2).collect()}
+    points = counts.join(mixing.planned(counts, 0.7, mixing.WEIGHTS, 2).select(*[F.col(c).alias(f"p_{c}") for c in mixing.LEAF], "epochs"), F.expr(" AND ".join(f"{c} <=> p_{c}" for c in mixing.LEAF))).withColumn("point", mixing._point(11, F.col("epochs"), F.col("doc_id"), F.col("key"))).collect()
+    want = []
+    for leaf, p in plan.items():
+        mine, run = sorted((x for x in points if (x.domain, x.lang, x.source) == leaf), key=lambda x: x.point), 0
+        for at in sorted({x.point for x in mine}):
+            some = [x for x in mine if x.point == at]
+            run += sum(x.tokens for x in some)
+            want += [(x.doc_id, x.tokens, p.epochs + (1 if p.rest > 0 and run <= p.rest else 0)) for x in some]
+    key = lambda x: (x[0] is None, x)
+    assert sorted(((x.doc_id, x.tokens, x.copies) for x in got.collect()), key=str) == sorted(want, key=str)
 
 
 def test_mixing(spark, none):
