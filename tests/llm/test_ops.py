@@ -144,12 +144,25 @@ def test_url_filter(spark):
 def test_cascade_is_exact(spark):
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = spark.range(0, 3000, 7).select(F.concat(F.lit("k"), "id").alias("key"))
-    levels = url_filter.cascade(keys, listed)
+    told = url_filter.keyed(keys.unionByName(keys), listed.unionByName(spark.createDataFrame([(None,), ("other",)], "key string")))
+    levels = url_filter.cascade(told, 429, 2571)
     hashed = keys.select("key", *url_filter._hashed("key")).toPandas()
     got = url_filter.member(levels, hashed.h1.to_numpy().view(np.uint64), hashed.h2.to_numpy().view(np.uint64))
     assert len(levels) > 1 and got.tolist() == [int(k[1:]) % 7 == 0 for k in hashed.key]
 
 
+def test_url_filter_in_shards(spark, monkeypatch):
+    """A list too large for MAX_BYTES is split by itself and gives the same verdicts; rows may repeat, and extra columns clash."""
+    rows = [(i, f"https://a.h{i % 400}.org/x", "h", True) for i in range(800)] + [(3, "https://a.h3.org/x", "h", False), (None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, __listed boolean")
+    names = spark.createDataFrame([(f"h{i}.org",) for i in range(0, 400, 3)], "key string")
+    whole = sorted(map(tuple, url_filter.judged(pages, names).collect()), key=str)
+    monkeypatch.setattr(url_filter, "MAX_BYTES", 64)
+    assert url_filter.shards_for(134, 400) > 2
+    assert sorted(map(tuple, url_filter.judged(pages, names).collect()), key=str) == whole
+    assert {r[0] for r in whole if r[4] == "block"} == {i for i in range(800) if i % 400 % 3 == 0}
+
+
 def test_license_scan(spark):
     rows = ["Released under the MIT license. mit License mit license", "no words of that kind", None, "under the GNU General Public License, version 2", "SPDX-License-Identifier: Apache-2.0", "mitlicense mit\u00e9 license"]
     got = by_id(license_scan.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")))
