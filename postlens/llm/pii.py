@@ -2,15 +2,15 @@
 
 One pattern finds candidates; each is validated for its kind (check digit, ranges, calendar) and only
 valid ones are replaced. Numbers and dates go through a keyed Feistel network over exactly their own
-domain, so the pseudonym is again valid, keeps separators and length, and the map is one-to-one:
+domain, so the pseudonym is again valid, keeps separators and (addresses aside) length, and the map is one-to-one:
 equal values get equal pseudonyms in every document and different ones stay different.
 
 * card: 13 to 19 digits with a right Luhn digit; the payload is permuted, the Luhn digit worked out anew.
 * iban: mod-97 valid; country, length and letters stay, digits are permuted, check digits follow.
 * ssn: area, group and serial within their ranges, permuted over exactly those values.
-* phone: the digits after the country code (all digits where there is none).
-* ip: four octets up to 255, permuted as a 32-bit number.
-* date: a real day as yyyy-mm-dd, dd.mm.yyyy or dd/mm/yyyy, permuted within its 400-year cycle.
+* phone: the digits after the country code, which the table of codes tells without separators; numbers without a code are of code 1, so all spellings of a number stay linked.
+* ip: four octets up to 255, permuted as a 32-bit number and written without leading zeros, so its length may change.
+* date: a real day, not one in a path or query of a URL, as yyyy-mm-dd, dd.mm.yyyy or dd/mm/yyyy, permuted within its 400-year cycle.
 * email and secret have no numeric domain: a keyed digest in the same alphabet takes their place.
 
 Cards and IBANs are looked for in whole runs of tokens, so what stands beside one (an expiry date, a code, a currency) doesn't hide it:
@@ -29,13 +29,14 @@ from pyspark.sql import functions as F
 
 from .quality_rules import let
 
-KEY = "postlens-demo-key"
+#: Where the session has the key, and the key of tests and demonstrations for sessions without one.
+KEY_SETTING, KEY = "spark.postlens.pii.key", "postlens-demo-key"
 ROUNDS = 8
 KINDS = ("email", "iban", "date", "ip", "ssn", "phone", "card", "secret")
 
 EMAIL = r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,8}\.[A-Za-z]{2,24}"
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
-DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\1[0-9]{4}"
+DATE = r"(?<![/=])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\1[0-9]{4})(?!/)"
 IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 PHONE = r"\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?(?:[ .\-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}([.\-])[0-9]{3}\2[0-9]{4}"
@@ -53,6 +54,8 @@ GATE = r"[0-9@]"
 
 #: Length by country of the IBAN registry.
 _IBAN_SIZES = {size: names.split() for size, names in {15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items()}
+#: Country codes of two digits (fixed values of the numbering plan); 1 and 7 have one digit and all others three.
+_TWO_DIGIT_CODES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 #: Tokens and characters of the longest part of a run: 19 single digits, 34 characters with 8 spaces, a secret of 64.
 _PART, _PART_CHARS = 19, 64
 
@@ -82,14 +85,14 @@ def feistel(a: Column, b: Column, mod_a: Column, mod_b: Column, domain: Column,
     return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")), step)
 
 
-def permuted_digits(d: Column, domain: str, key: str) -> Column:
+def permuted_digits(d: Column, domain: str | Column, key: str) -> Column:
     """A string of 2 to 36 digits as another one of the same length."""
 
     def body(x: Column) -> Column:
         n = F.length(x)
         u, v = F.floor(n / 2).cast("int"), F.ceil(n / 2).cast("int")
         ten = lambda k: F.pow(F.lit(10.0), k).cast("long")
-        halves = feistel(F.left(x, u).cast("long"), F.right(x, v).cast("long"), ten(u), ten(v), F.concat(F.lit(domain), n.cast("string")), key)
+        halves = feistel(F.left(x, u).cast("long"), F.right(x, v).cast("long"), ten(u), ten(v), F.concat(domain if isinstance(domain, Column) else F.lit(domain), n.cast("string")), key)
         return let(halves, lambda p: F.concat(F.lpad(p["a"].cast("string"), u, "0"), F.lpad(p["b"].cast("string"), v, "0")))
 
     return let(d, body)
@@ -194,11 +197,23 @@ def _date(s: Column, key: str) -> Column:
     return let(moved, writes)
 
 
+def _country_code(d: Column) -> Column:
+    """The country code that the digits of an international number begin with: no code is the beginning of another, so it is found without separators."""
+    two = F.left(d, F.lit(2))
+    size = F.when(d.rlike("^[17]"), 1).when(two.isin(*_TWO_DIGIT_CODES), 2).otherwise(3)
+    return F.left(d, size)
+
+
 def _phone(s: Column, key: str) -> Column:
-    """What stands before the first separator of an international number is its country code and stays."""
-    code = F.regexp_extract(s, r"^\+[0-9]{1,3}(?=[ .\-(])", 0)
-    rest = F.substring(s, F.length(code) + 1, F.length(s))
-    return F.concat(code, _refilled(rest, permuted_digits(_digits(rest), "phone", key)))
+    """The country code stays and the digits after it are permuted, however they are grouped; a number without a code is one of code 1."""
+
+    def body(d: Column) -> Column:
+        code = F.when(F.startswith(s, F.lit("+")), _country_code(d)).otherwise(F.lit(""))
+        rest = F.substring(d, F.length(code) + 1, F.length(d))
+        domain = F.concat(F.lit("phone"), F.when(code == "", F.lit("1")).otherwise(code), F.lit("/"))
+        return _refilled(s, F.concat(code, permuted_digits(rest, domain, key)))
+
+    return let(_digits(s), body)
 
 
 def _digest(s: Column, label: str, key: str) -> Column:
@@ -296,12 +311,16 @@ def treated(text: Column, key: str = KEY) -> Column:
     return F.when(text.rlike(GATE), let(text, body)).otherwise(plain)
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``docs`` with pseudonyms in ``text``; all columns stay in place."""
-    return docs.withColumn("text", treated(F.col("text"), key)["text"])
+def session_key(docs: DataFrame) -> str:
+    return docs.sparkSession.conf.get(KEY_SETTING, KEY)
+
+
+def pseudonymised(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """``docs`` with pseudonyms in ``text``; all columns stay in place. Without ``key`` the session's is used."""
+    return docs.withColumn("text", treated(F.col("text"), key or session_key(docs))["text"])
 
 
-def found(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """doc_id, text with pseudonyms, kinds in order of place."""
-    done = docs.select("doc_id", treated(F.col("text"), key).alias("__p"))
+def found(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """doc_id, text with pseudonyms, kinds in order of place. Without ``key`` the session's is used."""
+    done = docs.select("doc_id", treated(F.col("text"), key or session_key(docs)).alias("__p"))
     return done.select("doc_id", F.col("__p.text").alias("text"), F.col("__p.kinds").alias("kinds"))

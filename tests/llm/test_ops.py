@@ -282,6 +282,65 @@ def test_pii_beside_other_tokens(spark):
     assert got[7].kinds == ["card", "card"] and got[10].kinds == ["iban", "card"] and got[11].kinds == ["ssn", "card", "date"]
 
 
+def test_pii_phones_stay_linked(spark):
+    """One number in any spelling has one pseudonym, with its country code; other numbers have others."""
+    same = [["+491701234567", "+49 170 1234567", "+49-170-123-4567", "+49 (170) 1234567"], ["+1 743 555 3824", "(743) 555-3824", "743-555-3824", "743.555.3824", "+17435553824"], ["+351 912 345 678", "+351912345678"], ["+491701234568"], ["+7 495 123 45 67"]]
+    rows = [(i, f"call {x} now") for i, x in enumerate(x for g in same for x in g)]
+    got = by_id(pii.found(spark.createDataFrame(rows, "doc_id long, text string")))
+    digits, at = [], 0
+    for group in same:
+        mine = {re.sub("[^0-9]", "", got[at + i].text)[-(len(re.sub("[^0-9]", "", min(group, key=len)))):] for i in range(len(group))}
+        assert all(got[at + i].kinds == ["phone"] and re.sub("[0-9]", "0", got[at + i].text) == re.sub("[0-9]", "0", rows[at + i][1]) for i in range(len(group)))
+        digits.append({x[-10:] if group[0].startswith("+1 ") else x for x in mine})
+        at += len(group)
+    assert all(len(d) == 1 for d in digits) and len({x for d in digits for x in d}) == len(same)
+    assert [min(d)[:n] for d, n in zip(digits, (2, 0, 3, 2, 1))] == ["49", "", "351", "49", "7"]
+
+
+def test_pii_edges(spark, docs, none):
+    assert pii.found(none).count() == 0 and pii.pseudonymised(docs).columns == docs.columns
+    left = {(r.doc_id, r.text) for r in docs.collect()}
+    assert {(r.doc_id, r.text) for r in pii.pseudonymised(docs).collect()} == left
+    rows = [(1, "born 1990-02-28"), (1, "born 1990-02-28"), (None, "https://a.org/2024-02-28/x?d=2024-02-28"), (3, ("x " * 40_000) + "born 1990-02-28")]
+    got = pii.found(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.kinds for r in got] == [["date"], ["date"], [], ["date"]] and got[0].text == got[1].text and got[3].text.endswith(got[0].text)
+    spark.conf.set(pii.KEY_SETTING, "another")
+    try:
+        assert pii.found(spark.createDataFrame(rows[:1], "doc_id long, text string")).first().text != got[0].text
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_pii_is_brute_force(spark):
+    """Every valid value among random ones is found at its place, and nothing else changes."""
+    r = random.Random(12)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+
+    values = []
+    for _ in range(120):
+        d = digits(16)
+        odd = d[::-1][1:]
+        total = sum((2 * int(x) - 9 if int(x) > 4 else 2 * int(x)) if i % 2 == 0 else int(x) for i, x in enumerate(odd)) + int(d[-1])
+        values.append((d, "card" if total % 10 == 0 else None))
+        o = [r.randint(0, 300) for _ in range(4)]
+        values.append((".".join(map(str, o)), "ip" if max(o) < 256 else None))
+        y, m, day = r.randint(1900, 2100), r.randint(0, 13), r.randint(0, 32)
+        try:
+            __import__("datetime").date(y, m, day)
+            values.append((f"{y}-{m:02}-{day:02}", "date"))
+        except ValueError:
+            values.append((f"{y}-{m:02}-{day:02}", None))
+        s = (digits(3), digits(2), digits(4))
+        values.append(("-".join(s), "ssn" if 0 < int(s[0]) < 900 and s[0] != "666" and int(s[1]) and int(s[2]) else None))
+    got = by_id(pii.found(spark.createDataFrame([(i, f"see {v}, end") for i, (v, _) in enumerate(values)], "doc_id long, text string")))
+    for i, (v, kind) in enumerate(values):
+        assert got[i].kinds == ([kind] if kind else []), v
+        assert got[i].text.startswith("see ") and got[i].text.endswith(", end") and (kind or got[i].text == f"see {v}, end")
+    for kind in ("card", "ip", "date", "ssn"):
+        pairs = {(v, got[i].text) for i, (v, k) in enumerate(values) if k == kind}
+        assert len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs)
+
+
 def test_feistel_is_a_permutation(spark):
     pairs = spark.range(13 * 7).select(pii.feistel(F.floor(F.col("id") / 7), F.col("id") % 7, F.lit(13), F.lit(7), F.lit("t"), "k").alias("p")).collect()
     assert len({(r.p.a, r.p.b) for r in pairs}) == 13 * 7 and all(r.p.a < 13 and r.p.b < 7 for r in pairs)
