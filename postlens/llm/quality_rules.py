@@ -11,8 +11,8 @@ a stratum together stay below ``alpha``.
 
 Defined cases: null or empty text has no words, all counts are 0 and it fails the base rules; a null
 stratum is a stratum of its own; a stratum without enough good labels gets no cutoffs, so nothing but
-the base rules rejects there; repeated label rows count as often as they occur; repeated documents
-are judged one by one; an empty table gives an empty result. Columns besides those named are ignored.
+the base rules rejects there; trials must be independent, so repeated label rows count once, and so do the labelled copies of one text in a stratum (a document
+labelled both ways is good); repeated documents are judged one by one; an empty table gives an empty result. Columns besides those named are ignored.
 """
 
 from __future__ import annotations
@@ -56,17 +56,15 @@ def words_of(text: Column) -> Column:
 def _repeat_words(words: Column) -> Column:
     """Words that lie in a three-word window which occurs twice or more in the array.
 
-    Windows are sorted as longs, hash above and place below. Neighbours of equal hash are compared word by word;
-    only where some differ in spite of it are the candidates sorted as text.
+    A text whose window hashes all differ has none. Else windows are sorted as longs, hash above and place below; neighbours of equal hash are compared
+    word by word, and only where some differ in spite of it are the candidates sorted as text.
     """
 
     def body(w: Column) -> Column:
         n = F.size(w) - 2
         bits = PLACE_BITS
-        keyed = F.transform(
-            F.sequence(F.lit(0), n - 1),
-            lambda i: F.shiftleft(F.shiftright(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), bits), bits).bitwiseOR(i.cast("long")),
-        )
+        hashes = F.transform(F.slice(w, F.lit(1), n), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+        keyed = lambda h: F.transform(h, lambda x, i: F.shiftleft(F.shiftright(x, bits), bits).bitwiseOR(i.cast("long")))
 
         head = lambda x: F.shiftright(x, bits)
         place = lambda x: x.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
@@ -85,7 +83,8 @@ def _repeat_words(words: Column) -> Column:
             return let(grams, lambda g: F.transform(F.filter(g, lambda a, k: (a["g"] == F.get(g, k - 1)["g"]) | (a["g"] == F.get(g, k + 1)["g"])), lambda a: a["x"]))
 
         covered = lambda c: F.size(F.array_distinct(F.flatten(F.transform(c, lambda x: F.sequence(place(x), place(x) + 2)))))
-        found = let(let(F.sort_array(keyed), candidates), lambda c: F.when(F.size(c) < 2, F.lit(0)).when(collided(c), covered(compared(c))).otherwise(covered(c)))
+        repeated = lambda h: let(let(F.sort_array(keyed(h)), candidates), lambda c: F.when(F.size(c) < 2, F.lit(0)).when(collided(c), covered(compared(c))).otherwise(covered(c)))
+        found = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(repeated(h)))
         return F.when(n < 2, F.lit(0)).otherwise(found)
 
     return let(words, body)
@@ -108,6 +107,7 @@ def measures(docs: DataFrame, keep: list[Column]) -> DataFrame:
             _repeat_words(w).cast("long").alias("n_repeat_words"),
             F.regexp_count(t, F.lit("[A-Z]")).cast("long").alias("n_upper"),
             let(w, lambda x: F.size(F.filter(x, lambda a, i: a == F.get(x, i - 1)))).cast("long").alias("n_same"),
+            F.xxhash64(t).alias("text"),
         ).alias("m"),
     )
     return counted
@@ -165,8 +165,9 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = 0.05, delta:
     ``measured`` has doc_id, stratum and m. All labelled documents count; the aggregation holds one row for each
     stratum, rule and cutoff. Documents that the base rules reject are left out: the bound is on what the further rules take away.
     """
-    good = labels.where("quality = 1").select(F.col("doc_id").alias("__id"))
-    rows = measured.where(~base_failed(F.col("m"))).join(good, F.col("doc_id") == F.col("__id"), "inner")
+    good = labels.where("quality = 1").select(F.col("doc_id").alias("__id")).distinct()
+    labelled = measured.where(~base_failed(F.col("m"))).join(good, F.col("doc_id") == F.col("__id"), "inner")
+    rows = labelled.groupBy("stratum", F.col("m.text").alias("__text")).agg(F.first("m").alias("m"))
     counts = [F.count_if(ratio > cut).alias(f"{rule}:{cut}") for rule, ratio in ratios(F.col("m")).items() for cut in RULES[rule]]
     per = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts)
     grid = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(float(cut)).alias("cutoff"), F.col(f"`{rule}:{cut}`").alias("k")) for rule, cuts in RULES.items() for cut in cuts])

@@ -185,7 +185,9 @@ def test_quality_counts(docs, none, texts):
         many = {g for g in grams if grams.count(g) > 1} if len(grams) < 500 else {g for g, n in __import__("collections").Counter(grams).items() if n > 1}
         repeated = {k + x for k, g in enumerate(grams) if g in many for x in range(3)}
         m = got[i].m
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
         assert (m.n_words, m.word_chars, m.n_repeat_words) == (len(w), sum(map(len, w)), len(repeated)), i
+        assert (m.n_symbols, m.lines.again) == (len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines))), i
     assert quality_rules.measures(none, [F.col("doc_id")]).count() == 0
 
 
@@ -196,6 +198,36 @@ def test_binomial_bound(spark):
         assert r.p == 1.0 if r.k >= r.n * 0.05 else abs(r.p - true) < 1e-9
 
 
+def test_cutoffs_are_brute_force(spark):
+    """Strictest cutoffs whose exact binomial bound holds, by stratum; copies and repeated labels are one trial; strata without labels get none."""
+    r = random.Random(13)
+    words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(5000)]
+    rows = []
+    for i in range(1500):
+        bad = i % 5 == 0
+        w = [r.choice(words) for _ in range(60)]
+        rows.append((i, " ".join((x + " #") if bad and r.random() < 0.4 else x for x in w), ("en", "de", None)[i % 3] if i % 7 else "xx"))
+    rows += [(5000 + i, rows[0][1], "en") for i in range(300)]  # copies of a bad one, all labelled good
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 5 != 0 or i >= 5000), 0) for i, _, la in rows if la != "xx"] * 2, "doc_id long, quality int, toxic int")
+    measured = quality_rules.measures(docs, [F.col("doc_id"), F.col("lang").alias("stratum")])
+    got = {(x.stratum, x.rule): x.cutoff for x in quality_rules.cutoffs(measured, labels, alpha=0.5).collect()}
+    alpha, tests = 0.5 / len(quality_rules.RULES), 3 * sum(map(len, quality_rules.RULES.values()))
+    tail = lambda k, n: sum(math.comb(n, j) * alpha**j * (1 - alpha) ** (n - j) for j in range(k + 1))
+    want = {}
+    for stratum in ("en", "de", None):
+        good = {t for i, t, la in rows if la == stratum and (i % 5 != 0 or i >= 5000)}
+        symbols = [len(re.findall(r"[#*$%&|<>]", t)) / len(t.split()) for t in good]
+        for cut in quality_rules.RULES["symbols_per_word"]:
+            if tail(sum(x > cut for x in symbols), len(good)) <= 0.05 / tests:
+                want[stratum, "symbols_per_word"] = cut
+                break
+    assert {k: v for k, v in got.items() if k[1] == "symbols_per_word"} == want and want
+    out = by_id(quality_rules.judge(docs, labels, alpha=0.5))
+    assert not any(out[i].kept for i, t, la in rows if la == "en" and t.count("#") / 60 > 0.3 and t.count("#") / len(t.split()) > want.get(("en", "symbols_per_word"), 9)) and all(out[i].kept for i, t, la in rows if la == "xx")
+    assert quality_rules.judge(docs.where("false"), labels).count() == 0 and quality_rules.judge(docs, labels.where("false")).where("kept").count() == docs.count()
+
+
 def test_quality_keeps_all_columns(spark, docs):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(14)], "doc_id long, quality int, toxic int")
     out = quality_rules.passed(docs, labels)
