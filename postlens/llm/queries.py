@@ -80,9 +80,74 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.joined(tables(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def _quality_sql() -> str:
+    """The grid of cutoffs comes from the operator's parameter; the bound is the binomial tail written out."""
+    from .quality_rules import RULES
+
+    grid = ", ".join(f"('{rule}', {cut})" for rule, cuts in RULES.items() for cut in cuts)
+    return rf"""
+        WITH texts AS (
+            SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), grams AS (
+            SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM texts)
+        ), repeated AS (
+            SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM grams, (VALUES (0), (1), (2)) o(j) WHERE n > 1 GROUP BY doc_id
+        ), lines AS (
+            SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM texts)
+            WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+        ), counted AS (
+            SELECT x.doc_id, lang, t, len(w) AS n_words, coalesce(list_sum([length(a) FOR a IN w]), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+                coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+                len(regexp_extract_all(t, '[A-Z]')) AS n_upper, len([i FOR i IN range(2, len(w) + 1) IF w[i] = w[i - 1]]) AS n_same
+            FROM texts x LEFT JOIN repeated r ON x.doc_id = r.doc_id LEFT JOIN lines l ON x.doc_id = l.doc_id
+        ), judged AS (
+            SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbols_per_word, CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeated_words,
+                CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS repeated_lines, CASE WHEN word_chars > 0 THEN n_upper / word_chars ELSE 0 END AS upper_case, CASE WHEN n_words > 0 THEN n_same / n_words ELSE 0 END AS same_as_previous
+            FROM counted
+        ), ratios AS (
+            UNPIVOT (SELECT doc_id, lang, t, base_failed, symbols_per_word, repeated_words, repeated_lines, upper_case, same_as_previous FROM judged)
+            ON symbols_per_word, repeated_words, repeated_lines, upper_case, same_as_previous INTO NAME rule VALUE ratio
+        ), trials AS (
+            SELECT DISTINCT lang, t, rule, ratio FROM ratios WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)
+        ), tested AS (
+            SELECT lang, rule, cutoff, count(*) AS n, count(*) FILTER (ratio > cutoff) AS k FROM trials JOIN (VALUES {grid}) g(rule, cutoff) USING (rule) GROUP BY lang, rule, cutoff
+        ), bounded AS (
+            SELECT *, 0.05 / ((SELECT count(*) FROM (SELECT DISTINCT lang FROM trials)) * {sum(map(len, RULES.values()))}) AS level,
+                list_sum([exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({0.05 / len(RULES)}) + (n - j) * ln(1 - {0.05 / len(RULES)})) FOR j IN range(0, k + 1)]) AS tail FROM tested
+        ), cuts AS (
+            SELECT lang, rule, min(cutoff) AS cutoff FROM bounded WHERE k < n * {0.05 / len(RULES)} AND tail <= level GROUP BY lang, rule
+        ), broken AS (
+            SELECT DISTINCT doc_id FROM ratios r JOIN cuts c ON r.rule = c.rule AND r.lang IS NOT DISTINCT FROM c.lang WHERE ratio > cutoff
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM broken) AS kept FROM judged
+    """
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_code_search, op3_byte_bpe, op4_url_filter, op5_license_scan, op6_quality_rules, op7_toxicity, op8_pii, op9_mixing, op10_ngram_join)}
 
 SQL: dict[str, str] = {
+    "op1_suffix_dedup": """
+        WITH docs AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), places AS (
+            SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM docs WHERE length(h) >= 200
+        ), told AS (
+            SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS n FROM (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS g FROM places)
+        ), edges AS (
+            SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true) AS opens FROM told WHERE n > 1
+        ), numbered AS (
+            SELECT doc_id, i, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM edges
+        ), runs AS (
+            SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM numbered GROUP BY doc_id, run
+        ), gaps AS (
+            SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs
+        ), cut AS (
+            SELECT g.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+            FROM gaps g JOIN docs d ON g.doc_id = d.doc_id GROUP BY g.doc_id
+        )
+        SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+        FROM docs d LEFT JOIN cut c ON d.doc_id = c.doc_id
+    """,
     "op2_code_search": """
         WITH codes AS (
             SELECT vec_id, list_sum([CASE WHEN embedding[i + 1] > 0 AND NOT isnan(embedding[i + 1]) THEN (1::HUGEINT << i::INT) ELSE 0::HUGEINT END FOR i IN range(64)])::HUGEINT AS code FROM embeddings
@@ -116,6 +181,7 @@ SQL: dict[str, str] = {
             ELSE 'allow' END AS verdict
         FROM ruled
     """,
+    "op6_quality_rules": _quality_sql(),
     "op10_ngram_join": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
