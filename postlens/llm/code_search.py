@@ -14,7 +14,6 @@ code; an empty table gives an empty result; a table of fewer rows than k gives a
 
 from __future__ import annotations
 
-from itertools import combinations
 from math import comb
 
 from pyspark.sql import Column, DataFrame
@@ -41,12 +40,6 @@ def _segment(code: Column, s: Column | int) -> Column:
     return F.call_function("shiftrightunsigned", code, by.cast("int")).bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int")
 
 
-def _masks(low: int, high: int) -> Column:
-    """All 16-bit masks with ``low`` to ``high`` bits, as one constant."""
-    values = [sum(1 << b for b in c) for r in range(low, high + 1) for c in combinations(range(WIDTH), r)]
-    return F.from_json(F.lit(str(values)), "array<int>")
-
-
 def _segments(rows: DataFrame, code: str) -> DataFrame:
     each = rows.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))))
     return each.withColumn("v", _segment(F.col(code), F.col("s")))
@@ -56,14 +49,18 @@ def _probes(open_: DataFrame, values: DataFrame, n_values: int, low: int, high:
     """q, s, v: what each open query looks up in a round."""
     own = _segments(open_.select("q"), "q")
     if SEGMENTS * sum(comb(WIDTH, r) for r in range(low, high + 1)) <= n_values:
-        return own.select("q", "s", "v", F.explode(_masks(low, high)).alias("mask")).select("q", "s", F.col("v").bitwiseXOR(F.col("mask")).alias("v"))
+        # all masks of 16 bits by their number of bits: never more than 65 536 rows
+        masks = open_.sparkSession.range(1 << WIDTH).select(F.bit_count("id").alias("r"), F.col("id").cast("int").alias("mask")).where(F.col("r").between(low, high))
+        each = own.withColumn("r", F.explode(F.sequence(F.lit(low), F.lit(high)))).join(F.broadcast(masks), "r")
+        return each.select("q", "s", F.col("v").bitwiseXOR(F.col("mask")).alias("v"))
     there = values.select(F.col("s").alias("at"), F.col("v").alias("value"))
     return own.join(F.broadcast(there), (F.col("s") == F.col("at")) & (F.bit_count(F.col("v").bitwiseXOR(F.col("value"))).between(low, high))).select("q", "s", F.col("value").alias("v"))
 
 
 def _met(probes: DataFrame, index: DataFrame) -> DataFrame:
     """q, code, least, distance of the codes that a round meets for the first time, each once."""
-    pairs = probes.join(index, ["s", "v"])
+    # a few queries make many probes, which estimates from the file of queries don't show: never to be broadcast
+    pairs = probes.hint("merge").join(index, ["s", "v"])
     apart = F.col("q").bitwiseXOR(F.col("code"))
     here, first = F.bit_count(_segment(apart, F.col("s"))), F.lit(True)
     for t in range(SEGMENTS):

@@ -362,7 +362,8 @@ def _linked(pairs: DataFrame, kept: DataFrame, vertical: DataFrame) -> DataFrame
     every = F.explode(F.sequence(F.lit(0), F.lit(CLASSES * RANGES - 1))).alias("v")
     met = written(likely.select("a", "b", "an", "bn"), "likely").select("a", "b", "an", "bn", every)
     piece = lambda name: vertical.select(F.col("class").alias(name), "v", F.col("piece").alias(f"{name}p"))
-    partial = met.join(piece("a"), ["a", "v"]).join(piece("b"), ["b", "v"]).select("a", "b", "an", "bn", F.size(F.array_intersect("ap", "bp")).alias("count"))
+    # a pair is a row for each fragment here, which estimates from its file don't show: never to be broadcast
+    partial = met.hint("merge").join(piece("a"), ["a", "v"]).join(piece("b"), ["b", "v"]).select("a", "b", "an", "bn", F.size(F.array_intersect("ap", "bp")).alias("count"))
     counted = partial.groupBy("a", "b", "an", "bn").agg(F.sum("count").alias("common"))
     return counted.where(100 * F.col("common") >= PERCENT * (F.col("an") + F.col("bn") - F.col("common"))).select("a", "b", "an", "bn", "common")
 
