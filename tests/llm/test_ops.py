@@ -80,8 +80,10 @@ def test_loser_tree_is_a_merge():
     assert all(out[i][: common[i]] == out[i - 1][: common[i]] for i in range(1, len(out)))
 
 
-def test_code_search(spark):
-    """All rounds: codes that differ in few bits, codes that differ in nearly all, more and fewer queries than values."""
+@pytest.mark.parametrize("count", [3, 4, 5, 8])
+def test_code_search(spark, monkeypatch, count):
+    """All rounds, with few wide segments and many narrow ones: codes that differ in few bits, codes that differ in nearly all, more and fewer queries than values."""
+    monkeypatch.setattr(code_search.Segments, "of", classmethod(lambda cls, _: cls(count)))
     rng = np.random.default_rng(3)
     near = rng.integers(0, 1 << 62, 700, dtype=np.uint64) & np.uint64(0x0F0FFF000FF0F0FF)
     codes = np.unique(np.concatenate([near, ~near[:9], np.array([0, (1 << 64) - 1], np.uint64)]))
