@@ -65,15 +65,35 @@ def combined_text(title: Column, department: Column, locations: Column, descript
     return F.concat_ws("\n", title, department, F.array_join(locations, " "), description)
 
 
-#: Entities that need no full table; the rest is for :func:`unescaped`.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+#: Named entities (fixed values) that are resolved in place, ``&amp;`` last so that nothing is resolved twice; the whole table is for :func:`unescaped`.
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&rsquo;", "\u2019"), ("&lsquo;", "\u2018"), ("&rdquo;", "\u201d"), ("&ldquo;", "\u201c"), ("&ndash;", "\u2013"), ("&mdash;", "\u2014"), ("&hellip;", "\u2026"), ("&bull;", "\u2022"), ("&euro;", "\u20ac"), ("&uuml;", "ü"), ("&ouml;", "ö"), ("&auml;", "ä"), ("&szlig;", "ß"), ("&ccedil;", "ç"), ("&eacute;", "é"), ("&amp;", "&"))
+_NUMERIC = r"&#(x[0-9A-Fa-f]{1,6}|[0-9]{1,7});"
+
+
+def entities_resolved(c: Column) -> Column:
+    """Numbered entities and the named ones of ENTITIES, each once; numbers beyond Unicode stay."""
+
+    def character(code: Column) -> Column:
+        n = F.when(F.startswith(code, F.lit("x")), F.conv(F.substring(code, F.lit(2), F.lit(6)), 16, 10).cast("long")).otherwise(code.cast("long"))
+        return F.when((n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+
+    def rebuilt(t: Column) -> Column:
+        codes, parts = F.regexp_extract_all(t, F.lit(_NUMERIC), F.lit(1)), F.split(t, _NUMERIC, -1)
+        return F.array_join(F.transform(parts, lambda x, i: F.concat(x, F.coalesce(character(F.get(codes, i)), F.concat(F.lit("&#"), F.get(codes, i), F.lit(";")), F.lit("")))), "")
+
+    c = F.when(F.contains(c, F.lit("&#")), rebuilt(c)).otherwise(c)
+    for name, char in ENTITIES:
+        c = F.replace(c, F.lit(name), F.lit(char))
+    return c
 
 
 def html_text(c: Column) -> Column:
-    """Tags to text: no scripts and styles, breaks and closed blocks as lines, items as bullets, white space squeezed."""
-    c = F.regexp_replace(text_or_empty(c), r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", " ")
+    """Markup, escaped or not, to text: entities first, as feeds escape whole documents; no scripts and styles, breaks and closed blocks as lines, items as bullets, white space squeezed."""
+    c = entities_resolved(text_or_empty(c))
+    c = F.regexp_replace(c, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", " ")
     c = F.regexp_replace(c, r"(?i)<br[^>]*>|</(p|div|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|section|article)>", "\n")
     c = F.regexp_replace(F.regexp_replace(c, r"(?i)<li[^>]*>", "- "), r"<[^>]*>", " ")
+    # what was escaped twice inside escaped markup is text by now
     for name, char in ENTITIES:
         c = F.replace(c, F.lit(name), F.lit(char))
     c = F.regexp_replace(F.regexp_replace(c, r"[ \t\r]+", " "), r" ?\n ?", "\n")
@@ -168,14 +188,28 @@ def cv_normalised(c: Column) -> Column:
     return F.array_join(F.transform(F.split(c, "\n"), spaced_heading), "\n")
 
 
-def work_mode(declared: Column, text: Column) -> Column:
-    """A declared field beats free text; remote goes before hybrid before office."""
-    rules = ((r"\b(hybrid|hibrit)\b", "hybrid"), (r"\b(remote|uzaktan|work from home|evden)\b", "remote"), (r"\b(on-?site|in office|office|ofis)\b", "office"))
-    out = F.lit("unknown")
-    for where in (text, declared):
-        for pattern, name in reversed(rules):
+#: Mode by wording; hybrid goes before remote, as hybrid postings name remote days.
+MODES = ((r"\b(hybrid|hibrit)\b", "hybrid"), (r"\b(remote|uzaktan|work from home|evden)\b", "remote"), (r"\b(on-?site|in office|office|ofis)\b", "office"))
+
+
+def work_mode(declared: Column, text: Column, remote: Column | None = None, locations: Column | None = None) -> Column:
+    """A declared field beats the remote flag, that the wording of the locations, and that free text; hybrid goes before remote, remote before office. A place alone means the office."""
+
+    def named(where: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for pattern, name in reversed(MODES):
             out = F.when(where.rlike(unicode_pattern(pattern)), F.lit(name)).otherwise(out)
-    return out
+        return out
+
+    steps = [named(declared)]
+    if remote is not None:
+        steps.append(F.when(remote, F.lit("remote")))
+    if locations is not None:
+        steps.append(named(F.array_join(locations, " / ")))
+    steps.append(named(text))
+    if locations is not None:
+        steps.append(F.when(F.size(locations) > 0, F.lit("office")))
+    return F.coalesce(*steps, F.lit("unknown"))
 
 
 EMPLOYMENT = {"full-time": "full", "full_time": "full", "fulltime": "full", "permanent": "full", "part-time": "part", "part_time": "part", "contract": "contract", "contractor": "contract", "temporary": "contract", "intern": "intern", "internship": "intern", "freelance": "freelance"}

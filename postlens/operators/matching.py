@@ -16,26 +16,53 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, WORD), lambda x: x != "")
 
 
-def grams(text: Column, longest: int = 3) -> Column:
-    """Distinct runs of 1 to ``longest`` words. The words are bound once; written out in the inner function they would be split again for each place."""
+#: Dictionary rows up to which the table is broadcast, and first words up to which they are looked up as a constant set.
+MAX_TERMS, MAX_FIRST_WORDS = 100_000, 5_000
 
-    def runs(w: Column, n: int) -> Column:
-        made = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.concat_ws(" ", *[F.get(w, i + k - 1) for k in range(n)]))
-        return F.when(F.size(w) >= n, made).otherwise(F.array().cast("array<string>"))
 
-    def of(w: Column) -> Column:
-        sizes = [runs(w, n) for n in range(1, longest + 1)]
-        return F.array_distinct(F.concat(*sizes))
-
-    return F.get(F.transform(F.array(words(text)), of), F.lit(0))
+def _hits(w: Column, firsts: list[str] | None, longest: int) -> Column:
+    """Distinct runs of 1 to ``longest`` words that begin with a first word of some term. Longer runs are made at those places only."""
+    places = F.transform(w, lambda x, i: i) if firsts is None else F.filter(F.transform(w, lambda x, i: F.when(F.lower(x).isin(firsts), i)), lambda i: i.isNotNull())
+    run = lambda i, n: F.when(i + n <= F.size(w), F.array_join(F.slice(w, i + 1, n), " "))
+    return F.array_compact(F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(*[run(i, n) for n in range(1, longest + 1)])))))
 
 
 def token_matches(docs: DataFrame, key: list[str], text: str, terms: DataFrame, longest: int = 3) -> DataFrame:
-    """key, canonical: each dictionary entry met in each text, once. The text is cut into n-grams once; terms of exact case join on the raw n-gram, others on the lower-cased one."""
-    each = docs.select(*key, F.explode(grams(F.col(text), longest)).alias("gram"))
-    exact = terms.where("case_sensitive").select(F.col("term").alias("gram"), "canonical")
-    loose = terms.where("NOT case_sensitive").select(F.lower("term").alias("gram"), "canonical")
-    return each.join(exact, "gram").unionByName(each.withColumn("gram", F.lower("gram")).join(loose, "gram")).select(*key, "canonical").distinct()
+    """key, canonical: each dictionary entry met in each text, once.
+
+    Each text is cut into words once, words that begin no term are dropped before anything is exploded, and what is left meets the dictionary, which is broadcast if it has
+    MAX_TERMS rows at most. Terms of exact case must equal the run of words as written, others its lower-cased form.
+    """
+    table = terms.select("canonical", "term", "case_sensitive", F.lower("term").alias("gram"), F.lower(F.split_part("term", F.lit(" "), F.lit(1))).alias("__first"))
+    n = table.count()
+    firsts = [r[0] for r in table.select("__first").distinct().limit(MAX_FIRST_WORDS + 1).collect()]
+    cut = docs.select(*key, F.get(F.transform(F.array(words(F.col(text))), lambda w: _hits(w, sorted(firsts) if len(firsts) <= MAX_FIRST_WORDS else None, longest)), F.lit(0)).alias("__grams"))
+    each = cut.select(*key, F.explode("__grams").alias("__raw")).withColumn("gram", F.lower("__raw"))
+    small = table.drop("__first")
+    met = each.join(F.broadcast(small) if n <= MAX_TERMS else small, "gram").where(~F.col("case_sensitive") | (F.col("__raw") == F.col("term")))
+    return met.select(*key, "canonical").distinct()
+
+
+def matched(text: Column, terms: list[tuple[str, str, bool]], longest: int = 3) -> Column:
+    """Sorted canonical names met in a text, as one array without a shuffle, for a dictionary (canonical, term, case sensitive) that is a parameter of the plan."""
+    firsts = sorted({t.split()[0].lower() for _, t, _ in terms})
+    table = lambda rows: F.create_map(*[x for k, v in rows.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in v]))]) if rows else None
+    exact: dict[str, list[str]] = {}
+    loose: dict[str, list[str]] = {}
+    for name, term, cs in terms:
+        (exact if cs else loose).setdefault(term if cs else term.lower(), []).append(name)
+    as_written, lowered = table(exact), table(loose)
+
+    def names(grams: Column) -> Column:
+        found = [F.transform(grams, lambda g: F.try_element_at(as_written, g))] if exact else []
+        found += [F.transform(grams, lambda g: F.try_element_at(lowered, F.lower(g)))] if loose else []
+        found = [F.flatten(F.array_compact(x)) for x in found]
+        return F.array_sort(F.array_distinct(F.concat(*found)))
+
+    def body(w: Column) -> Column:
+        return F.get(F.transform(F.array(_hits(w, firsts, longest)), names), F.lit(0))
+
+    return F.get(F.transform(F.array(words(text)), body), F.lit(0))
 
 
 def pattern_matches(docs: DataFrame, key: list[str], text: str, terms: list[tuple[str, str, bool]]) -> DataFrame:
@@ -95,14 +122,20 @@ def family_weight(rows: DataFrame, base: str, triggers: str, recency: str, stron
 
 
 def overlap(queries: DataFrame, paths: DataFrame, q: str, p: str, stop: tuple[str, ...] = ()) -> DataFrame:
-    """q, p, common, score: pairs that share a token, as an equi-join on tokens: share of the query's tokens met, less 0.04 for each other token of the path.
+    """q, p, common, score: pairs that share a token outside ``stop``: share of the query's tokens met, less 0.04 for each other token of the path.
 
-    ``queries`` and ``paths`` have a token array ``tokens``; common words in ``stop`` don't make a pair on their own.
+    ``queries`` and ``paths`` have a token array ``tokens``. Pairs meet by an equi-join on the tokens outside ``stop`` only, each once, by the one that the fewest paths have;
+    so a frequent token joins only pairs that share nothing rarer. The rest is worked out from the arrays of the pair.
     """
-    left = queries.select(q, F.size("tokens").alias("nq"), F.explode("tokens").alias("t"))
-    right = paths.select(p, F.size("tokens").alias("np"), F.explode("tokens").alias("t"))
-    met = left.join(right, "t").groupBy(q, p).agg(F.count(F.lit(1)).alias("common"), F.count_if(~F.col("t").isin(*stop) if stop else F.lit(True)).alias("own"), F.first("nq").alias("nq"), F.first("np").alias("np"))
-    return met.where("own > 0").select(q, p, "common", F.round(F.col("common") / F.col("nq") - 0.04 * (F.col("np") - F.col("common")), 4).alias("score"))
+    own = lambda c: F.filter(c, lambda t: ~t.isin(*stop)) if stop else c
+    right = paths.select(p, F.col("tokens").alias("__pt"), F.explode(own(F.col("tokens"))).alias("t"))
+    counts = right.groupBy("t").agg(F.count(F.lit(1)).alias("__n"))
+    asked = queries.select(q, F.col("tokens").alias("__qt"), F.explode(own(F.col("tokens"))).alias("t")).join(counts, "t")
+    ranked = asked.groupBy(q, "__qt").agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "t"))), lambda x: x["t"]).alias("__order"))
+    met = ranked.select(q, "__qt", "__order", F.explode("__order").alias("t")).join(right, "t")
+    first = F.get(F.filter("__order", lambda t: F.array_contains(F.col("__pt"), t)), F.lit(0)) == F.col("t")
+    common = F.size(F.array_intersect("__qt", "__pt"))
+    return met.where(first).select(q, p, common.cast("long").alias("common"), F.round(common / F.size("__qt") - 0.04 * (F.size("__pt") - common), 4).alias("score"))
 
 
 def prefix_sectors(paths: DataFrame, path: str, least: int = 3) -> DataFrame:

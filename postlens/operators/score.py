@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import unicode_pattern
 
@@ -47,24 +45,18 @@ def rank_of(level: Column) -> Column:
     return F.coalesce(F.try_element_at(table, level), F.lit(1))
 
 
-@F.pandas_udf(T.IntegerType())
-def required_years(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Years of experience that a text asks for: the first mention up to 20 whose surroundings ask and don't boast. Positions with context are beyond the built-in patterns."""
-    import re
+#: A sentence asks for experience if it has a span of years and a word for experience and isn't about who offers the work.
+SPAN = unicode_pattern(r"(?<![\w.,])([0-9]{1,2})\s?\+?(?:\s?(?:-|–|to)\s?[0-9]{1,2})?\s?\+?\s(?:full\s)?(?:years?|yrs?|yıl)\b")
+EXPERIENCE = unicode_pattern(r"\b(experience|deneyim\w*|tecrübe\w*)\b")
+OFFERER = unicode_pattern(r"\b(we|our|us|company|founded|biz|şirketimiz)\b")
+MOST_YEARS = 20
 
-    mention = re.compile(r"(\d{1,2})\s*\+?\s*(?:-\s*\d{1,2}\s*)?(?:years?|yrs?|yıl)\b(?=.{0,60}?(?:experience|deneyim|tecrübe))", re.I | re.S)
-    boast = re.compile(r"\b(we have|our (company|team)|founded|for over|with over|şirketimiz)\b", re.I)
-    cue = re.compile(r"\b(requir|must|minimum|at least|need|you have|experience|en az|aranan|deneyim)\w*", re.I)
 
-    def one(text: str) -> int | None:
-        for m in mention.finditer(text):
-            around = text[max(0, m.start() - 90) : m.end() + 40]
-            if int(m[1]) <= 20 and not boast.search(text[max(0, m.start() - 90) : m.start()]) and cue.search(around):
-                return int(m[1])
-        return None
-
-    for s in texts:
-        yield s.map(one, na_action="ignore").astype("Int32")
+def required_years(text: Column) -> Column:
+    """Years of experience that a text asks for: those of the first sentence that asks for MOST_YEARS at most, its lower bound where it gives a range; null if there is none."""
+    asking = F.filter(F.split(text, r"[.;!?\n]+"), lambda s: s.rlike(SPAN) & s.rlike(EXPERIENCE) & ~s.rlike(OFFERER))
+    years = F.transform(asking, lambda s: F.regexp_extract(s, SPAN, 1).cast("int"))
+    return F.get(F.filter(years, lambda y: y <= MOST_YEARS), F.lit(0))
 
 
 def elimination(p: dict[str, Column], q: dict[str, Column]) -> Column:

@@ -12,6 +12,7 @@ from .. import catalog
 from ..functions import text as tx
 from ..functions import vectors as vec
 from ..operators import dedup, fit, geo, ghost, history, intervals, matching, score, shortlist
+from . import ranking, ranking_sql, standin
 from .oracle import ORACLE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -443,22 +444,66 @@ def flagship_shortlist(spark, d):
     return flagship(spark, d)
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranked, explained shortlist: dictionary score, elimination with reasons, age risk, three a source.
+def _ranked_rows(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    return ranking.with_risk(ranking.facts(ranking.variants_folded(standin.postings(docs)), F.to_timestamp(F.lit(standin.AS_OF))))
 
-    Documents are postings, their source the company; the day is derived from the id, as of a fixed one.
-    """
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
-    labels = read(spark, sf_dir, "labels")
-    weights = spark.createDataFrame(list({c: w for c, _, w in TERMS}.items()), "canonical string, w double")
-    skills = matching.skill_score(_doc_matches(spark, sf_dir), ["doc_id"], weights)
-    rows = docs.join(skills, "doc_id", "left").join(labels, "doc_id", "left").withColumn("age", (F.col("doc_id") * 37 % 900).cast("double"))
-    none = F.lit(False)
-    risk = ghost.risk(F.col("age"), none, none, F.lit(0), F.lit(0), none, F.lit(0))
-    reason = score.first_reason([(F.col("quality") == 0, F.lit("quality")), (F.col("toxic") == 1, F.lit("toxic")), (F.col("n_chars") < 200, F.lit("short")), (risk >= 0.7, F.lit("ghost"))])
-    kept = rows.withColumn("reason", reason).where("reason IS NULL").withColumn("risk", F.round(risk, 4))
-    scored = kept.withColumn("final", F.round(F.coalesce("score", F.lit(0.0)) * (1 - 0.75 * F.col("risk")), 3))
-    return shortlist.top_per_group(scored, ["source"], [F.col("final").desc(), F.col("doc_id")], 3).select("source", "rank", "doc_id", "final", "risk", ghost.band(F.col("risk")).alias("band"))
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.decided(ranking.scored(_ranked_rows(spark, d), standin.profiles(spark)))
+
+
+@query
+def variants_folded(spark, d):
+    rows = ranking.variants_folded(standin.postings(read(spark, d, "documents")))
+    return rows.select("seq", F.col("native_id").cast("long").alias("winner"), "variants", tx.title_key(F.col("board_token"), F.col("title")).alias("title_key"))
+
+
+@query
+def posting_facts(spark, d):
+    joined = lambda c, between=",": F.array_join(c, between)
+    return _ranked_rows(spark, d).select("seq", "level", "years", "practitioner", joined("title_families").alias("title_families"), joined("skills").alias("skills"), joined("title_skills").alias("title_skills"), joined("countries", "/").alias("countries"), "same_title")
+
+
+@query
+def posting_risk(spark, d):
+    return _ranked_rows(spark, d).select("seq", "risk", "band", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query
+def skill_rarity(spark, d):
+    return ranking.rarity(_ranked_rows(spark, d)).select(F.explode("idf").alias("canonical", "idf"))
+
+
+@query
+def location_decision(spark, d):
+    return _pairs(spark, d).select("profile_id", "seq", "place.status", "place.ok")
+
+
+@query
+def elimination_full(spark, d):
+    return _pairs(spark, d).select("profile_id", "seq", "reason")
+
+
+@query
+def elimination_histogram(spark, d):
+    return _pairs(spark, d).groupBy("profile_id", "verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def total_score(spark, d):
+    return _pairs(spark, d).select("profile_id", "seq", "role", F.round("skill", 6).alias("skill"), "bonus", F.col("missing").cast("long").alias("missing"), "off_domain", "total")
+
+
+@query
+def final_score(spark, d):
+    return _pairs(spark, d).select("profile_id", "seq", "risk", "total", "final", "verdict")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked, explained shortlists: the pool without variants, every profile's eliminations, scores and risks, three postings of a company, 25 a profile."""
+    best = ranking.ranked(_pairs(spark, sf_dir))
+    return best.select("profile_id", "rank", "seq", "title", "company", "final", "band", F.array_join("reasons", "; ").alias("reasons"), F.array_join("known", ",").alias("known"))
 
 
 def queries() -> dict[str, Query]:
@@ -466,4 +511,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | ranking_sql.ORACLE

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import any_date, html_text, listed_text, or_else, relative_days, text_or_empty
 
@@ -191,11 +192,15 @@ PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {f.__name__: f for f in (
 
 
 def pool(spark, payloads: dict[str, DataFrame]) -> DataFrame:
-    """All feeds in one pool, with ``seq`` in order of source, company and native id, as later steps are order-dependent."""
-    from functools import reduce
+    """All feeds in one pool. ``seq`` orders the whole pool by source (in the order given), token and native id and repeats nowhere, as later steps depend on the order.
 
-    from pyspark.sql.window import Window
+    Rows are numbered within their token (a company, or a stream) and go on where the tokens before it end; only the table of tokens is put in one order.
+    """
+    from functools import reduce
 
-    both = reduce(DataFrame.unionByName, [PARSERS[name](p) for name, p in payloads.items()])
-    place = Window.partitionBy("source").orderBy("board_token", "native_id")
-    return both.withColumn("seq", F.row_number().over(place).cast("long"))
+    rank = {name: i for i, name in enumerate(payloads)}
+    both = reduce(DataFrame.unionByName, [PARSERS[name](p).withColumn("__rank", F.lit(rank[name])) for name, p in payloads.items()])
+    within = F.row_number().over(Window.partitionBy("__rank", "board_token").orderBy("native_id", "url"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__rank", "board_token").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tokens = both.groupBy("__rank", "board_token").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", before)
+    return both.withColumn("__at", within).join(tokens, ["__rank", "board_token"]).withColumn("seq", (F.col("__before") + F.col("__at")).cast("long")).drop("__rank", "__at", "__n", "__before")

@@ -42,7 +42,7 @@ def test_rss_and_json_ld(spark):
 
 def test_pool_has_an_order(spark):
     both = feeds.pool(spark, {"lever": payload(spark, [{"id": "b", "text": "t"}, {"id": "a", "text": "t"}]), "remoteok": payload(spark, [{"id": "1", "position": "p"}])})
-    assert {(r.source, r.native_id, r.seq) for r in both.collect()} == {("lever", "a", 1), ("lever", "b", 2), ("remoteok", "1", 1)}
+    assert {(r.source, r.native_id, r.seq) for r in both.collect()} == {("lever", "a", 1), ("lever", "b", 2), ("remoteok", "1", 3)}
 
 
 def test_retries():
