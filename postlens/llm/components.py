@@ -17,11 +17,13 @@ def labels(edges: DataFrame) -> DataFrame:
     state = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
         near = both.join(state, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("near"))
-        moved = state.join(near, F.col("id") == F.col("a"), "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
+        # a large component's label is a hot key of the next join: both of its sides are tables, so that it can be split
+        moved = written(state.join(near, F.col("id") == F.col("a"), "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label")), "labels")
         far = moved.select(F.col("id").alias("__of"), F.col("label").alias("__label"))
         jumped = written(moved.join(far, F.col("label") == F.col("__of"), "left").select("id", F.least("label", F.coalesce("__label", "label")).alias("label"), F.col("old")), "labels")
         still = jumped.where("label <> old").isEmpty()
         forget(state)
+        forget(moved)
         state = jumped.drop("old")
         if still:
             forget(both)
