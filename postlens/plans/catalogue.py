@@ -337,8 +337,10 @@ def version_diff(spark, d):
 @query
 def role_argmax(spark, d):
     parts = read(spark, d, "part")
-    families = spark.createDataFrame([(0, "metal", "bolt|gear|widget", 0.8), (1, "shape", "ring|bolt", 0.9), (2, "colour", "^(red|blue|green) ", 0.9), (3, "size", "^(small|large) ", 0.5)], "ord int, family string, pattern string, weight double")
-    hits = parts.join(F.broadcast(families), F.expr("p_name RLIKE pattern")).select("p_partkey", "family", "weight", "ord")
+    families = (("metal", "bolt|gear|widget", 0.8), ("shape", "ring|bolt", 0.9), ("colour", "^(red|blue|green) ", 0.9), ("size", "^(small|large) ", 0.5))
+    # a small table of patterns is a list of constant conditions, not a join that tries each pattern on each row
+    found = F.array_compact(F.array(*[F.when(F.col("p_name").rlike(pattern), F.struct(F.lit(name).alias("family"), F.lit(weight).alias("weight"), F.lit(i).alias("ord"))) for i, (name, pattern, weight) in enumerate(families)]))
+    hits = parts.select("p_partkey", F.inline(found))
     return matching.best_role(parts, ["p_partkey"], hits, "weight", "ord", "family")
 
 
@@ -419,7 +421,23 @@ def conversation_context(spark, d):
 
 @query
 def years_required(spark, d):
-    return read(spark, d, "documents").select("doc_id", score.required_years(F.col("text")).alias("years"))
+    posts = standin.postings(read(spark, d, "documents"))
+    # every tenth text gets a second mention behind the first, and one that is too high before it
+    more = F.when(F.col("seq") % 10 == 3, F.concat(F.lit("Up to 40 years of experience are fine! "), "description", F.lit(". At least 2+ years of experience."))).otherwise(F.col("description"))
+    return posts.select("seq", score.required_years(more).alias("years"))
+
+
+@query
+def escaped_html_to_text(spark, d):
+    escaped = F.replace(F.replace(F.replace("html", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&#62;"))
+    return read(spark, d, "pages").select("page_id", tx.html_text(escaped).alias("text"))
+
+
+@query
+def work_mode_full(spark, d):
+    posts = standin.postings(read(spark, d, "documents"))
+    mode = tx.work_mode(F.when(F.col("seq") % 9 == 0, "Hybrid").otherwise(""), F.col("description"), F.col("remote_flag"), F.col("locations"))
+    return posts.select("seq", mode.alias("mode"), tx.employment_type(F.when(F.col("seq") % 5 == 0, "Full-Time").otherwise(""), F.when(F.col("seq") % 3 == 0, F.lit("Internship, part time")).otherwise("")).alias("employment"))
 
 
 @query

@@ -181,3 +181,6 @@ ORACLE: dict[str, str] = {
         SELECT * FROM (SELECT source, row_number() OVER (PARTITION BY source ORDER BY final DESC, doc_id) AS rank, doc_id, final, risk,
             CASE WHEN risk >= 0.70 THEN 'ghost' WHEN risk >= 0.45 THEN 'doubtful' WHEN risk >= 0.20 THEN 'normal' ELSE 'fresh' END AS band FROM f) WHERE rank <= 3""",
 }
+
+#: Text of markup doesn't change when the markup is escaped once more.
+ORACLE["escaped_html_to_text"] = ORACLE["html_to_text"]

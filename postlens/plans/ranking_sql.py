@@ -89,6 +89,13 @@ _BAND = "CASE WHEN risk >= 0.70 THEN 'ghost' WHEN risk >= 0.45 THEN 'doubtful' W
 _REASONS = "array_to_string(list_filter([CASE WHEN age IS NULL THEN '+no date' WHEN age > 120 THEN '+open for ' || age || ' days' WHEN age <= 14 THEN '-new' END, CASE WHEN pool_text THEN '+pool text' END, CASE WHEN same_title >= 3 THEN '+same title' END], lambda x: x IS NOT NULL), '; ')"
 
 ORACLE: dict[str, str] = {
+    "years_required": rf"""WITH {_PARTS}, said AS (SELECT seq, unnest(range(1, 1 + len(ss))) AS i, unnest(ss) AS s FROM (SELECT seq, regexp_split_to_array(CASE WHEN seq % 10 = 3 THEN 'Up to 40 years of experience are fine! ' || body || '. At least 2+ years of experience.' ELSE body END, '[.;!?\n]+') AS ss FROM posts)),
+        spans AS (SELECT seq, i, regexp_extract(s, '(?i)(?:^|[^\w.,])([0-9]{{1,2}})\s?\+?(?:\s?(?:-|–|to)\s?[0-9]{{1,2}})?\s?\+?\s(?:full\s)?(?:years?|yrs?|yıl)\b', 1)::VARCHAR AS n FROM said WHERE regexp_matches(s, '(?i)\bexperience\b') AND NOT regexp_matches(s, '(?i)\b(we|our|us|company|founded|biz)\b'))
+        SELECT p.seq, arg_min(nullif(n, '')::INT, i) FILTER (n <> '' AND nullif(n, '')::INT <= 20) AS years FROM posts p LEFT JOIN spans x ON p.seq = x.seq GROUP BY p.seq""",
+    "work_mode_full": f"""WITH {_PARTS} SELECT seq, CASE WHEN seq % 9 = 0 THEN 'hybrid' WHEN remote THEN 'remote' WHEN list_contains(places, 'Remote - Germany') OR list_contains(places, 'Remote, EMEA') THEN 'remote'
+            WHEN regexp_matches(lower(body), '(^|[^\\p{{L}}\\p{{N}}_])(hybrid|hibrit)($|[^\\p{{L}}\\p{{N}}_])') THEN 'hybrid' WHEN regexp_matches(lower(body), '(^|[^\\p{{L}}\\p{{N}}_])(remote|uzaktan|work from home|evden)($|[^\\p{{L}}\\p{{N}}_])') THEN 'remote'
+            WHEN regexp_matches(lower(body), '(^|[^\\p{{L}}\\p{{N}}_])(on-?site|in office|office|ofis)($|[^\\p{{L}}\\p{{N}}_])') THEN 'office' WHEN len(places) > 0 THEN 'office' ELSE 'unknown' END AS mode,
+        CASE WHEN seq % 5 = 0 THEN 'full' WHEN seq % 3 = 0 THEN 'intern' ELSE 'unknown' END AS employment FROM posts""",
     "variants_folded": f"WITH {_PARTS} SELECT seq, winner, variants, title_key FROM keyed",
     "posting_facts": f"""WITH {_PARTS} SELECT seq, level, years, practitioner, coalesce(title_family, '') AS title_families, array_to_string(skills, ',') AS skills, array_to_string(title_skills, ',') AS title_skills, array_to_string(countries, '/') AS countries, same_title FROM risks""",
     "posting_risk": f"WITH {_PARTS} SELECT seq, risk, {_BAND} AS band, {_REASONS} AS reasons FROM risks",
