@@ -12,7 +12,8 @@ from .. import catalog
 from ..functions import text as tx
 from ..functions import vectors as vec
 from ..operators import dedup, fit, geo, ghost, history, intervals, matching, score, shortlist
-from . import ranking, ranking_sql, standin
+from ..sources import feeds
+from . import feed_sql, feed_standin, ranking, ranking_sql, standin
 from .oracle import ORACLE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -457,6 +458,73 @@ def stream_sightings(spark, d):
     return counted_stream(spark, f"{d}/events.parquet")
 
 
+def _shown(rows: DataFrame) -> DataFrame:
+    """A posting as flat columns."""
+    return rows.select(
+        "company", "board_token", "native_id", "title", "url", F.array_join("locations", "|").alias("locations"), "description", "department", "employment_type", "remote_flag", F.unix_seconds("posted_at").alias("posted"),
+        F.coalesce(F.concat_ws(";", "raw.workplace_type", "raw.salary", F.array_join("raw.tags", ","), "raw.level", "raw.valid_until"), F.lit("")).alias("sidecar"),
+    )
+
+
+def _feed(name: str) -> Query:
+    def run(spark, d):
+        return _shown(feeds.PARSERS[name](feed_standin.payloads(read(spark, d, "documents"), name)))
+
+    run.__name__ = f"feed_{name}"
+    return run
+
+
+for _name in feed_standin.FEEDS:
+    query(_feed(_name))
+
+
+@query
+def feed_weworkremotely(spark, d):
+    return _shown(feeds.weworkremotely(feed_standin.pages(read(spark, d, "documents"), feed_standin.RSS)))
+
+
+@query
+def feed_board_cards(spark, d):
+    return _shown(feeds.board_cards(feed_standin.pages(read(spark, d, "documents"), feed_standin.CARD), F.to_timestamp(F.lit("2024-06-01 00:00:00")))).select("company", "board_token", "native_id", "title", "locations", "employment_type", "remote_flag", "posted", "sidecar")
+
+
+@query
+def feed_job_posting_ld(spark, d):
+    docs = read(spark, d, "documents")
+    return _shown(feeds.job_posting_ld(docs.select(F.col("doc_id").cast("string").alias("token"), F.upper("source").alias("company"), F.expr(feed_standin.LD).alias("payload"))))
+
+
+@query
+def feed_list_links(spark, d):
+    anchor = "concat('<a class=\"c\" href=\"/job/', doc_id % 10, '\" title=\"Title ', doc_id, '\">x</a>')"
+    return feeds.list_links(feed_standin.pages(read(spark, d, "documents"), anchor)).select("token", "path", "title")
+
+
+@query
+def feed_board_detail(spark, d):
+    page = F.concat(F.lit("<div>short</div><section class='x'>"), F.lit("<p>About "), "source", F.lit("</p><p>in "), "lang", F.lit("</p></section><dl><dt>Level</dt><dd>"), F.col("doc_id").cast("string"), F.lit("</dd></dl>"))
+    return feeds.board_detail(read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("token"), page.alias("payload")))
+
+
+@query
+def sitemap_paths(spark, d):
+    maps = read(spark, d, "pages").select(F.concat(F.lit("<url><loc> "), "url", F.lit(" </loc></url><url><loc>https://other.test/x</loc></url>")).alias("payload"))
+    return feeds.sitemap_paths(maps, "example")
+
+
+@query
+def firm_paths(spark, d):
+    paths = read(spark, d, "part").select(F.concat(F.lit("/firma/"), tx.slug(F.col("p_name")), F.lit("-"), F.col("p_partkey").cast("string")).alias("path"))
+    return feeds.firm_paths(paths, "red")
+
+
+@query
+def feed_pool(spark, d):
+    docs = read(spark, d, "documents")
+    pool = feeds.pool(spark, {name: feed_standin.payloads(docs, name) for name in ("lever", "remoteok")})
+    return pool.select("seq", "source", "board_token", "native_id")
+
+
 @query
 def flagship_shortlist(spark, d):
     return flagship(spark, d)
@@ -529,4 +597,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE | ranking_sql.ORACLE
+    return ORACLE | ranking_sql.ORACLE | feed_sql.ORACLE

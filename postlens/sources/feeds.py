@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import any_date, html_text, listed_text, or_else, relative_days, text_or_empty
+from ..functions.text import any_date, html_text, listed_text, or_else, relative_days, squeezed, text_or_empty
 
 RAW = "struct<workplace_type:string,salary:string,tags:array<string>,level:string,valid_until:string,sector:string,detail_fetched:boolean>"
 
@@ -145,7 +145,8 @@ def weworkremotely(p: DataFrame) -> DataFrame:
 def board_cards(p: DataFrame, as_of: Column) -> DataFrame:
     """List page of a board: anchors with ``data-test`` fields; the age is relative to ``as_of``; the first card of each path wins."""
     cards = p.select("token", "company", F.posexplode(F.regexp_extract_all("payload", F.lit(r'(?s)(<a [^>]*href="/is-ilani/[^"]+".*?</a>)'), F.lit(1))).alias("n", "x"))
-    field = lambda name: F.trim(F.regexp_replace(F.regexp_extract("x", rf'(?s)data-test="{name}"[^>]*>(.*?)</', 1), "<[^>]*>", " "))
+    # up to the end of the span, as a field may hold markup of its own
+    field = lambda name: squeezed(F.regexp_extract("x", rf'(?s)data-test="{name}"[^>]*>(.*?)</span>', 1))
     path = F.regexp_extract("x", r'href="([^"?]+)', 1)
     first = cards.withColumn("path", path).groupBy("token", "path").agg(F.min_by("x", "n").alias("x"), F.first("company").alias("company"))
     days = relative_days(field("ad-date"))
