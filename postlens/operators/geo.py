@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import COUNTRIES
-from ..functions.text import unicode_pattern
+from ..functions.text import ascii_folded, unicode_pattern
 
 GLOBAL = unicode_pattern(r"\b(worldwide|anywhere in the world|work from anywhere|remote,? global|global remote)\b")
 EMEA = unicode_pattern(r"\b(emea|europe, middle east|cet)\b")
@@ -54,3 +54,12 @@ def decision(locations: Column, title: Column, text: Column, remote: Column, cou
         .when(F.size(locations) > 0, result(F.concat(F.lit("office: "), F.array_join(F.slice(locations, 1, 2), ", ")), no))
         .otherwise(result("no location", no))
     )
+
+
+def city_suffix(locations: Column, cities: dict[str, str]) -> Column:
+    """`` · City`` of the first location of the home country whose parts name a known city (folded name -> shown name); empty without one."""
+    home = F.filter(locations, lambda x: x.rlike(unicode_pattern(r"\b(t[uü]rk(iye|ey)|istanbul|ankara|izmir|bursa|antalya)\b")))
+    parts = F.transform(F.split(F.get(home, F.lit(0)), r"[,/|()\-]"), lambda x: F.lower(ascii_folded(F.trim(x))))
+    names = F.create_map(*[F.lit(x) for kv in cities.items() for x in kv])
+    found = F.get(F.filter(F.transform(parts, lambda x: F.try_element_at(names, x)), lambda x: x.isNotNull()), F.lit(0))
+    return F.coalesce(F.concat(F.lit(" · "), found), F.lit(""))

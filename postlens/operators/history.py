@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -47,6 +47,12 @@ def reposts(rows: DataFrame, title: str, closed: str) -> DataFrame:
     return rows.withColumn("reposts", n - F.col(closed).cast("long"))
 
 
+def of_source(rows: DataFrame, source: str, since: Column | None = None) -> DataFrame:
+    """History of one source, from ``since`` on if given."""
+    own = rows.where(F.col("source") == source)
+    return own if since is None else own.where(F.col("last_seen") >= since)
+
+
 def carried_over(recent: DataFrame, fetched: DataFrame, uid: str, last_seen: str, as_of, hours: int = 72) -> DataFrame:
     """Open rows seen in the last ``hours`` that this run didn't fetch."""
     return recent.where(~F.col("closed") & (F.col(last_seen) >= as_of - F.expr(f"INTERVAL {hours} HOURS"))).join(fetched.select(uid), uid, "left_anti")

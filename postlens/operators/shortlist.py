@@ -38,6 +38,58 @@ def dhondt(parties: DataFrame, name: str, weight: str, order: str, seats: int, p
     return won.groupBy(name).agg(F.count(F.lit(1)).alias("seats"))
 
 
+def query_slots(owners: list[tuple[str, float, bool, list[str]]], seats: int, power: int = 3) -> list[str]:
+    """Search queries of one profile's families (name, weight, by level, ordered queries): families named after a level go first with one query each, then
+    the greatest quotient takes the next query of its list. A query that is there already moves its list on without taking a seat. A handful of lists, so on the driver.
+    """
+    taken: list[str] = []
+    cursor, held = dict.fromkeys(range(len(owners)), 0), dict.fromkeys(range(len(owners)), 0)
+
+    def next_of(i: int) -> bool:
+        """Whether list i still had a query that isn't taken."""
+        while cursor[i] < len(owners[i][3]):
+            item = owners[i][3][cursor[i]]
+            cursor[i] += 1
+            if item not in taken:
+                taken.append(item)
+                held[i] += 1
+                return True
+        return False
+
+    for i, (_, _, by_level, _) in enumerate(owners):
+        if by_level and len(taken) < seats:
+            next_of(i)
+    open_ = set(range(len(owners)))
+    while open_ and len(taken) < seats:
+        best = max(open_, key=lambda i: (owners[i][1] ** power / (held[i] + 1), -i))
+        if not next_of(best):
+            open_.discard(best)
+    return taken
+
+
+def distinct_capped(*lists: Column, cap: int = 8) -> Column:
+    """Items of the lists one after another, each at its first place, ``cap`` at most."""
+    return F.slice(F.array_distinct(F.array_compact(F.concat(*lists))), 1, cap)
+
+
+def cut_by_weight(rows: DataFrame, owner: str, weight: str, recency: str, share: float = 0.7, fresh: float = 0.75) -> DataFrame:
+    """Rows of at least ``share`` of their owner's best weight and of recency ``fresh``; where an owner has none so fresh, all that pass the weight."""
+    best = F.max(weight).over(Window.partitionBy(owner))
+    near = rows.withColumn("__best", best).where(F.col(weight) >= share * F.col("__best"))
+    some = F.max((F.coalesce(F.col(recency), F.lit(1.0)) >= fresh).cast("int")).over(Window.partitionBy(owner))
+    return near.withColumn("__some", some).where((F.col("__some") == 0) | (F.coalesce(F.col(recency), F.lit(1.0)) >= fresh)).drop("__best", "__some")
+
+
+def scored_by_model(rows: DataFrame, group: str, seq: str, cap: int = 400) -> DataFrame:
+    """``for_model``: whether a row is among the first ``cap`` of its list, in list order and not by score."""
+    return rows.withColumn("for_model", F.row_number().over(Window.partitionBy(group).orderBy(seq)) <= cap)
+
+
+def detail_candidates(rows: DataFrame, boards: list[str], score: str, seq: str, most: int = 30) -> DataFrame:
+    """Board postings without a text, best first, ``most`` in all: what a detail page is fetched for."""
+    return rows.where(F.col("source").isin(boards) & (F.trim("description") == "")).orderBy(F.col(score).desc(), seq).limit(most)
+
+
 def near_best(rows: DataFrame, group: list[str], score: str, share: float) -> DataFrame:
     """Rows whose score is at least ``share`` of their group's best."""
     best = F.max(score).over(Window.partitionBy(*group))

@@ -46,30 +46,46 @@ class _Page(InputPartition):
 
 
 class FeedReader(DataSourceReader):
+    """Options: plan, fetcher, and how pages follow each other. ``paging`` is ``number`` (0, 1, 2 …), ``offset`` (0, fullpage, 2 * fullpage … up to the total that the fetcher tells) or ``cursor`` (what the fetcher returned with the page before)."""
+
     def __init__(self, options: dict) -> None:
         self.plan = json.loads(options["plan"])
         self.module, self.name = options["fetcher"].rsplit(".", 1)
-        self.pages, self.least = int(options.get("pages", "1")), int(options.get("fullpage", "0"))
+        self.pages, self.least, self.paging = int(options.get("pages", "1")), int(options.get("fullpage", "0")), options.get("paging", "number")
 
     def partitions(self) -> list[InputPartition]:
         return [_Page(token, company, self.pages) for token, company in self.plan]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        """Pages of one request plan until one is empty or not full. The fetcher takes (token, page) and returns (payload, number of items)."""
+        """Pages of one request plan until the feed says that there are no more, or ``pages`` are read.
+
+        The fetcher takes (token, at) and returns (payload, n): the number of items for ``number``, the total for ``offset``, the next cursor or null for ``cursor``.
+        """
         import importlib
 
         fetch = getattr(importlib.import_module(self.module), self.name)
         token, company, pages = partition.value
+        at = None if self.paging == "cursor" else 0
         for page in range(pages):
-            payload, items = fetch(token, page)
+            payload, n = fetch(token, at)
             if payload:
                 yield token, company, page, payload
-            if items == 0 or items < self.least:
-                return
+            if self.paging == "cursor":
+                at = n
+                if not at:
+                    return
+            elif self.paging == "offset":
+                at += self.least
+                if at >= n:
+                    return
+            else:
+                at += 1
+                if n == 0 or n < self.least:
+                    return
 
 
 class FeedSource(DataSource):
-    """``spark.read.format("feed")`` with options plan (JSON pairs of token and company), fetcher (module.function), pages, fullpage. One partition for each company."""
+    """``spark.read.format("feed")`` with options plan (JSON pairs of token and company), fetcher (module.function), pages, fullpage, paging. One partition for each company."""
 
     @classmethod
     def name(cls) -> str:
@@ -120,6 +136,16 @@ def allowed_by_robots(robots: str, path: str, agent: str = "*") -> bool:
     return rules.can_fetch(agent, path)
 
 
+def record(pages: DataFrame, folder: str) -> None:
+    """Stores fetched pages (url, payload) so that a later run can be replayed from them."""
+    pages.select("url", "payload").write.mode("append").parquet(folder)
+
+
+def replayed(spark, folder: str) -> DataFrame:
+    """url, payload of what :func:`record` stored; of a page stored twice either copy."""
+    return spark.read.schema("url string, payload string").parquet(folder).dropDuplicates(["url"])
+
+
 def recorded(spark, folder: str) -> DataFrame:
     """url, payload of pages that were stored before, a file each."""
     return spark.read.text(folder, wholetext=True).select(F.input_file_name().alias("url"), F.col("value").alias("payload"))

@@ -34,26 +34,49 @@ def into_log(stream: DataFrame, path: str, checkpoint: str):
 
 
 def folder(spark: SparkSession) -> str:
+    """A new folder below the cluster's shared one. Only a local session may go without: other executors wouldn't see a folder of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}" if found else tempfile.mkdtemp(prefix="postlens-stream-")
+    if found:
+        return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="postlens-stream-")
 
 
-def counted_stream(spark: SparkSession, path: str) -> DataFrame:
-    """State of each (user, event type) after a streaming run over all that is there: equal to the batch result."""
+def stream_of(spark: SparkSession, path: str) -> DataFrame:
+    """All files of a Parquet table as a stream."""
     shape = spark.read.parquet(path).schema
     # a single file is read as its folder with a filter on the name
     parent, _, name = path.rpartition("/")
-    whole = spark.read.parquet(path).inputFiles()
-    single = len(whole) == 1 and whole[0].rstrip("/").endswith(name)
+    files = spark.read.parquet(path).inputFiles()
+    single = len(files) == 1 and files[0].rstrip("/").endswith(name)
     reader = spark.readStream.schema(shape)
-    stream = reader.option("pathGlobFilter", name).parquet(parent) if single else reader.parquet(path)
-    state = state_of(stream.withColumn("uid", F.concat_ws(":", F.col("user_id").cast("string"), "event_type")), "uid", "ts", "props")
+    return reader.option("pathGlobFilter", name).parquet(parent) if single else reader.parquet(path)
+
+
+def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """What a stream gives once all that is there has gone through it: the last result in complete mode, all rows in append mode."""
+    spark = stream.sparkSession
     at = folder(spark)
     out = f"{at}/out"
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(stream.schema).parquet(out)
+    return rows if mode == "complete" else rows.select(*stream.columns)
+
 
-    state.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    done = spark.read.parquet(out)
-    return done.select("uid", "seen", F.unix_micros(F.col("first_seen").cast("timestamp")).alias("first_micros"), F.unix_micros(F.col("last_seen").cast("timestamp")).alias("last_micros"))
+def logged(stream: DataFrame) -> DataFrame:
+    """The log of sightings after all that is there has been appended to it."""
+    spark = stream.sparkSession
+    at = folder(spark)
+    into_log(stream, f"{at}/log", f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/log").drop("batch")
+
+
+def counted_stream(spark: SparkSession, path: str) -> DataFrame:
+    """State of each (user, event type) after a streaming run over all that is there: equal to the batch result."""
+    state = state_of(stream_of(spark, path).withColumn("uid", F.concat_ws(":", F.col("user_id").cast("string"), "event_type")), "uid", "ts", "props")
+    return drained(state).select("uid", "seen", F.unix_micros(F.col("first_seen").cast("timestamp")).alias("first_micros"), F.unix_micros(F.col("last_seen").cast("timestamp")).alias("last_micros"))
