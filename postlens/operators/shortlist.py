@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` with a hint to broadcast it if it has ``most`` rows at most; beyond that the join picks its own way."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def top_per_group(rows: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
     """At most ``k`` rows of each group, with their ``rank``."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long")).where(F.col("rank") <= k)

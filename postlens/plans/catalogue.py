@@ -160,7 +160,7 @@ def work_mode_case(spark, d):
 def geo_resolve(spark, d):
     nation, region, customer = (read(spark, d, t) for t in ("nation", "region", "customer"))
     places = nation.select(F.lower("n_name").alias("token"), F.lit(1).alias("tier"), F.lower("n_name").alias("tag")).unionByName(region.select(F.lower("r_name").alias("token"), F.lit(2).alias("tier"), F.lower("r_name").alias("tag")))
-    where = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+    where = customer.join(shortlist.small(nation), F.col("c_nationkey") == F.col("n_nationkey")).join(shortlist.small(region), F.col("n_regionkey") == F.col("r_regionkey"))
     text = F.when(F.col("c_mktsegment") == "BUILDING", F.concat(F.lit("Remote, "), "r_name")).when(F.col("c_mktsegment") == "MACHINERY", F.lit("Somewhere")).otherwise(F.concat("n_name", F.lit(" / "), "r_name"))
     found = geo.countries(where.select("c_custkey", F.array(text).alias("locations")), "c_custkey", "locations", places)
     return found.select("c_custkey", F.array_join("countries", "/").alias("countries"))
@@ -199,7 +199,7 @@ def profile_cross_score(spark, d):
     profiles = read(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") * 2 + 1).alias("size"))
     parts = read(spark, d, "part").select("p_partkey", "p_size", "p_type", "p_brand")
     # every profile sees every posting; the table of profiles is the small side
-    pairs = parts.join(F.broadcast(profiles))
+    pairs = parts.join(shortlist.small(profiles))
     points = F.greatest(F.lit(0), 45 - F.abs(F.col("p_size") - F.col("size"))) + F.when(F.col("p_type") == "PROMO", 15).otherwise(0)
     return shortlist.top_per_group(pairs.withColumn("points", points), ["n_nationkey"], [F.col("points").desc(), F.col("p_partkey")], 10).select("n_nationkey", "rank", "p_partkey", "points")
 

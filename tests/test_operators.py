@@ -52,3 +52,42 @@ def test_interval_union_and_dhondt(spark):
     assert tuple(intervals.union_length(rows, ["k"], "s", "e").first())[1:] == (17, 2)
     seats = shortlist.dhondt(spark.createDataFrame([("x", 0, 3.0), ("y", 1, 2.0)], "f string, o int, w double"), "f", "w", "o", 6)
     assert {r.f: r.seats for r in seats.collect()} == {"x": 5, "y": 1}
+
+
+def test_fold_is_brute_force(spark):
+    """Groups of all sizes, also such that go over several batches, against the rule applied row by row."""
+    import random
+
+    r = random.Random(4)
+    rows = [(r.choice("abcdefgh") if i % 3 else "big", i, r.choice((10, 11, 13, 20, 40)), r.randint(0, 3), r.randint(0, 2)) for i in range(3000)] + [(None, 9000, 5, 1, 1), ("once", 9001, 5, 1, 1)]
+    want = {}
+    for k, *row in rows:
+        held = want.get(k)
+        if held is None:
+            want[k] = [row, row[0], 1]
+            continue
+        (_, a, f, p), (_, b, g, q) = held[0], row
+        if b > 1.2 * a or (a <= 1.2 * b and (g, q) > (f, p)):
+            held[0] = row
+        held[2] += 1
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        r.shuffle(rows)
+        got = dedup.fold(spark.createDataFrame(rows, "k string, seq long, len int, fresh int, places int"), ["k"], "seq", "len", "fresh", "places").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {x.k: (x.winner, x.rank, x.size) for x in got} == {k: (v[0][0], v[1], v[2]) for k, v in want.items()}
+    assert dedup.fold(spark.createDataFrame([], "k string, seq long, len int, fresh int, places int"), ["k"], "seq", "len", "fresh", "places").count() == 0
+
+
+def test_query_slots():
+    owners = [("data", 1.0, False, ["a", "b", "c", "d"]), ("senior", 0.2, True, ["s", "t"]), ("cloud", 0.9, False, ["a", "x", "y"])]
+    assert shortlist.query_slots(owners, 6) == ["s", "a", "x", "b", "y", "c"]
+    assert shortlist.query_slots(owners[:1], 9) == ["a", "b", "c", "d"] and shortlist.query_slots([], 6) == []
+
+
+def test_rolling_count_looks_back_over_buckets(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate((0, 5, 9, 10, 11, 19, 20, 21, 35))], "i int, s long").withColumn("at", F.timestamp_seconds("s")).withColumn("k", F.lit("x"))
+    got = {r.s: r.used for r in intervals.rolling_count(rows, ["k"], "at", 10, "used").collect()}
+    assert got == {s: sum(s - 10 <= t <= s for t in got) for s in got}
