@@ -7,8 +7,9 @@ sample, so rare words of languages with few labels count as soon as they can be
 scoring segments (the disjoint ones that no extension or merger improves).
 
 How high the best segment of a text without toxicity goes is an extreme value. Its Gumbel law, with a location that rises with the logarithm of the length, is fitted
-to the other labelled texts, each scanned with weights learnt without its own fold. A passage is significant where that law leaves it a p-value under 0.05.
-The score of a text joins the p-values of its segments (the best one, and Fisher-like the further significant ones) and turns them to (0, 1) by a logistic link fitted on the same folds.
+to the other labelled texts, each scanned with weights learnt without its own fold. A passage is significant where that law leaves it a p-value under 0.02.
+The score of a text joins the p-values of its segments (the best one, and Fisher-like the further significant ones) and turns them to (0, 1) by the share of toxic texts at such evidence in
+the same folds: rising steps with straight lines between them, which labels that are wrong at either end don't bend as they would a logistic curve.
 
 The model is fitted on a bounded sample: at most ``SAMPLE`` labelled rows, those of smallest id hash, so the fit is the same at every run; it keeps at most ``TOKENS`` tokens, those of
 strongest evidence. Only words of the text are inputs. Defined cases: null and empty texts have no segment and get the score of no evidence; texts are scanned whole; equal texts get
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,8 +35,8 @@ from .storage import in_arrow, written
 SAMPLE, TOKENS = 200_000, 200_000
 #: Standard deviations (signed root of the likelihood ratio) that a token must pass, texts that the prior stands for, cost of each token, folds of the calibration.
 Z, PRIOR, DRIFT, FOLDS = 2.5, 1.0, 0.05, 4
-#: -log10 of the p-value of a significant passage.
-SIGNIFICANT = 1.3
+#: -log10 of the p-value under which a passage is significant: one clean text in fifty has one by chance.
+SIGNIFICANT = 1.7
 _WORD = re.compile("[0-9a-z\x80-\U0010ffff]+")
 
 
@@ -86,9 +88,8 @@ class Model:
     location: float = 0.0
     rise: float = 0.0
     scale: float = 1.0
-    #: Logistic link from evidence to score: score = 1 / (1 + exp(-(a + b * ln(1 + evidence)))).
-    a: float = -4.0
-    b: float = 1.0
+    #: (ln(1 + evidence), share of toxic texts) in rising order.
+    steps: tuple[tuple[float, float], ...] = ((0.0, 0.02),)
 
     def segments(self, words: list[str]) -> list[tuple[int, int, float]]:
         weights = self.weights
@@ -106,8 +107,15 @@ class Model:
         return sum((v for v in values[1:] if v > SIGNIFICANT), values[0]) if values else self.surprise(0.0, n)
 
     def score(self, evidence: float) -> float:
-        x = self.a + self.b * math.log1p(evidence)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+        """Between two steps by a straight line; below the first and above the last on towards 0 and 1, so that more evidence always scores higher."""
+        x, steps = math.log1p(evidence), self.steps
+        i = bisect_right(steps, (x, 2.0))
+        if i == 0:
+            return steps[0][1] * (1 + x / steps[0][0]) / 2
+        if i == len(steps):
+            return 1 - (1 - steps[-1][1]) * (1 + steps[-1][0]) / (1 + x)
+        (low, a), (high, b) = steps[i - 1], steps[i]
+        return a + (b - a) * (x - low) / (high - low)
 
 
 def held_out():
@@ -187,8 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     location, rise, scale = gumbel([max(r["segments"], default=0.0) for r in clean], [r["n"] for r in clean])
     second = Model(tables["w"], location, rise, scale)
     xs = [math.log1p(second.evidence([(0, 0, s) for s in r["segments"]], r["n"])) for r in seen]
-    a, b = logistic(xs, [int(r["toxic"] == 1) for r in seen])
-    return Model(tables["w"], location, rise, scale, a, b)
+    return Model(tables["w"], location, rise, scale, isotonic(xs, [int(r["toxic"] == 1) for r in seen]))
 
 
 def gumbel(best: list[float], n: list[int]) -> tuple[float, float, float]:
@@ -204,24 +211,24 @@ def gumbel(best: list[float], n: list[int]) -> tuple[float, float, float]:
     return half - scale * quantile(0.5), rise, scale
 
 
-def logistic(x: list[float], y: list[int], steps: int = 60) -> tuple[float, float]:
-    """Intercept and slope by Newton's method with a weak pull to 0; equal inputs are counted together."""
-    counts: dict[float, list[int]] = {}
-    for v, label in zip(x, y, strict=True):
-        counts.setdefault(round(v, 4), [0, 0])[label] += 1
-    a, b = 0.0, 0.0
-    for _ in range(steps):
-        ga, gb, haa, hab, hbb = -1e-3 * a, -1e-3 * b, 1e-3, 0.0, 1e-3
-        for v, (no, yes) in counts.items():
-            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * v))))
-            n, w = no + yes, (no + yes) * p * (1 - p)
-            ga, gb = ga + yes - n * p, gb + (yes - n * p) * v
-            haa, hab, hbb = haa + w, hab + w * v, hbb + w * v * v
-        det = haa * hbb - hab * hab
-        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
-        size = max(abs(da), abs(db), 1.0)
-        a, b = a + da / size, b + db / size
-    return a, max(b, 0.0)
+def isotonic(x: list[float], y: list[int]) -> tuple[tuple[float, float], ...]:
+    """Steps (mean of x, share of y): runs of a 200th of the values (3 to 10), neighbours joined until the shares rise; each share is drawn to the overall one by one value."""
+    share, least = sum(y) / len(y), max(3, min(10, len(y) // 200))
+    blocks: list[list[float]] = []  # n, sum of x, sum of y
+    ordered = sorted(zip(x, y, strict=True))
+    for i in range(0, len(ordered), least):
+        run = ordered[i : i + least]
+        blocks.append([len(run), sum(a for a, _ in run), sum(b for _, b in run)])
+        while len(blocks) > 1 and _share(blocks[-2], share) >= _share(blocks[-1], share):
+            n, sx, sy = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + n, blocks[-1][1] + sx, blocks[-1][2] + sy]
+    steps = [(sx / n, _share([n, sx, sy], share)) for n, sx, sy in blocks]
+    # runs of equal x may meet in one place: the last one holds there
+    return tuple(step for step, after in zip(steps, [*steps[1:], (math.inf, 1.0)], strict=True) if step[0] < after[0])
+
+
+def _share(block: list[float], overall: float) -> float:
+    return (block[2] + overall) / (block[0] + 1)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

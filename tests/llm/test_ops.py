@@ -498,3 +498,16 @@ def test_nothing_quadratic_in_long_texts():
         license_scan.scanned(text.encode())
         took.append(time.perf_counter() - start)
     assert took[1] < 10 * took[0]
+
+
+def test_isotonic_steps_rise():
+    r = random.Random(20)
+    x = [r.random() * 5 for _ in range(2000)]
+    y = [int(r.random() < (0.02 if v < 2 else 0.3 if v < 3 else 0.98)) for v in x]
+    steps = toxicity.isotonic(x, y)
+    assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(steps, steps[1:]))
+    model = toxicity.Model(steps=steps)
+    scores = [model.score(math.expm1(v / 10)) for v in range(80)]
+    assert scores == sorted(scores) and 0 < scores[0] < 0.05 and 0.9 < scores[45] < scores[-1] < 1
+    assert abs(model.score(math.expm1(2.5)) - 0.3) < 0.1
+    assert toxicity.isotonic([0.0] * 50, [1] * 10 + [0] * 40)[0][0] == 0.0
