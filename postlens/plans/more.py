@@ -14,7 +14,7 @@ from ..functions import vectors as vec
 from ..operators import cv, fit, geo, history, intervals, paths, shortlist
 from ..sources import boards, fetch, sinks
 from ..streaming import sightings as streams
-from . import ranking, standin
+from . import profiles, ranking, standin
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,6 +82,13 @@ def cv_families(spark, d):
     return cv.families(skills, catalog.families(spark), "c_custkey").select("c_custkey", "family", "weight", "recency", F.col("rank").cast("long").alias("rank"))
 
 
+@query
+def cv_profiles(spark, d):
+    """Profiles of CVs as the ranking reads them."""
+    rows = profiles.from_cvs(_cvs(spark, d), "c_custkey", "text", F.to_date(F.lit(CV_DAY)), F.array(F.lit("turkey")))
+    return rows.select(F.col("profile_id").cast("long").alias("c_custkey"), "max_level", "max_years", "is_practitioner", F.size("forbidden").cast("long").alias("n_forbidden"), F.array_join(F.transform("families", lambda f: f["name"]), ",").alias("families"), F.array_join(F.array_sort(F.map_keys("weights")), ",").alias("skills"), F.round(F.try_element_at("weights", F.lit("Spark")), 4).alias("spark"))
+
+
 @query
 def cv_sentences(spark, d):
     """Sentences for the vector contrast, and the patterns of titles that are no option."""
@@ -270,9 +277,9 @@ def _ranked(spark, d) -> DataFrame:
 
 @query
 def result_rows(spark, d):
-    shown = sinks.result_rows(ranking.ranked(_ranked(spark, d)).withColumn("p", F.col("profile_id")), at(standin.AS_OF))
+    shown = sinks.result_rows(ranking.ranked(_ranked(spark, d)), at(standin.AS_OF))
     # the rows themselves have arrays and times; these columns stand for them
-    return shown.select("rank", "uid", "work_mode", "employment", F.col("hours_ago").cast("long").alias("hours_ago"), F.array_join("missing", ",").alias("missing"), "place", "final", F.array_join("locations", "|").alias("locations"))
+    return shown.select("profile_id", "rank", "uid", "work_mode", "employment", F.col("hours_ago").cast("long").alias("hours_ago"), F.array_join("missing", ",").alias("missing"), "place", "final", F.array_join("locations", "|").alias("locations"))
 
 
 @query

@@ -35,6 +35,10 @@ ORACLE: dict[str, str] = {
     "cv_experience": f"WITH {_CV} SELECT k AS c_custkey, {_YEARS} AS years FROM w",
     "cv_level": f"""WITH {_CV} SELECT k AS c_custkey, CASE k % 4 WHEN 3 THEN 'staff' WHEN 0 THEN 'senior' ELSE CASE WHEN {_YEARS} >= 6 THEN 'senior' WHEN {_YEARS} >= 2.5 THEN 'mid' ELSE 'junior' END END AS level, k % 4 = 1 AS practitioner FROM w""",
     "cv_families": "SELECT c_custkey, 'data' AS family, 1.0::DOUBLE AS weight, 1.0::DOUBLE AS recency, 1::BIGINT AS rank FROM customer",
+    "cv_profiles": f"""
+        WITH {_CV}, l AS (SELECT k, {_YEARS} AS years, CASE k % 4 WHEN 3 THEN 'staff' WHEN 0 THEN 'senior' ELSE CASE WHEN {_YEARS} >= 6 THEN 'senior' WHEN {_YEARS} >= 2.5 THEN 'mid' ELSE 'junior' END END AS level FROM w)
+        SELECT k AS c_custkey, CASE level WHEN 'junior' THEN 'mid' WHEN 'mid' THEN 'senior' ELSE 'staff' END AS max_level, ceil(years + 2)::INT AS max_years, k % 4 = 1 AS is_practitioner, 5::BIGINT AS n_forbidden, 'data' AS families,
+            'Excel,Kafka,Python,SQL,Spark' AS skills, round(round(2.0::DOUBLE / 6 + 0.35, 3), 4) AS spark FROM l""",
     "cv_sentences": """
         SELECT c_custkey, 'Senior ' || CASE c_custkey % 3 WHEN 0 THEN 'data' WHEN 1 THEN 'sales' ELSE 'health' END || ' with experience in Spark, SQL' AS own,
             'Work of ' || CASE c_custkey % 3 WHEN 0 THEN 'nurses and physicians, recruiters, sales representatives, accountants, mechanical engineers' WHEN 1 THEN 'nurses and physicians, accountants, mechanical engineers, software developers'
@@ -89,7 +93,7 @@ ORACLE: dict[str, str] = {
     "model_cap": "SELECT o_orderstatus, count(*) AS n, max(o_orderkey) AS last FROM (SELECT o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS n FROM orders) WHERE n <= 400 GROUP BY 1",
     "detail_candidates": "SELECT doc_id AS seq, (doc_id * 7919 % 1000)::DOUBLE AS total FROM documents WHERE doc_id % 2 = 0 AND doc_id % 23 = 0 ORDER BY total DESC, seq LIMIT 30",
     "result_rows": f"""
-        WITH {_PARTS}, {_PAIRS}, {_RANKED} SELECT rank, 'docs:' || company || ':' || winner AS uid, CASE WHEN remote OR list_contains(places, 'Remote - Germany') OR list_contains(places, 'Remote, EMEA') THEN 'remote'
+        WITH {_PARTS}, {_PAIRS}, {_RANKED} SELECT profile_id, rank, 'docs:' || company || ':' || winner AS uid, CASE WHEN remote OR list_contains(places, 'Remote - Germany') OR list_contains(places, 'Remote, EMEA') THEN 'remote'
             WHEN regexp_matches(lower(body), '(^|[^\\p{{L}}\\p{{N}}_])(hybrid|hibrit)($|[^\\p{{L}}\\p{{N}}_])') THEN 'hybrid' WHEN regexp_matches(lower(body), '(^|[^\\p{{L}}\\p{{N}}_])(remote|uzaktan|evden)($|[^\\p{{L}}\\p{{N}}_])') THEN 'remote' WHEN len(places) > 0 THEN 'office'
             WHEN regexp_matches(lower(body), '(^|[^\\p{{L}}\\p{{N}}_])(on-?site|in office|office|ofis)($|[^\\p{{L}}\\p{{N}}_])') THEN 'office' ELSE 'unknown' END AS work_mode,
             'unknown' AS employment, age * 24 AS hours_ago, array_to_string(list_filter(title_skills, lambda s: weights[s] IS NULL), ',') AS missing, status AS place, final, array_to_string(places, '|') AS locations FROM ranked WHERE rank <= 25""",

@@ -11,11 +11,11 @@ DESCRIPTION = 12_000
 
 
 def result_rows(results: DataFrame, as_of: Column) -> DataFrame:
-    """A ranked posting as the 29 flat fields that a reader is shown. Descriptions are cut for the reader's sake, here only."""
+    """A ranked posting as the profile and the flat fields that a reader is shown. Descriptions are cut for the reader's sake, here only."""
     c, mode = F.col, work_mode(F.col("raw.workplace_type") if "raw" in results.columns else F.lit(""), F.col("description"), F.col("remote_flag"), F.col("locations"))
     at = F.coalesce(c("posted_at"), c("updated_at"))
     return results.select(
-        "rank", F.concat_ws(":", "source", "board_token", "native_id").alias("uid"), "source", "company", "title", "url", "locations", F.array_join("locations", " / ").alias("location"), text_or_empty(c("department")).alias("department"),
+        "profile_id", "rank", F.concat_ws(":", "source", "board_token", "native_id").alias("uid"), "source", "company", "title", "url", "locations", F.array_join("locations", " / ").alias("location"), text_or_empty(c("department")).alias("department"),
         mode.alias("work_mode"), employment_type(c("employment_type"), F.concat_ws(" ", "title", F.left("description", F.lit(600)))).alias("employment"), "remote_flag", at.alias("posted_at"), hours_ago(at, as_of).alias("hours_ago"), F.floor("age").alias("age_days"),
         "level", "years", c("place.status").alias("place"), "family", "role", "skill", "bonus", "total", c("known").alias("matched"), F.array_except("title_skills", F.map_keys("weights")).alias("missing"), "risk", "band", "reasons", "final", F.left("description", F.lit(DESCRIPTION)).alias("description"),
     )
