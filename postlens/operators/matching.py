@@ -16,6 +16,13 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, WORD), lambda x: x != "")
 
 
+def as_run(term: str) -> str:
+    """A term as the run of words that a text is cut into: ``Node.js`` is ``Node js`` in both."""
+    import re
+
+    return " ".join(x for x in re.split(r"(?:[^\w+#&]|_)+", term) if x)
+
+
 #: Dictionary rows up to which the table is broadcast, and first words up to which they are looked up as a constant set.
 MAX_TERMS, MAX_FIRST_WORDS = 100_000, 5_000
 
@@ -33,7 +40,8 @@ def token_matches(docs: DataFrame, key: list[str], text: str, terms: DataFrame,
     Each text is cut into words once, words that begin no term are dropped before anything is exploded, and what is left meets the dictionary, which is broadcast if it has
     MAX_TERMS rows at most. Terms of exact case must equal the run of words as written, others its lower-cased form.
     """
-    table = terms.select("canonical", "term", "case_sensitive", F.lower("term").alias("gram"), F.lower(F.split_part("term", F.lit(" "), F.lit(1))).alias("__first"))
+    runs = terms.select("canonical", F.array_join(words(F.col("term")), " ").alias("term"), "case_sensitive").where("term <> ''").distinct()
+    table = runs.select("canonical", "term", "case_sensitive", F.lower("term").alias("gram"), F.lower(F.split_part("term", F.lit(" "), F.lit(1))).alias("__first"))
     n = table.count()
     firsts = [r[0] for r in table.select("__first").distinct().limit(MAX_FIRST_WORDS + 1).collect()]
     cut = docs.select(*key, F.get(F.transform(F.array(words(F.col(text))), lambda w: _hits(w, sorted(firsts) if len(firsts) <= MAX_FIRST_WORDS else None, longest)), F.lit(0)).alias("__grams"))
@@ -45,6 +53,7 @@ def token_matches(docs: DataFrame, key: list[str], text: str, terms: DataFrame,
 
 def matched(text: Column, terms: list[tuple[str, str, bool]], longest: int = 3) -> Column:
     """Sorted canonical names met in a text, as one array without a shuffle, for a dictionary (canonical, term, case sensitive) that is a parameter of the plan."""
+    terms = [(name, as_run(term), cs) for name, term, cs in terms]
     firsts = sorted({t.split()[0].lower() for _, t, _ in terms})
     table = lambda rows: F.create_map(*[x for k, v in rows.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in v]))]) if rows else None
     exact: dict[str, list[str]] = {}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..catalog import SKILLS
+
 _PARTS = r"""
     src AS (SELECT doc_id AS seq, source AS company, text,
         ['Senior', 'Junior', 'Lead', '', 'Mid/Senior', 'Principal'][doc_id % 6 + 1] AS word,
@@ -18,10 +20,7 @@ _PARTS = r"""
     winners AS (SELECT list_reduce(l, lambda v, j: CASE WHEN j.len > 1.2 * v.len THEN j WHEN v.len > 1.2 * j.len THEN v WHEN j.fresh > v.fresh THEN j WHEN j.fresh < v.fresh THEN v WHEN j.places > v.places THEN j ELSE v END).seq AS winner,
         l[1].seq AS rank, len(l) AS variants FROM grouped),
     folded AS (SELECT p.* EXCLUDE (seq), winner, rank AS seq, variants FROM posts p JOIN winners w ON p.seq = w.winner),
-    skill_terms(canonical, term, cs) AS (VALUES ('Python', 'python', false), ('Java', 'java', false), ('C++', 'c++', false), ('C#', 'c#', false), ('Go', 'Go', true), ('Go', 'golang', true), ('R', 'R', true), ('SQL', 'sql', false), ('SQL', 'postgresql', false),
-        ('SQL', 'mysql', false), ('Spark', 'spark', false), ('Spark', 'pyspark', false), ('Kafka', 'kafka', false), ('Airflow', 'airflow', false), ('Excel', 'Excel', true), ('AWS', 'aws', false), ('AWS', 'amazon web services', false), ('Azure', 'azure', false),
-        ('Kubernetes', 'kubernetes', false), ('Kubernetes', 'k8s', false), ('Docker', 'docker', false), ('AutoCAD', 'autocad', false), ('SolidWorks', 'solidworks', false), ('Patient care', 'patient care', false), ('Patient care', 'hasta bakımı', false),
-        ('Accounting', 'accounting', false), ('Accounting', 'muhasebe', false), ('Tax', 'tax return', false), ('Tax', 'vergi beyannamesi', false), ('Negotiation', 'negotiation', false), ('Negotiation', 'müzakere', false), ('Recruitment', 'recruitment', false), ('Recruitment', 'işe alım', false)),
+    skill_terms(canonical, term, cs) AS (VALUES @TERMS),
     words AS (SELECT seq, list_filter(regexp_split_to_array(title || chr(10) || body, '[^\p{L}\p{N}+#&]+'), lambda x: x <> '') AS w FROM folded),
     grams AS (SELECT DISTINCT seq, unnest(list_concat(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]), [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)])) AS g FROM words),
     has_skill AS (SELECT DISTINCT seq, canonical FROM grams JOIN skill_terms ON CASE WHEN cs THEN g = term ELSE lower(g) = term END),
@@ -44,6 +43,8 @@ _PARTS = r"""
     risks AS (SELECT *, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN age IS NULL THEN 0.25::DOUBLE WHEN age > 1095 THEN 0.85::DOUBLE WHEN age > 730 THEN 0.70::DOUBLE WHEN age > 365 THEN 0.50::DOUBLE WHEN age > 180 THEN 0.35::DOUBLE WHEN age > 120 THEN 0.20::DOUBLE
         WHEN age <= 14 THEN -0.10::DOUBLE ELSE 0::DOUBLE END + CASE WHEN pool_text THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN same_title >= 3 THEN 0.10::DOUBLE ELSE 0 END)), 4) AS risk FROM facts)
 """
+#: The dictionary is a parameter of the queries, so it is one of the SQL too.
+_PARTS = _PARTS.replace("@TERMS", ", ".join(f"('{name}', '{term.replace('.', ' ').replace('/', ' ')}', {str(cs).lower()})" for _, name, terms, cs in SKILLS for term in terms))
 _PAIRS = r"""
     people(profile_id, permits, max_rank, max_years, forbidden, sponsor, languages, trade, shows, fam1, w1, fam2, w2, weights, remote_bonus, sec1, s1, sec2, s2) AS (VALUES
         ('anna', ['germany', 'remote_emea'], 2, 8, 'principal', false, ['english', 'german'], false, false, 'data', 1.0::DOUBLE, 'software', 0.6::DOUBLE, MAP {'Python': 1.0::DOUBLE, 'Spark': 1.5, 'Kafka': 0.8, 'SQL': 1.0, 'Airflow': 0.7, 'Excel': 0.2}, 0.4::DOUBLE, 'license', 0.5::DOUBLE, NULL, NULL::DOUBLE),

@@ -45,6 +45,9 @@ def test_exact_terms_and_tokens_agree(spark):
     tokens = {(r.id, r.canonical) for r in matching.token_matches(docs, ["id"], "text", catalog.skills(spark)).collect()}
     exact = {(r.id, r.canonical) for r in matching.pattern_matches(docs, ["id"], "text", [(n, t, cs) for _, n, ts, cs in catalog.SKILLS for t in ts]).collect()}
     assert tokens == exact == {(1, "C++"), (1, "Go"), (1, "Python"), (2, "Spark")}
+    known = [(n, t, cs) for _, n, ts, cs in catalog.SKILLS for t in ts]
+    assert {(r.id, x) for r in docs.select("id", matching.matched(F.col("text"), known).alias("m")).collect() for x in r.m} == tokens
+    assert one(spark, matching.matched(F.lit("We run Node.js and PL/SQL, with CI/CD"), known)) == ["CI/CD", "Node.js", "Oracle", "SQL"]
 
 
 def test_interval_union_and_dhondt(spark):
