@@ -95,13 +95,12 @@ def measures(docs: DataFrame, keep: list[Column]) -> DataFrame:
     raw = F.coalesce(F.col("text"), F.lit(""))
     staged = docs.select(*keep, raw.alias("__t"), words_of(raw).alias("__w"))
     t, w = F.col("__t"), F.col("__w")
-    no_white = F.replace(_spaced(t), F.lit(" "), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "")
     counted = staged.select(
         *[c for c in staged.columns if c not in ("__t", "__w")],
         F.struct(
             F.size(w).cast("long").alias("n_words"),
-            F.length(no_white).cast("long").alias("word_chars"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
             let(lines, lambda x: F.struct(F.size(x).cast("long").alias("all"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("again"))).alias("lines"),
             _repeat_words(w).cast("long").alias("n_repeat_words"),
