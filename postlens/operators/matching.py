@@ -27,11 +27,17 @@ def as_run(term: str) -> str:
 MAX_TERMS, MAX_FIRST_WORDS = 100_000, 5_000
 
 
-def _hits(w: Column, firsts: list[str] | None, longest: int) -> Column:
-    """Distinct runs of 1 to ``longest`` words that begin with a first word of some term. Longer runs are made at those places only."""
-    places = F.transform(w, lambda x, i: i) if firsts is None else F.filter(F.transform(w, lambda x, i: F.when(F.lower(x).isin(firsts), i)), lambda i: i.isNotNull())
+def _hits(w: Column, firsts: dict[str, int] | None, longest: int) -> Column:
+    """Distinct runs of words that begin with a first word of some term, each as long as that word's terms (first word -> most words; null: all runs up to ``longest``)."""
     run = lambda i, n: F.when(i + n <= F.size(w), F.array_join(F.slice(w, i + 1, n), " "))
-    return F.array_compact(F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(*[run(i, n) for n in range(1, longest + 1)])))))
+    if firsts is None:
+        places = F.transform(w, lambda x, i: i)
+        runs = lambda i: [run(i, n) for n in range(1, longest + 1)]
+    else:
+        places = F.filter(F.transform(w, lambda x, i: F.when(F.lower(x).isin(sorted(firsts)), i)), lambda i: i.isNotNull())
+        begins = {n: sorted(f for f, most in firsts.items() if most >= n) for n in range(2, longest + 1)}
+        runs = lambda i: [run(i, 1), *[F.when(F.lower(F.get(w, i)).isin(some), run(i, n)) for n, some in begins.items() if some]]
+    return F.array_compact(F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(*runs(i))))))
 
 
 def token_matches(docs: DataFrame, key: list[str], text: str, terms: DataFrame, longest: int = 3) -> DataFrame:
@@ -42,9 +48,9 @@ def token_matches(docs: DataFrame, key: list[str], text: str, terms: DataFrame,
     """
     runs = terms.select("canonical", F.array_join(words(F.col("term")), " ").alias("term"), "case_sensitive").where("term <> ''").distinct()
     table = runs.select("canonical", "term", "case_sensitive", F.lower("term").alias("gram"), F.lower(F.split_part("term", F.lit(" "), F.lit(1))).alias("__first"))
+    firsts = {r["__first"]: min(r["most"], longest) for r in table.groupBy("__first").agg(F.max(F.size(F.split("term", " "))).alias("most")).limit(MAX_FIRST_WORDS + 1).collect()}
     n = table.count()
-    firsts = [r[0] for r in table.select("__first").distinct().limit(MAX_FIRST_WORDS + 1).collect()]
-    cut = docs.select(*key, F.get(F.transform(F.array(words(F.col(text))), lambda w: _hits(w, sorted(firsts) if len(firsts) <= MAX_FIRST_WORDS else None, longest)), F.lit(0)).alias("__grams"))
+    cut = docs.select(*key, F.get(F.transform(F.array(words(F.col(text))), lambda w: _hits(w, firsts if len(firsts) <= MAX_FIRST_WORDS else None, longest)), F.lit(0)).alias("__grams"))
     each = cut.select(*key, F.explode("__grams").alias("__raw")).withColumn("gram", F.lower("__raw"))
     small = table.drop("__first")
     met = each.join(F.broadcast(small) if n <= MAX_TERMS else small, "gram").where(~F.col("case_sensitive") | (F.col("__raw") == F.col("term")))
@@ -54,7 +60,10 @@ def token_matches(docs: DataFrame, key: list[str], text: str, terms: DataFrame,
 def matched(text: Column, terms: list[tuple[str, str, bool]], longest: int = 3) -> Column:
     """Sorted canonical names met in a text, as one array without a shuffle, for a dictionary (canonical, term, case sensitive) that is a parameter of the plan."""
     terms = [(name, as_run(term), cs) for name, term, cs in terms]
-    firsts = sorted({t.split()[0].lower() for _, t, _ in terms})
+    firsts: dict[str, int] = {}
+    for _, term, _ in terms:
+        first, *rest = term.lower().split()
+        firsts[first] = min(max(firsts.get(first, 1), 1 + len(rest)), longest)
     table = lambda rows: F.create_map(*[x for k, v in rows.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in v]))]) if rows else None
     exact: dict[str, list[str]] = {}
     loose: dict[str, list[str]] = {}
