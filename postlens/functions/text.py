@@ -164,6 +164,13 @@ def slug(c: Column) -> Column:
     return F.replace(F.trim(F.regexp_replace(plain, " +", " ")), F.lit(" "), F.lit("+"))
 
 
+def url_joined(base: Column, path: Column) -> Column:
+    """``path`` as seen from the page ``base``: whole addresses stay, rooted paths are of the same host, others of the same folder; spaces are quoted."""
+    origin, folder = F.regexp_extract(base, r"^([a-z]+://[^/?#]+)", 1), F.regexp_extract(base, r"^([a-z]+://[^/?#]+(?:/[^?#]*/)?)", 1)
+    joined = F.when(path.rlike("^[a-z]+://"), path).when(F.startswith(path, F.lit("//")), F.concat(F.regexp_extract(base, "^([a-z]+:)", 1), path)).when(F.startswith(path, F.lit("/")), F.concat(origin, path))
+    return F.replace(joined.otherwise(F.concat(folder, F.when(F.endswith(folder, F.lit("/")), "").otherwise("/"), path)), F.lit(" "), F.lit("%20"))
+
+
 def squeezed(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"\s+", " "))
 

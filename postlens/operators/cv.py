@@ -96,14 +96,28 @@ def self_sentence(family: Column, level: Column, top: Column) -> Column:
 
 
 #: pattern, families that it doesn't concern: titles that are no option for others.
-FILTERS = ((r"\b(recruiter|talent acquisition)\b", ("people",)), (r"\b(sales|account executive)\b", ("sales",)), (r"\b(nurse|physician)\b", ("health",)), (r"\b(accountant|auditor)\b", ("finance",)), (r"\b(intern|stajyer)\b", ()))
+FILTERS = (
+    (r"\b(recruiter|talent acquisition|headhunter)\b", ("people",)), (r"\b(sales|account executive|business development)\b", ("sales",)), (r"\b(nurse|physician|caregiver|hemşire)\b", ("health",)), (r"\b(accountant|auditor|bookkeeper|muhasebeci)\b", ("finance",)), (r"\b(intern|trainee|stajyer)\b", ()),
+    (r"\b(teacher|tutor|öğretmen)\b", ("teaching",)), (r"\b(lawyer|attorney|avukat)\b", ("law",)), (r"\b(driver|courier|warehouse|forklift)\b", ("logistics",)), (r"\b(call cent(er|re)|customer (service|support))\b", ("service",)),
+    # managers of people, not of products and projects
+    (r"(?<!product )(?<!project )(?<!program )\bmanager\b", ("people", "sales", "product", "hospitality")),
+)
+#: Titles above a level.
+ABOVE = {"junior": r"\b(senior|sr|lead|principal|staff|head of|director|vp|chief)\b", "mid": r"\b(principal|staff|head of|director|vp|chief)\b", "senior": r"\b(head of|director|vp|chief)\b"}
+
+
+def forbidden_patterns(own: Column, level: Column) -> Column:
+    """Patterns of FILTERS that none of the own families is exempt from, and that of the titles above the own level."""
+    rules = F.array(*[F.struct(F.lit(unicode_pattern(p)).alias("p"), F.array(*[F.lit(x) for x in e]).cast("array<string>").alias("e")) for p, e in FILTERS])
+    above = F.create_map(*[F.lit(x) for name, p in ABOVE.items() for x in (name, unicode_pattern(p))])
+    kept = F.transform(F.filter(rules, lambda r: ~F.arrays_overlap(r["e"], F.coalesce(own, F.array().cast("array<string>")))), lambda r: r["p"])
+    return F.array_compact(F.concat(kept, F.array(F.try_element_at(above, level))))
 
 
 def forbidden(families_: DataFrame, key: str) -> DataFrame:
-    """key, forbidden: patterns of FILTERS that none of the own families is exempt from."""
+    """key, forbidden: the patterns of each owner of families, whatever their level."""
     held = families_.groupBy(key).agg(F.collect_set("family").alias("own"))
-    rules = F.array(*[F.struct(F.lit(unicode_pattern(p)).alias("p"), F.array(*[F.lit(x) for x in e]).cast("array<string>").alias("e")) for p, e in FILTERS])
-    return held.select(key, F.transform(F.filter(rules, lambda r: ~F.arrays_overlap(r["e"], F.col("own"))), lambda r: r["p"]).alias("forbidden"))
+    return held.select(key, forbidden_patterns(F.col("own"), F.lit(None).cast("string")).alias("forbidden"))
 
 
 def fingerprint(*parts: str) -> str:

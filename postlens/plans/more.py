@@ -117,6 +117,12 @@ def text_fields(spark, d):
     )
 
 
+@query
+def url_join(spark, d):
+    path = F.when(F.col("page_id") % 4 == 0, "https://other.test/a b").when(F.col("page_id") % 4 == 1, "/root x").when(F.col("page_id") % 4 == 2, "next?p=2").otherwise("//cdn.test/y")
+    return read(spark, d, "pages").select("page_id", tx.url_joined(F.col("url"), path).alias("joined"))
+
+
 # vectors
 
 
@@ -293,6 +299,19 @@ def markdown_report(spark, d):
     return sinks.markdown_report(ranking.ranked(_ranked(spark, d)))
 
 
+@query
+def terminal_lines(spark, d):
+    return sinks.terminal_lines(ranking.ranked(_ranked(spark, d), 3, 10), 20)
+
+
+@query
+def shortlist_quality(spark, d):
+    """Of each profile's best ten: how many there are, how many without a known skill, of how many trades, and how many of the first five name a known skill in their title."""
+    best = ranking.ranked(_ranked(spark, d), 3, 10)
+    named = F.exists("title_skills", lambda s: F.array_contains("known", s))
+    return best.groupBy("profile_id").agg(F.count(F.lit(1)).alias("filled"), F.count_if(F.size("known") == 0).alias("without_skill"), F.count_if("practitioner").alias("practitioners"), F.count_if(named & (F.col("rank") <= 5)).alias("hits"), F.count_if(~F.col("place.ok")).alias("misplaced"))
+
+
 @query
 def profile_summary(spark, d):
     return sinks.profile_summary(standin.profiles(spark))

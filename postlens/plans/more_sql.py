@@ -37,12 +37,12 @@ ORACLE: dict[str, str] = {
     "cv_families": "SELECT c_custkey, 'data' AS family, 1.0::DOUBLE AS weight, 1.0::DOUBLE AS recency, 1::BIGINT AS rank FROM customer",
     "cv_profiles": f"""
         WITH {_CV}, l AS (SELECT k, {_YEARS} AS years, CASE k % 4 WHEN 3 THEN 'staff' WHEN 0 THEN 'senior' ELSE CASE WHEN {_YEARS} >= 6 THEN 'senior' WHEN {_YEARS} >= 2.5 THEN 'mid' ELSE 'junior' END END AS level FROM w)
-        SELECT k AS c_custkey, CASE level WHEN 'junior' THEN 'mid' WHEN 'mid' THEN 'senior' ELSE 'staff' END AS max_level, ceil(years + 2)::INT AS max_years, k % 4 = 1 AS is_practitioner, 5::BIGINT AS n_forbidden, 'data' AS families,
+        SELECT k AS c_custkey, CASE level WHEN 'junior' THEN 'mid' WHEN 'mid' THEN 'senior' ELSE 'staff' END AS max_level, ceil(years + 2)::INT AS max_years, k % 4 = 1 AS is_practitioner, CASE level WHEN 'staff' THEN 10 ELSE 11 END::BIGINT AS n_forbidden, 'data' AS families,
             'Excel,Kafka,Python,SQL,Spark' AS skills, round(round(2.0::DOUBLE / 6 + 0.35, 3), 4) AS spark FROM l""",
     "cv_sentences": """
         SELECT c_custkey, 'Senior ' || CASE c_custkey % 3 WHEN 0 THEN 'data' WHEN 1 THEN 'sales' ELSE 'health' END || ' with experience in Spark, SQL' AS own,
             'Work of ' || CASE c_custkey % 3 WHEN 0 THEN 'nurses and physicians, recruiters, sales representatives, accountants, mechanical engineers' WHEN 1 THEN 'nurses and physicians, accountants, mechanical engineers, software developers'
-                ELSE 'recruiters, sales representatives, accountants, mechanical engineers, software developers' END AS other, CASE c_custkey % 3 WHEN 0 THEN 5 WHEN 1 THEN 3 ELSE 4 END::BIGINT AS n_forbidden FROM customer""",
+                ELSE 'recruiters, sales representatives, accountants, mechanical engineers, software developers' END AS other, CASE c_custkey % 3 WHEN 0 THEN 10 WHEN 1 THEN 7 ELSE 9 END::BIGINT AS n_forbidden FROM customer""",
     "text_fields": """
         WITH x AS (SELECT *, c_custkey AS k, TIMESTAMP '2024-03-01 10:00:00' + to_days((c_custkey % 28)::INT) - to_hours(CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 3 END) AS stamp FROM customer)
         SELECT c_custkey, c_mktsegment || ', ' || c_name AS listed, c_name AS first, c_name || chr(10) || 'Ops' || chr(10) || c_mktsegment || ' x' || chr(10) || 'text' AS combined,
@@ -50,6 +50,15 @@ ORACLE: dict[str, str] = {
             round(greatest(0, (epoch(TIMESTAMP '2024-03-20') - epoch(stamp)) / 86400), 4)::DOUBLE AS age, floor((epoch(TIMESTAMP '2024-03-20 00:30:00') - epoch(stamp)) / 3600)::BIGINT AS hours,
             array_to_string(list_filter(regexp_split_to_array(lower(c_mktsegment || ' a the ' || c_name), '[^a-z0-9+#]+'), lambda t: t NOT IN ('the', 'a', '')), ' ') AS tokens,
             CASE k % 3 WHEN 0 THEN ' · İstanbul' WHEN 1 THEN ' · İzmir' ELSE '' END AS city FROM x""",
+    "url_join": r"""
+        SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://other.test/a%20b' WHEN 1 THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/root%20x' WHEN 3 THEN regexp_extract(url, '^([a-z]+:)', 1) || '//cdn.test/y'
+            ELSE CASE WHEN regexp_matches(url, '^[a-z]+://[^/?#]+/') THEN regexp_replace(regexp_extract(url, '^([^?#]*)', 1), '/[^/]*$', '/') ELSE regexp_extract(url, '^([^?#]*)', 1) || '/' END || 'next?p=2' END AS joined FROM pages""",
+    "terminal_lines": f"""
+        WITH {_PARTS}, {_PAIRS}, {_RANKED}, lines AS (SELECT profile_id, rank, lpad(rank::VARCHAR, 3, ' ') || ' ' || lpad(printf('%.1f', final), 6, ' ') || ' ' || rpad(CASE WHEN risk >= 0.70 THEN 'ghost' WHEN risk >= 0.45 THEN 'doubtful' WHEN risk >= 0.20 THEN 'normal' ELSE 'fresh' END, 8, ' ') || ' '
+            || rpad(CASE WHEN length(title) > 20 THEN title[:19] || '…' ELSE title END, 20, ' ') || ' ' || company AS line FROM ranked WHERE rank <= 10) SELECT profile_id, rank, rtrim(line) AS line FROM lines""",
+    "shortlist_quality": f"""
+        WITH {_PARTS}, {_PAIRS}, {_RANKED} SELECT profile_id, count(*) AS filled, count(*) FILTER (len(known) = 0) AS without_skill, count(*) FILTER (practitioner) AS practitioners, count(*) FILTER (rank <= 5 AND list_has_any(title_skills, known)) AS hits, count(*) FILTER (NOT ok) AS misplaced
+        FROM ranked WHERE rank <= 10 GROUP BY profile_id""",
     "masked_mean": """
         WITH t AS (SELECT vec_id, n, list_sum([x::DOUBLE FOR x IN embedding[1:8]]) * (n + 1) AS s FROM embeddings, range(4) r(n) WHERE (vec_id + n) % 3 <> 0)
         SELECT vec_id, round(sum(s) / count(*), 5) AS sum_of_mean FROM t GROUP BY vec_id""",

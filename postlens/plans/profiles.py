@@ -28,16 +28,15 @@ def from_cvs(docs: DataFrame, key: str, text: str, as_of: Column, permits: Colum
     families = cv.families(skills, catalog.families(spark), key)
     held = families.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "family", "weight"))), lambda x: F.struct(x["family"].alias("name"), x["weight"].cast("double").alias("weight"))).alias("families"))
     weights = skills.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("canonical", F.col("weight").cast("double"))))).alias("weights"))
-    forbidden = cv.forbidden(families, key)
     years = cv.experience(once, lines, key, text)
     level = cv.seniority(F.col(text), F.col("years"))
     above = F.create_map(*[F.lit(x) for kv in ABOVE.items() for x in kv])
-    rows = once.join(years, key).join(held, key, "left").join(weights, key, "left").join(forbidden, key, "left")
+    rows = once.join(years, key).join(held, key, "left").join(weights, key, "left")
     languages = F.array_distinct(F.concat(F.array(F.lit("english")), F.transform(F.regexp_extract_all(F.col(text), F.lit(SPOKEN), F.lit(1)), F.lower)))
     nothing = F.array().cast("array<struct<name:string,weight:double>>")
     return rows.select(
         F.col(key).cast("string").alias("profile_id"), permits.alias("permits"), F.try_element_at(above, level).alias("max_level"), F.when(F.col("years") > 0, F.ceil(F.col("years") + 2)).otherwise(0).cast("int").alias("max_years"),
-        F.coalesce("forbidden", F.array().cast("array<string>")).alias("forbidden"), F.lit(DEFAULTS["needs_sponsor"]).alias("needs_sponsor"), languages.alias("languages"), cv.practitioner(F.col(text)).alias("is_practitioner"),
+        cv.forbidden_patterns(F.transform("families", lambda f: f["name"]), level).alias("forbidden"), F.lit(DEFAULTS["needs_sponsor"]).alias("needs_sponsor"), languages.alias("languages"), cv.practitioner(F.col(text)).alias("is_practitioner"),
         F.lit(DEFAULTS["show_off_domain"]).alias("show_off_domain"), F.coalesce("families", nothing).alias("families"), F.coalesce("weights", F.create_map().cast("map<string,double>")).alias("weights"),
         F.lit(DEFAULTS["remote_bonus"]).alias("remote_bonus"), F.array().cast("array<struct<pattern:string,weight:double>>").alias("sectors"),
     )

@@ -192,6 +192,28 @@ def firm_paths(paths: DataFrame, slug: str, n: int = 2) -> DataFrame:
 PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {f.__name__: f for f in (greenhouse, lever, ashby, workable, smartrecruiters, remotive, remoteok, arbeitnow, themuse, himalayas, jobicy, weworkremotely, job_posting_ld)}
 
 
+#: How each source is asked: once a company, once a query, as one stream, or page by page under a board's budget.
+KINDS = {"greenhouse": "company", "lever": "company", "ashby": "company", "workable": "company", "smartrecruiters": "company", "remotive": "query", "remoteok": "stream", "arbeitnow": "stream", "themuse": "stream", "himalayas": "stream", "jobicy": "stream", "weworkremotely": "stream", "job_posting_ld": "board"}
+#: How pages of a source follow each other, how many are read at most, and how many items a full page has.
+PAGING = {"workable": ("cursor", 20, 0), "smartrecruiters": ("offset", 20, 100), "arbeitnow": ("number", 3, 50), "themuse": ("number", 4, 1), "himalayas": ("offset", 3, 100)}
+
+
+def registered(spark) -> dict[str, str]:
+    """Registers the paged reader with the session; gives the known sources with their kinds."""
+    from .fetch import FeedSource
+
+    spark.dataSource.register(FeedSource)
+    return dict(KINDS)
+
+
+def options(source: str, plan: list[tuple[str, str]], fetcher: str) -> dict[str, str]:
+    """Reader options of a source for a plan of (token, company)."""
+    import json
+
+    paging, pages, full = PAGING.get(source, ("number", 1, 0))
+    return {"plan": json.dumps(plan), "fetcher": fetcher, "paging": paging, "pages": str(pages), "fullpage": str(full)}
+
+
 def pool(spark, payloads: dict[str, DataFrame]) -> DataFrame:
     """All feeds in one pool. ``seq`` orders the whole pool by source (in the order given), token and native id and repeats nowhere, as later steps depend on the order.
 

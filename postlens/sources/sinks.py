@@ -64,3 +64,9 @@ def profile_summary(profiles: DataFrame) -> DataFrame:
     families = F.transform(F.array_sort(F.transform("families", lambda f, i: F.struct((-f["weight"]).alias("w"), i.alias("i"), f["name"].alias("name")))), lambda x: x["name"])
     return profiles.select("profile_id", F.array_join(families, ", ").alias("families"), F.size(F.map_keys("weights")).cast("long").alias("n_skills"), F.array_join(top, ", ").alias("top_skills"), "max_level", F.nullif("max_years", F.lit(0)).alias("max_years"), F.array_join(F.array_sort("permits"), ", ").alias("permits"))
 
+
+
+def terminal_lines(ranked: DataFrame, width: int = 48) -> DataFrame:
+    """profile_id, rank, line: a shortlist as lines of fixed columns."""
+    cut = lambda c, n: F.rpad(F.when(F.length(c) > n, F.concat(F.left(c, F.lit(n - 1)), F.lit("…"))).otherwise(c), n, " ")
+    return ranked.select("profile_id", "rank", F.rtrim(F.concat_ws(" ", F.lpad(F.col("rank").cast("string"), 3, " "), F.lpad(F.format_string("%.1f", "final"), 6, " "), F.rpad("band", 8, " "), cut(F.col("title"), width), cut(F.col("company"), 20))).alias("line"))

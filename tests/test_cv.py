@@ -30,3 +30,12 @@ def test_profile(spark):
     assert families[0] == "data"
     level = docs.where("id = 1").select(cv.seniority(F.col("text"), F.lit(8.0)).alias("l"), cv.practitioner(F.col("text")).alias("p")).first()
     assert (level.l, level.p) == ("senior", False)
+
+
+def test_forbidden_titles(spark):
+    import re
+
+    row = spark.range(1).select(cv.forbidden_patterns(F.array(F.lit("data")), F.lit("mid")).alias("a"), cv.forbidden_patterns(F.array(F.lit("sales")), F.lit("staff")).alias("b")).first()
+    hit = lambda patterns, title: spark.range(1).select(F.exists(F.array(*[F.lit(p) for p in patterns]), lambda p: F.regexp_like(F.lit(title), p)).alias("x")).first().x
+    assert hit(row.a, "Engineering Manager") and not hit(row.a, "Product Manager") and hit(row.a, "Head of Data") and not hit(row.a, "Senior Data Engineer")
+    assert not hit(row.b, "Sales Manager") and not hit(row.b, "Head of Sales") and hit(row.b, "Nurse") and all(re.match(r"\(\?iU\)", p) for p in row.a)

@@ -60,3 +60,12 @@ def test_text_to_vector(spark):
     rows = spark.createDataFrame([(1, "data engineer"), (2, "Engineer DATA"), (3, None), (4, ""), (5, "welder")], "id int, t string")
     got = {r.id: r.v for r in rows.select("id", fit.text_to_vector()(F.col("t")).alias("v")).collect()}
     assert got[1] == got[2] != got[5] and got[3] is None and sum(got[4]) == 0 and abs(sum(x * x for x in got[1]) - 1) < 1e-5
+
+
+def test_registry(spark):
+    from postlens.sources import feeds
+
+    kinds = feeds.registered(spark)
+    assert set(kinds) == set(feeds.PARSERS) and kinds["workable"] == "company" and kinds["remotive"] == "query"
+    given = feeds.options("workable", [("acme", "Acme")], "tests.test_sources.by_cursor")
+    assert [r.payload for r in spark.read.format("feed").options(**given).load().orderBy("page").collect()] == PAGES["acme"]
