@@ -363,3 +363,10 @@ def stream_cooloff(spark, d):
     """Whether each request of the streamed log lies outside a block's silence."""
     log = streams.logged(_stream(spark, d).select("run_id", F.concat_ws("/", "uid", F.col("event_id").cast("string")).alias("uid"), "event_id", "event_type", "user_id", "ts"))
     return intervals.cooled_off(log, ["user_id"], "ts", F.col("event_type") == "error", 6).select("event_id", "allowed")
+
+
+@query
+def stream_cooloff_state(spark, d):
+    """The same by the state of each key and its timer, without a log."""
+    rows = _stream(spark, d).select("event_id", "user_id", "ts", (F.col("event_type") == "error").alias("blocked"))
+    return streams.drained(streams.cooled_off(rows, "user_id", "ts", "blocked"), "append").select("event_id", "allowed")

@@ -125,3 +125,6 @@ ORACLE: dict[str, str] = {
     "stream_cooloff": """
         SELECT event_id, coalesce(ts >= max(CASE WHEN event_type = 'error' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + INTERVAL 6 HOURS, true) AS allowed FROM events""",
 }
+
+#: What the window over the log tells, the state tells too.
+ORACLE["stream_cooloff_state"] = ORACLE["stream_cooloff"]

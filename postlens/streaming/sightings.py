@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,39 @@ def state_of(stream: DataFrame, key: str, at: str, hash_: str) -> DataFrame:
     return stream.groupBy(key).agg(F.count(F.lit(1)).alias("seen"), F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.max_by(hash_, at).alias("content_hash"))
 
 
+def cooled_off(stream: DataFrame, key: str, at: str, blocked: str, hours: int = 6, delay: str = "10 minutes") -> DataFrame:
+    """``stream`` (key, at, blocked and others) with ``allowed``: whether no block of the key lies in the ``hours`` before a row.
+
+    The state of a key is the time of its last block. A timer in event time drops it once the watermark has passed the silence, so keys without blocks hold nothing. Rows of a key that come
+    in one batch are put in order of time; rows that come later than ``delay`` see the state as it is by then.
+    """
+    import pandas as pd
+    from pyspark.sql import types as T
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    names = stream.columns
+    silence = hours * 3_600_000_000
+
+    def told(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(frames), ignore_index=True).sort_values(at, kind="stable")
+        allowed = []
+        for micros, block in zip(rows[at].astype("datetime64[us]").astype("int64"), rows[blocked], strict=True):
+            allowed.append(last is None or micros >= last + silence)
+            if block:
+                last = int(micros) if last is None else max(last, int(micros))
+        if last is not None:
+            state.update((last,))
+            state.setTimeoutTimestamp(max((last + silence) // 1000, state.getCurrentWatermarkMs() + 1))
+        yield rows[names].assign(allowed=allowed)
+
+    out = T.StructType([*stream.schema.fields, T.StructField("allowed", T.BooleanType())])
+    return stream.withWatermark(at, delay).groupBy(key).applyInPandasWithState(told, out, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def into_log(stream: DataFrame, path: str, checkpoint: str):
     """Appends each micro-batch, without its own repeats, to the log of sightings; a batch that is run again replaces its own partition."""
 

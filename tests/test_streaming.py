@@ -53,3 +53,16 @@ def test_no_folder_of_this_machine_on_a_cluster():
 
     with pytest.raises(ValueError, match="checkpoint"):
         sightings.folder(Fake)
+
+
+def test_cool_off_over_batches(spark, tmp_path):
+    """A block that an earlier batch brought silences rows of a later one, until its hours are over."""
+    kind = "board string, at string, blocked boolean"
+    first = [("a", "2024-01-01 00:00:00", True), ("a", "2024-01-01 01:00:00", False), ("b", "2024-01-01 00:00:00", False)]
+    later = [("a", "2024-01-01 05:59:59", False), ("a", "2024-01-01 06:00:00", False), ("b", "2024-01-01 03:00:00", True), ("b", "2024-01-01 04:00:00", False)]
+    for i, rows in enumerate((first, later)):
+        spark.createDataFrame(rows, kind).withColumn("ts", F.to_timestamp("at")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/rows")
+        stream = sightings.cooled_off(sightings.stream_of(spark, f"{tmp_path}/rows"), "board", "ts", "blocked")
+        stream.writeStream.foreachBatch(lambda batch, n: batch.write.mode("append").parquet(f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    got = {(r.board, r.at[11:]): r.allowed for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {("a", "00:00:00"): True, ("a", "01:00:00"): False, ("b", "00:00:00"): True, ("a", "05:59:59"): False, ("a", "06:00:00"): True, ("b", "03:00:00"): True, ("b", "04:00:00"): False}
