@@ -159,7 +159,7 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, md5(text) AS digest, length(text) AS chars FROM documents WHERE doc_id IN (SELECT doc_id FROM b)""",
     "contrast_cosine": f"WITH {_CONTRAST} SELECT vec_id, fit FROM fits",
     "fit_band_score": f"""
-        WITH {_CONTRAST} SELECT vec_id, round((n_chars % 100) * greatest(0.82::DOUBLE, least(1.18::DOUBLE, 1 + 4.5::DOUBLE * fit)), 3) AS final FROM fits JOIN documents ON vec_id = doc_id""",
+        WITH {_CONTRAST} SELECT vec_id, round((n_chars % 100) * (1 - 0.75::DOUBLE * (vec_id % 4) / 4) * CASE WHEN vec_id % 7 <> 0 THEN greatest(0.82::DOUBLE, least(1.18::DOUBLE, 1 + 4.5::DOUBLE * fit)) ELSE 1 END, 1) AS final FROM fits JOIN documents ON vec_id = doc_id""",
     "stable_sort_limit": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
     "store_stats": "SELECT o_orderpriority, count(*) AS n, count(*) FILTER (o_orderstatus = 'O') AS n_open, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1",
     "json_sidecar": """
