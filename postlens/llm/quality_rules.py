@@ -167,7 +167,9 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = 0.05, delta:
     good = labels.where("quality = 1").select(F.col("doc_id").alias("__id")).distinct()
     labelled = measured.where(~base_failed(F.col("m"))).join(good, F.col("doc_id") == F.col("__id"), "inner")
     rows = labelled.groupBy("stratum", F.col("m.text").alias("__text")).agg(F.first("m").alias("m"))
-    counts = [F.count_if(ratio > cut).alias(f"{rule}:{cut}") for rule, ratio in ratios(F.col("m")).items() for cut in RULES[rule]]
+    # the ratios are columns before they are counted: written into each count they would make one very large method
+    rows = rows.select("stratum", *[ratio.alias(rule) for rule, ratio in ratios(F.col("m")).items()])
+    counts = [F.count_if(F.col(rule) > cut).alias(f"{rule}:{cut}") for rule in RULES for cut in RULES[rule]]
     per = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts)
     grid = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(float(cut)).alias("cutoff"), F.col(f"`{rule}:{cut}`").alias("k")) for rule, cuts in RULES.items() for cut in cuts])
     tested = per.select("stratum", "n", F.inline(grid))
