@@ -37,7 +37,7 @@ from .storage import forget, in_arrow, written
 from .url_filter import Level, _places
 
 #: Similarity in hundredths, shingles for each fragment's task, shingles that a block gathers, ranges in each of the count classes of the order.
-PERCENT, FRAGMENT, BLOCK, RANGES, CLASSES = 75, 1_000_000, 500_000, 2, 4
+PERCENT, FRAGMENT, BLOCK, RANGES, CLASSES = 75, 500_000, 400_000, 2, 4
 #: Words of 64 bits in a sketch; members of a star that one task compares with each other.
 SKETCH, MEMBERS = 16, 512
 #: Hundredths of a set that its prefix has beyond what the similarity asks for; bits of the Bloom filter at most, and for each class.
@@ -408,8 +408,9 @@ def joined(docs: DataFrame) -> DataFrame:
     parts = class_components(docs, table, total)
     # smallest id by class first, with a partial sum before the shuffle, then by component
     classes = table.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    named = classes.join(parts, "class", "left").select("class", "least", F.coalesce("part", "class").alias("part"))
-    least = named.groupBy("part").agg(F.min("least").alias("component"))
+    # a large component is a hot key of the join by part: both of its sides are tables, so that it can be split
+    named = written(classes.join(parts, "class", "left").select("class", "least", F.coalesce("part", "class").alias("part")), "named")
+    least = written(named.groupBy("part").agg(F.min("least").alias("component")), "least")
     ids = written(named.join(least, "part").select(F.col("class").alias("c"), "component"), "components")
     out = table.join(ids, F.col("class") == F.col("c"), "left")
     return out.select("doc_id", "n_shingles", "class", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
