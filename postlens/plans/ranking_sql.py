@@ -45,6 +45,7 @@ _PARTS = r"""
 """
 #: The dictionary is a parameter of the queries, so it is one of the SQL too.
 _PARTS = _PARTS.replace("@TERMS", ", ".join(f"('{name}', '{term.replace('.', ' ').replace('/', ' ')}', {str(cs).lower()})" for _, name, terms, cs in SKILLS for term in terms))
+#: Sums are rounded as decimals of their shortest spelling, so that 9.5 * 0.7, a little under 6.65, is 6.6 and not 6.7.
 _PAIRS = r"""
     people(profile_id, permits, max_rank, max_years, forbidden, sponsor, languages, trade, shows, fam1, w1, fam2, w2, weights, remote_bonus, sec1, s1, sec2, s2) AS (VALUES
         ('anna', ['germany', 'remote_emea'], 2, 8, 'principal', false, ['english', 'german'], false, false, 'data', 1.0::DOUBLE, 'software', 0.6::DOUBLE, MAP {'Python': 1.0::DOUBLE, 'Spark': 1.5, 'Kafka': 0.8, 'SQL': 1.0, 'Airflow': 0.7, 'Excel': 0.2}, 0.4::DOUBLE, 'license', 0.5::DOUBLE, NULL, NULL::DOUBLE),
@@ -58,8 +59,8 @@ _PAIRS = r"""
     parts AS (SELECT k.*, coalesce(informative, 0) AS informative, CASE WHEN by_title IS NOT NULL THEN by_title * 40 WHEN by_text IS NOT NULL THEN by_text * 20 ELSE 0 END AS role_score,
         CASE WHEN trim(body) = '' THEN least(len(title_skills) - missing, 3)::DOUBLE ELSE least(coalesce(worth, 0) / 8, 1.0::DOUBLE) * 45 END AS skill_score,
         least(CASE WHEN remote THEN remote_bonus ELSE 0 END + coalesce(sector, 0), 1.0::DOUBLE) * 15 AS bonus, by_title IS NULL AS off_domain FROM known k LEFT JOIN worth w ON k.seq = w.seq AND k.profile_id = w.profile_id),
-    summed AS (SELECT *, round(role_score + skill_score + bonus, 1) AS t0 FROM parts),
-    totals AS (SELECT *, CASE WHEN missing >= 2 THEN round(t1 * 0.5::DOUBLE, 1) WHEN missing = 1 THEN round(t1 * 0.7::DOUBLE, 1) ELSE t1 END AS total FROM (SELECT *, CASE WHEN off_domain THEN round(t0 * 0.55::DOUBLE, 1) ELSE t0 END AS t1 FROM summed)),
+    summed AS (SELECT *, round((role_score + skill_score + bonus)::VARCHAR::DECIMAL(30, 18), 1)::DOUBLE AS t0 FROM parts),
+    totals AS (SELECT *, CASE WHEN missing >= 2 THEN round((t1 * 0.5::DOUBLE)::VARCHAR::DECIMAL(30, 18), 1)::DOUBLE WHEN missing = 1 THEN round((t1 * 0.7::DOUBLE)::VARCHAR::DECIMAL(30, 18), 1)::DOUBLE ELSE t1 END AS total FROM (SELECT *, CASE WHEN off_domain THEN round((t0 * 0.55::DOUBLE)::VARCHAR::DECIMAL(30, 18), 1)::DOUBLE ELSE t0 END AS t1 FROM summed)),
     placed AS (SELECT *, CASE WHEN places[1] = 'Istanbul, Turkey' THEN 'home' WHEN places[1] = 'Remote, EMEA' THEN 'emea'
             WHEN countries IS NOT NULL THEN CASE WHEN remote THEN 'remote, ' ELSE '' END || CASE places[1] WHEN 'Remote - Germany' THEN 'Germany' WHEN 'Tel Aviv-Yafo' THEN 'Israel' ELSE 'Canada/United States' END || CASE WHEN list_has_any(countries, permits) THEN '' ELSE ' - no permit' END
             WHEN remote AND says_emea THEN 'remote, emea' WHEN remote THEN 'remote, unclear' WHEN len(places) > 0 THEN 'office: ' || array_to_string(places, ', ') ELSE 'no location' END AS status,
@@ -80,7 +81,7 @@ _PAIRS = r"""
             WHEN by_title IS NOT NULL AND title_family IN ('data', 'software', 'cloud') AND length(body) >= 400 AND len(known) = 0
                 AND NOT list_has_any(skills, CASE title_family WHEN 'data' THEN ['Spark', 'Airflow'] WHEN 'software' THEN ['C++', 'Java', 'Go'] ELSE ['Kubernetes', 'AWS'] END) THEN 'accidental title'
         END AS reason FROM placed),
-    verdicts AS (SELECT *, round(total * (1 - 0.75::DOUBLE * risk), 1) AS final, coalesce(trim(split_part(reason, '(', 1)), CASE WHEN risk >= 0.70 THEN 'ghost' WHEN round(total * (1 - 0.75::DOUBLE * risk), 1) < 25 THEN 'low score' ELSE 'kept' END) AS verdict FROM reasons)
+    verdicts AS (SELECT *, round((total * (1 - 0.75::DOUBLE * risk))::VARCHAR::DECIMAL(30, 18), 1)::DOUBLE AS final, coalesce(trim(split_part(reason, '(', 1)), CASE WHEN risk >= 0.70 THEN 'ghost' WHEN round((total * (1 - 0.75::DOUBLE * risk))::VARCHAR::DECIMAL(30, 18), 1)::DOUBLE < 25 THEN 'low score' ELSE 'kept' END) AS verdict FROM reasons)
 """
 _RANKED = """
     few AS (SELECT *, row_number() OVER (PARTITION BY profile_id, company ORDER BY final DESC, seq) AS c FROM verdicts WHERE verdict = 'kept'),
