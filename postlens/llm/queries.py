@@ -80,6 +80,27 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.joined(tables(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import trie as op
+
+    return op.nodes(*op.shared_openings(op.hashed(op.turns(tables(spark, sf_dir, "conversations"))))).drop("start", "stop")
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_classifier as op
+
+    docs = tables(spark, sf_dir, "documents")
+    found = op.scored(docs, op.fit(docs, tables(spark, sf_dir, "labels")))
+    return found.select("doc_id", op.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import repair as op
+
+    conversations = tables(spark, sf_dir, "conversations")
+    return op.audited(conversations, op.ready(op.damaged(conversations)))
+
+
 def _quality_sql() -> str:
     """The grid of cutoffs comes from the operator's parameter; the bound is the binomial tail written out."""
     from .quality_rules import RULES
@@ -123,7 +144,7 @@ def _quality_sql() -> str:
     """
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_code_search, op3_byte_bpe, op4_url_filter, op5_license_scan, op6_quality_rules, op7_toxicity, op8_pii, op9_mixing, op10_ngram_join)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_code_search, op3_byte_bpe, op4_url_filter, op5_license_scan, op6_quality_rules, op7_toxicity, op8_pii, op9_mixing, op10_ngram_join, op11_prefix_trie, op12_quality_classifier, op13_conversation_repair)}
 
 SQL: dict[str, str] = {
     "op1_suffix_dedup": """
@@ -203,4 +224,32 @@ SQL: dict[str, str] = {
         )
         SELECT sets.doc_id, len(g)::BIGINT AS n_shingles, min(r) AS component_id FROM sets JOIN reach ON sets.doc_id = reach.doc_id GROUP BY sets.doc_id, len(g)
     """,
+    "op11_prefix_trie": r"""
+        WITH own AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n FROM conversations WHERE conv_id IS NOT NULL
+        ), ids AS (
+            SELECT conv_id, xor(4294967295, list_reduce([4294967295::BIGINT] || [ascii(x)::BIGINT FOR x IN string_split(conv_id::VARCHAR, '')],
+                lambda c, b: list_reduce([xor(c, b)] || range(8), lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END))) % 4 AS h
+            FROM (SELECT DISTINCT conv_id FROM own)
+        ), rebuilt AS (
+            SELECT o.conv_id, 1 AS part, n, role, text FROM own o JOIN ids i ON o.conv_id = i.conv_id WHERE n > h
+            UNION ALL SELECT i.conv_id, 0, n, role, text FROM ids i JOIN own o ON o.conv_id = i.conv_id - i.conv_id % 20 AND n <= h
+        ), paths AS (
+            SELECT conv_id, row_number() OVER o AS depth, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words, md5(string_agg(md5(md5(role) || md5(text)), '') OVER o) AS p FROM rebuilt WINDOW o AS (PARTITION BY conv_id ORDER BY part, n)
+        ), members AS (
+            SELECT conv_id, 0 AS depth, 0 AS words, '' AS p, NULL AS above FROM ids
+            UNION ALL SELECT conv_id, depth, words, p, coalesce(lag(p) OVER (PARTITION BY conv_id ORDER BY depth), '') FROM paths
+        ), nodes AS (
+            SELECT p, any_value(depth) AS depth, any_value(words) AS words, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs FROM members GROUP BY p
+        ), children AS (
+            SELECT above, count(*) AS n_children FROM nodes GROUP BY above
+        ), below AS (
+            SELECT m.p, count(*) FILTER (c.above IS NULL) AS n_leaves, sum((x.n_convs - 1) * x.words)::BIGINT AS saved_tokens
+            FROM nodes x JOIN members m ON m.conv_id = x.conv_id AND m.depth <= x.depth LEFT JOIN children c ON c.above = x.p GROUP BY m.p
+        ), ends AS (
+            SELECT p, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256 FROM (SELECT conv_id, arg_max(p, depth) AS p FROM members GROUP BY conv_id) GROUP BY p
+        )
+        SELECT x.conv_id, x.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, x.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+        FROM nodes x JOIN below b ON x.p = b.p LEFT JOIN nodes u ON u.p = x.above LEFT JOIN children c ON c.above = x.p LEFT JOIN ends e ON e.p = x.p
+    """,
 }
