@@ -5,7 +5,7 @@ valid ones are replaced. Numbers and dates go through a keyed Feistel network ov
 domain, so the pseudonym is again valid, keeps separators and (addresses aside) length, and the map is one-to-one:
 equal values get equal pseudonyms in every document and different ones stay different.
 
-* card: 13 to 19 digits with a right Luhn digit; the payload is permuted, the Luhn digit worked out anew.
+* card: 13 to 19 digits with a right Luhn digit, unbroken or in a card's groups behind the number of an issuer; the payload is permuted, the Luhn digit worked out anew.
 * iban: mod-97 valid; country, length and letters stay, digits are permuted, check digits follow.
 * ssn: area, group and serial within their ranges, permuted over exactly those values.
 * phone: the digits after the country code, which the table of codes tells without separators; numbers without a code are of code 1, so all spellings of a number stay linked.
@@ -14,8 +14,9 @@ equal values get equal pseudonyms in every document and different ones stay diff
 * email and secret have no numeric domain: a keyed digest in the same alphabet takes their place.
 
 Cards and IBANs are looked for in whole runs of tokens, so what stands beside one (an expiry date, a code, a currency) doesn't hide it:
-where a run isn't valid as a whole, its parts between separators are tried, IBANs of their country's length first, then the longest, then the
-leftmost; parts that overlap one taken before give way.
+where a run isn't valid as a whole, each of its tokens is tried as a beginning: of an IBAN of its country's length, of a card in groups of 4-4-4-4, 4-6-5 or 4-6-4 or unbroken, in either case with an issuer's
+number and length, or of a secret. The leftmost valid part is taken and the next one sought behind it. Numbers in a row aren't cards by their Luhn digit alone, which one in ten has by chance: four groups of four digits with five more of
+them before or behind belong to a table and stay, unless those behind are cards themselves, and so do years, counts and timestamps. The work is linear in the run.
 
 Text that only looks like one of these (a number with a wrong check digit, an octet over 255) stays.
 Defined cases: null text stays null with no findings; empty text stays empty; equal rows give
@@ -56,8 +57,14 @@ GATE = r"[0-9@]"
 _IBAN_SIZES = {size: names.split() for size, names in {15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items()}
 #: Country codes of two digits (fixed values of the numbering plan); 1 and 7 have one digit and all others three.
 _TWO_DIGIT_CODES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
-#: Tokens and characters of the longest part of a run: 19 single digits, 34 characters with 8 spaces, a secret of 64.
-_PART, _PART_CHARS = 19, 64
+#: Numbers of issuers with their lengths (fixed values of the public ranges).
+ISSUER = r"^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|5[1-5][0-9]{14}|2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)[0-9]{12}|3[47][0-9]{13}|3(?:0[0-5]|[689][0-9])[0-9]{11,16}|35(?:2[89]|[3-8][0-9])[0-9]{12,15}|5[0678][0-9]{11,17}|6[0-9]{12,18})$"
+#: How a card that stands alone may be grouped, and how one among other tokens.
+GROUPED = r"[0-9]{4}([ \-])[0-9]{3,6}(?:\1[0-9]{3,6}){1,2}(?:\1[0-9]{1,6})?"
+_AMONG = r"[0-9]{13,19}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4}|[0-9]{4} [0-9]{6} [0-9]{4,5}|[0-9]{4}-[0-9]{6}-[0-9]{4,5}"
+_IBAN_SIZED = "|".join(rf"(?:{'|'.join(names)})[0-9]{{2}}(?: ?[A-Z0-9]){{{size - 4}}}" for size, names in _IBAN_SIZES.items())
+#: A part at the beginning of some tokens; so many tokens hold the longest one and what a table is told by.
+_PART, _PART_TOKENS = rf"^(?:{_IBAN_SIZED}|{_AMONG}|{SECRET})(?![A-Za-z0-9])", 12
 
 _CYCLE_DAYS, _CYCLE_A, _CYCLE_B = 146097, 189, 773  # days in 400 years, and two factors of that
 
@@ -244,7 +251,7 @@ def kind_of(s: Column) -> Column:
         .when(full(DATE) & _date_parts(s)[0].isNotNull(), F.lit("date"))
         .when(full(IP), F.when(_ip_ok(s), F.lit("ip")))
         .when(full(SSN), F.when(_ssn_ok(s), F.lit("ssn")))
-        .when(full(CARD) & _card_ok(s), F.lit("card"))
+        .when(full(CARD) & _card_ok(s) & (full("[0-9]+") | (full(GROUPED) & _digits(s).rlike(ISSUER))), F.lit("card"))
         .when(full(PHONE.replace(r"\2", r"\1")) & (s.rlike(r"[^0-9]")), F.lit("phone"))
         .when(full(SECRET) & ~full(r"[0-9]+"), F.lit("secret"))
     )
@@ -253,10 +260,10 @@ def kind_of(s: Column) -> Column:
 _MAKERS = {"email": _email, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card, "secret": _secret}
 
 
-def pseudonym(s: Column, kind: Column, key: str = KEY) -> Column:
+def pseudonym(s: Column, kind: Column, key: str = KEY, kinds: tuple[str, ...] = KINDS) -> Column:
     out = s
-    for name, make in _MAKERS.items():
-        out = F.when(kind == name, make(s, key)).otherwise(out)
+    for name in kinds:
+        out = F.when(kind == name, _MAKERS[name](s, key)).otherwise(out)
     return out
 
 
@@ -269,25 +276,42 @@ def _sized(s: Column) -> Column:
     return out
 
 
+def _issued(s: Column) -> Column:
+    return s.rlike(r"^[0-9 \-]+$") & _digits(s).rlike(ISSUER) & _card_ok(s)
+
+
+def _part_kind(s: Column) -> Column:
+    """Kind of a part of a run if it is valid, else null."""
+    return F.when(s.rlike("^[A-Z]{2}[0-9]{2}") & _sized(s) & _iban_ok(s), F.lit("iban")).when(_issued(s), F.lit("card")).when(s.rlike(rf"^(?:{SECRET})$") & s.rlike("[^0-9]"), F.lit("secret"))
+
+
 def _parts_of_run(h: Column, key: str) -> Column:
     """array of struct(k, r): a run in pieces, with pseudonyms in place of its valid parts."""
 
     def body(tokens: Column) -> Column:
         n = F.size(tokens)
-        text = lambda i, m: F.regexp_replace(F.array_join(F.slice(tokens, i, m), ""), r"[ \-]$", "")
-        part = lambda i, m: F.struct(text(i, m).alias("s"), i.alias("i"), m.alias("m"))
-        all_ = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.filter(F.transform(F.sequence(F.lit(1), F.least(F.lit(_PART), n - i + 1)), lambda m: part(i, m)), lambda p: F.length(p["s"]).between(13, _PART_CHARS) & p["s"].rlike(rf"^(?:{IBAN}|{CARD}|{SECRET})$"))))
-        valid = F.filter(F.transform(all_, lambda p: let(kind_of(p["s"]), lambda k: F.struct(F.when((k == "iban") & _sized(p["s"]), 0).otherwise(1).alias("o"), (-F.length(p["s"])).alias("l"), p["i"].alias("i"), p["m"].alias("m"), p["s"].alias("s"), k.alias("k")))), lambda p: p["k"].isNotNull())
+        some = lambda i, m: F.array_join(F.slice(tokens, i, m), "")
+        tried = F.filter(F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("i"), F.regexp_extract(some(i, F.lit(_PART_TOKENS)), _PART, 0).alias("s"))), lambda p: p["s"] != "")
+        fours = lambda i, m: some(i, F.lit(m)).rlike(rf"^(?:[0-9]{{4}}[ \-]){{{m - 1}}}[0-9]{{4}}(?![A-Z0-9])")
+        card = lambda i: let(F.regexp_replace(some(i, F.lit(4)), r"[ \-]$", ""), _issued)
+        # five groups of four before or behind one of four groups, unless those behind are cards
+        table = lambda p: F.when(~p["s"].rlike(r"^[0-9]{4}[ \-][0-9]{4}[ \-]"), 0).when(fours(p["i"] + 4, 5) & ~(card(p["i"] + 4) & (~fours(p["i"] + 4, 8) | card(p["i"] + 8))), 2).when((p["i"] > 5) & fours(F.greatest(p["i"] - 5, F.lit(1)), 5), 1).otherwise(0)
+        size = lambda s: F.size(F.split(s, r"[ \-]"))
+        kinds = F.transform(tried, lambda p: F.struct(p["i"].alias("i"), (p["i"] + size(p["s"])).alias("z"), p["s"].alias("s"), _part_kind(p["s"]).alias("k")))
+        valid = F.filter(F.transform(F.filter(kinds, lambda p: p["k"].isNotNull()), lambda p: F.struct(p["i"].alias("i"), p["z"].alias("z"), p["s"].alias("s"), p["k"].alias("k"), table(p).alias("t"))), lambda p: p["t"] < 2)
         none = F.filter(valid, lambda _: F.lit(False))
-        kept = F.aggregate(F.array_sort(valid), none, lambda acc, v: F.when(F.exists(acc, lambda a: (v["i"] < a["i"] + a["m"]) & (a["i"] < v["i"] + v["m"])), acc).otherwise(F.concat(acc, F.array(v))))
+        # groups before that belong to the part taken last don't count
+        step = lambda acc, v: let(F.coalesce(F.try_element_at(acc, F.lit(-1))["z"], F.lit(-9)), lambda z: F.when((z > v["i"]) | ((v["t"] == 1) & (v["i"] - z > 4)), acc).otherwise(F.concat(acc, F.array(v))))
+        kept = F.aggregate(valid, none, step)
 
         def rebuilt(k: Column) -> Column:
-            tail = lambda i: F.regexp_extract(F.element_at(tokens, i), r"[ \-]?$", 0)
-            holder = lambda i: F.get(F.filter(k, lambda a: (a["i"] <= i) & (i < a["i"] + a["m"])), 0)
-            piece = lambda i, a: F.when(a.isNull(), F.struct(F.lit(None).cast("string").alias("k"), F.element_at(tokens, i).alias("r"))).when(a["i"] == i, F.struct(a["k"].alias("k"), F.concat(F.coalesce(pseudonym(a["s"], a["k"], key), a["s"]), tail((i + a["m"] - 1).cast("int"))).alias("r"))).otherwise(F.struct(F.lit(None).cast("string").alias("k"), F.lit("").alias("r")))
-            return F.transform(F.sequence(F.lit(1), n), lambda i: let(holder(i), lambda a: piece(i, a)))
+            plain = lambda a, z: F.struct(F.lit(None).cast("string").alias("k"), some(a, F.greatest(z - a, F.lit(0))).alias("r"))
+            before = lambda j: F.coalesce(F.get(k, j - 1)["z"], F.lit(1))
+            tail = lambda v: F.regexp_extract(F.element_at(tokens, v["z"] - 1), r"[ \-]?$", 0)
+            pieces = F.transform(k, lambda v, j: F.array(plain(before(j), v["i"]), F.struct(v["k"].alias("k"), F.concat(F.coalesce(pseudonym(v["s"], v["k"], key, ("iban", "card", "secret")), v["s"]), tail(v)).alias("r"))))
+            return F.concat(F.flatten(pieces), F.array(plain(F.coalesce(F.try_element_at(k, F.lit(-1))["z"], F.lit(1)), n + 1)))
 
-        return let(kept, rebuilt)
+        return F.when(F.size(valid) == 0, F.array(F.struct(F.lit(None).cast("string").alias("k"), h.alias("r")))).otherwise(let(kept, rebuilt))
 
     return let(F.regexp_extract_all(h, F.lit(r"[A-Z0-9]+[ \-]?"), F.lit(0)), body)
 

@@ -316,6 +316,48 @@ def test_pii_beside_other_tokens(spark):
     assert got[7].kinds == ["card", "card"] and got[10].kinds == ["iban", "card"] and got[11].kinds == ["ssn", "card", "date"]
 
 
+def luhn(d):
+    return sum((2 * int(x) - 9 if int(x) > 4 else 2 * int(x)) if i % 2 else int(x) for i, x in enumerate(d[::-1])) % 10 == 0
+
+
+def test_pii_leaves_numbers(spark):
+    """Tables of numbers, years and counts stay; cards among other tokens are found wherever they stand."""
+    r = random.Random(21)
+    numbers = lambda n, low, high, sep=" ": sep.join(str(r.randint(low, high)) for _ in range(n))
+    plain = ["years " + " ".join(map(str, range(1990, 2020))), " ".join(map(str, range(1, 26))), numbers(1000, 10, 99), numbers(1000, 1000, 9999), numbers(1000, 1000, 9999, "-"), numbers(500, 0, 999_999), numbers(200, 1_600_000_000_000, 1_799_999_999_999)]
+    plain += [numbers(n, 10, 99) for n in range(7, 40)] + [numbers(n, 1, 9) for n in range(13, 60)] + [numbers(4, 1900, 1999) for _ in range(60)] + [numbers(n, 100, 999) for n in range(5, 30)]
+    got = by_id(pii.found(spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string")))
+    assert all(got[i].text == t and not got[i].kinds for i, t in enumerate(plain))
+
+    def card():
+        while True:
+            d = r.choice(("4", "51", "55", "2300", "6011", "65")) + "".join(r.choice("0123456789") for _ in range(16))
+            if luhn(d[:16]):
+                return r.choice((d[:16], " ".join(d[k : k + 4] for k in range(0, 16, 4)), "-".join(d[k : k + 4] for k in range(0, 16, 4))))
+
+    amex = "3782 822463 10005"
+    among = [[numbers(r.randint(0, 3), 0, 999), c, numbers(r.randint(0, 3), 0, 99)] for c in [amex, *(card() for _ in range(150))]]
+    got = by_id(pii.found(spark.createDataFrame([(i, " ".join(x for x in a if x)) for i, a in enumerate(among)] + [(1000 + i, a[1]) for i, a in enumerate(among)], "doc_id long, text string")))
+    many = [" ".join(a[1] for a in among[k : k + 5]) for k in range(1, 100, 5)]
+    lists = by_id(pii.found(spark.createDataFrame(list(enumerate(many)), "doc_id long, text string")))
+    assert all(lists[k].kinds == ["card"] * 5 and lists[k].text == " ".join(got[1000 + i].text for i in range(1 + 5 * k, 6 + 5 * k)) for k in range(len(many)))
+    for i, a in enumerate(among):
+        assert got[i].kinds == ["card"] and got[i].text == " ".join(x for x in [a[0], got[1000 + i].text, a[2]] if x), a
+
+
+def test_pii_is_linear_in_numbers(spark):
+    import time
+
+    def took(n):
+        df = spark.createDataFrame([(1, "12 " * n + "4111 1111 1111 1111 " + "34 " * n)], "doc_id long, text string")
+        start = time.time()
+        assert pii.found(df).first().kinds == ["card"]
+        return time.time() - start
+
+    fixed = min(took(10), took(10))
+    assert took(32_000) < 2 * fixed + 2
+
+
 def test_pii_phones_stay_linked(spark):
     """One number in any spelling has one pseudonym, with its country code; other numbers have others."""
     same = [["+491701234567", "+49 170 1234567", "+49-170-123-4567", "+49 (170) 1234567"], ["+1 743 555 3824", "(743) 555-3824", "743-555-3824", "743.555.3824", "+17435553824"], ["+351 912 345 678", "+351912345678"], ["+491701234568"], ["+7 495 123 45 67"]]
