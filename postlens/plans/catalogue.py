@@ -13,7 +13,7 @@ from ..functions import text as tx
 from ..functions import vectors as vec
 from ..operators import dedup, fit, geo, ghost, history, intervals, matching, score, shortlist
 from ..sources import feeds
-from . import feed_sql, feed_standin, more, more_sql, ranking, ranking_sql, standin
+from . import feed_sql, feed_standin, more, more_sql, ranking, ranking_sql, standin, state
 from .oracle import ORACLE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -593,8 +593,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return _FOUND | more.QUERIES
+    return _FOUND | more.QUERIES | state.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE | ranking_sql.ORACLE | feed_sql.ORACLE | more_sql.ORACLE
+    return ORACLE | ranking_sql.ORACLE | feed_sql.ORACLE | more_sql.ORACLE | state.ORACLE
