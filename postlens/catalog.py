@@ -18,9 +18,9 @@ SKILLS = (
     ("data", "pandas", ("pandas",), False), ("data", "NumPy", ("numpy",), False), ("data", "dbt", ("dbt",), False), ("data", "Hadoop", ("hadoop", "hdfs"), False), ("data", "Flink", ("flink",), False), ("data", "Snowflake", ("Snowflake",), True), ("data", "BigQuery", ("bigquery",), False),
     ("data", "Tableau", ("Tableau",), True), ("data", "Power BI", ("power bi", "powerbi"), False), ("data", "Looker", ("Looker",), True), ("data", "ETL", ("etl", "elt"), False), ("data", "Data modelling", ("data modelling", "data modeling"), False), ("data", "Statistics", ("statistics", "istatistik"), False),
     ("data", "MongoDB", ("mongodb",), False), ("data", "Redis", ("redis",), False), ("data", "Elasticsearch", ("elasticsearch",), False), ("data", "Oracle", ("oracle database", "pl/sql"), False),
-    ("learning", "Machine learning", ("machine learning", "makine öğrenmesi"), False), ("learning", "Deep learning", ("deep learning",), False), ("learning", "PyTorch", ("pytorch",), False), ("learning", "TensorFlow", ("tensorflow",), False), ("learning", "scikit-learn", ("scikit learn", "sklearn"), False),
+    ("learning", "Machine learning", ("machine learning", "makine öğrenmesi"), False), ("learning", "Deep learning", ("deep learning",), False), ("learning", "PyTorch", ("pytorch",), False), ("learning", "TensorFlow", ("tensorflow",), False), ("learning", "scikit-learn", ("scikit learn", "scikit-learn", "sklearn"), False),
     ("learning", "Computer vision", ("computer vision",), False), ("learning", "NLP", ("nlp", "natural language processing"), False), ("learning", "LLM", ("llm", "large language models"), False),
-    ("cloud", "Google Cloud", ("gcp", "google cloud"), False), ("cloud", "Terraform", ("terraform",), False), ("cloud", "Ansible", ("ansible",), False), ("cloud", "Jenkins", ("jenkins",), False), ("cloud", "CI/CD", ("ci cd", "continuous integration"), False), ("cloud", "Linux", ("linux",), False),
+    ("cloud", "Google Cloud", ("gcp", "google cloud"), False), ("cloud", "Terraform", ("terraform",), False), ("cloud", "Ansible", ("ansible",), False), ("cloud", "Jenkins", ("jenkins",), False), ("cloud", "CI/CD", ("ci/cd", "ci cd", "continuous integration"), False), ("cloud", "Linux", ("linux",), False),
     ("cloud", "Prometheus", ("prometheus",), False), ("cloud", "Grafana", ("grafana",), False), ("cloud", "Helm", ("Helm",), True), ("cloud", "Git", ("Git", "github", "gitlab"), True),
     ("security", "Penetration testing", ("penetration testing", "pentest"), False), ("security", "SIEM", ("siem", "splunk"), False), ("security", "ISO 27001", ("iso 27001",), False), ("security", "Firewalls", ("firewall", "firewalls"), False),
     ("design", "Revit", ("revit",), False), ("design", "CATIA", ("catia",), False), ("design", "ANSYS", ("ansys",), False), ("design", "SketchUp", ("sketchup",), False), ("design", "3ds Max", ("3ds max",), False), ("design", "Photoshop", ("photoshop",), False), ("design", "Illustrator", ("Illustrator",), True), ("design", "Figma", ("figma",), False), ("design", "InDesign", ("indesign",), False),
@@ -28,7 +28,7 @@ SKILLS = (
     ("making", "SCADA", ("scada",), False), ("making", "PCB design", ("pcb design", "altium"), False), ("making", "Power electronics", ("power electronics", "güç elektroniği"), False), ("building", "Site management", ("site management", "şantiye yönetimi"), False), ("building", "Quantity surveying", ("quantity surveying", "metraj"), False), ("building", "Structural analysis", ("structural analysis", "sap2000", "etabs"), False),
     ("health", "First aid", ("first aid", "ilk yardım"), False), ("health", "Intensive care", ("intensive care", "yoğun bakım"), False), ("health", "Physiotherapy", ("physiotherapy", "fizyoterapi"), False), ("health", "Pharmacology", ("pharmacology", "farmakoloji"), False), ("health", "Clinical trials", ("clinical trials", "klinik araştırma"), False),
     ("finance", "IFRS", ("ifrs", "tfrs"), False), ("finance", "Auditing", ("auditing", "bağımsız denetim"), False), ("finance", "Payroll", ("payroll", "bordro"), False), ("finance", "Budgeting", ("budgeting", "bütçeleme"), False), ("finance", "Financial modelling", ("financial modelling", "financial modeling"), False), ("finance", "Risk management", ("risk management", "risk yönetimi"), False), ("finance", "SAP", ("SAP",), True), ("finance", "Logo", ("logo tiger", "logo netsis"), False),
-    ("sales", "CRM", ("crm", "salesforce"), False), ("sales", "Cold calling", ("cold calling",), False), ("sales", "Account management", ("account management", "müşteri yönetimi"), False), ("sales", "E-commerce", ("e commerce", "e ticaret"), False),
+    ("sales", "CRM", ("crm", "salesforce"), False), ("sales", "Cold calling", ("cold calling",), False), ("sales", "Account management", ("account management", "müşteri yönetimi"), False), ("sales", "E-commerce", ("e commerce", "e-commerce", "e ticaret", "e-ticaret"), False),
     ("marketing", "SEO", ("seo",), False), ("marketing", "Google Ads", ("google ads", "adwords"), False), ("marketing", "Google Analytics", ("google analytics",), False), ("marketing", "Copywriting", ("copywriting", "metin yazarlığı"), False), ("marketing", "Social media", ("social media", "sosyal medya"), False), ("marketing", "Market research", ("market research", "pazar araştırması"), False),
     ("hr", "Performance reviews", ("performance reviews", "performans değerlendirme"), False), ("hr", "Onboarding", ("onboarding", "oryantasyon"), False), ("hr", "Labour law", ("labour law", "labor law", "iş hukuku"), False),
     ("law", "Contract law", ("contract law", "sözleşme hukuku"), False), ("law", "GDPR", ("gdpr", "kvkk"), False), ("law", "Litigation", ("litigation", "dava takibi"), False), ("teaching", "Lesson planning", ("lesson planning", "ders planlama"), False), ("teaching", "Classroom management", ("classroom management", "sınıf yönetimi"), False),

@@ -1,4 +1,4 @@
-"""Dictionary matching as equi-joins on word n-grams, and what is derived from matches."""
+"""Dictionary matching, and what is derived from matches. Terms are found by :mod:`.automaton`; here are the exact patterns it is held to."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import term_pattern
+from .automaton import matched, token_matches  # noqa: F401
 
 WORD = r"[^\p{L}\p{N}+#&]+"
 
@@ -16,73 +17,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, WORD), lambda x: x != "")
 
 
-def as_run(term: str) -> str:
-    """A term as the run of words that a text is cut into: ``Node.js`` is ``Node js`` in both."""
-    import re
-
-    return " ".join(x for x in re.split(r"(?:[^\w+#&]|_)+", term) if x)
-
-
-#: Dictionary rows up to which the table is broadcast, and first words up to which they are looked up as a constant set.
-MAX_TERMS, MAX_FIRST_WORDS = 100_000, 5_000
-
-
-def _hits(w: Column, firsts: dict[str, int] | None, longest: int) -> Column:
-    """Distinct runs of words that begin with a first word of some term, each as long as that word's terms (first word -> most words; null: all runs up to ``longest``)."""
-    run = lambda i, n: F.when(i + n <= F.size(w), F.array_join(F.slice(w, i + 1, n), " "))
-    if firsts is None:
-        places = F.transform(w, lambda x, i: i)
-        runs = lambda i: [run(i, n) for n in range(1, longest + 1)]
-    else:
-        places = F.filter(F.transform(w, lambda x, i: F.when(F.lower(x).isin(sorted(firsts)), i)), lambda i: i.isNotNull())
-        begins = {n: sorted(f for f, most in firsts.items() if most >= n) for n in range(2, longest + 1)}
-        runs = lambda i: [run(i, 1), *[F.when(F.lower(F.get(w, i)).isin(some), run(i, n)) for n, some in begins.items() if some]]
-    return F.array_compact(F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(*runs(i))))))
-
-
-def token_matches(docs: DataFrame, key: list[str], text: str, terms: DataFrame, longest: int = 3) -> DataFrame:
-    """key, canonical: each dictionary entry met in each text, once.
-
-    Each text is cut into words once, words that begin no term are dropped before anything is exploded, and what is left meets the dictionary, which is broadcast if it has
-    MAX_TERMS rows at most. Terms of exact case must equal the run of words as written, others its lower-cased form.
-    """
-    runs = terms.select("canonical", F.array_join(words(F.col("term")), " ").alias("term"), "case_sensitive").where("term <> ''").distinct()
-    table = runs.select("canonical", "term", "case_sensitive", F.lower("term").alias("gram"), F.lower(F.split_part("term", F.lit(" "), F.lit(1))).alias("__first"))
-    firsts = {r["__first"]: min(r["most"], longest) for r in table.groupBy("__first").agg(F.max(F.size(F.split("term", " "))).alias("most")).limit(MAX_FIRST_WORDS + 1).collect()}
-    n = table.count()
-    cut = docs.select(*key, F.get(F.transform(F.array(words(F.col(text))), lambda w: _hits(w, firsts if len(firsts) <= MAX_FIRST_WORDS else None, longest)), F.lit(0)).alias("__grams"))
-    each = cut.select(*key, F.explode("__grams").alias("__raw")).withColumn("gram", F.lower("__raw"))
-    small = table.drop("__first")
-    met = each.join(F.broadcast(small) if n <= MAX_TERMS else small, "gram").where(~F.col("case_sensitive") | (F.col("__raw") == F.col("term")))
-    return met.select(*key, "canonical").distinct()
-
-
-def matched(text: Column, terms: list[tuple[str, str, bool]], longest: int = 3) -> Column:
-    """Sorted canonical names met in a text, as one array without a shuffle, for a dictionary (canonical, term, case sensitive) that is a parameter of the plan."""
-    terms = [(name, as_run(term), cs) for name, term, cs in terms]
-    firsts: dict[str, int] = {}
-    for _, term, _ in terms:
-        first, *rest = term.lower().split()
-        firsts[first] = min(max(firsts.get(first, 1), 1 + len(rest)), longest)
-    table = lambda rows: F.create_map(*[x for k, v in rows.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in v]))]) if rows else None
-    exact: dict[str, list[str]] = {}
-    loose: dict[str, list[str]] = {}
-    for name, term, cs in terms:
-        (exact if cs else loose).setdefault(term if cs else term.lower(), []).append(name)
-    as_written, lowered = table(exact), table(loose)
-
-    def names(grams: Column) -> Column:
-        found = [F.transform(grams, lambda g: F.try_element_at(as_written, g))] if exact else []
-        found += [F.transform(grams, lambda g: F.try_element_at(lowered, F.lower(g)))] if loose else []
-        found = [F.flatten(F.array_compact(x)) for x in found]
-        return F.array_sort(F.array_distinct(F.concat(*found)))
-
-    def body(w: Column) -> Column:
-        return F.get(F.transform(F.array(_hits(w, firsts, longest)), names), F.lit(0))
-
-    return F.get(F.transform(F.array(words(text)), body), F.lit(0))
-
-
 def pattern_matches(docs: DataFrame, key: list[str], text: str, terms: list[tuple[str, str, bool]]) -> DataFrame:
     """key, canonical by the exact look-around patterns, (canonical, term, case sensitive): the yardstick of :func:`token_matches`."""
     by: dict[str, list[Column]] = {}

@@ -46,7 +46,7 @@ def _terms(spark: SparkSession) -> DataFrame:
 
 
 def _doc_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.token_matches(read(spark, sf_dir, "documents"), ["doc_id"], "text", _terms(spark), longest=2)
+    return matching.token_matches(read(spark, sf_dir, "documents"), ["doc_id"], "text", _terms(spark))
 
 
 @query

@@ -1,11 +1,13 @@
 """SQL for each query of the catalogue that SQL can express, written on its own and not derived from the plans."""
 
 _MATCHES = r"""
-    toks AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}+#&]+'), lambda x: x <> '') AS w FROM documents),
-    g AS (SELECT DISTINCT doc_id, lower(unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]))) AS gram FROM toks),
-    matches AS (SELECT DISTINCT doc_id, CASE gram WHEN 'license' THEN 'license' WHEN 'licensed' THEN 'license' WHEN 'terms' THEN 'terms' WHEN 'general public' THEN 'general public'
-        WHEN 'version' THEN 'version' WHEN 'released' THEN 'released' ELSE 'article' END AS canonical
-        FROM g WHERE gram IN ('license', 'licensed', 'terms', 'general public', 'version', 'released', 'the', 'les', 'der', 'los')),
+    matches AS (SELECT DISTINCT doc_id, canonical FROM (SELECT doc_id, unnest([
+        CASE WHEN regexp_matches(text, '(?i)(^|[^\p{L}\p{M}\p{N}\p{Pc}])license[\p{L}\p{M}\p{N}\p{Pc}]{0,7}([^\p{L}\p{M}\p{N}\p{Pc}]|$)') AND regexp_matches(text, '(?i)(^|[^\p{L}\p{M}\p{N}\p{Pc}])licensed?[\p{L}\p{M}\p{N}\p{Pc}]{0,6}([^\p{L}\p{M}\p{N}\p{Pc}]|$)') THEN 'license' END,
+        CASE WHEN regexp_matches(text, '(?i)(^|[^\p{L}\p{M}\p{N}\p{Pc}])terms([^\p{L}\p{M}\p{N}\p{Pc}]|$)') THEN 'terms' END,
+        CASE WHEN regexp_matches(text, '(?i)(^|[^\p{L}\p{M}\p{N}\p{Pc}])general\s+public[\p{L}\p{M}\p{N}\p{Pc}]{0,6}([^\p{L}\p{M}\p{N}\p{Pc}]|$)') THEN 'general public' END,
+        CASE WHEN regexp_matches(text, '(?i)(^|[^\p{L}\p{M}\p{N}\p{Pc}])version[\p{L}\p{M}\p{N}\p{Pc}]{0,6}([^\p{L}\p{M}\p{N}\p{Pc}]|$)') THEN 'version' END,
+        CASE WHEN regexp_matches(text, '(?i)(^|[^\p{L}\p{M}\p{N}\p{Pc}])released[\p{L}\p{M}\p{N}\p{Pc}]{0,6}([^\p{L}\p{M}\p{N}\p{Pc}]|$)') THEN 'released' END,
+        CASE WHEN regexp_matches(text, '(?i)(^|[^\p{L}\p{M}\p{N}\p{Pc}+#&])(the|les|der|los)([^\p{L}\p{M}\p{N}\p{Pc}+#&]|$)') THEN 'article' END]) AS canonical FROM documents) WHERE canonical IS NOT NULL),
     weights(canonical, w) AS (VALUES ('license', 1.0::DOUBLE), ('terms', 0.6), ('general public', 1.5), ('version', 0.4), ('released', 0.8), ('article', 0.2)),
     skill AS (SELECT doc_id, count(*) AS n_matched, round(least(sum(w) / 8, 1.0) * 45, 4) AS score FROM matches JOIN weights USING (canonical) GROUP BY doc_id)
 """

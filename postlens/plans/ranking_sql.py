@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..catalog import SKILLS
 
 _PARTS = r"""
@@ -19,15 +21,13 @@ _PARTS = r"""
     grouped AS (SELECT list({'seq': seq, 'len': length(body), 'fresh': CASE WHEN age IS NULL THEN 0 ELSE 100000 - age END, 'places': len(places)} ORDER BY seq) AS l FROM posts GROUP BY company, lower(base)),
     winners AS (SELECT list_reduce(l, lambda v, j: CASE WHEN j.len > 1.2 * v.len THEN j WHEN v.len > 1.2 * j.len THEN v WHEN j.fresh > v.fresh THEN j WHEN j.fresh < v.fresh THEN v WHEN j.places > v.places THEN j ELSE v END).seq AS winner,
         l[1].seq AS rank, len(l) AS variants FROM grouped),
-    folded AS (SELECT p.* EXCLUDE (seq), winner, rank AS seq, variants FROM posts p JOIN winners w ON p.seq = w.winner),
-    skill_terms(canonical, term, cs) AS (VALUES @TERMS),
-    words AS (SELECT seq, list_filter(regexp_split_to_array(title || chr(10) || body, '[^\p{L}\p{N}+#&]+'), lambda x: x <> '') AS w FROM folded),
-    grams AS (SELECT DISTINCT seq, unnest(list_concat(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]), [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)])) AS g FROM words),
-    has_skill AS (SELECT DISTINCT seq, canonical FROM grams JOIN skill_terms ON CASE WHEN cs THEN g = term ELSE lower(g) = term END),
+    folded AS MATERIALIZED (SELECT p.* EXCLUDE (seq), winner, rank AS seq, variants FROM posts p JOIN winners w ON p.seq = w.winner),
+    whole AS MATERIALIZED (SELECT seq, title || chr(10) || body AS t, lower(title || chr(10) || body) AS low FROM folded),
+    has_skill AS MATERIALIZED (SELECT DISTINCT seq, canonical FROM (SELECT seq, unnest([@TERMS]) AS canonical FROM whole) WHERE canonical IS NOT NULL),
     skills AS (SELECT seq, list(canonical ORDER BY canonical) AS skills FROM has_skill GROUP BY seq),
-    idf AS (SELECT canonical, round(least(4.0, greatest(0.3, ln(1 / greatest(count(*)::DOUBLE / (SELECT count(*) FROM folded), 1 / (4 * (SELECT count(*) FROM folded)::DOUBLE))))), 2)::DOUBLE AS idf FROM has_skill GROUP BY canonical),
+    idf AS MATERIALIZED (SELECT canonical, round(least(4.0, greatest(0.3, ln(1 / greatest(count(*)::DOUBLE / (SELECT count(*) FROM folded), 1 / (4 * (SELECT count(*) FROM folded)::DOUBLE))))), 2)::DOUBLE AS idf FROM has_skill GROUP BY canonical),
     keyed AS (SELECT *, company || '|' || trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(title), '\([^)]*\)|\[[^\]]*\]', ' ', 'g'), '[^a-z0-9+#]+', ' ', 'g'), '\b(remote|hybrid|onsite|fmd|mfd|w)\b', ' ', 'g'), '\s+', ' ', 'g')) AS title_key FROM folded),
-    facts AS (SELECT k.*, coalesce(skills, []::VARCHAR[]) AS skills, count(*) OVER (PARTITION BY title_key) AS same_title,
+    facts AS MATERIALIZED (SELECT k.*, coalesce(skills, []::VARCHAR[]) AS skills, count(*) OVER (PARTITION BY title_key) AS same_title,
         CASE word WHEN 'Senior' THEN 'senior' WHEN 'Junior' THEN 'junior' WHEN 'Lead' THEN 'senior' WHEN 'Mid/Senior' THEN 'mid' WHEN 'Principal' THEN 'staff'
             ELSE CASE WHEN regexp_matches(lower(body[:1500]), '(^|[^\p{L}\p{N}_])(intern|internship|junior|jr|entry level|entry-level|graduate|stajyer)($|[^\p{L}\p{N}_])') THEN 'junior'
                 WHEN regexp_matches(lower(body[:1500]), '(^|[^\p{L}\p{N}_])(staff|principal|head of|director|vp|chief|lead architect)($|[^\p{L}\p{N}_])') THEN 'staff'
@@ -40,11 +40,24 @@ _PARTS = r"""
         CASE places[1] WHEN 'Remote - Germany' THEN ['germany'] WHEN 'Istanbul, Turkey' THEN ['turkey'] WHEN 'Tel Aviv-Yafo' THEN ['israel'] WHEN 'United States & Canada' THEN ['canada', 'usa'] WHEN 'Remote, EMEA' THEN ['france', 'germany', 'israel', 'netherlands', 'poland', 'spain', 'turkey', 'uk'] END AS countries,
         body <> '' AND intro = 'This is for future openings.' AS pool_text,
         regexp_matches(lower(body[:3000]), '(^|[^\p{L}\p{N}_])(emea|europe, middle east|cet)($|[^\p{L}\p{N}_])') AS says_emea FROM keyed k LEFT JOIN skills s ON k.seq = s.seq),
-    risks AS (SELECT *, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN age IS NULL THEN 0.25::DOUBLE WHEN age > 1095 THEN 0.85::DOUBLE WHEN age > 730 THEN 0.70::DOUBLE WHEN age > 365 THEN 0.50::DOUBLE WHEN age > 180 THEN 0.35::DOUBLE WHEN age > 120 THEN 0.20::DOUBLE
+    risks AS MATERIALIZED (SELECT *, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN age IS NULL THEN 0.25::DOUBLE WHEN age > 1095 THEN 0.85::DOUBLE WHEN age > 730 THEN 0.70::DOUBLE WHEN age > 365 THEN 0.50::DOUBLE WHEN age > 180 THEN 0.35::DOUBLE WHEN age > 120 THEN 0.20::DOUBLE
         WHEN age <= 14 THEN -0.10::DOUBLE ELSE 0::DOUBLE END + CASE WHEN pool_text THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN same_title >= 3 THEN 0.10::DOUBLE ELSE 0 END)), 4) AS risk FROM facts)
 """
 #: The dictionary is a parameter of the queries, so it is one of the SQL too.
-_PARTS = _PARTS.replace("@TERMS", ", ".join(f"('{name}', '{term.replace('.', ' ').replace('/', ' ')}', {str(cs).lower()})" for _, name, terms, cs in SKILLS for term in terms))
+#: Letters of the languages that the tables are in; classes of all scripts take seconds to compile for each of some two hundred terms.
+_LETTER = r"0-9A-Za-z_\x{AA}\x{B5}\x{BA}\x{C0}-\x{24F}"
+
+
+def _pattern(term: str, case_sensitive: bool) -> str:
+    """A term between two characters that are no letters; long ones and those of several words may take an ending."""
+    ending = f"[{_LETTER}]{{0,6}}" if " " in term or len(term) >= 7 else ""
+    no_letter = f"[^{_LETTER}{'+#&' if len(term) <= 3 else ''}]"
+    body = r"\s+".join(re.sub(r"([^\w])", r"\\\1", x) for x in term.split())
+    return f"{'' if case_sensitive else '(?i)'}(^|{no_letter}){body}{ending}({no_letter}|$)"
+
+
+# each pattern is a constant of the statement, so that it is compiled once
+_PARTS = _PARTS.replace("@TERMS", ", ".join(f"CASE WHEN contains(low, '{term.split()[0].lower()}') AND regexp_matches(t, '{_pattern(term, cs)}') THEN '{name}' END" for _, name, terms, cs in SKILLS for term in terms))
 #: Sums are rounded as decimals of their shortest spelling, so that 9.5 * 0.7, a little under 6.65, is 6.6 and not 6.7.
 _PAIRS = r"""
     people(profile_id, permits, max_rank, max_years, forbidden, sponsor, languages, trade, shows, fam1, w1, fam2, w2, weights, remote_bonus, sec1, s1, sec2, s2) AS (VALUES
