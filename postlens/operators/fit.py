@@ -36,7 +36,7 @@ def other_sentence(families: Column) -> Column:
 
 
 def token_vectors(dimensions: int = DIMENSIONS) -> Callable[[str], np.ndarray]:
-    """A model without weights: each token's vector is drawn by its checksum; a text's is the mean over its tokens, at length 1."""
+    """A model without weights, for tests and plans without a corpus (:mod:`.embedding` has one that is learnt): each token's vector is drawn by its checksum; a text's is the mean over its tokens, at length 1."""
     known: dict[str, np.ndarray] = {}
 
     def one(text: str) -> np.ndarray:
@@ -52,13 +52,13 @@ def token_vectors(dimensions: int = DIMENSIONS) -> Callable[[str], np.ndarray]:
     return one
 
 
-def text_to_vector(load: Callable[[], Callable[[str], np.ndarray]] = token_vectors):
-    """A column function from text to vector. ``load`` makes the model once a worker and batch stream, so a real one can be loaded there; null texts have null vectors."""
+def text_to_vector(load: Callable[[], Callable[[str], np.ndarray]] = token_vectors, kind: type = np.float32):
+    """A column function from text to vector of floats or doubles (``kind``). ``load`` makes the model once a worker and batch stream, so a real one can be loaded there; null texts have null vectors."""
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    @F.pandas_udf(T.ArrayType(T.FloatType() if kind is np.float32 else T.DoubleType()))
     def vectors(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for batch in texts:
-            yield batch.map(lambda t: model(t).astype(np.float32).tolist(), na_action="ignore")
+            yield batch.map(lambda t: model(t).astype(kind).tolist(), na_action="ignore")
 
     return vectors

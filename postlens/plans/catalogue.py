@@ -586,6 +586,17 @@ def final_score(spark, d):
     return _pairs(spark, d).select("profile_id", "seq", "risk", "total", "final", "verdict")
 
 
+@query
+def shortlist_with_fit(spark, d):
+    """The shortlist in two phases: rules and scores for all pairs, vectors for the first 400 kept ones of each profile."""
+    from ..streaming.sightings import folder
+
+    rows = _ranked_rows(spark, d)
+    pairs = ranking.decided(ranking.scored(rows, standin.profiles(spark)))
+    best = ranking.ranked(ranking.with_fit(pairs, rows.select("seq", "title", "description"), folder(spark)))
+    return best.select("profile_id", "rank", "seq", "fit", "final")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked, explained shortlists: the pool without variants, every profile's eliminations, scores and risks, three postings of a company, 25 a profile."""
     best = ranking.ranked(_pairs(spark, sf_dir))

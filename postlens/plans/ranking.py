@@ -6,13 +6,14 @@ Facts that don't depend on the profile are worked out once a posting, before the
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import catalog
 from ..functions import text as tx
-from ..operators import dedup, geo, ghost, matching, score
+from ..operators import dedup, embedding, fit, geo, ghost, matching, score
 
 #: Least score before the fit, risk from which a posting is held for stale, inverse frequency from which a skill tells something, characters of a text worth the name.
 MIN_SCORE, GHOST_AT, INFORMATIVE, TEXT_LEAST = 25.0, 0.70, 1.5, 400
@@ -125,12 +126,40 @@ def scored(rows: DataFrame, profiles: DataFrame) -> DataFrame:
     return pairs.withColumn("reason", score.elimination(p, q)).drop("__title", "__text")
 
 
-def decided(pairs: DataFrame, fit: Column | None = None, min_score: float = MIN_SCORE) -> DataFrame:
+def decided(pairs: DataFrame, fit_: Column | None = None, min_score: float = MIN_SCORE) -> DataFrame:
     """``pairs`` with ``final`` and ``verdict``: why a pair is out (its reason, ghost, low score) or ``kept``. The least score is asked of the score before the fit."""
     none = F.lit(None).cast("double")
     before = score.final(F.col("total"), F.col("risk"), none)
     verdict = F.coalesce(F.trim(F.split_part("reason", F.lit("("), F.lit(1))), F.when(F.col("risk") >= GHOST_AT, "ghost"), F.when(before < min_score, "low score"), F.lit("kept"))
-    return pairs.withColumn("verdict", verdict).withColumn("final", score.final(F.col("total"), F.col("risk"), none if fit is None else fit))
+    return pairs.withColumn("verdict", verdict).withColumn("final", score.final(F.col("total"), F.col("risk"), none if fit_ is None else fit_))
+
+
+def own_sentence() -> Column:
+    """What a profile says of itself: its families and skills."""
+    return F.concat(F.lit("Work in "), F.array_join(F.transform("families", lambda f: f["name"]), ", "), F.lit(" with "), F.array_join(F.array_sort(F.map_keys("weights")), ", "))
+
+
+def with_fit(pairs: DataFrame, corpus: DataFrame, path: str, cap: int = 400, cache: DataFrame | None = None) -> DataFrame:
+    """The second phase: the kept pairs with ``fit`` and the final score by it; each profile's first ``cap`` pairs have a fit, the others' score stays.
+
+    ``corpus`` (seq, title, description) is what the vectors are learnt from. The kept pairs are written below ``path`` once, so that the first phase runs once; the vectors used are written beside them (``vectors``) as the next run's ``cache``.
+    """
+    spark = pairs.sparkSession
+    pairs.where("verdict = 'kept'").write.mode("overwrite").parquet(f"{path}/kept")
+    kept = spark.read.parquet(f"{path}/kept")
+    model = embedding.learnt(corpus.select("seq", F.concat_ws("\n", "title", "description").alias("text")), "seq", "text")
+    other = fit.other_sentence(F.transform("families", lambda f: f["name"]))
+    fits, vectors = embedding.fits(kept, fit.text_to_vector(embedding.loader(model), np.float64), own_sentence(), other, cap, cache)
+    vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+    # what has just been written serves the join, so nothing is scored twice
+    known = spark.read.parquet(f"{path}/vectors")
+    told, _ = embedding.fits(kept, _unscored, own_sentence(), other, cap, known)
+    return kept.join(told, ["profile_id", "seq"], "left").withColumn("final", score.final(F.col("total"), F.col("risk"), F.col("fit")))
+
+
+def _unscored(text: Column) -> Column:
+    """The model of a plan whose texts are all in the cache."""
+    return F.lit(None).cast("array<double>")
 
 
 def ranked(pairs: DataFrame, per_company: int = 3, most: int = 25) -> DataFrame:

@@ -103,6 +103,28 @@ _RANKED = """
 _BAND = "CASE WHEN risk >= 0.70 THEN 'ghost' WHEN risk >= 0.45 THEN 'doubtful' WHEN risk >= 0.20 THEN 'normal' ELSE 'fresh' END"
 _REASONS = "array_to_string(list_filter([CASE WHEN age IS NULL THEN '+no date' WHEN age > 120 THEN '+open for ' || age || ' days' WHEN age <= 14 THEN '-new' END, CASE WHEN pool_text THEN '+pool text' END, CASE WHEN same_title >= 3 THEN '+same title' END], lambda x: x IS NOT NULL), '; ')"
 
+_FIT = r"""
+    kept AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY seq) AS place FROM verdicts WHERE verdict = 'kept'),
+    said AS (SELECT seq, unnest(list_distinct(list_filter(regexp_split_to_array(lower(title || chr(10) || body), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) AS tok FROM folded),
+    sign AS (SELECT seq, i, ((instr('0123456789abcdef', substr(md5(seq::VARCHAR), i // 4 + 1, 1)) - 1) >> (3 - i % 4)) % 2 * 2 - 1 AS s FROM folded, range(64) t(i)),
+    dfs AS (SELECT tok, ln(1 + (SELECT count(*) FROM folded)::DOUBLE / count(*)) AS w FROM said GROUP BY tok HAVING count(*) >= 2),
+    raw AS (SELECT tok, i, sum(s)::DOUBLE AS x FROM said JOIN dfs USING (tok) JOIN sign USING (seq) GROUP BY tok, i),
+    model AS MATERIALIZED (SELECT tok, i, w * x / sqrt(sum(x * x) OVER (PARTITION BY tok)) AS x FROM raw JOIN dfs USING (tok)),
+    sentences(profile_id, own, other) AS (VALUES ('anna', 'Work in data, software with Airflow, Excel, Kafka, Python, SQL, Spark', 'Work of nurses and physicians, recruiters, sales representatives, accountants, mechanical engineers'),
+        ('bora', 'Work in cloud, data with AWS, Docker, Java, Kubernetes, SQL', 'Work of nurses and physicians, recruiters, sales representatives, accountants, mechanical engineers'),
+        ('carl', 'Work in health, people with Patient care, Recruitment', 'Work of sales representatives, accountants, mechanical engineers, software developers')),
+    asked AS (SELECT DISTINCT t FROM (SELECT unnest([title, CASE WHEN body IS NULL THEN title ELSE title || chr(10) || body END]) AS t FROM kept WHERE place <= 400 UNION ALL SELECT unnest([own, other]) FROM sentences)),
+    cut AS (SELECT t, unnest(list_distinct(list_filter(regexp_split_to_array(lower(t), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) AS tok FROM asked),
+    summed_up AS (SELECT t, i, sum(x) AS x FROM cut JOIN model USING (tok) GROUP BY t, i),
+    vec AS MATERIALIZED (SELECT t, list(x ORDER BY i) AS v FROM (SELECT t, i, x / greatest(sqrt(sum(x * x) OVER (PARTITION BY t)), 1e-12) AS x FROM summed_up) GROUP BY t),
+    docs AS (SELECT k.*, list_transform(range(1, 65), lambda i: 0.6::DOUBLE * coalesce(a.v[i], 0) + 0.4::DOUBLE * coalesce(b.v[i], 0)) AS dv, o.v AS ov, h.v AS hv
+        FROM kept k JOIN sentences s USING (profile_id) LEFT JOIN vec a ON a.t = k.title LEFT JOIN vec b ON b.t = k.title || chr(10) || k.body LEFT JOIN vec o ON o.t = s.own LEFT JOIN vec h ON h.t = s.other),
+    fitted AS (SELECT * EXCLUDE (final), CASE WHEN place <= 400 THEN round(CASE WHEN list_sum([x * x FOR x IN dv]) > 0 THEN coalesce(list_cosine_similarity(dv, ov), 0) - coalesce(list_cosine_similarity(dv, hv), 0) ELSE 0 END, 6) END AS fit FROM docs),
+    refined AS (SELECT *, round((total * (1 - 0.75::DOUBLE * risk) * coalesce(greatest(0.82::DOUBLE, least(1.18::DOUBLE, 1 + 4.5::DOUBLE * fit)), 1))::VARCHAR::DECIMAL(30, 18), 1)::DOUBLE AS final FROM fitted),
+    few AS (SELECT *, row_number() OVER (PARTITION BY profile_id, company ORDER BY final DESC, seq) AS c FROM refined),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY final DESC, seq) AS rank FROM few WHERE c <= 3)
+"""
+
 ORACLE: dict[str, str] = {
     "years_required": rf"""WITH {_PARTS}, said AS (SELECT seq, unnest(range(1, 1 + len(ss))) AS i, unnest(ss) AS s FROM (SELECT seq, regexp_split_to_array(CASE WHEN seq % 10 = 3 THEN 'Up to 40 years of experience are fine! ' || body || '. At least 2+ years of experience.' ELSE body END, '[.;!?\n]+') AS ss FROM posts)),
         spans AS (SELECT seq, i, regexp_extract(s, '(?i)(?:^|[^\w.,])([0-9]{{1,2}})\s?\+?(?:\s?(?:-|–|to)\s?[0-9]{{1,2}})?\s?\+?\s(?:full\s)?(?:years?|yrs?|yıl)\b', 1)::VARCHAR AS n FROM said WHERE regexp_matches(s, '(?i)\bexperience\b') AND NOT regexp_matches(s, '(?i)\b(we|our|us|company|founded|biz)\b'))
@@ -120,5 +142,6 @@ ORACLE: dict[str, str] = {
     "elimination_histogram": f"WITH {_PARTS}, {_PAIRS} SELECT profile_id, verdict, count(*) AS n FROM verdicts GROUP BY 1, 2",
     "total_score": f"WITH {_PARTS}, {_PAIRS} SELECT profile_id, seq, role_score AS role, round(skill_score, 6) AS skill, bonus, missing, off_domain, total FROM totals",
     "final_score": f"WITH {_PARTS}, {_PAIRS} SELECT profile_id, seq, risk, total, final, verdict FROM verdicts",
+    "shortlist_with_fit": f"WITH {_PARTS}, {_PAIRS}, {_FIT} SELECT profile_id, rank, seq, fit, final FROM ranked WHERE rank <= 25",
     "flagship_shortlist": f"WITH {_PARTS}, {_PAIRS}, {_RANKED} SELECT profile_id, rank, seq, title, company, final, {_BAND} AS band, {_REASONS} AS reasons, array_to_string(known, ',') AS known FROM ranked WHERE rank <= 25",
 }
