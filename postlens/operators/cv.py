@@ -13,16 +13,38 @@ MONTHS = {"jan": 1, "oca": 1, "feb": 2, "şub": 2, "mar": 3, "apr": 4, "nis": 4,
 _MONTH = "(" + "|".join(MONTHS) + r")\w*\.?"
 _NOW = r"present|current|now|today|günümüz|halen|devam"
 RANGE = unicode_pattern(rf"(?:{_MONTH}\s+)?((?:19|20)[0-9]{{2}})(?:\s+{_MONTH})?\s*(?:-|–|—|to)\s*(?:(?:{_MONTH}\s+)?((?:19|20)[0-9]{{2}})(?:\s+{_MONTH})?|({_NOW}))")
+#: "June - July 2024": one year for both months. "Summer 2025": no months at all.
+MONTHS_OF_YEAR = unicode_pattern(r"(?<![\w/])(\p{L}{3,9})\.?\s*(?:--?|–|—|to|ile)\s*(\p{L}{3,9})\.?\s+((?:19|20)[0-9]{2})(?![\w/])")
+SEASON = unicode_pattern(r"\b(spring|summer|fall|autumn|winter|yaz)\s+((?:19|20)[0-9]{2})\b")
 SECTIONS = (("experience", r"^\W*(work |professional )?(experience|employment)|^\W*(iş )?deneyim"), ("education", r"^\W*education|^\W*eğitim"), ("skills", r"^\W*(technical )?skills|^\W*(teknik )?(yetenek|beceri)"), ("other", r"^\W*(projects|languages|references|certificates|projeler|diller|referanslar|sertifikalar)\W*$"))
 SAID = unicode_pattern(r"([0-9]{1,2})\+?\s*(?:years?|yıl)\w*\s+(?:of\s+)?(?:\w+\s+){0,2}(?:experience|deneyim|tecrübe)")
 VOLUNTEER, EDUCATION = unicode_pattern(r"\b(volunteer|gönüllü)"), unicode_pattern(r"\b(university|degree|bachelor|master|üniversite|lisans)")
 
 
+def _month(*months: Column) -> Column:
+    """Number of the first month or season that is known, else null."""
+    table = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
+    lower = [F.lower(F.nullif(m, F.lit(""))) for m in months]
+    return F.coalesce(*[F.try_element_at(table, F.left(m, F.lit(3))) for m in lower], *[F.try_element_at(table, m) for m in lower])
+
+
 def _year(year: Column, *months: Column) -> Column:
     """Decimal year; the month is the first that is given, else January."""
-    table = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
-    month = F.coalesce(*[F.try_element_at(table, F.left(F.lower(F.nullif(m, F.lit(""))), F.lit(3))) for m in months], *[F.try_element_at(table, F.lower(F.nullif(m, F.lit("")))) for m in months], F.lit(1))
-    return F.nullif(year, F.lit("")).cast("double") + (month - 1) / 12
+    return F.nullif(year, F.lit("")).cast("double") + (F.coalesce(_month(*months), F.lit(1)) - 1) / 12
+
+
+def _short_period(line: Column) -> Column:
+    """struct(start, end) of a period with one year: from month to month, the last one included, or else two months of a season; null without any.
+
+    Of the two words before the year one has to be a month (the other then counts as July), so that two plain words with a dash are none; a last month before the first one is none either.
+    """
+    m = lambda i: F.regexp_extract(line, MONTHS_OF_YEAR, i)
+    first, last = F.coalesce(_month(m(1)), F.lit(7)), F.coalesce(_month(m(2)), F.lit(7))
+    year = F.nullif(m(3), F.lit("")).cast("double")
+    span = lambda y, a, months: F.struct((y + (a - 1) / 12).alias("start"), (y + (a - 1 + months) / 12).alias("end"))
+    told = year.isNotNull() & F.coalesce(_month(m(1)), _month(m(2))).isNotNull() & (last >= first)
+    season = F.nullif(F.regexp_extract(line, SEASON, 2), F.lit("")).cast("double")
+    return F.when(told, span(year, first, last - first + 1)).when(season.isNotNull(), span(season, F.coalesce(_month(F.regexp_extract(line, SEASON, 1)), F.lit(6)), F.lit(2)))
 
 
 def lines(docs: DataFrame, key: str, text: str, as_of: Column) -> DataFrame:
@@ -35,7 +57,9 @@ def lines(docs: DataFrame, key: str, text: str, as_of: Column) -> DataFrame:
     g = lambda i: F.regexp_extract("line", RANGE, i)
     section = F.coalesce(*[F.when(F.col("line").rlike(unicode_pattern(p)) & (F.length("line") < 40), F.lit(n)) for n, p in SECTIONS])
     dated = each.withColumn("heading", section).withColumn("start", _year(g(2), g(1), g(3)))
-    dated = dated.withColumn("end", F.when(F.col("start").isNotNull(), F.coalesce(_year(g(5), g(4), g(6)), now)))
+    # a period with two years goes before one with a single year
+    dated = dated.withColumn("end", F.when(F.col("start").isNotNull(), F.coalesce(_year(g(5), g(4), g(6)), now))).withColumn("__short", _short_period(F.col("line")))
+    dated = dated.withColumn("end", F.when(F.col("start").isNull(), F.col("__short.end")).otherwise(F.col("end"))).withColumn("start", F.coalesce("start", "__short.start")).drop("__short")
     w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     placed = dated.withColumn("section", F.coalesce(F.last("heading", ignorenulls=True).over(w), F.lit("top")))
     carried = intervals.carried(placed, [key], ["line_no"], F.col("end"), F.col("heading").isNotNull(), "__end")

@@ -70,6 +70,16 @@ def cv_experience(spark, d):
     return _cv_years(spark, d).select("c_custkey", "years")
 
 
+@query
+def cv_periods(spark, d):
+    """Years of CVs whose periods have one year only: months of a year, a season, and two plain words with a dash, which are no period."""
+    k = F.col("c_custkey")
+    months = F.get(F.array(*[F.lit(x) for x in ("Feb. – Nov.", "June - July", "Ekim – Aralık")]), (k % 3).cast("int"))
+    lines = [F.lit("Experience"), F.concat(F.lit("Intern, Acme    "), months, F.lit(" "), (2005 + k % 4).cast("string")), F.concat(F.lit("Trainee, Globex    Summer "), (2001 + k % 2).cast("string")), F.lit("Control - Automation 2003")]
+    docs = read(spark, d, "customer").select(k, F.concat_ws("\n", *lines).alias("text"))
+    return cv.experience(docs, cv.lines(docs, "c_custkey", "text", F.to_date(F.lit(CV_DAY))), "c_custkey", "text")
+
+
 @query
 def cv_level(spark, d):
     rows = _cvs(spark, d).join(_cv_years(spark, d), "c_custkey")

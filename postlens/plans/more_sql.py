@@ -33,6 +33,7 @@ ORACLE: dict[str, str] = {
             CASE canonical WHEN 'Python' THEN NULL WHEN 'SQL' THEN old WHEN 'Excel' THEN old ELSE 1.0 END AS recency FROM w, (VALUES ('Spark'), ('Kafka'), ('Python'), ('SQL'), ('Excel')) v(canonical))
         SELECT k AS c_custkey, canonical, round(CASE WHEN evidence >= 0.45 THEN evidence ELSE evidence / 2 END, 4) AS weight, CASE WHEN evidence >= 0.45 THEN 'strong' ELSE 'weak' END AS strength, round(recency, 6) AS recency FROM found""",
     "cv_experience": f"WITH {_CV} SELECT k AS c_custkey, {_YEARS} AS years FROM w",
+    "cv_periods": "SELECT c_custkey, round((CASE c_custkey % 3 WHEN 0 THEN 10 WHEN 1 THEN 2 ELSE 3 END + 2) / 12.0::DOUBLE, 1)::DOUBLE AS years FROM customer",
     "cv_level": f"""WITH {_CV} SELECT k AS c_custkey, CASE k % 4 WHEN 3 THEN 'staff' WHEN 0 THEN 'senior' ELSE CASE WHEN {_YEARS} >= 6 THEN 'senior' WHEN {_YEARS} >= 2.5 THEN 'mid' ELSE 'junior' END END AS level, k % 4 = 1 AS practitioner FROM w""",
     "cv_families": "SELECT c_custkey, 'data' AS family, 1.0::DOUBLE AS weight, 1.0::DOUBLE AS recency, 1::BIGINT AS rank FROM customer",
     "cv_profiles": f"""

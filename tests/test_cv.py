@@ -39,3 +39,10 @@ def test_forbidden_titles(spark):
     hit = lambda patterns, title: spark.range(1).select(F.exists(F.array(*[F.lit(p) for p in patterns]), lambda p: F.regexp_like(F.lit(title), p)).alias("x")).first().x
     assert hit(row.a, "Engineering Manager") and not hit(row.a, "Product Manager") and hit(row.a, "Head of Data") and not hit(row.a, "Senior Data Engineer")
     assert not hit(row.b, "Sales Manager") and not hit(row.b, "Head of Sales") and hit(row.b, "Nurse") and all(re.match(r"\(\?iU\)", p) for p in row.a)
+
+
+def test_periods_of_one_year(spark):
+    said = {"June - July 2011": 2, "June – July 2011": 2, "Haziran ile Temmuz 2011": 2, "Summer 2010": 2, "winter 2010": 2, "Jan 2010 - Mar 2010": 2, "Nov - Feb 2011": 0, "Control - Automation 2011": 0, "Jan - Dec. 2011": 12, "Summer 2010, June - July 2011": 2, "2010 - 2011, June - July 2015": 12, "nothing": 0, "": 0}
+    docs = spark.createDataFrame([(i, f"Experience\n{t}") for i, t in enumerate(said)], "id int, text string")
+    got = {r.id: r.years for r in cv.experience(docs, cv.lines(docs, "id", "text", F.to_date(F.lit("2026-01-01"))), "id", "text").collect()}
+    assert got == {i: round(m / 12, 1) for i, m in enumerate(said.values())}
