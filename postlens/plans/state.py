@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import history, increments
+from ..sources import board_run as board
 from ..streaming import closing
 from ..streaming import sightings as streams
 
@@ -15,6 +16,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 #: Days of a run, and buckets of the state.
 RUN_DAYS, BUCKETS = 4, 8
+#: Customers of a list page, over all boards.
+LISTED = 200
 
 
 def query(f: Query) -> Query:
@@ -63,7 +66,43 @@ def stream_closed_state(spark, d):
     return closing.latest(log).select("uid", "board_token", "closed", F.when(F.col("closed"), F.col("run")).alias("closed_by"))
 
 
+@query
+def board_run(spark, d):
+    """Two runs of every board, two hours apart: pages by run, board, kind and origin. A nation is a board, its customers the details; lists of them are pages."""
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    name = F.concat(F.lit("b"), F.col("c_nationkey").cast("string"))
+    at = F.concat(name, F.lit("/i/"), F.col("c_custkey").cast("string"))
+    status = F.when(F.col("c_custkey") % 17 == 0, 403).when(F.col("c_custkey") % 5 == 0, 500).otherwise(200)
+    items = c.select(name.alias("board"), at.alias("url"), F.floor(F.col("c_custkey") / LISTED).alias("page"), status.alias("status"), F.col("c_name").alias("body"))
+    shown = F.array_join(F.collect_list(F.concat(F.lit('<a href="'), "url", F.lit('">'))), "\n")
+    pages = items.groupBy("board", "page").agg(shown.alias("body")).select("board", "page", F.concat_ws("/", "board", F.lit("l"), F.col("page").cast("string")).alias("url"), F.lit(200).alias("status"), "body")
+    recorded = pages.select("url", "status", "body").unionByName(items.select("url", "status", "body"))
+    lists = pages.select("board", "url", "page", F.lit(0).alias("query"))
+    named = lambda got: got.select("board", "page", "query", F.explode(F.regexp_extract_all("body", F.lit('href="([^"]+)"'))).alias("url"))
+    path, out = streams.folder(spark), None
+    for n, hour in ((1, "10"), (2, "12")):
+        told = board.run(lists, named, path, F.to_timestamp(F.lit(f"2024-05-01 {hour}:00:00")), recorded).groupBy(F.lit(n).alias("run"), "board", "kind", "origin").agg(F.count(F.lit(1)).alias("n"))
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
 ORACLE: dict[str, str] = {
+    "board_run": f"""
+        WITH d AS (SELECT 'b' || c_nationkey AS board, c_custkey // {LISTED} AS page, 'b' || c_nationkey || '/i/' || c_custkey AS url, CASE WHEN c_custkey % 17 = 0 THEN 403 WHEN c_custkey % 5 = 0 THEN 500 ELSE 200 END AS status FROM customer),
+        l AS (SELECT board, page, row_number() OVER (PARTITION BY board ORDER BY page) AS n FROM (SELECT DISTINCT board, page FROM d)),
+        a AS (SELECT d.*, row_number() OVER (PARTITION BY board ORDER BY page, url) <= 16 - (SELECT count(*) FROM l x WHERE x.board = d.board AND x.n <= 10) AS may, row_number() OVER (PARTITION BY board ORDER BY page, url) AS p FROM d JOIN l USING (board, page) WHERE n <= 10),
+        b AS (SELECT *, may AND coalesce(p <= min(p) FILTER (may AND status = 403) OVER (PARTITION BY board), true) AS tried FROM a),
+        blocked AS (SELECT DISTINCT board FROM b WHERE tried AND status = 403),
+        more AS (SELECT l.board, CASE WHEN board IN (FROM blocked) THEN 0 ELSE count(*) FILTER (n BETWEEN 11 AND 20) END AS k FROM l GROUP BY l.board),
+        e AS (SELECT d.*, k, d.url IN (SELECT url FROM b WHERE tried AND status = 200) AS had FROM d JOIN l USING (board, page) JOIN more USING (board) WHERE n <= 10 + k),
+        f AS (SELECT *, row_number() OVER (PARTITION BY board, had ORDER BY page, url) AS p FROM e),
+        g AS (SELECT *, NOT had AND p <= 16 - k AND board NOT IN (FROM blocked) AS may FROM f),
+        h AS (SELECT *, may AND coalesce(p <= min(p) FILTER (may AND status = 403) OVER (PARTITION BY board), true) AS tried FROM g),
+        o AS (SELECT 1 AS run, board, 'list' AS kind, CASE WHEN n <= 10 THEN 'network' ELSE 'later' END AS origin FROM l
+            UNION ALL SELECT 1, board, 'detail', CASE WHEN NOT tried THEN 'later' WHEN status = 200 THEN 'network' ELSE 'failed' END FROM b
+            UNION ALL SELECT 2, board, 'list', CASE WHEN n <= 10 THEN 'cache' WHEN n <= 10 + k THEN 'network' ELSE 'later' END FROM l JOIN more USING (board)
+            UNION ALL SELECT 2, board, 'detail', CASE WHEN had THEN 'cache' WHEN NOT tried THEN 'later' WHEN status = 200 THEN 'network' ELSE 'failed' END FROM h)
+        SELECT run, board, kind, origin, count(*) AS n FROM o GROUP BY ALL""",
     "history_increments": f"""
         WITH s AS (SELECT date_diff('day', DATE '2024-01-01', ts::DATE) // {RUN_DAYS} AS run_id, 'u:' || user_id || ':' || event_type AS uid, event_type AS token, md5(floor(value / 40)::BIGINT::VARCHAR) AS h, ts, CASE WHEN value > 20 THEN props ELSE '' END AS description FROM events),
         runs AS (SELECT uid, run_id, arg_max(token, (ts, h)) AS token, arg_max(h, (ts, h)) AS h, arg_max(description, (ts, h)) FILTER (description <> '') AS description, min(ts) AS a, max(ts) AS z FROM s GROUP BY uid, run_id),

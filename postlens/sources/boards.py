@@ -35,18 +35,20 @@ def unpacked(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(one, na_action="ignore")
 
 
-def requests(urls: DataFrame, cache: DataFrame, ledger: DataFrame, as_of: Column) -> DataFrame:
+def requests(urls: DataFrame, cache: DataFrame, ledger: DataFrame, as_of: Column, since: Column | None = None) -> DataFrame:
     """board, url, kind, place, origin of every wanted page (board, url, kind, page, query): ``cache`` where a fresh copy is there, ``network`` for as many of the others as the board's
-    allowance leaves, list pages before details and first pages of all queries before second ones, and ``later`` for the rest."""
-    due = fetch.due(urls, cache, as_of).select("board", "url", "kind", "page", "query", F.lit(True).alias("__due"))
-    rows = urls.select("board", "url", "kind", "page", "query").join(due.select("board", "url", "__due"), ["board", "url"], "left")
-    left = fetch.allowance(ledger, as_of, for_detail=True).select("board", "left")
-    order = Window.partitionBy("board", F.col("__due").isNotNull()).orderBy(F.col("kind") == "detail", "page", "query", "url")
-    placed = rows.withColumn("place", F.row_number().over(order)).join(left, "board", "left")
-    free = F.coalesce("left", F.lit(min(fetch.PER_HOUR, fetch.PER_RUN)))
+    allowance leaves, list pages before details and first pages of all queries before second ones, and ``later`` for the rest. Only the first due pages of a board, as many as a run may ask
+    for, have a ``place``, so a board of any size is cut down before it is shuffled. ``since`` is the start of a run that has asked for pages already."""
+    rows = fetch.aged(urls, cache, as_of).select("board", "url", "kind", "page", "query", "due")
+    left = fetch.allowance(ledger, as_of, for_detail=True, since=since).select("board", "left")
+    most = min(fetch.PER_HOUR, fetch.PER_RUN)
+    order = Window.partitionBy("board").orderBy(F.col("kind") == "detail", "page", "query", "url")
+    first = rows.where("due").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("board", "url", "place")
+    placed = rows.join(first, ["board", "url"], "left").join(left, "board", "left")
+    free = F.coalesce("left", F.lit(most))
     # details may use everything, list pages leave some for details
     room = F.when(F.col("kind") == "detail", free).otherwise(F.greatest(F.lit(0), free - fetch.FOR_DETAIL))
-    origin = F.when(F.col("__due").isNull(), "cache").when(F.col("place") <= room, "network").otherwise("later")
+    origin = F.when(~F.col("due"), "cache").when(F.col("place") <= room, "network").otherwise("later")
     return placed.select("board", "url", "kind", "place", origin.alias("origin"))
 
 

@@ -98,13 +98,17 @@ class FeedSource(DataSource):
         return FeedReader(self.options)
 
 
-def due(urls: DataFrame, cache: DataFrame, as_of: Column) -> DataFrame:
-    """Rows of ``urls`` (url, kind) without a fresh enough page in ``cache`` (url, fetched_at)."""
+def aged(urls: DataFrame, cache: DataFrame, as_of: Column) -> DataFrame:
+    """``urls`` (url, kind) with ``due``: whether ``cache`` (url, fetched_at) has no fresh enough page."""
     ttl = F.create_map(*[F.lit(x) for kv in TTL_HOURS.items() for x in kv])
     latest = cache.groupBy("url").agg(F.max("fetched_at").alias("__at"))
-    joined = urls.join(latest, "url", "left")
-    old = F.col("__at").isNull() | ((F.unix_timestamp(as_of) - F.unix_timestamp("__at")) > F.try_element_at(ttl, F.col("kind")) * 3600)
-    return joined.where(old).drop("__at")
+    old = F.col("__at").isNull() | F.coalesce((F.unix_timestamp(as_of) - F.unix_timestamp("__at")) > F.try_element_at(ttl, F.col("kind")) * 3600, F.lit(False))
+    return urls.join(latest, "url", "left").withColumn("due", old).drop("__at")
+
+
+def due(urls: DataFrame, cache: DataFrame, as_of: Column) -> DataFrame:
+    """Rows of ``urls`` (url, kind) without a fresh enough page in ``cache`` (url, fetched_at)."""
+    return aged(urls, cache, as_of).where("due").drop("due")
 
 
 def served(fetched: DataFrame, cache: DataFrame, as_of: Column) -> DataFrame:
@@ -119,11 +123,12 @@ def evicted(rows: DataFrame, at: str, as_of: Column, days: int) -> DataFrame:
     return rows.where(F.col(at) >= as_of - F.make_dt_interval(days=F.lit(days)))
 
 
-def allowance(ledger: DataFrame, as_of: Column, for_detail: bool = False) -> DataFrame:
-    """board, left: requests that each board's last hour, this run's cap and a block of the last COOL_OFF_HOURS leave."""
+def allowance(ledger: DataFrame, as_of: Column, for_detail: bool = False, since: Column | None = None) -> DataFrame:
+    """board, left: requests that each board's last hour, this run's cap (less what it has asked for ``since`` its start) and a block of the last COOL_OFF_HOURS leave."""
     hour = F.unix_timestamp("at") > F.unix_timestamp(as_of) - 3600
-    used = ledger.groupBy("board").agg(F.count_if(hour).alias("used"), F.max(F.when(F.col("status").isin(403, 429), F.unix_timestamp("at"))).alias("blocked"))
-    free = F.greatest(F.lit(0), F.least(PER_HOUR - F.col("used"), F.lit(PER_RUN)) - (0 if for_detail else FOR_DETAIL))
+    asked = F.lit(0) if since is None else F.count_if(F.col("at") >= since)
+    used = ledger.groupBy("board").agg(F.count_if(hour).alias("used"), asked.alias("asked"), F.max(F.when(F.col("status").isin(403, 429), F.unix_timestamp("at"))).alias("blocked"))
+    free = F.greatest(F.lit(0), F.least(PER_HOUR - F.col("used"), PER_RUN - F.col("asked")) - (0 if for_detail else FOR_DETAIL))
     cold = F.coalesce(F.unix_timestamp(as_of) - F.col("blocked") < COOL_OFF_HOURS * 3600, F.lit(False))
     return used.select("board", F.when(cold, F.lit(0)).otherwise(free).cast("long").alias("left"))
 
