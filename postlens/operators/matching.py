@@ -73,21 +73,58 @@ def family_weight(rows: DataFrame, base: str, triggers: str, recency: str, stron
     return F.round(F.col(base) * part * (0.55 + 0.45 * F.col(recency)), 2)
 
 
+def _asked(queries: DataFrame, paths: DataFrame, q: str, p: str, stop: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Each query with ``__order``, its tokens outside ``stop`` that paths have, rarest first; and each path once for each such token."""
+    own = lambda c: F.filter(c, lambda t: ~t.isin(*stop)) if stop else c
+    right = paths.select(p, F.col("tokens").alias("__pt"), F.explode(own(F.col("tokens"))).alias("t"))
+    counts = right.groupBy("t").agg(F.count(F.lit(1)).alias("__n"))
+    asked = queries.select(q, F.col("tokens").alias("__qt"), F.explode(own(F.col("tokens"))).alias("t")).join(counts, "t")
+    ranked = asked.groupBy(q, "__qt").agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "t"))), lambda x: x["t"]).alias("__order"))
+    return ranked, right
+
+
+def _pair_score(q: str, p: str) -> list[Column]:
+    common = F.size(F.array_intersect("__qt", "__pt"))
+    return [F.col(q), F.col(p), common.cast("long").alias("common"), F.round(common / F.size("__qt") - 0.04 * (F.size("__pt") - common), 4).alias("score")]
+
+
 def overlap(queries: DataFrame, paths: DataFrame, q: str, p: str, stop: tuple[str, ...] = ()) -> DataFrame:
     """q, p, common, score: pairs that share a token outside ``stop``: share of the query's tokens met, less 0.04 for each other token of the path.
 
     ``queries`` and ``paths`` have a token array ``tokens``. Pairs meet by an equi-join on the tokens outside ``stop`` only, each once, by the one that the fewest paths have;
     so a frequent token joins only pairs that share nothing rarer. The rest is worked out from the arrays of the pair.
     """
-    own = lambda c: F.filter(c, lambda t: ~t.isin(*stop)) if stop else c
-    right = paths.select(p, F.col("tokens").alias("__pt"), F.explode(own(F.col("tokens"))).alias("t"))
-    counts = right.groupBy("t").agg(F.count(F.lit(1)).alias("__n"))
-    asked = queries.select(q, F.col("tokens").alias("__qt"), F.explode(own(F.col("tokens"))).alias("t")).join(counts, "t")
-    ranked = asked.groupBy(q, "__qt").agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "t"))), lambda x: x["t"]).alias("__order"))
+    ranked, right = _asked(queries, paths, q, p, stop)
     met = ranked.select(q, "__qt", "__order", F.explode("__order").alias("t")).join(right, "t")
     first = F.get(F.filter("__order", lambda t: F.array_contains(F.col("__pt"), t)), F.lit(0)) == F.col("t")
-    common = F.size(F.array_intersect("__qt", "__pt"))
-    return met.where(first).select(q, p, common.cast("long").alias("common"), F.round(common / F.size("__qt") - 0.04 * (F.size("__pt") - common), 4).alias("score"))
+    return met.where(first).select(*_pair_score(q, p))
+
+
+def near_candidates(queries: DataFrame, paths: DataFrame, q: str, p: str, stop: tuple[str, ...], share: float, extra: float = 0.0) -> DataFrame:
+    """Pairs that :func:`overlap` must score for the rows within ``share`` of each query's best; others are never made. ``extra`` is the most that is added to a score later.
+
+    A query's paths with its rarest token give a score that the best one reaches. From it follows how many tokens a near one has in common with the query, so it holds one of the query's
+    n - common + 1 rarest ones: only those are joined, and no others however many paths have them. The path's length bounds its score before the arrays are compared.
+    """
+    ranked, right = _asked(queries, paths, q, p, stop)
+    rare = ranked.withColumn("t", F.get("__order", F.lit(0))).join(right, "t").select(*_pair_score(q, p))
+    bound = rare.groupBy(q).agg(F.max("score").alias("__low"))
+    # half a unit of the fourth place and what a sum of doubles may be off
+    need = F.least(F.col("__low"), share * F.col("__low")) - extra - 0.0002
+    known = ranked.join(bound, q).withColumn("__need", need)
+    stopped = F.size(F.array_intersect("__qt", F.array(*[F.lit(t) for t in stop]).cast("array<string>"))) if stop else F.lit(0)
+    least = F.greatest(F.lit(1), F.ceil(F.col("__need") * F.size("__qt")).cast("int") - stopped)
+    prefix = F.slice("__order", F.lit(1), F.greatest(F.lit(0), F.size("__order") - least + 1))
+    met = known.withColumn("__prefix", prefix).select(q, "__qt", "__prefix", "__need", F.explode("__prefix").alias("t")).join(right, "t")
+    short = F.least(F.size("__qt"), F.size("__pt"))
+    able = short / F.size("__qt") - 0.04 * (F.size("__pt") - short) >= F.col("__need")
+    first = F.get(F.filter("__prefix", lambda t: F.array_contains(F.col("__pt"), t)), F.lit(0)) == F.col("t")
+    return met.where(able & first)
+
+
+def near_overlap(queries: DataFrame, paths: DataFrame, q: str, p: str, stop: tuple[str, ...], share: float, extra: float = 0.0) -> DataFrame:
+    """:func:`overlap` without most pairs that can't be within ``share`` of their query's best, whatever up to ``extra`` is added to them."""
+    return near_candidates(queries, paths, q, p, stop, share, extra).select(*_pair_score(q, p))
 
 
 def prefix_sectors(paths: DataFrame, path: str, least: int = 3) -> DataFrame:

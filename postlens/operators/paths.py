@@ -8,15 +8,18 @@ from pyspark.sql.window import Window
 
 from . import matching, shortlist
 
+#: What a path with a city, and the one asked for, have more.
+CITY, ASKED = 0.12, 0.5
 
-def scored(queries: DataFrame, paths: DataFrame, stop: tuple[str, ...], requested: str = "wanted_city") -> DataFrame:
-    """q, p, score: token overlap, 0.12 more for a path with a city, 0.5 more for the one that is asked for.
+
+def scored(queries: DataFrame, paths: DataFrame, stop: tuple[str, ...], requested: str = "wanted_city", share: float | None = None) -> DataFrame:
+    """q, p, score: token overlap, 0.12 more for a path with a city, 0.5 more for the one that is asked for. With ``share`` only pairs that may be within it of their query's best are made.
 
     ``queries``: q, tokens and the asked city; ``paths``: p, tokens, city (null for nation-wide).
     """
-    base = matching.overlap(queries, paths, "q", "p", stop)
+    base = matching.overlap(queries, paths, "q", "p", stop) if share is None else matching.near_overlap(queries, paths, "q", "p", stop, share, CITY + ASKED)
     rows = base.join(queries.select("q", requested), "q").join(paths.select("p", "city"), "p")
-    extra = F.when(F.col("city").isNotNull(), 0.12).otherwise(0.0) + F.when(F.col("city") == F.col(requested), 0.5).otherwise(0.0)
+    extra = F.when(F.col("city").isNotNull(), CITY).otherwise(0.0) + F.when(F.col("city") == F.col(requested), ASKED).otherwise(0.0)
     return rows.select("q", "p", "city", F.round(F.col("score") + extra, 4).alias("score"))
 
 

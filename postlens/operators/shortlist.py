@@ -72,6 +72,39 @@ def query_slots(owners: list[tuple[str, float, bool, list[str]]], seats: int, po
     return taken
 
 
+def slots(first: Column, owners: Column, seats: int, power: int = 3) -> Column:
+    """Search queries of one row's lists, as an array of at most ``seats``: those of ``first`` go before all others, then the greatest quotient weight ** power / (seats held + 1)
+    takes the next query of its list, the earlier list where quotients are equal. A query that is there already moves its list on without taking a seat.
+
+    ``owners`` is an array of structs with ``weight`` and ``queries``. The fold's accumulator holds what is taken, and seats and place of each list, so each row is told by itself, without a
+    shuffle. Null lists, queries and weights count for nothing.
+    """
+    kind = "struct<taken:array<string>,held:array<int>,at:array<int>>"
+    own = F.coalesce(F.transform(owners, lambda o: F.struct(F.pow(F.coalesce(o["weight"], F.lit(0.0)), F.lit(power)).alias("w"), F.array_compact(F.coalesce(o["queries"], F.array().cast("array<string>"))).alias("q"))), F.array().cast("array<struct<w:double,q:array<string>>>"))
+    start = F.slice(F.array_distinct(F.array_compact(F.coalesce(first, F.array().cast("array<string>")))), 1, seats)
+
+    def told(lists: Column) -> Column:
+        none = F.transform(lists, lambda _: F.lit(0))
+
+        def turn(s: Column, _: Column) -> Column:
+            quotients = F.transform(lists, lambda o, i: F.when(F.get(s["at"], i) < F.size(o["q"]), F.struct((o["w"] / (F.get(s["held"], i) + 1)).alias("v"), (-i).alias("i"))))
+            # bound once: a list's number and its next query, then whether it is new
+            best = F.filter(F.array(F.array_max(quotients)), lambda b: b.isNotNull())
+            chosen = F.transform(best, lambda b: F.struct((-b["i"]).alias("i"), F.get(F.get(lists, -b["i"])["q"], F.get(s["at"], -b["i"])).alias("item")))
+            new = F.transform(chosen, lambda c: F.struct(c["i"].alias("i"), c["item"].alias("item"), (~F.array_contains(s["taken"], c["item"])).alias("new")))
+            moved = F.transform(new, lambda c: F.struct(
+                F.when(c["new"], F.array_append(s["taken"], c["item"])).otherwise(s["taken"]).alias("taken"),
+                F.transform(s["held"], lambda h, j: F.when((j == c["i"]) & c["new"], h + 1).otherwise(h)).alias("held"),
+                F.transform(s["at"], lambda x, j: F.when(j == c["i"], x + 1).otherwise(x)).alias("at"),
+            ).cast(kind))
+            return F.when(F.size(s["taken"]) >= seats, s).otherwise(F.coalesce(F.get(moved, F.lit(0)), s))
+
+        turns = F.sequence(F.lit(1), F.aggregate(lists, F.lit(1), lambda n, o: n + F.size(o["q"])))
+        return F.aggregate(turns, F.struct(start.alias("taken"), none.alias("held"), none.alias("at")).cast(kind), turn, lambda s: s["taken"])
+
+    return F.get(F.transform(F.array(own), told), F.lit(0))
+
+
 def distinct_capped(*lists: Column, cap: int = 8) -> Column:
     """Items of the lists one after another, each at its first place, ``cap`` at most."""
     return F.slice(F.array_distinct(F.array_compact(F.concat(*lists))), 1, cap)

@@ -249,7 +249,7 @@ def path_choice(spark, d):
     names = read(spark, d, "part").select("p_name", "p_brand", "p_type").distinct()
     queries = names.select(F.col("p_name").alias("q"), F.lit("promo").alias("wanted_city")).distinct().withColumn("tokens", tx.token_set(F.col("q")))
     made = names.select(F.concat_ws(" ", "p_name", F.when(F.col("p_type") != "STANDARD", F.lower("p_type")), F.lit("jobs")).alias("p"), F.when(F.col("p_type") != "STANDARD", F.lower("p_type")).alias("city")).distinct()
-    scores = paths.scored(queries, made.withColumn("tokens", tx.token_set(F.col("p"))), ("jobs",))
+    scores = paths.scored(queries, made.withColumn("tokens", tx.token_set(F.col("p"))), ("jobs",), share=0.72)
     return paths.chosen(scores, 0.72, 4).select("q", F.col("rank").cast("long").alias("rank"), "p", "score")
 
 
@@ -272,6 +272,20 @@ def weight_cut(spark, d):
     return shortlist.cut_by_weight(rows, "l_orderkey", "weight", "recency").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.min("weight").alias("least"))
 
 
+@query
+def query_slots(spark, d):
+    """Six search queries for each customer: four families of arithmetic weight and age, whose titles are names of nations; the last one is named after a level for every third customer."""
+    groups = {f"f{f}": F.pmod("n_nationkey", F.lit(4)).isin(f, (f + 1) % 4) if f < 3 else F.pmod("n_nationkey", F.lit(8)) == 7 for f in range(4)}
+    names = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("n_nationkey", "n_name")))), lambda x: x["n_name"])
+    titles = read(spark, d, "nation").agg(*[names(c).alias(f) for f, c in groups.items()])
+    key = F.col("c_custkey")
+    family = lambda f: F.struct(F.when((key % 3 == 0) & F.lit(f == 3), "level").otherwise(f"f{f}").alias("name"), ((F.pmod(key * (2 * f + 3), F.lit(61)) + 40) / 100).alias("weight"), (F.pmod(key * (f + 1), F.lit(5)) / 4).alias("recency"))
+    rows = read(spark, d, "customer").select("c_custkey", F.array(*[family(f) for f in range(4)]).alias("families"))
+    found = titles.first().asDict()
+    out = profiles.searches(rows, found | {"level": found["f3"]}, ("level",))
+    return out.select("c_custkey", F.array_join("queries", ",").alias("queries"))
+
+
 @query
 def model_cap(spark, d):
     return shortlist.scored_by_model(read(spark, d, "orders"), "o_orderstatus", "o_orderkey", 400).where("for_model").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("last"))

@@ -100,6 +100,15 @@ ORACLE: dict[str, str] = {
     "weight_cut": """
         WITH r AS (SELECT l_orderkey, l_quantity::DOUBLE AS w, l_discount > 0.05 AS fresh, max(l_quantity) OVER (PARTITION BY l_orderkey) AS best FROM lineitem), n AS (SELECT *, max(fresh::INT) OVER (PARTITION BY l_orderkey) AS any_fresh FROM r WHERE w >= 0.7::DOUBLE * best)
         SELECT l_orderkey, count(*) AS n, min(w) AS least FROM n WHERE fresh OR any_fresh = 0 GROUP BY 1""",
+    "query_slots": """
+        WITH RECURSIVE n AS (SELECT list(n_name ORDER BY n_nationkey) FILTER (n_nationkey % 4 IN (0, 1)) AS a, list(n_name ORDER BY n_nationkey) FILTER (n_nationkey % 4 IN (1, 2)) AS b, list(n_name ORDER BY n_nationkey) FILTER (n_nationkey % 4 IN (2, 3)) AS c, list(n_name ORDER BY n_nationkey) FILTER (n_nationkey % 8 = 7) AS e FROM nation),
+        f AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN e[1:6] ELSE [] END AS first, i, (c_custkey * (2 * i + 3) % 61 + 40) / 100 AS w, c_custkey * (i + 1) % 5 >= 3 AS fresh, CASE i WHEN 0 THEN a WHEN 1 THEN b WHEN 2 THEN c ELSE e END AS q FROM customer, n, range(4) r(i)),
+        g AS (SELECT *, max(fresh) OVER (PARTITION BY c_custkey) AS any_fresh FROM f), h AS (SELECT *, max(w) OVER (PARTITION BY c_custkey) AS best FROM g WHERE fresh OR NOT any_fresh),
+        p AS (SELECT c_custkey, first, list(w ORDER BY i) AS ws, list(q ORDER BY i) AS qs FROM h WHERE w >= 0.7::DOUBLE * best GROUP BY ALL),
+        s AS (SELECT c_custkey, ws, qs, first AS taken, list_transform(ws, lambda x: 0) AS held, list_transform(ws, lambda x: 0) AS cur, 0 AS step FROM p
+            UNION ALL SELECT c_custkey, ws, qs, CASE WHEN new THEN list_append(taken, item) ELSE taken END, list_transform(held, lambda x, j: CASE WHEN j = k AND new THEN x + 1 ELSE x END), list_transform(cur, lambda x, j: CASE WHEN j = k THEN x + 1 ELSE x END), step + 1
+            FROM (SELECT *, NOT list_contains(taken, item) AS new FROM (SELECT *, qs[k][cur[k] + 1] AS item FROM (SELECT *, list_position(quot, list_max(quot)) AS k FROM (SELECT *, list_transform(ws, lambda x, j: CASE WHEN cur[j] < len(qs[j]) THEN x ** 3 / (held[j] + 1) END) AS quot FROM s WHERE len(taken) < 6) WHERE list_max(quot) IS NOT NULL))))
+        SELECT c_custkey, array_to_string(arg_max(taken, step), ',') AS queries FROM s GROUP BY c_custkey""",
     "model_cap": "SELECT o_orderstatus, count(*) AS n, max(o_orderkey) AS last FROM (SELECT o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS n FROM orders) WHERE n <= 400 GROUP BY 1",
     "detail_candidates": "SELECT doc_id AS seq, (doc_id * 7919 % 1000)::DOUBLE AS total FROM documents WHERE doc_id % 2 = 0 AND doc_id % 23 = 0 ORDER BY total DESC, seq LIMIT 30",
     "result_rows": f"""

@@ -49,3 +49,15 @@ def search_queries(profile: dict, titles: dict[str, list[str]], seats: int = 6)
     near = [f for f in held if f["weight"] >= 0.7 * best]
     fresh = [f for f in near if f.get("recency", 1.0) >= 0.75] or near
     return shortlist.query_slots([(f["name"], f["weight"], False, titles.get(f["name"], [])) for f in fresh], seats)
+
+
+def searches(profiles: DataFrame, titles: dict[str, list[str]], by_level: tuple[str, ...] = (), seats: int = 6, share: float = 0.7, fresh: float = 0.75) -> DataFrame:
+    """``profiles`` (families: name, weight, recency, heaviest first) with ``queries``: the titles of families named after a level, then those of the families of at least ``share``
+    of the greatest weight, fresh ones only where there are any, by greatest quotients. ``titles`` is a constant of the plan, as large as the dictionary of families."""
+    listed = F.create_map(*[x for name, some in titles.items() for x in (F.lit(name), F.array(*[F.lit(t) for t in some]).cast("array<string>"))]) if titles else F.create_map().cast("map<string,array<string>>")
+    held = profiles.withColumn("__all", F.transform(F.coalesce("families", F.array().cast("array<struct<name:string,weight:double,recency:double>>")), lambda f: F.struct(f["name"].alias("name"), f["weight"].alias("weight"), F.coalesce(f["recency"], F.lit(1.0)).alias("recency"), F.try_element_at(listed, f["name"]).alias("queries"))))
+    # fresh ones are told first: the weight is measured against the best of those
+    held = held.withColumn("__new", F.filter("__all", lambda f: f["recency"] >= fresh)).withColumn("__new", F.when(F.size("__new") > 0, F.col("__new")).otherwise(F.col("__all")))
+    held = held.withColumn("__best", F.array_max(F.transform("__new", lambda f: f["weight"]))).withColumn("__near", F.filter("__new", lambda f: f["weight"] >= share * F.col("__best")))
+    before = F.flatten(F.transform(F.filter("__all", lambda f: f["name"].isin(*by_level)) if by_level else F.slice("__all", 1, 0), lambda f: F.coalesce(f["queries"], F.array().cast("array<string>"))))
+    return held.withColumn("queries", shortlist.slots(before, F.col("__near"), seats)).drop("__all", "__new", "__best", "__near")
