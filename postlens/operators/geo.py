@@ -63,3 +63,22 @@ def city_suffix(locations: Column, cities: dict[str, str]) -> Column:
     names = F.create_map(*[F.lit(x) for kv in cities.items() for x in kv])
     found = F.get(F.filter(F.transform(parts, lambda x: F.try_element_at(names, x)), lambda x: x.isNotNull()), F.lit(0))
     return F.coalesce(F.concat(F.lit(" · "), found), F.lit(""))
+
+
+def granting(locations: Column, title: Column, text: Column, remote: Column, countries_: Column) -> Column:
+    """Permits of which any one makes :func:`decision` say yes, in the same order of cases; empty where none does. Known of a posting without a profile."""
+    field = F.array_join(locations, " / ")
+    where = F.concat_ws(" ", field, title)
+    tags = lambda *names: F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    far = F.coalesce(remote, F.lit(False))
+    held = F.coalesce(countries_, tags())
+    return (
+        F.when(where.rlike(unicode_pattern(r"\b(t[uü]rk(iye|ey)|istanbul|ankara|izmir)\b")), tags("turkey"))
+        .when(F.lower(F.trim(field)).isin("global", "worldwide", "anywhere") | where.rlike(GLOBAL), tags("remote_global"))
+        .when(where.rlike(EMEA), tags("remote_emea"))
+        .when(F.size(held) > 0, F.array_distinct(F.concat(held, F.when(far & F.coalesce(text.rlike(EUROPE), F.lit(False)), tags("remote_emea")).otherwise(tags()))))
+        .when(far & F.left(text, F.lit(3000)).rlike(US_LOCK), tags())
+        .when(far & F.left(text, F.lit(3000)).rlike(GLOBAL), tags("remote_global"))
+        .when(far & F.left(text, F.lit(3000)).rlike(EMEA), tags("remote_emea"))
+        .otherwise(tags())
+    )

@@ -539,6 +539,17 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return ranking.decided(ranking.scored(_ranked_rows(spark, d), standin.profiles(spark)))
 
 
+def _kept(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs worth ranking, from the candidates only."""
+    rows, profiles = _ranked_rows(spark, d), standin.profiles(spark)
+    return ranking.decided(ranking.scored(rows, profiles, ranking.candidates(rows, profiles))).where("verdict = 'kept'")
+
+
+@query
+def kept_candidates(spark, d):
+    return _kept(spark, d).select("profile_id", "seq", "risk", "total", "final")
+
+
 @query
 def variants_folded(spark, d):
     rows = ranking.variants_folded(standin.postings(read(spark, d, "documents")))
@@ -599,7 +610,7 @@ def shortlist_with_fit(spark, d):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked, explained shortlists: the pool without variants, every profile's eliminations, scores and risks, three postings of a company, 25 a profile."""
-    best = ranking.ranked(_pairs(spark, sf_dir))
+    best = ranking.ranked(_kept(spark, sf_dir))
     return best.select("profile_id", "rank", "seq", "title", "company", "final", "band", F.array_join("reasons", "; ").alias("reasons"), F.array_join("known", ",").alias("known"))
 
 

@@ -20,6 +20,8 @@ MIN_SCORE, GHOST_AT, INFORMATIVE, TEXT_LEAST = 25.0, 0.70, 1.5, 400
 #: Rows up to which the table of profiles is broadcast.
 MAX_PROFILES = 10_000
 HEAD = 900
+#: Family of a key that any family meets.
+ANY = "*"
 
 
 def terms() -> list[tuple[str, str, bool]]:
@@ -91,14 +93,38 @@ def best_family(families: Column, held: Column) -> Column:
     return F.array_max(own)
 
 
-def scored(rows: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Every posting with every profile: family, role, skill, bonus, missing, off_domain, total and ``reason``, the first rule that takes it out (null for those that stay).
+def candidates(rows: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Pairs of ``rows`` and ``profiles`` that place, profession and level leave open, each once, with the columns of both; all others would be taken out by one of those rules.
+
+    Both sides are exploded to keys (permit, family) and meet by equality: a posting by what grants it and its title's families, a profile by its permits and families. A profile that shows
+    other professions (or doesn't say) meets all postings that a permit grants, by the key of no family, so no rule is skipped for it. A pair with several keys in common stays at the least of them.
+    Few profiles are broadcast to the postings; of more, only keys and numbers are joined, and the texts come to the pairs afterwards. ``permits`` hold no nulls; ``seq`` and ``profile_id`` are unique.
+    """
+    few = profiles.count() <= MAX_PROFILES
+    product = lambda tags, names: F.flatten(F.transform(tags, lambda t: F.transform(names, lambda n: F.concat_ws("/", t, n))))
+    none = F.array(F.lit(ANY))
+    shown = F.coalesce("show_off_domain", F.lit(True))
+    asked = profiles.withColumn("__asked", F.array_distinct(product(F.col("permits"), F.when(shown, none).otherwise(F.transform("families", lambda f: f["name"])))))
+    given = rows.withColumn("__given", F.array_distinct(product(geo.granting(F.col("locations"), F.col("title"), F.col("description"), F.col("remote_flag"), F.col("countries")), F.concat(none, F.col("title_families")))))
+    wide, small = (given, F.broadcast(asked)) if few else (given.select("seq", "level", "__given"), asked.select("profile_id", "max_level", "__asked"))
+    left, right = wide.withColumn("__key", F.explode("__given")), small.withColumn("__key", F.explode("__asked"))
+    right = F.broadcast(right) if few else right
+    above = F.coalesce(score.rank_of(F.col("level")) > score.rank_of(F.col("max_level")), F.lit(False))
+    met = left.join(right, "__key").where(~above & (F.col("__key") == F.array_min(F.array_intersect("__given", "__asked"))))
+    if few:
+        return met.drop("__key", "__given", "__asked")
+    return met.select("seq", "profile_id").join(rows, "seq").join(profiles, "profile_id")
+
+
+def scored(rows: DataFrame, profiles: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """Every posting with every profile, or the pairs ``among`` them (:func:`candidates`): family, role, skill, bonus, missing, off_domain, total and ``reason``, the first rule that takes it out (null for those that stay).
 
     A profile has profile_id, permits, max_level, max_years, forbidden, needs_sponsor, languages, practitioner, show_off_domain, families (name, weight), weights (skill to weight), remote_bonus
     and sectors (pattern, weight) as arrays and maps.
     """
-    few = profiles.count() <= MAX_PROFILES
-    pairs = rows.join(F.broadcast(rarity(rows))).join(F.broadcast(profiles) if few else profiles)
+    if among is None:
+        among = rows.join(F.broadcast(profiles) if profiles.count() <= MAX_PROFILES else profiles)
+    pairs = among.join(F.broadcast(rarity(rows)))
     families = F.col("families")
     title, body = best_family(families, F.col("title_families")), best_family(families, F.col("text_families"))
     technical = [name for name, *_, t in catalog.FAMILIES if t]

@@ -142,6 +142,7 @@ ORACLE: dict[str, str] = {
     "elimination_histogram": f"WITH {_PARTS}, {_PAIRS} SELECT profile_id, verdict, count(*) AS n FROM verdicts GROUP BY 1, 2",
     "total_score": f"WITH {_PARTS}, {_PAIRS} SELECT profile_id, seq, role_score AS role, round(skill_score, 6) AS skill, bonus, missing, off_domain, total FROM totals",
     "final_score": f"WITH {_PARTS}, {_PAIRS} SELECT profile_id, seq, risk, total, final, verdict FROM verdicts",
+    "kept_candidates": f"WITH {_PARTS}, {_PAIRS} SELECT profile_id, seq, risk, total, final FROM verdicts WHERE verdict = 'kept'",
     "shortlist_with_fit": f"WITH {_PARTS}, {_PAIRS}, {_FIT} SELECT profile_id, rank, seq, fit, final FROM ranked WHERE rank <= 25",
     "flagship_shortlist": f"WITH {_PARTS}, {_PAIRS}, {_RANKED} SELECT profile_id, rank, seq, title, company, final, {_BAND} AS band, {_REASONS} AS reasons, array_to_string(known, ',') AS known FROM ranked WHERE rank <= 25",
 }
