@@ -92,10 +92,14 @@ def cv_families(spark, d):
     return cv.families(skills, catalog.families(spark), "c_custkey").select("c_custkey", "family", "weight", "recency", F.col("rank").cast("long").alias("rank"))
 
 
+def _cv_profiles(spark, d) -> DataFrame:
+    return profiles.from_cvs(_cvs(spark, d), "c_custkey", "text", F.to_date(F.lit(CV_DAY)), F.array(F.lit("turkey")))
+
+
 @query
 def cv_profiles(spark, d):
     """Profiles of CVs as the ranking reads them."""
-    rows = profiles.from_cvs(_cvs(spark, d), "c_custkey", "text", F.to_date(F.lit(CV_DAY)), F.array(F.lit("turkey")))
+    rows = _cv_profiles(spark, d)
     return rows.select(F.col("profile_id").cast("long").alias("c_custkey"), "max_level", "max_years", "is_practitioner", F.size("forbidden").cast("long").alias("n_forbidden"), F.array_join(F.transform("families", lambda f: f["name"]), ",").alias("families"), F.array_join(F.array_sort(F.map_keys("weights")), ",").alias("skills"), F.round(F.try_element_at("weights", F.lit("Spark")), 4).alias("spark"))
 
 
@@ -338,7 +342,8 @@ def shortlist_quality(spark, d):
 
 @query
 def profile_summary(spark, d):
-    return sinks.profile_summary(standin.profiles(spark))
+    """What a reader sees of the profile of each customer's CV."""
+    return sinks.profile_summary(_cv_profiles(spark, d))
 
 
 @query

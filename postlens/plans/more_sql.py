@@ -120,9 +120,12 @@ ORACLE: dict[str, str] = {
     "markdown_report": f"""
         WITH {_PARTS}, {_PAIRS}, {_RANKED} SELECT profile_id, '# Shortlist of ' || profile_id || chr(10) || chr(10) || string_agg(rank || '. [' || title || '](https://jobs.example/' || winner || ') - ' || company || ' (' || printf('%.1f', final) || ')'
             || CASE WHEN {_REASONS} = '' THEN '' ELSE chr(10) || '   - ' || replace({_REASONS}, '; ', chr(10) || '   - ') END, chr(10) ORDER BY rank) || chr(10) AS report FROM ranked WHERE rank <= 25 GROUP BY profile_id""",
-    "profile_summary": """
-        SELECT * FROM (VALUES ('anna', 'data, software', 6::BIGINT, 'Spark, Python, SQL, Kafka, Airflow', 'senior', 8, 'germany, remote_emea'), ('bora', 'cloud, data', 5, 'Kubernetes, AWS, Docker, Java, SQL', 'staff', NULL, 'canada, israel, turkey, usa'),
-            ('carl', 'health, people', 2, 'Patient care, Recruitment', 'mid', 4, 'canada, germany, israel, remote_emea, turkey, usa')) t(profile_id, families, n_skills, top_skills, max_level, max_years, permits)""",
+    "profile_summary": f"""
+        WITH {_CV}, found AS (SELECT k, canonical, CASE canonical WHEN 'Spark' THEN round(2.0::DOUBLE / 6 + 0.35, 3) WHEN 'Kafka' THEN round(1.0::DOUBLE / 6, 3) WHEN 'Python' THEN round(1.0::DOUBLE / 6 + 0.35, 3) ELSE round((0.5 + 0.5 * old) / 6, 3) END AS evidence,
+            CASE canonical WHEN 'Python' THEN NULL WHEN 'SQL' THEN old WHEN 'Excel' THEN old ELSE 1.0 END AS recency FROM w, (VALUES ('Spark'), ('Kafka'), ('Python'), ('SQL'), ('Excel')) v(canonical)),
+            l AS (SELECT k, {_YEARS} AS years, CASE k % 4 WHEN 3 THEN 'staff' WHEN 0 THEN 'senior' ELSE CASE WHEN {_YEARS} >= 6 THEN 'senior' WHEN {_YEARS} >= 2.5 THEN 'mid' ELSE 'junior' END END AS level FROM w),
+        t AS (SELECT k, count(*) AS n, array_to_string(list(canonical ORDER BY round(CASE WHEN evidence >= 0.45 THEN evidence ELSE evidence / 2 END, 4) DESC, canonical)[1:5], ', ') AS top FROM found GROUP BY k)
+        SELECT k::VARCHAR AS profile_id, 'data' AS families, n AS n_skills, top AS top_skills, CASE level WHEN 'junior' THEN 'mid' WHEN 'mid' THEN 'senior' ELSE 'staff' END AS max_level, ceil(years + 2)::INT AS max_years, 'turkey' AS permits FROM l JOIN t USING (k)""",
     "run_report": """
         WITH d AS (SELECT source, row_number() OVER (PARTITION BY source, md5(text) ORDER BY doc_id) > 1 AS dup, n_chars < 200 AS gone, doc_id % 9 = 0 AS ghost FROM documents)
         SELECT source, count(*) AS fetched, count(*) FILTER (dup) AS duplicates, count(*) FILTER (gone AND NOT dup) AS eliminated, count(*) FILTER (ghost AND NOT gone AND NOT dup) AS ghosted, count(*) FILTER (NOT gone AND NOT dup AND NOT ghost) AS kept FROM d GROUP BY source""",

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 #: Age in hours up to which a cached page is used, by kind; up to which a stale one stands in for a failed fetch; hours of silence after a block.
 TTL_HOURS = {"list": 12, "detail": 24 * 14, "robots": 24}
@@ -84,8 +84,63 @@ class FeedReader(DataSourceReader):
                     return
 
 
+def _called(name: str) -> Callable:
+    import importlib
+
+    module, function = name.rsplit(".", 1)
+    return getattr(importlib.import_module(module), function)
+
+
+class FeedStreamReader(DataSourceStreamReader):
+    """Polls feeds that grow at their end. The offset is the number of pages of each token that are there, so a stream that is started again goes on behind the last page it has committed,
+    and a batch that is run again asks for the same pages.
+
+    Options: plan, fetcher, paging (``number`` or ``offset``), fullpage, ``pages`` (most in one partition, so what has piled up is read in parallel) and ``counter`` (module.function: token to
+    number of pages). Cursors name no page before the one ahead of them is read, so feeds with cursors are read as batches. A token that can't be counted stops the stream: without its number
+    its place would be lost. A token that leaves the plan and comes back is read from its beginning. Spark runs ``availableNow`` over a Python source as one batch, so a run after a failure
+    does the failed batch only.
+    """
+
+    def __init__(self, options: dict) -> None:
+        self.plan = [(token, company) for token, company in json.loads(options["plan"])]
+        self.fetcher, self.counter = options["fetcher"], options["counter"]
+        self.pages, self.full, self.paging = int(options.get("pages", "10")), int(options.get("fullpage", "1")), options.get("paging", "number")
+        if self.paging not in ("number", "offset"):
+            raise ValueError("only feeds paged by number or offset can be polled")
+
+    def initialOffset(self) -> dict:
+        return {token: 0 for token, _ in self.plan}
+
+    def latestOffset(self) -> dict:
+        from concurrent.futures import ThreadPoolExecutor
+
+        tokens = list(dict.fromkeys(token for token, _ in self.plan))
+        with ThreadPoolExecutor(8) as pool:
+            return dict(zip(tokens, map(int, pool.map(_called(self.counter), tokens)), strict=True))
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        out: list[InputPartition] = []
+        for token, company in dict(self.plan).items():
+            # a feed that has become shorter gives nothing until it is longer again
+            first, last = int(start.get(token, 0)), int(end.get(token, 0))
+            out += [InputPartition((token, company, at, min(at + self.pages, last))) for at in range(first, last, self.pages)]
+        return out
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        fetch = _called(self.fetcher)
+        token, company, first, last = partition.value
+        for page in range(first, last):
+            payload, _ = fetch(token, page * self.full if self.paging == "offset" else page)
+            if payload:
+                yield token, company, page, payload
+
+    def commit(self, end: dict) -> None:
+        """Nothing is kept here: the checkpoint has the offset."""
+
+
 class FeedSource(DataSource):
-    """``spark.read.format("feed")`` with options plan (JSON pairs of token and company), fetcher (module.function), pages, fullpage, paging. One partition for each company."""
+    """``spark.read.format("feed")`` with options plan (JSON pairs of token and company), fetcher (module.function), pages, fullpage, paging. One partition for each company.
+    ``spark.readStream.format("feed")`` polls, see :class:`FeedStreamReader`."""
 
     @classmethod
     def name(cls) -> str:
@@ -97,6 +152,9 @@ class FeedSource(DataSource):
     def reader(self, schema) -> FeedReader:
         return FeedReader(self.options)
 
+    def streamReader(self, schema) -> FeedStreamReader:
+        return FeedStreamReader(self.options)
+
 
 def aged(urls: DataFrame, cache: DataFrame, as_of: Column) -> DataFrame:
     """``urls`` (url, kind) with ``due``: whether ``cache`` (url, fetched_at) has no fresh enough page."""
