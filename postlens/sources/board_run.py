@@ -51,6 +51,17 @@ def commits(path: str) -> list[str]:
     return sorted(f.base_name for f in found if f.extension == "json")
 
 
+def committed(path: str, upto: str | None = None) -> list[str]:
+    """Files that the commits (up to one of them) name."""
+    files, root = _files(path)
+    named: list[str] = []
+    for name in commits(path):
+        if not upto or name <= upto:
+            with files.open_input_stream(f"{root}/commits/{name}") as found:
+                named += json.loads(found.read())["files"]
+    return named
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     files: list[str] = field(default_factory=list)
@@ -145,13 +156,7 @@ class BoardReader(DataSourceReader):
         self.path, self.upto = options["path"], options.get("upto", "")
 
     def partitions(self) -> list[InputPartition]:
-        files, root = _files(self.path)
-        named: list[str] = []
-        for name in commits(self.path):
-            if name <= self.upto:
-                with files.open_input_stream(f"{root}/commits/{name}") as found:
-                    named += json.loads(found.read())["files"]
-        return [InputPartition(name) for name in named]
+        return [InputPartition(name) for name in committed(self.path, self.upto)]
 
     def read(self, partition: InputPartition | None) -> Iterator:
         from pyarrow import parquet
@@ -181,11 +186,8 @@ class BoardSource(DataSource):
 
 def kept(spark: SparkSession, path: str) -> DataFrame:
     """All requests of the committed runs so far, as SHAPE. Later commits aren't seen by this frame."""
-    found = commits(path)
-    if not found:
-        return spark.createDataFrame([], SHAPE)
-    spark.dataSource.register(BoardSource)
-    return spark.read.format("board").options(path=path, upto=found[-1]).load()
+    found = committed(path)
+    return spark.read.schema(SHAPE).parquet(*[f"{path}/{name}" for name in found]) if found else spark.createDataFrame([], SHAPE)
 
 
 @F.pandas_udf(T.BooleanType())
@@ -220,6 +222,10 @@ def fetched(urls: DataFrame, path: str, as_of: Column, since: Column, recorded:
     asked = _permitted(urls, robots)
     cache, ledger = before.where("status < 300"), before.select("board", F.col("fetched_at").alias("at"), "status")
     plan = boards.requests(asked.where("__may"), cache, ledger, as_of, since)
+    # the plan is a table of its own, so that what is asked for and what is told of it are the same rows, worked out once
+    at = f"{path}/plans/{uuid.uuid4().hex}"
+    asked.join(plan.select("board", "url", "place", "origin"), ["board", "url"], "left").write.parquet(at)
+    plan = spark.read.parquet(at)
     todo = plan.where("origin = 'network'").select("board", "url", "kind", "place")
     given = {"path": path, "gap": str(gap)}
     if fetcher is None:
@@ -233,7 +239,7 @@ def fetched(urls: DataFrame, path: str, as_of: Column, since: Column, recorded:
     after = kept(spark, path)
     good, new = F.col("status") < 300, F.col("fetched_at") >= since
     known = after.groupBy("url").agg(F.max_by(F.when(good, F.col("body")), F.when(good, F.col("fetched_at"))).alias("__body"), F.max(F.when(good, F.col("fetched_at"))).alias("__at"), F.bool_or(new & ~good).alias("__failed"))
-    rows = asked.join(plan.select("board", "url", "origin"), ["board", "url"], "left").join(known, "url", "left")
+    rows = plan.join(known, "url", "left")
     young = F.coalesce(F.unix_timestamp(as_of) - F.unix_timestamp("__at") <= fetch.STALE_HOURS * 3600, F.lit(False))
     origin = F.when(~F.col("__may"), "forbidden").when(F.col("origin") == "cache", "cache").when(F.col("__at") >= since, "network").when(young, "stale").when(F.col("__failed"), "failed").otherwise("later")
     rows = rows.withColumn("origin", origin)

@@ -34,6 +34,8 @@ def test_a_run_and_the_next(spark, tmp_path):
     two = board_run.run(lists, details, path, at(2), recorded)
     assert {r.url: r.origin for r in two.collect()} == {"a/0": "cache", "a/1": "cache", "i1": "cache", "i2": "network", "i3": "cache", "i4": "failed"}
     assert before.count() == 6 and board_run.kept(spark, path).count() == 8  # a frame made before doesn't see the next run
+    first = spark.read.format("board").options(path=path, upto=board_run.commits(path)[1]).load()
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, before.collect()))
     ledger = board_run.kept(spark, path).select("board", F.col("fetched_at").alias("at"), "status")
     told = boards.status(two, ledger, spark.createDataFrame([], "board string, carried boolean"), at(2)).first()
     assert (told.network, told.cache, told.failed, told.stale, told.later) == (1, 4, 1, 0, 0)
