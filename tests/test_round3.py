@@ -5,6 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from postlens.functions import text as tx
+from postlens.operators import score
 
 
 def test_many_entities_in_one_text_are_found_in_one_search(spark):
@@ -13,3 +14,9 @@ def test_many_entities_in_one_text_are_found_in_one_search(spark):
     (row,) = spark.createDataFrame([(escaped,)], "t string").select(tx.entities_resolved(F.col("t")).alias("t")).collect()
     assert row["t"] == "<b>xA&#1114112;" * 20_000
     assert time.monotonic() - start < 20  # one search for each entity took minutes
+
+
+def test_a_half_that_a_product_misses_by_its_last_bit_is_rounded_up(spark):
+    rows = spark.createDataFrame([(36.0, 0.5, 1.0), (84.0, 0.5, 1.0), (37.0, 0.0, 0.0), (44.0, 0.5, None)], "total double, risk double, fit double")
+    got = rows.select(score.tenths(score.unrounded(F.col("total"), F.col("risk"), F.col("fit"))).alias("x")).collect()
+    assert [r.x for r in got] == [26.6, 62.0, 37.0, 27.5]
