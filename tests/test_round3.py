@@ -2,10 +2,11 @@
 
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from postlens.functions import text as tx
-from postlens.operators import score
+from postlens.operators import embedding, score
 
 
 def test_many_entities_in_one_text_are_found_in_one_search(spark):
@@ -20,3 +21,16 @@ def test_a_half_that_a_product_misses_by_its_last_bit_is_rounded_up(spark):
     rows = spark.createDataFrame([(36.0, 0.5, 1.0), (84.0, 0.5, 1.0), (37.0, 0.0, 0.0), (44.0, 0.5, None)], "total double, risk double, fit double")
     got = rows.select(score.tenths(score.unrounded(F.col("total"), F.col("risk"), F.col("fit"))).alias("x")).collect()
     assert [r.x for r in got] == [26.6, 62.0, 37.0, 27.5]
+
+
+def test_the_model_of_the_fit_has_every_token(spark):
+    """More tokens than a broadcast model may have, and a text of the rarest ones."""
+    n = embedding.MOST // 10 + 1
+    docs = spark.range(2 * n).select(F.col("id").alias("seq"), F.concat_ws(" ", *[F.concat(F.lit("w"), (F.col("id") % n * 10 + i).cast("string")) for i in range(10)]).alias("text"))
+    model = embedding.learnt(docs, "seq", "text")
+    assert model.count() == 10 * n > embedding.MOST
+    texts = spark.createDataFrame([("a", f"w{10 * n - 1} w9"), ("b", f"W{10 * n - 2}, w8"), ("c", "unknown"), ("d", "w1")], "hash string, text string")
+    got = {r.hash: r.vector for r in embedding.vectors(texts, model).collect()}
+    assert np.allclose(got["a"], got["b"]) and abs(np.linalg.norm(got["a"]) - 1) < 1e-9 and not any(got["c"])
+    one = embedding.loader(model.where("token IN ('w1', 'w9') OR token = 'w%d'" % (10 * n - 1)))()
+    assert np.allclose(one(f"w{10 * n - 1} w9"), got["a"]) and np.allclose(one("w1"), got["d"])
