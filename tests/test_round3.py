@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from postlens.functions import text as tx
-from postlens.operators import embedding, score
+from postlens.operators import embedding, score, shortlist
 
 
 def test_many_entities_in_one_text_are_found_in_one_search(spark):
@@ -34,3 +34,11 @@ def test_the_model_of_the_fit_has_every_token(spark):
     assert np.allclose(got["a"], got["b"]) and abs(np.linalg.norm(got["a"]) - 1) < 1e-9 and not any(got["c"])
     one = embedding.loader(model.where("token IN ('w1', 'w9') OR token = 'w%d'" % (10 * n - 1)))()
     assert np.allclose(one(f"w{10 * n - 1} w9"), got["a"]) and np.allclose(one("w1"), got["d"])
+
+
+def test_rows_that_multiply_are_dealt_to_more_tasks_as_there_are_more(spark):
+    rows = spark.range(0, 10_000, 1, 1)
+    for n, fan in ((10_000, 1), (10_000, 25), (100, 25), (0, 25)):
+        dealt = shortlist.spread(rows.where(F.col("id") < n), fan, 5000)
+        sizes = [len(x) for x in dealt.rdd.glom().collect()]
+        assert sum(sizes) == n and max(sizes) * fan <= 5000 + fan
