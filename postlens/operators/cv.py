@@ -9,10 +9,13 @@ from pyspark.sql.window import Window
 from ..functions.text import cv_normalised, nfc, unicode_pattern
 from . import intervals, matching
 
+#: CVs of one task.
+EACH = 20_000
 MONTHS = {"jan": 1, "oca": 1, "feb": 2, "şub": 2, "mar": 3, "apr": 4, "nis": 4, "may": 5, "jun": 6, "haz": 6, "jul": 7, "tem": 7, "aug": 8, "ağu": 8, "sep": 9, "eyl": 9, "oct": 10, "eki": 10, "nov": 11, "kas": 11, "dec": 12, "ara": 12, "spring": 3, "summer": 6, "fall": 9, "autumn": 9, "winter": 1}
 _MONTH = "(" + "|".join(MONTHS) + r")\w*\.?"
 _NOW = r"present|current|now|today|günümüz|halen|devam"
 RANGE = unicode_pattern(rf"(?:{_MONTH}\s+)?((?:19|20)[0-9]{{2}})(?:\s+{_MONTH})?\s*(?:-|–|—|to)\s*(?:(?:{_MONTH}\s+)?((?:19|20)[0-9]{{2}})(?:\s+{_MONTH})?|({_NOW}))")
+YEAR = "(?:19|20)[0-9]{2}"
 #: "June - July 2024": one year for both months. "Summer 2025": no months at all.
 MONTHS_OF_YEAR = unicode_pattern(r"(?<![\w/])(\p{L}{3,9})\.?\s*(?:--?|–|—|to|ile)\s*(\p{L}{3,9})\.?\s+((?:19|20)[0-9]{2})(?![\w/])")
 SEASON = unicode_pattern(r"\b(spring|summer|fall|autumn|winter|yaz)\s+((?:19|20)[0-9]{2})\b")
@@ -47,18 +50,28 @@ def _short_period(line: Column) -> Column:
     return F.when(told, span(year, first, last - first + 1)).when(season.isNotNull(), span(season, F.coalesce(_month(F.regexp_extract(line, SEASON, 1)), F.lit(6)), F.lit(2)))
 
 
+def dealt(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` by key in at least as many tasks as a shuffle has, each of about ``EACH`` CVs at most."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.repartition(max(parts, -(-docs.count() // EACH)), key)
+
+
 def lines(docs: DataFrame, key: str, text: str, as_of: Column) -> DataFrame:
     """key, line_no, line, section, start, end, weight, kind of each line.
 
     A line's weight comes from the end date that holds for it: its own, or the last one above it in the same section. Lines of the skills section have kind ``skill``.
     """
     now = F.year(as_of) + (F.month(as_of) - 1) / 12
+    # dealt before lines are made: a small file holds many CVs, which one task would read line by line
+    docs = dealt(docs.select(key, text), key)
     each = docs.select(key, F.posexplode(F.split(cv_normalised(nfc(F.col(text))), "\n")).alias("line_no", "line"))
-    g = lambda i: F.regexp_extract("line", RANGE, i)
+    # every period has a year, so the long patterns see no other lines; those are null here
+    each = each.withColumn("__dated", F.when(F.col("line").rlike(YEAR), F.col("line")))
+    g = lambda i: F.regexp_extract("__dated", RANGE, i)
     section = F.coalesce(*[F.when(F.col("line").rlike(unicode_pattern(p)) & (F.length("line") < 40), F.lit(n)) for n, p in SECTIONS])
     dated = each.withColumn("heading", section).withColumn("start", _year(g(2), g(1), g(3)))
     # a period with two years goes before one with a single year
-    dated = dated.withColumn("end", F.when(F.col("start").isNotNull(), F.coalesce(_year(g(5), g(4), g(6)), now))).withColumn("__short", _short_period(F.col("line")))
+    dated = dated.withColumn("end", F.when(F.col("start").isNotNull(), F.coalesce(_year(g(5), g(4), g(6)), now))).withColumn("__short", _short_period(F.col("__dated")))
     dated = dated.withColumn("end", F.when(F.col("start").isNull(), F.col("__short.end")).otherwise(F.col("end"))).withColumn("start", F.coalesce("start", "__short.start")).drop("__short")
     w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     placed = dated.withColumn("section", F.coalesce(F.last("heading", ignorenulls=True).over(w), F.lit("top")))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from postlens.functions import text as tx
-from postlens.operators import embedding, score, shortlist
+from postlens.operators import cv, embedding, score, shortlist
 
 
 def test_many_entities_in_one_text_are_found_in_one_search(spark):
@@ -42,3 +42,12 @@ def test_rows_that_multiply_are_dealt_to_more_tasks_as_there_are_more(spark):
         dealt = shortlist.spread(rows.where(F.col("id") < n), fan, 5000)
         sizes = [len(x) for x in dealt.rdd.glom().collect()]
         assert sum(sizes) == n and max(sizes) * fan <= 5000 + fan
+
+
+def test_cvs_of_one_file_are_dealt_to_tasks_before_their_lines_are_made(spark):
+    text = "Experience\nEngineer    Jan 2009 – Present\nno period here\nIntern    June - July 2004\nTrainee Summer 2001"
+    docs = spark.range(0, 64, 1, 1).select("id", F.lit(text).alias("text"))
+    lines = cv.lines(docs, "id", "text", F.to_date(F.lit("2012-01-01")))
+    assert lines.select("id", F.spark_partition_id().alias("p")).distinct().select("p").distinct().count() > 1
+    got = [(r.line_no, r.start, r.end) for r in lines.where("id = 7").orderBy("line_no").collect()]
+    assert got == [(0, None, None), (1, 2009.0, 2012.0), (2, None, None), (3, 2004 + 5 / 12, 2004 + 7 / 12), (4, 2001 + 5 / 12, 2001 + 7 / 12)]
