@@ -11,8 +11,8 @@ Texts become sets of 64-bit hashes of their five-word shingles; texts of equal s
    itself, (pair, fragment, count), and the counts are summed per pair; the sum decides.
 
 :func:`pairs` gives all links between classes. :func:`joined` asks for components only, so not all pairs of a group are made: first each prefix group is a star
-around its smallest class. Then, with the components of those links, members of one star that lie in different components are held against each other by
-parity sketches, and the pairs which these can't rule out are counted. No link between different components is missed; what is left out would join classes
+around its smallest class, and a class is held against one middle, then against those of other components. Then, with the components of those links, members of one star that lie in different components are held against each other by
+parity sketches, and the pairs which these can't rule out are counted, of each class and other component one pair first. No link between different components is missed; what is left out would join classes
 that are joined already. A class's copies are never paired with each other.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing; a text of fewer than five words is one shingle; equal rows are of one
@@ -40,6 +40,8 @@ from .url_filter import Level, _places
 PERCENT, FRAGMENT, BLOCK, RANGES, CLASSES = 75, 500_000, 400_000, 2, 4
 #: Words of 64 bits in a sketch; members of a star that one task compares with each other.
 SKETCH, MEMBERS = 16, 512
+#: Pairs of a class and another component that two blocks give to choose from.
+FEW = 3
 #: Hundredths of a set that its prefix has beyond what the similarity asks for; bits of the Bloom filter at most, and for each class.
 SURPLUS, BLOOM_BITS, BLOOM_EACH = 25, 1 << 27, 12
 _LOW = np.uint64((1 << 40) - 1)
@@ -186,10 +188,24 @@ def _common(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tokens[use], keys[owner[use]], each[use].astype(np.uint32)
 
 
-def _tally(table: pa.Table) -> pa.Table:
-    """key, shared: how many of a class's shingles in this fragment stand in other classes too."""
-    keys, shared = np.unique(_common(table)[1], return_counts=True)
-    return pa.table({"key": pa.array(keys.view(np.int64)), "shared": pa.array(shared, pa.int64())})
+def _tally(count: int):
+    """Of one fragment: (key, shared), how many of a class's shingles there stand in other classes too, in blocks by class bucket. A row for each class would be one for each class and fragment."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, shared = np.unique(_common(table)[1], return_counts=True)
+        rows = [(s, _packed(*x)) for s, x in _cut((keys % np.uint64(count)).astype(np.int32), keys, shared.astype(np.uint32))]
+        return pa.table({"bucket": pa.array([s for s, _ in rows], pa.int32()), "block": pa.array([b for _, b in rows], pa.binary())})
+
+    return run
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """key, shared of one class bucket, over all fragments."""
+    parts = [_unpacked(x.as_py(), np.uint64, np.uint32) for x in table.column("block")]
+    keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    shared = np.zeros(len(keys), np.int64)
+    np.add.at(shared, at, np.concatenate([p[1] for p in parts]))
+    return pa.table({"key": pa.array(keys.view(np.int64)), "shared": pa.array(shared)})
 
 
 def _shared(count: int):
@@ -243,10 +259,15 @@ def _bloom(keys: DataFrame, n: int) -> Level:
     return Level(1, bits, 4, words)
 
 
+def tallies(docs: DataFrame, total: int) -> DataFrame:
+    """bucket, block: what each fragment of the prefixes tells of the classes of a bucket, whose tallies are no more than two fragments' shingles."""
+    return _dealt(docs, fragments_of(total // 2), lambda values, bounds, key: prefix_of(values, bounds)).applyInArrow(_tally(fragments_of(total // 4)), "bucket int, block binary")
+
+
 def likely_classes(docs: DataFrame, classes: DataFrame, total: int) -> DataFrame:
     """key: classes whose prefixes in hash order share enough with other classes to have a partner."""
-    tallies = _dealt(docs, fragments_of(total // 2), lambda values, bounds, key: prefix_of(values, bounds)).applyInArrow(_tally, "key long, shared long")
-    sums = tallies.groupBy("key").agg(F.sum("shared").alias("shared"))
+    parts = max(fragments_of(total // 4), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sums = tallies(docs, total).repartition(parts, "bucket").groupBy("bucket").applyInArrow(_summed, "key long, shared long")
     # a partner has three quarters of n shingles at least, so its own surplus is at least this
     n = F.ceil(F.col("n") * PERCENT / 100)
     least = F.greatest(F.lit(1), F.floor(n * SURPLUS / 100))
@@ -290,29 +311,26 @@ def _stars(kept: DataFrame) -> DataFrame:
     return postings.join(hubs, "shingle").where(F.col("class") > F.col("a")).select("a", F.col("class").alias("b")).distinct()
 
 
-def _may_link(an: Column, am: Column, a: Column, bn: Column, bm: Column, b: Column) -> Column:
-    """False only if sizes or sketches prove too small an overlap: two parities differ in no more bits than the sets differ in shingles."""
-    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    most = F.floor((am + bm - apart) / 2)
+def _may_link(an: Column, bn: Column, most: Column) -> Column:
+    """False only if sizes or sketches prove too small an overlap."""
     return (100 * F.least(an, bn) >= PERCENT * F.greatest(an, bn)) & (100 * most >= PERCENT * (an + bn - most))
 
 
-def _across(everything: bool):
-    """Of two blocks of a star's members: the pairs that the sketches don't rule out, all of them or those in different components."""
+def _across(everything: bool, best: bool):
+    """Of two blocks of a star's members: the pairs that the sketches don't rule out, all of them or those in different components; with ``best`` only the FEW of each class and other component that may be most alike."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids = table.column("class").to_pylist()
+        ids, names = table.column("class").to_pylist(), table.column("part").to_pylist()
         n, m, block = (table.column(c).to_numpy() for c in ("n", "m", "block"))
         sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)
         if everything:
             part, largest = np.arange(len(ids)), -1
         else:
-            _, part = np.unique(np.array(table.column("part").to_pylist(), object).astype("S16"), return_inverse=True)
+            _, part = np.unique(np.array(names, object).astype("S16"), return_inverse=True)
             largest = np.bincount(part).argmax()
         two = table.column("low")[0].as_py() != table.column("high")[0].as_py()
-        left: list[bytes] = []
-        right: list[bytes] = []
+        found: list[tuple[bytes, bytes, bytes, bytes, float]] = []
         # those of the largest component needn't be told from each other, so each other one is held against all
         for i in np.flatnonzero(part != largest).tolist():
             other = (part != part[i]) & ((part == largest) | (np.arange(len(part)) > i))
@@ -321,16 +339,24 @@ def _across(everything: bool):
             j = np.flatnonzero(other & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
             apart = np.bitwise_count(sketch[j] ^ sketch[i]).sum(1, dtype=np.int64)
             most = (m[j] + m[i] - apart) // 2
-            for k in j[100 * most >= PERCENT * (n[j] + n[i] - most)].tolist():
-                left.append(min(ids[i], ids[k]))
-                right.append(max(ids[i], ids[k]))
-        return pa.table({"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())})
+            may = 100 * most >= PERCENT * (n[j] + n[i] - most)
+            j, score = j[may], (most / np.maximum(n[j] + n[i] - most, 1))[may]
+            if best and len(j):
+                order = np.lexsort((-score, part[j]))
+                j, score = j[order], score[order]
+                first = np.concatenate(([True], part[j][1:] != part[j][:-1]))
+                use = np.arange(len(j)) - np.flatnonzero(first)[np.cumsum(first) - 1] < FEW
+                j, score = j[use], score[use]
+            found += [(min(ids[i], ids[k]), max(ids[i], ids[k]), ids[i], names[k], x) for k, x in zip(j.tolist(), score.tolist(), strict=True)]
+        columns = list(zip(*found, strict=True)) or [()] * 5
+        kinds = {"a": pa.binary(), "b": pa.binary(), "of": pa.binary(), "other": pa.binary(), "score": pa.float64()}
+        return pa.table({name: pa.array(x, kind) for (name, kind), x in zip(kinds.items(), columns, strict=True)})
 
     return run
 
 
-def _within_stars(stars: DataFrame, named: DataFrame, everything: bool) -> DataFrame:
-    """Pairs of members of one star that may link; any two classes that meet in a prefix are members of that group's star. ``named`` has class, n, m, sketch, part.
+def _within_stars(stars: DataFrame, named: DataFrame, everything: bool, best: bool = False) -> DataFrame:
+    """Pairs (a, b) of members of one star that may link, with other columns of :func:`_across`; any two classes that meet in a prefix are members of that group's star. ``named`` has class, n, m, sketch, part. A pair may come twice.
 
     Unless ``everything`` is asked for, stars of one component are dropped, and pairs within a component. A star is cut into blocks of about MEMBERS, and each pair of blocks is a group of its own.
     """
@@ -344,7 +370,7 @@ def _within_stars(stars: DataFrame, named: DataFrame, everything: bool) -> DataF
     dealt = cut.withColumn("o", other).withColumns({"low": F.least("block", "o"), "high": F.greatest("block", "o")})
     # dealt anew by the pair of blocks: else all blocks of a hub would stay in the task that its rows met in
     spread = dealt.select("hub", "low", "high", "block", "class", "n", "m", "sketch", "part").repartition("hub", "low", "high")
-    return spread.groupBy("hub", "low", "high").applyInArrow(_across(everything), "a binary, b binary").distinct()
+    return spread.groupBy("hub", "low", "high").applyInArrow(_across(everything, best), "a binary, b binary, of binary, other binary, score double")
 
 
 def _vertical(kept: DataFrame, top: float) -> DataFrame:
@@ -355,10 +381,16 @@ def _vertical(kept: DataFrame, top: float) -> DataFrame:
     return kept.select("class", F.posexplode(cut).alias("v", "piece")).where(F.size("piece") > 0)
 
 
-def _linked(pairs: DataFrame, kept: DataFrame, vertical: DataFrame) -> DataFrame:
-    """a, b, common of the pairs whose overlap is enough. Sketches rule out most others; the overlap is counted in each vertical fragment by itself and summed by pair."""
+def _likely(pairs: DataFrame, kept: DataFrame) -> DataFrame:
+    """a, b, an, bn, most of the pairs that sizes and sketches don't rule out. ``most`` is what they can share: two parities differ in no more bits than the sets differ in shingles."""
     side = lambda name: kept.select(F.col("class").alias(name), F.col("n").alias(f"{name}n"), F.col("m").alias(f"{name}m"), F.col("sketch").alias(f"{name}s"))
-    likely = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(_may_link(*(F.col(f"{x}{y}") for x in "ab" for y in "nms")))
+    apart = F.aggregate(F.zip_with("as", "bs", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    met = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").withColumn("most", F.floor((F.col("am") + F.col("bm") - apart) / 2))
+    return met.where(_may_link(F.col("an"), F.col("bn"), F.col("most"))).select("a", "b", "an", "bn", "most")
+
+
+def _linked(likely: DataFrame, vertical: DataFrame) -> DataFrame:
+    """a, b, an, bn, common of the pairs (a, b, an, bn) whose overlap is enough. It is counted in each vertical fragment by itself and summed by pair."""
     every = F.explode(F.sequence(F.lit(0), F.lit(CLASSES * RANGES - 1))).alias("v")
     met = written(likely.select("a", "b", "an", "bn"), "likely").select("a", "b", "an", "bn", every)
     piece = lambda name: vertical.select(F.col("class").alias(name), "v", F.col("piece").alias(f"{name}p"))
@@ -368,6 +400,25 @@ def _linked(pairs: DataFrame, kept: DataFrame, vertical: DataFrame) -> DataFrame
     return counted.where(100 * F.col("common") >= PERCENT * (F.col("an") + F.col("bn") - F.col("common"))).select("a", "b", "an", "bn", "common")
 
 
+def _star_links(stars: DataFrame, kept: DataFrame, vertical: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that join what the stars' links join, and the components (id, label) of them.
+
+    A class is in as many stars as its prefix has groups, so first it is held against one middle only, the one that it can share most with; of its other pairs those are counted that lie in different components by then.
+    """
+    near = written(_likely(stars, kept), "near")
+    best = F.max_by(F.struct("a", "an", "bn"), F.struct("most", "a")).alias("x")
+    links = written(_linked(near.groupBy("b").agg(best).select("x.a", "b", "x.an", "x.bn"), vertical).select("a", "b"), "links")
+    parts = labels(links)
+    other = lambda name: parts.select(F.col("id").alias(name), F.col("label").alias(f"{name}_part"))
+    apart = near.join(other("a"), "a", "left").join(other("b"), "b", "left").where(F.coalesce("a_part", "a") != F.coalesce("b_part", "b"))
+    more = written(_linked(apart, vertical).select("a", "b"), "links")
+    forget(near)
+    if more.isEmpty():
+        return links, parts
+    both = written(links.unionByName(more), "links")
+    return both, labels(both)
+
+
 def _prepared(docs: DataFrame, table: DataFrame, total: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Classes that can have a partner, their vertical fragments, and the stars of their prefixes."""
     kept = survivors(docs, table, total)
@@ -379,14 +430,24 @@ def _prepared(docs: DataFrame, table: DataFrame, total: int) -> tuple[DataFrame,
 def class_components(docs: DataFrame, table: DataFrame, total: int) -> DataFrame:
     """class, part: the component of each class that has links, named by its smallest class."""
     kept, vertical, stars = _prepared(docs, table, total)
-    links = written(_linked(stars, kept, vertical).select("a", "b"), "links")
-    parts = labels(links)
-    named = written(kept.join(parts, kept["class"] == parts["id"], "left").select("class", "n", "m", "sketch", F.coalesce("label", "class").alias("part")), "named")
-    fresh = written(_within_stars(stars, named, False).join(stars, ["a", "b"], "left_anti"), "pairs")
-    found = labels(written(links.unionByName(_linked(fresh, kept, vertical).select("a", "b")), "links"))
-    for done in (kept, vertical, stars, named, fresh):
+    links, parts = _star_links(stars, kept, vertical)
+    tried = stars
+    # a class that links with one of a large component mostly links with many: it is held against one first, and against all that it may link with only if it isn't joined by that
+    for best in (True, False):
+        named = written(kept.join(parts, kept["class"] == parts["id"], "left").select("class", "n", "m", "sketch", F.coalesce("label", "class").alias("part")), "named")
+        open_ = _within_stars(stars, named, False, best).join(tried, ["a", "b"], "left_anti")
+        if best:
+            open_ = open_.groupBy("of", "other").agg(F.max_by(F.struct("a", "b"), F.struct("score", "a", "b")).alias("x")).select("x.a", "x.b")
+        fresh = written(open_.select("a", "b").distinct(), "pairs")
+        found = written(_linked(_likely(fresh, kept), vertical).select("a", "b"), "links")
+        if not found.isEmpty():
+            links = written(links.unionByName(found), "links")
+            parts = labels(links)
+        tried = tried.unionByName(fresh)
+        forget(named)
+    for done in (kept, vertical, stars):
         forget(done)
-    return found.select(F.col("id").alias("class"), F.col("label").alias("part"))
+    return parts.select(F.col("id").alias("class"), F.col("label").alias("part"))
 
 
 def pairs(docs: DataFrame) -> DataFrame:
@@ -396,7 +457,7 @@ def pairs(docs: DataFrame) -> DataFrame:
     """
     table = written(documents(docs), "documents")
     kept, vertical, stars = _prepared(docs, table, table.agg(F.sum("n_shingles")).first()[0] or 0)
-    return _linked(_within_stars(stars, kept.select("class", "n", "m", "sketch", F.col("class").alias("part")), True), kept, vertical)
+    return _linked(_likely(_within_stars(stars, kept.select("class", "n", "m", "sketch", F.col("class").alias("part")), True).select("a", "b").distinct(), kept), vertical)
 
 
 def joined(docs: DataFrame) -> DataFrame:

@@ -107,3 +107,45 @@ def test_prefixes_share_what_is_promised():
         cut = [set(ngram_join.prefix_of(np.array(sorted(x), np.uint64), np.array([0, len(x)]))[0].tolist()) for x in (a, b)]
         for x in (len(a), len(b)):
             assert len(cut[0] & cut[1]) >= max(1, -(-75 * x // 100) * ngram_join.SURPLUS // 100)
+
+
+@pytest.fixture(scope="module")
+def near_copies(spark):
+    """A large group of near copies whose changes are shared by some, so each is in many stars, and as many texts that are like nothing."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(f"x{r.randrange(3)}" if r.random() < 0.02 else w for w in base) for _ in range(300)]
+    texts += [" ".join(f"y{r.randrange(10_000)}" for _ in range(40)) for _ in range(300)]
+    return texts, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+
+
+def test_a_near_copy_is_counted_against_one_middle_of_its_stars(near_copies, monkeypatch):
+    """Not against those of all stars that it is in, each in every fragment."""
+    texts, docs = near_copies
+    counted = []
+
+    def spy(df, name):
+        out = real(df, name)
+        if out.columns == ["a", "b", "an", "bn"]:
+            counted.append(out.count())
+        return out
+
+    real = ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", spy)
+    got = {r.doc_id: r.component_id for r in ngram_join.joined(docs).collect()}
+    sets = sets_of(texts)
+    want = components_of(len(texts), links_of(sets))
+    assert [got[i] for i in range(len(texts))] == want
+    alike = len({s for s, w in zip(sets, want, strict=True) if want.count(w) > 1})
+    assert alike > 200 and 0 < sum(counted) < 3 * alike
+
+
+def test_tallies_are_a_row_for_each_fragment_and_bucket(near_copies, monkeypatch):
+    """Not one for each class and fragment, of which there are more with every row."""
+    texts, docs = near_copies
+    total = sum(map(len, sets_of(texts)))
+    monkeypatch.setattr(ngram_join, "FRAGMENT", 800)
+    fragments, buckets = ngram_join.fragments_of(total // 2), ngram_join.fragments_of(total // 4)
+    blocks = ngram_join.tallies(docs, total).collect()
+    tallies = sum(len(ngram_join._unpacked(x.block, "u8", "u4")[0]) for x in blocks)
+    assert fragments > buckets >= 16 and len(blocks) <= fragments * buckets and tallies > 4 * len(blocks)
