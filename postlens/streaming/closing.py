@@ -1,12 +1,14 @@
 """Postings that close, told by keyed state and timers in the stream itself.
 
 Stage one lets each (board, run) through once and deals it to every bucket of the board as a mark that the board was scanned; stage two holds, for each (board, bucket), the postings of that bucket. A board of any size
-is so many keys. When the watermark passes a run's end, its timer goes over the bucket's postings: those last seen before the run are closed, and those unseen for ``keep`` runs leave the state.
+is so many keys. When the watermark passes a run's end, its timer goes over the bucket's postings: those last seen before the run are closed, and those unseen for ``keep`` runs leave the state. Of runs that end together
+the first timer's pass tells all.
 What comes out are changes: opened, closed, opened again.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,6 +35,8 @@ class Closing(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out = []
+        # a posting's state is asked for once a batch, however many frames its sightings are in
+        newest: dict[str, int] = {}
         for frame in rows:
             for run in frame["run_id"].unique():
                 ends = (int(run) + 1) * self.run_millis
@@ -41,26 +45,34 @@ class Closing(StatefulProcessor):
                     self.awaited.updateValue((int(run),), (True,))
                     self.handle.registerTimer(ends)
             for uid, run in frame[frame["uid"].notna()].groupby("uid")["run_id"].max().items():
-                old = self.postings.getValue((uid,)) if self.postings.containsKey((uid,)) else None
-                last, closed, changes = (max(int(run), old[0]), old[1], old[2]) if old else (int(run), None, 0)
-                if closed is not False and (old is None or run > old[0]):
-                    closed, changes = False, changes + 1
-                    out.append((uid, key[0], changes, int(run), False))
-                self.postings.updateValue((uid,), (last, closed, changes))
+                newest[uid] = max(int(run), newest.get(uid, int(run)))
+        for uid, run in newest.items():
+            old = self.postings.getValue((uid,))
+            last, closed, changes = (max(run, old[0]), old[1], old[2]) if old else (run, None, 0)
+            if closed is not False and (old is None or run > old[0]):
+                closed, changes = False, changes + 1
+                out.append((uid, key[0], changes, run, False))
+            self.postings.updateValue((uid,), (last, closed, changes))
         if out:
             yield pd.DataFrame(out, columns=["uid", "board_token", "change", "run", "closed"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         run = expiredTimerInfo.getExpiryTimeInMs() // self.run_millis - 1
-        self.awaited.removeKey((run,))
-        out, gone = [], []
+        if not self.awaited.containsKey((run,)):
+            return
+        # the runs whose ends have passed together are told by one pass over the bucket, not by one each
+        passed = sorted(r for (r,) in self.awaited.keys() if r == run or (r + 1) * self.run_millis < timerValues.getCurrentWatermarkInMs())
+        for r in passed:
+            self.awaited.removeKey((r,))
+        out, gone, closings = [], [], []
         for (uid,), (last, closed, changes) in self.postings.iterator():
-            if last < run and not closed:
-                out.append((uid, key[0], changes + 1, run, True))
-            if last < run - self.keep:
+            at = bisect_right(passed, last)
+            if not closed and at < len(passed):
+                out.append((uid, key[0], changes + 1, passed[at], True))
+                closings.append((uid, last, changes + 1))
+            if last < passed[-1] - self.keep:
                 gone.append(uid)
-        for uid, _, change, at, _ in out:
-            last = self.postings.getValue((uid,))[0]
+        for uid, last, change in closings:
             self.postings.updateValue((uid,), (last, True, change))
         for uid in gone:
             self.postings.removeKey((uid,))
