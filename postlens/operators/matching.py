@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import term_pattern
-from .automaton import matched, token_matches  # noqa: F401
+from .automaton import matched, token_matches, with_matched  # noqa: F401
 
 WORD = r"[^\p{L}\p{N}+#&]+"
 

@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from postlens.functions import text as tx
-from postlens.operators import cv, embedding, score, shortlist
+from postlens.operators import automaton, cv, embedding, score, shortlist
+from postlens.plans import ranking, standin
 
 
 def test_many_entities_in_one_text_are_found_in_one_search(spark):
@@ -51,3 +52,31 @@ def test_cvs_of_one_file_are_dealt_to_tasks_before_their_lines_are_made(spark):
     assert lines.select("id", F.spark_partition_id().alias("p")).distinct().select("p").distinct().count() > 1
     got = [(r.line_no, r.start, r.end) for r in lines.where("id = 7").orderBy("line_no").collect()]
     assert got == [(0, None, None), (1, 2009.0, 2012.0), (2, None, None), (3, 2004 + 5 / 12, 2004 + 7 / 12), (4, 2001 + 5 / 12, 2001 + 7 / 12)]
+
+
+def test_texts_meet_the_dictionary_once_and_only_those_that_the_fold_leaves(spark):
+    docs = spark.range(0, 400).select(F.col("id").alias("doc_id"), F.lit("Java, SQL and Docker").alias("text"), F.lit("acme").alias("source"))
+    rows = ranking.facts(ranking.variants_folded(standin.postings(docs)), F.to_timestamp(F.lit(standin.AS_OF)))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(rows).count("ArrowEvalPython") == 1  # one worker of a task for all texts of a row
+    # explode's own filter was tried on all postings, below the join with the fold's winners, and the texts were walked again above it
+    told = plan(ranking.rarity(rows))
+    assert told.count("ArrowEvalPython") == 1 and told.index("ArrowEvalPython") < told.index("winner")
+    (row,) = ranking.rarity(rows).collect()
+    assert {"Java", "SQL", "Docker"} <= set(row.idf)
+
+
+def test_batches_of_texts_are_bounded_by_bytes_unless_the_session_says_otherwise(spark):
+    docs = spark.createDataFrame([(1, "Java and C++", "c++"), (2, None, "sql"), (3, "", None)], "id int, a string, b string")
+    terms, key = [("Java", "java", False), ("C++", "c++", False), ("SQL", "sql", False)], "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        found = automaton.with_matched(docs, {"x": F.col("a"), "y": F.col("b")}, terms)
+        assert found.columns == ["id", "a", "b", "x", "y"] and spark.conf.get(key) == str(automaton.BATCH_BYTES)
+        assert [(r.x, r.y) for r in found.orderBy("id").collect()] == [(["C++", "Java"], ["C++"]), ([], ["SQL"]), ([], [])]
+        spark.conf.set(key, "1m")
+        automaton.with_matched(docs, {"x": F.col("a")}, terms)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
